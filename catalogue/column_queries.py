@@ -13,8 +13,8 @@ from codetally.functions import sets as S
 from codetally.functions import stats
 from codetally.operators import selection
 from codetally.operators.alignment import LabelAlignment, exclude_patterns, top_values
-from codetally.operators.hierarchy import plain_entries
-from codetally.operators.prepare import clean_wide_table, keep_unambiguous
+from codetally.operators.hierarchy import items_at
+from codetally.operators.prepare import clean_wide_table, keep_unambiguous, rows_per_level
 from codetally.operators.quality import add_quality_flags
 
 WIDE_CONFIG = ColumnConfig(
@@ -209,9 +209,10 @@ def code_sets_sql(digits: int) -> str:
 
 def code_sets(digits: int):
     def run(spark, sf_dir):
-        sets = {"codes": plain_entries(C.parse_codes(F.col("text")))}
+        items = items_at([digits], C.parse_codes(F.col("text")), {"codes": F.lit(True)})
         rows = ["l_orderkey", "l_partkey", "l_linenumber", "text"]
-        found = views.hierarchy(spark, sf_dir).clean_code_sets(messy(spark, sf_dir), rows, sets, digits)
+        cleaned = views.hierarchy(spark, sf_dir).clean_code_sets(messy(spark, sf_dir), rows, items, ["codes"], [digits])
+        found = rows_per_level(cleaned, digits)
         return keyed(found, codes=S.set_text(F.col("codes")))
 
     return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,47 +28,29 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> Hierarchy:
     return Hierarchy(hierarchy_table(spark, sf_dir))
 
 
+@functools.lru_cache(maxsize=4)
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order: human codes, first model choice, scored model candidates of several models.
 
     All lines of an order are reduced in one aggregation, before the shuffle as far as possible.
     """
-    line = F.col("l_linenumber")
-
-    def high(n: int) -> Column:
-        return code_of(F.max(F.when(line == n, F.col("l_partkey"))))
-
-    def low(n: int) -> Column:
-        return code_of(F.min(F.when(line == n, F.col("l_partkey"))))
-
-    def discount(n: int) -> Column:
-        return F.max(F.when(line == n, F.col("l_discount")))
-
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("unique_id"))
-    wide = lines.agg(
-        *[high(n).alias(f"h{n}") for n in range(1, 8)],
-        *[low(n).alias(f"l{n}") for n in range(1, 8)],
-        *[discount(n).alias(f"d{n}") for n in range(1, 8)],
-        F.max(F.when(line == 1, F.col("l_quantity"))).alias("qty"),
-    )
-    first = (
-        F.when(F.col("qty") >= 49, "-9")
-        .when(F.col("qty") <= 2, "4+")
-        .when(F.col("d1") < 0.02, F.concat(F.substring("h1", 1, 3), F.lit("xx")))
-        .when(F.col("d1") < 0.04, F.col("h1").cast("int").cast("string"))
-        .otherwise(F.col("h1"))
+    code = "lpad(cast(({0} * 37) % 100000 as string), 5, '0')"
+    lines = range(1, 8)
+    wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("unique_id")).agg(
+        *[F.expr(f"{code.format(f'max(l_partkey) filter (where l_linenumber = {n})')} as h{n}") for n in lines],
+        *[F.expr(f"{code.format(f'min(l_partkey) filter (where l_linenumber = {n})')} as l{n}") for n in lines],
+        *[F.expr(f"max(l_discount) filter (where l_linenumber = {n}) as d{n}") for n in lines],
+        F.expr("max(l_quantity) filter (where l_linenumber = 1) as qty"),
     )
-    scores = {f"s{i}": F.col(f"d{n}") * 10 for i, n in zip((1, 2, 3), (1, 2, 5))}
-    return wide.select(
+    return wide.selectExpr(
         "unique_id",
-        first.alias("sic_ind_occ1"),
-        F.col("h2").alias("sic_ind_occ2"),
-        F.col("h3").alias("sic_ind_occ3"),
-        F.when(F.col("d1") >= 0.05, F.col("l1")).alias("initial_code"),
-        F.col("l1").alias("m1"), F.col("l2").alias("m2"), F.col("l5").alias("m3"),
-        *[c.alias(name) for name, c in scores.items()],
-        *[F.col(f"l{n}") for n in (3, 4, 6, 7)],
-        *[(F.col(f"d{n}") * 10).alias(f"t{n}") for n in (3, 4, 6, 7)],
+        "case when qty >= 49 then '-9' when qty <= 2 then '4+' when d1 < 2e-2 then concat(substr(h1, 1, 3), 'xx') "
+        "when d1 < 4e-2 then cast(cast(h1 as int) as string) else h1 end as sic_ind_occ1",
+        "h2 as sic_ind_occ2", "h3 as sic_ind_occ3",
+        "case when d1 >= 5e-2 then l1 end as initial_code",
+        "l1 as m1", "l2 as m2", "l5 as m3", "l3", "l4", "l6", "l7",
+        "d1 * 10 as s1", "d2 * 10 as s2", "d5 * 10 as s3",
+        "d3 * 10 as t3", "d4 * 10 as t4", "d6 * 10 as t6", "d7 * 10 as t7",
     )
 
 

@@ -15,7 +15,9 @@ def empty_set() -> Column:
 
 def code_set(col: Column, dtype: T.DataType) -> Column:
     """A scalar or array column as a code set; texts are taken whole, never split."""
-    values = F.transform(col, lambda c: c.cast("string")) if isinstance(dtype, T.ArrayType) else F.array(col.cast("string"))
+    values = F.array(col.cast("string"))
+    if isinstance(dtype, T.ArrayType):
+        values = col if isinstance(dtype.elementType, T.StringType) else F.transform(col, lambda c: c.cast("string"))
     never_codes = F.array(*[F.lit(token) for token in INVALID_TOKENS], F.lit(None).cast("string"))
     return F.coalesce(F.sort_array(F.array_except(values, never_codes)), empty_set())
 

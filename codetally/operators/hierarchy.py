@@ -81,13 +81,13 @@ class Hierarchy:
 
     def find(self, rows: DataFrame, code_col: str, levels: list[int], level_col: str) -> DataFrame:
         """Add ``codes``, the valid codes of the row's level meant by ``code_col``; null when there are none."""
-        prefixes = self.lookup(levels).withColumnsRenamed({"level": "_level", "prefix": "_prefix"})
+        prefixes = self.lookup(levels).withColumnsRenamed({"level": "_of_level", "prefix": "_prefix"})
         if max(levels) <= BROADCAST_DIGITS:
             prefixes = F.broadcast(prefixes)
         width = level_width(F.col(level_col))
         keyed = rows.withColumn("_key", F.substring(code_stem(F.col(code_col)), F.lit(1), width))
-        match = (F.col("_key") == F.col("_prefix")) & (F.col(level_col) == F.col("_level"))
-        return keyed.join(prefixes, match, "left").drop("_key", "_prefix", "_level")
+        match = (F.col("_key") == F.col("_prefix")) & (F.col(level_col) == F.col("_of_level"))
+        return keyed.join(prefixes, match, "left").drop("_key", "_prefix", "_of_level")
 
     def clean_one_code(
         self, rows: DataFrame, code_col: str, digits: int | list[int], out_col: str = "codes", level_col: str | None = None
@@ -103,61 +103,52 @@ class Hierarchy:
         return rows.join(self.valid_codes().withColumnRenamed("code", code_col), code_col, "left_semi")
 
     def clean_code_sets(
-        self,
-        rows: DataFrame,
-        row_cols: list[str],
-        sets: dict[str, Column],
-        digits: int | None = None,
-        level_col: str | None = None,
-        unique_rows: bool = False,
-        levels: list[int] | None = None,
+        self, rows: DataFrame, row_cols: list[str], items: Column, sets: list[str], levels: list[int], unique_rows: bool = False
     ) -> DataFrame:
-        """Turn the token arrays of each row into sets of valid codes, one output row per input row.
-
-        ``row_cols`` identify a row and are carried through; the token arrays in ``sets`` must depend on
-        nothing else. Rows equal in all of them are counted and given back as often as they came, each
-        input partition on its own, so that a heavily repeated row is never rebuilt by one task.
-        ``unique_rows`` promises that no two rows are equal, which drops that counting.
-        ``sets`` maps an output column to an array of ``struct(code, keep)``, where ``keep`` tells
-        whether the codes of this entry also count for ``<output>_kept``. The level is ``digits``, or
-        per row the integer in ``level_col``, one of ``levels``.
+        """Turn the codes listed in each row into sets of valid codes, one output row per input row.
+
+        ``items`` is an array of ``struct(level, code, <set>, <set>...)``: a code to be read at one digit
+        level, and one boolean per wanted set telling whether it belongs there. The result has ``row_cols``
+        and ``levels``, an array of ``struct(digits, <set>, <set>...)`` in the order of ``levels``.
+
+        ``row_cols`` identify a row, and ``items`` must depend on nothing else. Rows equal in all of them
+        are counted and given back as often as they came, each input partition on its own, so that a
+        heavily repeated row is never rebuilt by one task. ``unique_rows`` promises that no two rows agree
+        in ``row_cols``, which drops that counting.
         """
-        names = list(sets)
-        levels = levels or (list(range(CODE_LENGTH + 1)) if digits is None else [digits])
-        keys = [*row_cols] if unique_rows else [*row_cols, "_split"]
-        if level_col is None:
-            rows = rows.withColumn("_digits", F.lit(digits))
-        elif level_col not in row_cols:
-            raise ValueError(f"'{level_col}' must be one of the row columns")
-        level = level_col or "_digits"
-        items = F.concat(*[F.transform(tokens, self._entry(i)) for i, tokens in enumerate(sets.values())])
-        exploded = rows.select(
-            *row_cols,
-            *([] if level_col else [level]),
-            *([] if unique_rows else [F.spark_partition_id().alias("_split")]),
-            F.posexplode_outer(items).alias("_pos", "_item"),
-        ).select("*", F.col("_item.code").alias("_code"), F.col("_item.of").alias("_of"), F.col("_item.keep").alias("_keep"))
-        found = self.find(exploded.drop("_item"), "_code", levels, level)
-        union = lambda keep: F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(keep, F.col("codes"))))))
-        aggregates = []
-        for i, name in enumerate(names):
-            mine = F.col("_of") == i
-            aggregates.append(union(mine).alias(name))
-            aggregates.append(union(mine & F.col("_keep")).alias(f"{name}_kept"))
-        if unique_rows:
-            return found.groupBy(*keys).agg(*aggregates)
-        copies = F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies")
-        grouped = found.groupBy(*keys).agg(*aggregates, copies)
-        return grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).drop("_copy", "_copies", "_split")
+        split = [] if unique_rows else [F.spark_partition_id().alias("_split")]
+        exploded = rows.select(*row_cols, *split, F.posexplode_outer(items).alias("_pos", "_item")).withColumns(
+            {"_level": F.col("_item.level"), "_code": F.col("_item.code")}
+        )
+        found = self.find(exploded, "_code", levels, "_level")
+        meant = F.struct(F.col("codes").alias("_valid"), *[F.col(f"_item.{name}").alias(name) for name in sets])
+        aggregates = [
+            F.collect_list(F.when((F.col("_level") == level) & F.col("codes").isNotNull(), meant)).alias(f"_level{level}")
+            for level in levels
+        ]
+        if not unique_rows:
+            aggregates.append(F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies"))
+        grouped = found.groupBy(*row_cols, *([] if unique_rows else ["_split"])).agg(*aggregates)
+        if not unique_rows:
+            grouped = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
+        by_level = F.array(*[
+            F.struct(F.lit(level).alias("digits"), *[self._union(f"_level{level}", name).alias(name) for name in sets])
+            for level in levels
+        ])
+        return grouped.select(*row_cols, by_level.alias("levels"))
 
     @staticmethod
-    def _entry(position: int):
-        def entry(item: Column) -> Column:
-            return F.struct(F.lit(position).alias("of"), item["code"].alias("code"), item["keep"].alias("keep"))
+    def _union(entries: str, name: str) -> Column:
+        """All codes of the entries belonging to one set."""
+        mine = F.filter(entries, lambda entry: entry[name])
+        return F.sort_array(F.array_distinct(F.flatten(F.transform(mine, lambda entry: entry["_valid"]))))
+
 
-        return entry
+def items_at(levels: list[int], tokens: Column, belongs: dict[str, Column]) -> Column:
+    """Every token at every level, with the given set memberships."""
+    flags = [flag.alias(name) for name, flag in belongs.items()]
 
+    def at(level: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(F.lit(level).alias("level"), t.alias("code"), *flags))
 
-def plain_entries(tokens: Column) -> Column:
-    """Plain tokens in the form ``clean_code_sets`` takes."""
-    return F.transform(tokens, lambda t: F.struct(t.alias("code"), F.lit(False).alias("keep")))
+    return F.concat(*[at(level) for level in levels]) if len(levels) > 1 else at(levels[0])

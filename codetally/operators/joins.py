@@ -47,3 +47,15 @@ def compare_coder_rounds(
 ) -> DataFrame:
     """First-round human codes beside second-round ones, as if the first round were a model."""
     return join_on_id(earlier.withColumnRenamed(codes_col, earlier_col), later, id_col)
+
+
+def join_levels(left: DataFrame, right: DataFrame, id_col: str = "unique_id") -> DataFrame:
+    """Join two tables holding their code sets inside ``levels``, then give each level its own row.
+
+    Joining before the levels are laid out moves every record once, however many levels there are.
+    Both sides must list the same levels in the same order.
+    """
+    joined = join_on_id(left, right.withColumnRenamed("levels", "_levels"), id_col)
+    others = [c for c in joined.columns if c not in ("levels", "_levels")]
+    both = joined.select(*others, F.inline(F.arrays_zip(F.col("levels").alias("l"), F.col("_levels").alias("r"))))
+    return both.select(*others, "l.*", *[F.col(f"r.{name}") for name in both.schema["r"].dataType.fieldNames() if name != "digits"])

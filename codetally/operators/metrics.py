@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codetally.fixed_values import MATCH_METHODS
 from codetally.functions.codes import digits_label
-from codetally.functions.sets import code_set, codes_match, is_ambiguous, is_single
+from codetally.functions.sets import code_set, is_single, overlaps
 from codetally.functions.stats import f_score, ratio
 from codetally.operators.validation import require_columns
 
@@ -65,12 +65,26 @@ def _codability_metrics(total: Column, has_final: bool, prefix: str = "") -> dic
     }
 
 
-def _accuracy_counts(truth: Column, model: Column) -> dict[str, Column]:
-    counts = {f"matches_{m.lower()}": F.count_if(codes_match(truth, model, m)) for m in MATCH_METHODS}
-    counts["unambiguous_records"] = F.count_if(is_single(truth) & is_single(model))
-    counts["single_truth"] = F.count_if(is_single(truth))
-    counts["single_model"] = F.count_if(is_single(model))
-    return counts
+def _comparison(truth: Column, model: Column, prefix: str = "") -> list[Column]:
+    """What the accuracy counts need to know about a pair of sets, worked out once per row."""
+    return [
+        is_single(truth).alias(f"{prefix}single_truth"),
+        is_single(model).alias(f"{prefix}single_model"),
+        overlaps(truth, model).alias(f"{prefix}overlap"),
+    ]
+
+
+def _accuracy_counts(prefix: str = "") -> dict[str, Column]:
+    truth, model, overlap = (F.col(f"{prefix}{name}") for name in ("single_truth", "single_model", "overlap"))
+    return {
+        "matches_oo": F.count_if(truth & model & overlap),
+        "matches_om": F.count_if(truth & overlap),
+        "matches_mo": F.count_if(model & overlap),
+        "matches_mm": F.count_if(overlap),
+        "unambiguous_records": F.count_if(truth & model),
+        "single_truth": F.count_if(truth),
+        "single_model": F.count_if(model),
+    }
 
 
 def _accuracy_metrics(total: Column, prefix: str = "") -> dict[str, Column]:
@@ -117,10 +131,9 @@ def accuracy_metrics(
     df: DataFrame, model_col: str = "initial_codes", truth_col: str = "clerical_codes", by: list[str] | None = None
 ) -> DataFrame:
     """Match counts and shares, one-to-one through many-to-many."""
-    truth, model = (code_set(F.col(c), df.schema[c].dataType) for c in (truth_col, model_col))
-    sets = df.select(*(by or []), truth.alias("_truth"), model.alias("_model"))
-    counts = _accuracy_counts(F.col("_truth"), F.col("_model"))
-    counted = _aggregate(sets, by, {**counts, "_total": F.count(F.lit(1))})
+    sets = df.select(*(by or []), *[code_set(F.col(c), df.schema[c].dataType).alias(n) for n, c in (("t", truth_col), ("m", model_col))])
+    compared = sets.select(*(by or []), *_comparison(F.col("t"), F.col("m")))
+    counted = _aggregate(compared, by, {**_accuracy_counts(), "_total": F.count(F.lit(1))})
     return counted.select(*(by or []), *_named(_accuracy_metrics(F.col("_total"))))
 
 
@@ -130,10 +143,12 @@ def evaluation_metrics(
     initial_model_col: str = "initial_codes",
     final_model_col: str | None = "final_codes",
     by: list[str] | None = None,
+    prepared: bool = False,
 ) -> DataFrame:
     """All metrics of a joined table in one pass, as one nested row per group.
 
-    Code columns may be text, numbers or arrays. Without final codes the final metrics are null.
+    Code columns may be text, numbers or arrays; ``prepared`` says they already are the code sets made by
+    this library. Without final codes the final metrics are null.
     """
     by = by or []
     if final_model_col and final_model_col not in df.columns:
@@ -142,19 +157,22 @@ def evaluation_metrics(
     has_final = final_model_col is not None
     roles = {"truth": truth_col, "initial": initial_model_col, **({"final": final_model_col} if has_final else {})}
     require_columns(df, [*by, *roles.values()])
-    sets = df.select(*by, *[code_set(F.col(c), df.schema[c].dataType).alias(role) for role, c in roles.items()])
+    as_set = lambda c: F.col(c) if prepared else code_set(F.col(c), df.schema[c].dataType)
+    sets = df.select(*by, *[as_set(c).alias(role) for role, c in roles.items()])
     truth, initial = F.col("truth"), F.col("initial")
-    final_ambiguous = is_ambiguous(F.col("final")) if has_final else None
+    compared = sets.select(
+        *by, *_comparison(truth, initial, "ini_"), *(_comparison(truth, F.col("final"), "fin_") if has_final else [])
+    )
     counts = {"total": F.count(F.lit(1))}
-    counts |= _prefixed("amb_", _ambiguity_counts(is_ambiguous(initial), is_ambiguous(truth)))
-    counts |= _prefixed("cod_", _codability_counts(is_ambiguous(initial), final_ambiguous))
-    counts |= _prefixed("ini_", _accuracy_counts(truth, initial))
+    counts |= _prefixed("amb_", _ambiguity_counts(~F.col("ini_single_model"), ~F.col("ini_single_truth")))
+    counts |= _prefixed("cod_", _codability_counts(~F.col("ini_single_model"), ~F.col("fin_single_model") if has_final else None))
+    counts |= _prefixed("n_ini_", _accuracy_counts("ini_"))
     if has_final:
-        counts |= _prefixed("fin_", _accuracy_counts(truth, F.col("final")))
-    counted = _aggregate(sets, by, counts)
+        counts |= _prefixed("n_fin_", _accuracy_counts("fin_"))
+    counted = _aggregate(compared, by, counts)
     total = F.col("total")
-    initial_accuracy = F.struct(*_named(_accuracy_metrics(total, "ini_")))
-    final_accuracy = F.struct(*_named(_accuracy_metrics(total, "fin_" if has_final else "ini_")))
+    initial_accuracy = F.struct(*_named(_accuracy_metrics(total, "n_ini_")))
+    final_accuracy = F.struct(*_named(_accuracy_metrics(total, "n_fin_" if has_final else "n_ini_")))
     return counted.select(
         *by,
         F.struct(*_named(_ambiguity_metrics(total, "amb_"))).alias("ambiguity_metrics"),

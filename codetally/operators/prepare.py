@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,11 +12,13 @@ from pyspark.sql import types as T
 from codetally.config import ColumnConfig
 from codetally.functions.codes import clean_label, code_text, join_codes, parse_codes, text_flag
 from codetally.functions.sets import fill_empty
-from codetally.operators.hierarchy import Hierarchy, plain_entries
+from codetally.operators.hierarchy import Hierarchy, items_at
 from codetally.operators.joins import override_from_side
 from codetally.operators.validation import require_columns, validate_wide_table
 
 ID_COL = "unique_id"
+FIRST = "_first"
+CONFIDENT = "_confident"
 
 
 def keep_unambiguous(df: DataFrame, flag_col: str = "Unambiguous", required: bool = True) -> DataFrame:
@@ -60,6 +63,23 @@ def clerical_text(
     return override_from_side(text, side, id_col, clerical_col)
 
 
+def clerical_code_levels(
+    df: DataFrame,
+    hierarchy: Hierarchy,
+    levels: list[int],
+    four_plus: DataFrame | None = None,
+    clerical_col: str = "sic_ind_occ",
+    out_col: str = "clerical_codes",
+    id_col: str = ID_COL,
+    unique_ids: bool = False,
+) -> DataFrame:
+    """``(id, levels)``: the valid human codes of each record at every level, one row per record."""
+    text = clerical_text(df, four_plus, clerical_col, id_col)
+    items = items_at(levels, parse_codes(F.col(clerical_col)), {out_col: F.lit(True)})
+    row_cols = [id_col] if unique_ids else [id_col, clerical_col]
+    return hierarchy.clean_code_sets(text, row_cols, items, [out_col], levels, unique_ids).select(id_col, "levels")
+
+
 def prepare_clerical_codes(
     df: DataFrame,
     hierarchy: Hierarchy,
@@ -75,32 +95,60 @@ def prepare_clerical_codes(
     A list of digit levels gives one row per record and level, with a ``digits`` column.
     ``unique_ids`` promises that ids do not repeat, which saves carrying the raw text along.
     """
-    text = clerical_text(df, four_plus, clerical_col, id_col)
-    tokens = {out_col: plain_entries(parse_codes(F.col(clerical_col)))}
-    row_cols = [id_col] if unique_ids else [id_col, clerical_col]
-    return _clean_at(text, hierarchy, row_cols, tokens, digits, unique_ids, id_col).select(
-        id_col, *_level(digits), out_col
-    )
+    levels = digits if isinstance(digits, list) else [digits]
+    cleaned = clerical_code_levels(df, hierarchy, levels, four_plus, clerical_col, out_col, id_col, unique_ids)
+    return rows_per_level(cleaned, digits)
+
+
+def rows_per_level(cleaned: DataFrame, digits: int | list[int]) -> DataFrame:
+    """The sets inside ``levels`` as columns; a list of levels gives a row for each."""
+    others = [c for c in cleaned.columns if c != "levels"]
+    rows = cleaned.select(*others, F.inline("levels"))
+    return rows if isinstance(digits, list) else rows.drop("digits")
+
 
+@dataclass(frozen=True)
+class Fallback:
+    """Where a model code set comes from when the first choice yields no valid code.
 
-def candidate_entries(
-    df: DataFrame, col: str, code_name: str = "code", score_name: str = "likelihood", threshold: float | Column = 0.0
+    ``column`` holds alternatives as text or as an array of structs, ``threshold`` is the confidence used
+    to prune them (None: never prune), ``first`` keeps only that many from the front of the array.
+    """
+
+    column: str | None
+    threshold: float | None = 0.0
+    first: int | None = None
+
+
+def _fallback_items(
+    df: DataFrame, col: str, level: int, mine: dict[str, Fallback], flags: list[str], code_name: str, score_name: str
 ) -> Column:
-    """A column of alternative codes (text, or array of structs) as lookup entries.
+    """The entries of one column of alternatives, each flagged with the sets it belongs to.
 
-    Text has no scores, so pruning never applies to it. A missing score counts as 0 and a NaN score
-    never reaches the threshold.
+    Text has no scores, so pruning never applies to it. A missing score counts as 0 and a NaN score never
+    reaches the threshold.
     """
     dtype = df.schema[col].dataType
     if not isinstance(dtype, T.ArrayType):
-        return plain_entries(parse_codes(code_text(F.col(col), dtype)))
+        return items_at([level], parse_codes(code_text(F.col(col), dtype)), {name: F.lit(name in mine) for name in flags})
     fields = dtype.elementType.fieldNames() if isinstance(dtype.elementType, T.StructType) else []
     if code_name not in fields:
         raise ValueError(f"'{col}' must hold structs with a field '{code_name}'")
 
-    def entry(item: Column) -> Column:
+    def entry(item: Column, rank: Column) -> Column:
         score = F.coalesce(item[score_name].cast("double"), F.lit(0.0)) if score_name in fields else F.lit(0.0)
-        return F.struct(item[code_name].cast("string").alias("code"), (~F.isnan(score) & (score >= threshold)).alias("keep"))
+
+        def belongs(name: str) -> Column:
+            out = name.removesuffix(CONFIDENT)
+            if out not in mine:
+                return F.lit(False)
+            listed = F.lit(True) if mine[out].first is None else rank < mine[out].first
+            if not name.endswith(CONFIDENT):
+                return listed
+            return listed & ~F.isnan(score) & (score >= mine[out].threshold)
+
+        code = item[code_name].cast("string").alias("code")
+        return F.struct(F.lit(level).alias("level"), code, *[belongs(name).alias(name) for name in flags])
 
     return F.transform(F.coalesce(F.col(col), F.array().cast(dtype)), entry)
 
@@ -110,49 +158,57 @@ def pruned(all_codes: Column, confident_codes: Column) -> Column:
     return F.when(F.size(confident_codes) == 1, confident_codes).otherwise(all_codes)
 
 
-def prepare_model_code_sets(
+def _prunes(fallbacks: dict[int, Fallback]) -> bool:
+    return any(f.threshold is not None for f in fallbacks.values())
+
+
+def model_code_levels(
     df: DataFrame,
     hierarchy: Hierarchy,
-    alternatives: dict[str, tuple[str | None, float]],
+    outputs: dict[str, Fallback | dict[int, Fallback]],
+    levels: list[int],
     codes_col: str | None = "initial_code",
     alt_codes_name: str = "code",
     score_name: str = "likelihood",
-    digits: int | list[int] = 5,
     keep: list[str] | None = None,
-    level_col: str | None = None,
     id_col: str = ID_COL,
     unique_ids: bool = False,
 ) -> DataFrame:
-    """Several model code sets of the same records in one pass over the model table.
+    """``(id, keep, levels)``: several model code sets of each record at every level, in one pass.
 
-    ``alternatives`` maps each output column to the column it falls back on when the first choice in
-    ``codes_col`` yields no valid code, and the confidence threshold used to prune that fallback.
-    ``keep`` columns are carried along and, like the id, tell records apart.
+    Every output is the first choice in ``codes_col`` or, where that yields no valid code, its fallback,
+    which may differ by level. ``keep`` columns are carried along and, like the id, tell records apart.
     """
     keep = keep or []
     require_columns(df, [id_col, *keep])
     codes_col = codes_col if codes_col in df.columns else None
-    found = {out: (col, t) for out, (col, t) in alternatives.items() if col in df.columns}
+    per_level = {out: f if isinstance(f, dict) else dict.fromkeys(levels, f) for out, f in outputs.items()}
+    found = {out: f for out, f in per_level.items() if all(f[level].column in df.columns for level in levels)}
     if codes_col is None and not found:
         raise ValueError("At least one of the code columns must be present.")
-    sets = {}
+    flags = [*([FIRST] if codes_col else []), *found, *[out + CONFIDENT for out, f in found.items() if _prunes(f)]]
+    items = []
     if codes_col:
-        sets["_first"] = plain_entries(parse_codes(code_text(F.col(codes_col), df.schema[codes_col].dataType)))
-    for out, (col, threshold) in found.items():
-        sets[f"_alt_{out}"] = candidate_entries(df, col, alt_codes_name, score_name, threshold)
-    content = [] if unique_ids else list(dict.fromkeys([*([codes_col] if codes_col else []), *[c for c, _ in found.values()]]))
+        tokens = parse_codes(code_text(F.col(codes_col), df.schema[codes_col].dataType))
+        items.append(items_at(levels, tokens, {name: F.lit(name == FIRST) for name in flags}))
+    for level in levels:
+        for source in dict.fromkeys(f[level].column for f in found.values()):
+            mine = {out: f[level] for out, f in found.items() if f[level].column == source}
+            items.append(_fallback_items(df, source, level, mine, flags, alt_codes_name, score_name))
+    content = [] if unique_ids else [*([codes_col] if codes_col else []), *[f[x].column for f in found.values() for x in levels]]
     row_cols = list(dict.fromkeys([id_col, *keep, *content]))
-    cleaned = _clean_at(df, hierarchy, row_cols, sets, digits, unique_ids, id_col, level_col)
+    cleaned = hierarchy.clean_code_sets(df, row_cols, F.concat(*items), flags, levels, unique_ids)
 
-    def outcome(out: str) -> Column:
+    def outcome(sets: Column, out: str) -> Column:
         if out not in found:
-            return F.col("_first")
-        fallback = pruned(F.col(f"_alt_{out}"), F.col(f"_alt_{out}_kept"))
-        return fill_empty(F.col("_first"), fallback) if codes_col else fallback
+            return sets[FIRST]
+        fallback = pruned(sets[out], sets[out + CONFIDENT]) if _prunes(found[out]) else sets[out]
+        return fill_empty(sets[FIRST], fallback) if codes_col else fallback
 
-    return cleaned.select(
-        id_col, *keep, *([] if level_col else _level(digits)), *[outcome(out).alias(out) for out in alternatives]
+    decided = F.transform(
+        "levels", lambda sets: F.struct(sets["digits"].alias("digits"), *[outcome(sets, out).alias(out) for out in outputs])
     )
+    return cleaned.select(id_col, *keep, decided.alias("levels"))
 
 
 def prepare_model_codes(
@@ -169,37 +225,15 @@ def prepare_model_codes(
     unique_ids: bool = False,
 ) -> DataFrame:
     """``(id, out_col)``: the model's first choice, or its pruned alternatives where that is no valid code."""
-    return prepare_model_code_sets(
-        df, hierarchy, {out_col: (alt_codes_col, threshold)}, codes_col, alt_codes_name,
-        digits=digits, keep=keep, id_col=id_col, unique_ids=unique_ids,
+    levels = digits if isinstance(digits, list) else [digits]
+    outputs = {out_col: Fallback(alt_codes_col, threshold)}
+    cleaned = model_code_levels(
+        df, hierarchy, outputs, levels, codes_col, alt_codes_name, keep=keep, id_col=id_col, unique_ids=unique_ids
     )
+    return rows_per_level(cleaned, digits)
 
 
 def stack_methods(tables: dict[str, DataFrame], name_col: str = "method") -> DataFrame:
     """Tables of several models under each other, told apart by ``name_col``."""
     named = [df.withColumn(name_col, F.lit(name)) for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
-
-
-def _level(digits: int | list[int]) -> list[str]:
-    return ["digits"] if isinstance(digits, list) else []
-
-
-def _clean_at(
-    df: DataFrame,
-    hierarchy: Hierarchy,
-    row_cols: list[str],
-    sets: dict[str, Column],
-    digits: int | list[int],
-    unique_ids: bool,
-    id_col: str,
-    level_col: str | None = None,
-) -> DataFrame:
-    if level_col:
-        return hierarchy.clean_code_sets(df, row_cols, sets, level_col=level_col, unique_rows=unique_ids)
-    if isinstance(digits, int):
-        return hierarchy.clean_code_sets(df, row_cols, sets, digits, unique_rows=unique_ids)
-    levelled = df.withColumn("digits", F.explode(F.array(*[F.lit(d) for d in digits])))
-    return hierarchy.clean_code_sets(
-        levelled, [row_cols[0], "digits", *row_cols[1:]], sets, level_col="digits", unique_rows=unique_ids, levels=digits
-    )

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from codetally.functions.codes import digits_label
 from codetally.operators.hierarchy import Hierarchy
-from codetally.operators.joins import attach_final_codes, join_on_id
+from codetally.operators.joins import attach_final_codes, join_levels
 from codetally.operators.metrics import evaluation_metrics
 from codetally.operators.pairs import add_wald_interval, melt_metrics
-from codetally.operators.prepare import prepare_clerical_codes, prepare_model_code_sets, prepare_model_codes, stack_methods
+from codetally.operators.prepare import (
+    Fallback,
+    clerical_code_levels,
+    model_code_levels,
+    prepare_model_codes,
+    stack_methods,
+)
 from codetally.sources.readers import read_companion, read_model_output, read_text_csv
 from codetally.sources.writers import write_metrics
 
@@ -28,23 +34,22 @@ def joined_codes(
 
     With ``unique_ids`` each table is shuffled by id exactly once: cleaning groups by the id the join needs.
     """
-    truth = prepare_clerical_codes(clerical, hierarchy, four_plus, digits=digits, unique_ids=unique_ids)
-    alternatives = {"initial_codes": ("alt_sic_candidates", threshold)}
-    if "final_sic" not in model.columns:
-        codes = prepare_model_code_sets(model, hierarchy, alternatives, digits=digits, unique_ids=unique_ids)
-        return join_on_id(codes, truth)
-    if unique_ids:
-        both = {**alternatives, "final_codes": ("final_sic", 0.0)}
-        codes = prepare_model_code_sets(model, hierarchy, both, digits=digits, unique_ids=True)
-        return join_on_id(codes, truth)
-    codes = prepare_model_code_sets(model, hierarchy, alternatives, digits=digits)
+    truth = clerical_code_levels(clerical, hierarchy, [digits], four_plus, unique_ids=unique_ids)
+    outputs = {"initial_codes": Fallback("alt_sic_candidates", threshold)}
+    has_final = "final_sic" in model.columns
+    if has_final and unique_ids:
+        outputs["final_codes"] = Fallback("final_sic")
+    codes = model_code_levels(model, hierarchy, outputs, [digits], unique_ids=unique_ids)
+    joined = join_levels(codes, truth).drop("digits")
+    if not has_final or unique_ids:
+        return joined
     final = prepare_model_codes(model, hierarchy, alt_codes_col="final_sic", out_col="final_codes", digits=digits)
-    return attach_final_codes(join_on_id(codes, truth), final, "final_codes")
+    return attach_final_codes(joined, final, "final_codes")
 
 
 def evaluate(model: DataFrame, clerical: DataFrame, hierarchy: Hierarchy, **options) -> DataFrame:
     """All metrics of one model at one digit level, as one nested row."""
-    return evaluation_metrics(joined_codes(model, clerical, hierarchy, **options))
+    return evaluation_metrics(joined_codes(model, clerical, hierarchy, **options), prepared=True)
 
 
 def evaluate_files(
@@ -85,22 +90,21 @@ def sweep_codes(
 
     A first round of human coding can take part as if it were a model, named ``coder_round_1``.
     """
-    truth = prepare_clerical_codes(clerical, hierarchy, four_plus, digits=levels, unique_ids=unique_ids)
-    stacked = stack_methods(models)
-    codes = prepare_model_codes(
-        stacked, hierarchy, out_col="initial_codes", threshold=threshold, digits=levels, keep=["method"], unique_ids=unique_ids
-    )
+    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids)
+    outputs = {"initial_codes": Fallback("alt_sic_candidates", threshold)}
+    codes = model_code_levels(stack_methods(models), hierarchy, outputs, levels, keep=["method"], unique_ids=unique_ids)
     if first_round is not None:
-        earlier = prepare_clerical_codes(
-            first_round, hierarchy, first_round_four_plus, out_col="initial_codes", digits=levels, unique_ids=unique_ids
+        earlier = clerical_code_levels(
+            first_round, hierarchy, levels, first_round_four_plus, out_col="initial_codes", unique_ids=unique_ids
         )
         codes = codes.unionByName(earlier.withColumn("method", F.lit("coder_round_1")))
-    return join_on_id(codes, truth, ["unique_id", "digits"])
+    return join_levels(codes, truth)
 
 
 def sweep(models: dict[str, DataFrame], clerical: DataFrame, hierarchy: Hierarchy, levels: list[int], **options) -> DataFrame:
     """All metrics for every model and digit level, from one aggregation."""
-    return evaluation_metrics(sweep_codes(models, clerical, hierarchy, levels, **options), by=["digits", "method"])
+    codes = sweep_codes(models, clerical, hierarchy, levels, **options)
+    return evaluation_metrics(codes, by=["digits", "method"], prepared=True)
 
 
 def ambiguity_table(metrics: DataFrame, truth: DataFrame, n_records: DataFrame) -> DataFrame:

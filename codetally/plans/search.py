@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codetally.functions.codes import digits_label
-from codetally.functions.sets import shortlist
 from codetally.operators.hierarchy import Hierarchy
-from codetally.operators.joins import join_on_id
+from codetally.operators.joins import join_levels, join_on_id
 from codetally.operators.metrics import evaluation_metrics
-from codetally.operators.prepare import prepare_clerical_codes, prepare_model_code_sets, stack_methods
+from codetally.operators.prepare import (
+    Fallback,
+    clerical_code_levels,
+    model_code_levels,
+    rows_per_level,
+    stack_methods,
+)
 from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence, top_candidate, top_in_truth
 
 
-def shortlist_codes(
+def shortlist_code_levels(
     results: DataFrame,
     hierarchy: Hierarchy,
     levels: list[int],
@@ -23,23 +28,37 @@ def shortlist_codes(
     id_col: str = "unique_id",
     unique_ids: bool = False,
 ) -> DataFrame:
-    """Code sets of the first candidates, per record, method, digit level and shortlist length.
+    """Code sets of the first candidates per record and method: ``levels`` with a ``codes<i>`` per length.
 
+    Likelihoods are never negative, so a threshold of 0 would prune nothing and is not looked at.
     ``unique_ids`` promises that an id occurs once per method.
     """
-    levelled = results.withColumn("digits", F.explode(F.array(*[F.lit(d) for d in levels])))
-    ranked = levelled.withColumn("_all", distance_to_confidence(F.col(results_col), F.col("digits")))
-    lists = {f"_list{i}": shortlist(F.col("_all"), n) for i, n in enumerate(lengths)}
-    ranked = ranked.select(id_col, "method", "digits", *[c.alias(name) for name, c in lists.items()])
-    sets = prepare_model_code_sets(
-        ranked, hierarchy, {f"codes{i}": (name, 0.0) for i, name in enumerate(lists)}, codes_col=None,
-        keep=["digits", "method"], level_col="digits", digits=levels, id_col=id_col, unique_ids=unique_ids,
+    confidences = [
+        distance_to_confidence(F.col(results_col), F.lit(level)).alias(f"_candidates{level}") for level in levels
+    ]
+    ranked = results.select(id_col, "method", *confidences)
+    outputs = {f"codes{i}": {d: Fallback(f"_candidates{d}", threshold=None, first=n) for d in levels} for i, n in enumerate(lengths)}
+    return model_code_levels(
+        ranked, hierarchy, outputs, levels, codes_col=None, keep=["method"], id_col=id_col, unique_ids=unique_ids
     )
+
+
+def rows_per_length(df: DataFrame, lengths: tuple[int | None, ...]) -> DataFrame:
+    """One row per shortlist length; no length is shown as ``All``."""
     named = F.array(*[
         F.struct(F.lit("All" if n is None else str(n)).alias("shortlist_size"), F.col(f"codes{i}").alias("initial_codes"))
         for i, n in enumerate(lengths)
     ])
-    return sets.select(id_col, "digits", "method", F.inline(named))
+    others = [c for c in df.columns if c not in {f"codes{i}" for i in range(len(lengths))}]
+    return df.select(*others, F.inline(named))
+
+
+def shortlist_codes(
+    results: DataFrame, hierarchy: Hierarchy, levels: list[int], lengths: tuple[int | None, ...] = (5, 10, None), **options
+) -> DataFrame:
+    """Code sets of the first candidates, per record, method, digit level and shortlist length."""
+    cleaned = shortlist_code_levels(results, hierarchy, levels, lengths, **options)
+    return rows_per_length(rows_per_level(cleaned, levels), lengths)
 
 
 def shortlist_sweep(
@@ -52,10 +71,10 @@ def shortlist_sweep(
     unique_ids: bool = False,
 ) -> DataFrame:
     """All metrics for every search, digit level and shortlist length, from one aggregation."""
-    truth = prepare_clerical_codes(clerical, hierarchy, four_plus, digits=levels, unique_ids=unique_ids)
-    codes = shortlist_codes(stack_methods(searches), hierarchy, levels, lengths, unique_ids=unique_ids)
-    joined = join_on_id(codes, truth, ["unique_id", "digits"])
-    return evaluation_metrics(joined, by=["digits", "method", "shortlist_size"])
+    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids)
+    codes = shortlist_code_levels(stack_methods(searches), hierarchy, levels, lengths, unique_ids=unique_ids)
+    joined = rows_per_length(join_levels(codes, truth), lengths)
+    return evaluation_metrics(joined, by=["digits", "method", "shortlist_size"], prepared=True)
 
 
 def nearest_candidates(
@@ -68,12 +87,14 @@ def nearest_candidates(
     unique_ids: bool = False,
 ) -> DataFrame:
     """Nearest candidate of each record beside its human codes, per method and digit level."""
-    truth = prepare_clerical_codes(clerical, hierarchy, four_plus, digits=levels, unique_ids=unique_ids)
-    stacked = stack_methods(searches).select("unique_id", "method", results_col)
-    levelled = stacked.withColumn("digits", F.explode(F.array(*[F.lit(d) for d in levels])))
+    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids)
+    stacked = stack_methods(searches).select(
+        "unique_id", "method", F.slice(results_col, 1, 1).alias(results_col)
+    )
+    joined = join_on_id(stacked, truth)
+    levelled = joined.select("unique_id", "method", results_col, F.inline("levels"))
     nearest = top_candidate(levelled, hierarchy, results_col, levels, "digits").drop(results_col)
-    joined = join_on_id(nearest, truth, ["unique_id", "digits"])
-    return joined.withColumn("top_in_truth", top_in_truth(F.col("top_candidate"), F.col("clerical_codes")))
+    return nearest.withColumn("top_in_truth", top_in_truth(F.col("top_candidate"), F.col("clerical_codes")))
 
 
 def nearest_candidate_curves(
