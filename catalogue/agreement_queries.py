@@ -20,6 +20,8 @@ from codetally.operators.joins import attach_final_codes, compare_coder_rounds
 from codetally.plans.evaluation import accuracy_table, ambiguity_table, evaluate, joined_codes, sweep
 
 STRINGS = T.ArrayType(T.StringType())
+SINGLE = "len(t)=1 and len(m)=1"
+FEW = "len(t)<3 and len(m)<3 and not (len(t)=1 and len(m)=1)"
 
 
 def text_of(codes: str, name: str) -> str:
@@ -274,7 +276,7 @@ def melt(spark, sf_dir):
     return melt_labels(views.coded(spark, sf_dir), "unique_id", ["m1", "m2", "m3"])
 
 
-EXPLODED = f"""select unique_id, unnest(case when len(t)=0 then [null] else t end) as clerical_codes, m from ({sql.joined('2')})"""
+EXPLODED = f"""select unique_id, unnest(case when len(t)=0 then [null] else t end) as clerical_codes, m from ({sql.joined('2')}) where {FEW}"""
 
 
 @register(
@@ -282,7 +284,7 @@ EXPLODED = f"""select unique_id, unnest(case when len(t)=0 then [null] else t en
     f"select unique_id, clerical_codes, unnest(case when len(m)=0 then [null] else m end) as initial_codes from ({EXPLODED})",
 )
 def explode_both_sets(spark, sf_dir):
-    return P.explode_both(pair(spark, sf_dir, digits=2)).select("unique_id", "clerical_codes", "initial_codes")
+    return P.explode_both(P.ambiguity_subset(pair(spark, sf_dir, digits=2), "few")).select("unique_id", "clerical_codes", "initial_codes")
 
 
 def pairs_sql(digits: int, where: str = "true", threshold: str = "0.0::double") -> str:
@@ -295,10 +297,10 @@ LETTERS = [chr(65 + i) for i in range(21)]
 @register(
     "spread_section_matrix",
     "select clerical_codes, " + ", ".join(f"cast(count(*) filter (where initial_codes='{x}') as bigint) as \"{x}\"" for x in LETTERS)
-    + f" from ({pairs_sql(0)}) group by 1",
+    + f" from ({pairs_sql(0, SINGLE)}) group by 1",
 )
 def spread_section_matrix(spark, sf_dir):
-    counts = P.pair_counts(pair(spark, sf_dir, digits=0))
+    counts = P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir, digits=0), "single"))
     return spread_matrix(counts, "clerical_codes", "initial_codes", LETTERS)
 
 
@@ -542,8 +544,6 @@ def melt_metrics(spark, sf_dir):
 
 # --- code pairs and distributions ------------------------------------------------------------------
 
-SINGLE = "len(t)=1 and len(m)=1"
-FEW = "len(t)<3 and len(m)<3 and not (len(t)=1 and len(m)=1)"
 
 
 @register(
@@ -567,7 +567,9 @@ register("section_confusion_single", counted(pairs_sql(0, SINGLE)))(
 register("section_confusion_few", counted(pairs_sql(0, FEW)))(
     lambda spark, sf_dir: P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir, digits=0), "few"))
 )
-register("code_pair_counts", counted(pairs_sql(3)))(lambda spark, sf_dir: P.pair_counts(pair(spark, sf_dir)))
+register("code_pair_counts", counted(pairs_sql(3, FEW)))(
+    lambda spark, sf_dir: P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir), "few"))
+)
 
 
 def frequent_sql(pairs: str) -> str:
@@ -575,9 +577,9 @@ def frequent_sql(pairs: str) -> str:
     return f"select * from ({off}) where count>(select min(count) from (select count from ({off}) order by count desc limit 11))"
 
 
-@register("frequent_confusions", frequent_sql(pairs_sql(2)))
+@register("frequent_confusions", frequent_sql(pairs_sql(2, SINGLE)))
 def frequent_confusions(spark, sf_dir):
-    return P.frequent_confusions(P.pair_counts(pair(spark, sf_dir, digits=2)))
+    return P.frequent_confusions(P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir, digits=2), "single")))
 
 
 @register(

@@ -45,6 +45,12 @@ def take_window(spark, sf_dir):
     return selection.take_window(orders, ["o_orderkey"], skip=100, take=175)
 
 
+@register("skip_rows", "select o_orderkey, o_custkey from (select * from orders order by o_orderkey offset 1000)")
+def skip_rows(spark, sf_dir):
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return selection.take_window(orders, ["o_orderkey"], skip=1000)
+
+
 @register("threshold_filter", "select unique_id, max_score from aligned where max_score>=5e-1")
 def threshold_filter(spark, sf_dir):
     return aligned(spark, sf_dir).df.filter(F.col("max_score") >= 0.5).select("unique_id", "max_score")

@@ -35,24 +35,22 @@ def code_text(col: Column, dtype: T.DataType) -> Column:
 
 
 def pad_digits(code: Column, width: int = CODE_LENGTH) -> Column:
-    """Zero-pad on the left without ever shortening; zeros go after a minus sign."""
-    unsigned = F.ltrim(code, F.lit("-"))
-    padded = F.lpad(unsigned, width - 1, "0")
-    return (
-        F.when(F.length(code) >= width, code)
-        .when(code.startswith("-"), F.concat(F.lit("-"), padded))
-        .otherwise(F.lpad(code, width, "0"))
-    )
+    """Zero-pad on the left without ever shortening."""
+    return F.lpad(code, F.greatest(F.length(code), F.lit(width)), F.lit("0"))
+
+
+def _padded_number(text: Column, as_it_was: Column) -> Column:
+    """Numeric text as a whole number of at least five characters, zeros after the sign."""
+    whole = F.trim(text).try_cast("double").try_cast("bigint")
+    return F.when(whole.isNotNull(), F.format_string(f"%0{CODE_LENGTH}d", whole)).otherwise(as_it_was)
 
 
 def pad_numeric_label(col: Column) -> Column:
     """Numeric-looking labels become whole numbers padded to five digits; all else stays."""
-    special = col.isin(FOUR_OR_MORE, NOT_CODABLE)
-    whole = F.when(col.rlike(_NUMBER), F.trim(col).try_cast("double").try_cast("bigint"))
     return (
-        F.when(special, col)
-        .when(col.rlike("^[0-9]{1,5}$"), F.lpad(col, CODE_LENGTH, "0"))
-        .otherwise(F.coalesce(pad_digits(whole.cast("string")), col))
+        F.when(col.rlike("^[0-9]{1,5}$"), F.lpad(col, CODE_LENGTH, "0"))
+        .when(col.rlike(_NUMBER) & (col != NOT_CODABLE), _padded_number(col, col))
+        .otherwise(col)
     )
 
 
@@ -62,7 +60,9 @@ def null_missing_label(col: Column) -> Column:
 
 
 def clean_label(col: Column) -> Column:
-    return pad_numeric_label(null_missing_label(col.cast("string")))
+    """Both of the above. No text that spells a missing value looks like a number."""
+    text = col.cast("string")
+    return F.when(~text.isin(MISSING_TOKENS), pad_numeric_label(text))
 
 
 def parse_codes(text: Column, pattern: str = CODE_PATTERN, width: int = CODE_LENGTH) -> Column:

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from codetally.functions.sets import empty_set
 
 
-def join_on_id(left: DataFrame, right: DataFrame, on: str | list[str] = "unique_id", how: str = "inner") -> DataFrame:
-    """Equi-join that matches nulls and keeps one copy of the key columns.
+def join_on_id(
+    left: DataFrame, right: DataFrame, on: str | list[str] = "unique_id", how: str = "inner", nulls_match: bool = True
+) -> DataFrame:
+    """Equi-join on the id. No side is forced to be broadcast: the planner decides by size, and splits
+    skewed keys at run time.
 
-    No side is forced to be broadcast: the planner decides by size, and splits skewed keys at run time.
+    Where ids are known not to be null, ``nulls_match=False`` lets the join use the partitioning an
+    aggregation by the same id has already made.
     """
     on = [on] if isinstance(on, str) else on
+    if not nulls_match:
+        return left.join(right, on, how)
     renamed = right.withColumnsRenamed({name: f"_r_{name}" for name in on})
     condition = F.lit(True)
     for name in on:
@@ -49,13 +55,13 @@ def compare_coder_rounds(
     return join_on_id(earlier.withColumnRenamed(codes_col, earlier_col), later, id_col)
 
 
-def join_levels(left: DataFrame, right: DataFrame, id_col: str = "unique_id") -> DataFrame:
+def join_levels(left: DataFrame, right: DataFrame, id_col: str = "unique_id", nulls_match: bool = True) -> DataFrame:
     """Join two tables holding their code sets inside ``levels``, then give each level its own row.
 
     Joining before the levels are laid out moves every record once, however many levels there are.
     Both sides must list the same levels in the same order.
     """
-    joined = join_on_id(left, right.withColumnRenamed("levels", "_levels"), id_col)
+    joined = join_on_id(left, right.withColumnRenamed("levels", "_levels"), id_col, nulls_match=nulls_match)
     others = [c for c in joined.columns if c not in ("levels", "_levels")]
     both = joined.select(*others, F.inline(F.arrays_zip(F.col("levels").alias("l"), F.col("_levels").alias("r"))))
     return both.select(*others, "l.*", *[F.col(f"r.{name}") for name in both.schema["r"].dataType.fieldNames() if name != "digits"])

@@ -12,7 +12,10 @@ HUMAN, MODEL = "clerical_codes", "initial_codes"
 
 
 def explode_both(df: DataFrame, left: str = HUMAN, right: str = MODEL) -> DataFrame:
-    """Every combination of a record's human and model codes; an empty set gives a null."""
+    """Every combination of a record's human and model codes; an empty set gives a null.
+
+    Meant for one of the ambiguity subsets, where a record has at most four combinations.
+    """
     once = df.withColumn(left, F.explode_outer(left))
     return once.withColumn(right, F.explode_outer(right))
 
@@ -26,7 +29,7 @@ def ambiguity_subset(df: DataFrame, subset: str, left: str = HUMAN, right: str =
 
 
 def pair_counts(df: DataFrame, left: str = HUMAN, right: str = MODEL) -> DataFrame:
-    """How often each pair of codes occurs. Records with an empty side have no pairs."""
+    """How often each pair of codes occurs in an ambiguity subset. Records with an empty side have no pairs."""
     pairs = df.select(F.explode(left).alias(left), right).select(left, F.explode(right).alias(right))
     return pairs.groupBy(left, right).count()
 

@@ -93,7 +93,7 @@ def prepare_clerical_codes(
     """``(id, out_col)``: the valid codes the human coders gave, one row per record.
 
     A list of digit levels gives one row per record and level, with a ``digits`` column.
-    ``unique_ids`` promises that ids do not repeat, which saves carrying the raw text along.
+    ``unique_ids`` promises that ids are neither repeated nor null, which saves carrying the raw text along.
     """
     levels = digits if isinstance(digits, list) else [digits]
     cleaned = clerical_code_levels(df, hierarchy, levels, four_plus, clerical_col, out_col, id_col, unique_ids)

@@ -17,9 +17,17 @@ RESPONSE_SCHEMA = "results array<struct<classified string, followup string, code
 
 
 def take_window(df: DataFrame, order_cols: list[str], skip: int = 0, take: int | None = None) -> DataFrame:
-    """Skip ``skip`` rows and take ``take`` rows of the table in a stated order."""
-    ordered = df.orderBy(*order_cols).offset(skip)
-    return ordered if take is None else ordered.limit(take)
+    """Skip ``skip`` rows and take ``take`` rows, or all others, in the order of columns that tell rows apart.
+
+    Without ``take`` the table is not sorted: rows are kept by comparing them with the last skipped one.
+    """
+    if take is not None:
+        return df.orderBy(*order_cols).offset(skip).limit(take)
+    if skip <= 0:
+        return df
+    skipped = df.select(*order_cols).orderBy(*order_cols).limit(skip)
+    last = skipped.agg(F.max(F.struct(*order_cols))).scalar()
+    return df.filter(F.struct(*order_cols) > last)
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFrame:

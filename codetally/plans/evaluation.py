@@ -32,7 +32,8 @@ def joined_codes(
 ) -> DataFrame:
     """Human, initial and (where the model table has ``final_sic``) final code sets side by side.
 
-    With ``unique_ids`` each table is shuffled by id exactly once: cleaning groups by the id the join needs.
+    ``unique_ids`` promises that ids are neither repeated nor null. Each table is then shuffled by id exactly
+    once: cleaning groups by the id the join needs.
     """
     truth = clerical_code_levels(clerical, hierarchy, [digits], four_plus, unique_ids=unique_ids)
     outputs = {"initial_codes": Fallback("alt_sic_candidates", threshold)}
@@ -40,7 +41,7 @@ def joined_codes(
     if has_final and unique_ids:
         outputs["final_codes"] = Fallback("final_sic")
     codes = model_code_levels(model, hierarchy, outputs, [digits], unique_ids=unique_ids)
-    joined = join_levels(codes, truth).drop("digits")
+    joined = join_levels(codes, truth, nulls_match=not unique_ids).drop("digits")
     if not has_final or unique_ids:
         return joined
     final = prepare_model_codes(model, hierarchy, alt_codes_col="final_sic", out_col="final_codes", digits=digits)
@@ -98,7 +99,7 @@ def sweep_codes(
             first_round, hierarchy, levels, first_round_four_plus, out_col="initial_codes", unique_ids=unique_ids
         )
         codes = codes.unionByName(earlier.withColumn("method", F.lit("coder_round_1")))
-    return join_levels(codes, truth)
+    return join_levels(codes, truth, nulls_match=not unique_ids)
 
 
 def sweep(models: dict[str, DataFrame], clerical: DataFrame, hierarchy: Hierarchy, levels: list[int], **options) -> DataFrame:

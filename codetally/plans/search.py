@@ -31,7 +31,7 @@ def shortlist_code_levels(
     """Code sets of the first candidates per record and method: ``levels`` with a ``codes<i>`` per length.
 
     Likelihoods are never negative, so a threshold of 0 would prune nothing and is not looked at.
-    ``unique_ids`` promises that an id occurs once per method.
+    ``unique_ids`` promises that ids are not null and occur once per method.
     """
     confidences = [
         distance_to_confidence(F.col(results_col), F.lit(level)).alias(f"_candidates{level}") for level in levels
@@ -73,7 +73,7 @@ def shortlist_sweep(
     """All metrics for every search, digit level and shortlist length, from one aggregation."""
     truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids)
     codes = shortlist_code_levels(stack_methods(searches), hierarchy, levels, lengths, unique_ids=unique_ids)
-    joined = rows_per_length(join_levels(codes, truth), lengths)
+    joined = rows_per_length(join_levels(codes, truth, nulls_match=not unique_ids), lengths)
     return evaluation_metrics(joined, by=["digits", "method", "shortlist_size"], prepared=True)
 
 
@@ -91,7 +91,7 @@ def nearest_candidates(
     stacked = stack_methods(searches).select(
         "unique_id", "method", F.slice(results_col, 1, 1).alias(results_col)
     )
-    joined = join_on_id(stacked, truth)
+    joined = join_on_id(stacked, truth, nulls_match=not unique_ids)
     levelled = joined.select("unique_id", "method", results_col, F.inline("levels"))
     nearest = top_candidate(levelled, hierarchy, results_col, levels, "digits").drop(results_col)
     return nearest.withColumn("top_in_truth", top_in_truth(F.col("top_candidate"), F.col("clerical_codes")))

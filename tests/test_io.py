@@ -104,6 +104,8 @@ def test_requests_and_responses(spark):
 def test_windows_and_samples(spark):
     df = spark.range(100).repartition(4)
     assert [r.id for r in selection.take_window(df, ["id"], 90, 5).collect()] == [90, 91, 92, 93, 94]
+    assert {r.id for r in selection.take_window(df, ["id"], 97).collect()} == {97, 98, 99}
+    assert selection.take_window(df, ["id"], 200).count() == 0
     once, again = (selection.seeded_sample(df.repartition(n), "id", 20, 1) for n in (2, 7))
     assert {r.id for r in once.collect()} == {r.id for r in again.collect()}
     assert once.count() == 20 and selection.seeded_sample(df, "id", 500).count() == 100
