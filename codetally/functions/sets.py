@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from codetally.fixed_values import INVALID_TOKENS, MATCH_METHODS
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row rather than at each place ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def empty_set() -> Column:
     return F.array().cast("array<string>")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import code_stem
-from codetally.functions.sets import empty_set
+from codetally.functions.sets import empty_set, once
 
 # A level of at most this many digits has at most 10 + 100 + ... + 100,000 prefixes, whatever the
 # input, so its lookup table is safe to broadcast. Deeper levels are left to the planner.
@@ -121,34 +121,36 @@ class Hierarchy:
             {"_level": F.col("_item.level"), "_code": F.col("_item.code")}
         )
         found = self.find(exploded, "_code", levels, "_level")
-        meant = F.struct(F.col("codes").alias("_valid"), *[F.col(f"_item.{name}").alias(name) for name in sets])
-        aggregates = [
-            F.collect_list(F.when((F.col("_level") == level) & F.col("codes").isNotNull(), meant)).alias(f"_level{level}")
-            for level in levels
-        ]
+        meant = F.struct("_level", F.col("codes").alias("_valid"), *[F.col(f"_item.{name}").alias(name) for name in sets])
+        aggregates = [F.collect_list(F.when(F.col("codes").isNotNull(), meant)).alias("_meant")]
         if not unique_rows:
             aggregates.append(F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies"))
         grouped = found.groupBy(*row_cols, *([] if unique_rows else ["_split"])).agg(*aggregates)
         if not unique_rows:
             grouped = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
-        by_level = F.array(*[
-            F.struct(F.lit(level).alias("digits"), *[self._union(f"_level{level}", name).alias(name) for name in sets])
-            for level in levels
-        ])
-        return grouped.select(*row_cols, by_level.alias("levels"))
 
-    @staticmethod
-    def _union(entries: str, name: str) -> Column:
-        """All codes of the entries belonging to one set."""
-        mine = F.filter(entries, lambda entry: entry[name])
-        return F.sort_array(F.array_distinct(F.flatten(F.transform(mine, lambda entry: entry["_valid"]))))
+        def at(level: Column) -> Column:
+            mine = F.filter("_meant", lambda entry: entry["_level"] == level)
+            return once(mine, lambda own: F.struct(level.alias("digits"), *[_union(own, name).alias(name) for name in sets]))
+
+        return grouped.select(*row_cols, F.transform(level_array(levels), at).alias("levels"))
+
+
+def _union(entries: Column, name: str) -> Column:
+    """All codes of the entries belonging to one set."""
+    mine = F.filter(entries, lambda entry: entry[name])
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(mine, lambda entry: entry["_valid"]))))
+
+
+def level_array(levels: list[int]) -> Column:
+    return F.array(*[F.lit(level) for level in levels])
 
 
 def items_at(levels: list[int], tokens: Column, belongs: dict[str, Column]) -> Column:
     """Every token at every level, with the given set memberships."""
     flags = [flag.alias(name) for name, flag in belongs.items()]
 
-    def at(level: int) -> Column:
-        return F.transform(tokens, lambda t: F.struct(F.lit(level).alias("level"), t.alias("code"), *flags))
+    def at_all(token: Column) -> Column:
+        return F.transform(level_array(levels), lambda level: F.struct(level.alias("level"), token.alias("code"), *flags))
 
-    return F.concat(*[at(level) for level in levels]) if len(levels) > 1 else at(levels[0])
+    return F.flatten(F.transform(tokens, at_all))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from codetally.config import ColumnConfig
 from codetally.functions.codes import clean_label, code_text, join_codes, parse_codes, text_flag
 from codetally.functions.sets import fill_empty
-from codetally.operators.hierarchy import Hierarchy, items_at
+from codetally.operators.hierarchy import Hierarchy, items_at, level_array
 from codetally.operators.joins import override_from_side
 from codetally.operators.validation import require_columns, validate_wide_table
 
@@ -111,46 +111,43 @@ def rows_per_level(cleaned: DataFrame, digits: int | list[int]) -> DataFrame:
 class Fallback:
     """Where a model code set comes from when the first choice yields no valid code.
 
-    ``column`` holds alternatives as text or as an array of structs, ``threshold`` is the confidence used
-    to prune them (None: never prune), ``first`` keeps only that many from the front of the array.
+    ``column`` holds alternatives as text or as an array of structs; ``threshold`` is the confidence used to
+    prune them.
     """
 
     column: str | None
-    threshold: float | None = 0.0
-    first: int | None = None
+    threshold: float = 0.0
 
 
 def _fallback_items(
-    df: DataFrame, col: str, level: int, mine: dict[str, Fallback], flags: list[str], code_name: str, score_name: str
+    df: DataFrame, col: str, levels: list[int], mine: dict[str, float], flags: list[str], code_name: str, score_name: str
 ) -> Column:
     """The entries of one column of alternatives, each flagged with the sets it belongs to.
 
-    Text has no scores, so pruning never applies to it. A missing score counts as 0 and a NaN score never
-    reaches the threshold.
+    ``mine`` are the outputs falling back on this column, with their thresholds. Text has no scores, so
+    pruning never applies to it. A missing score counts as 0 and a NaN score never reaches the threshold.
     """
     dtype = df.schema[col].dataType
     if not isinstance(dtype, T.ArrayType):
-        return items_at([level], parse_codes(code_text(F.col(col), dtype)), {name: F.lit(name in mine) for name in flags})
+        return items_at(levels, parse_codes(code_text(F.col(col), dtype)), {name: F.lit(name in mine) for name in flags})
     fields = dtype.elementType.fieldNames() if isinstance(dtype.elementType, T.StructType) else []
     if code_name not in fields:
         raise ValueError(f"'{col}' must hold structs with a field '{code_name}'")
 
-    def entry(item: Column, rank: Column) -> Column:
+    def entry(item: Column) -> Column:
         score = F.coalesce(item[score_name].cast("double"), F.lit(0.0)) if score_name in fields else F.lit(0.0)
 
         def belongs(name: str) -> Column:
             out = name.removesuffix(CONFIDENT)
-            if out not in mine:
-                return F.lit(False)
-            listed = F.lit(True) if mine[out].first is None else rank < mine[out].first
-            if not name.endswith(CONFIDENT):
-                return listed
-            return listed & ~F.isnan(score) & (score >= mine[out].threshold)
+            if out in mine and name.endswith(CONFIDENT):
+                return ~F.isnan(score) & (score >= mine[out])
+            return F.lit(out in mine)
 
         code = item[code_name].cast("string").alias("code")
-        return F.struct(F.lit(level).alias("level"), code, *[belongs(name).alias(name) for name in flags])
+        own = [belongs(name).alias(name) for name in flags]
+        return F.transform(level_array(levels), lambda level: F.struct(level.alias("level"), code, *own))
 
-    return F.transform(F.coalesce(F.col(col), F.array().cast(dtype)), entry)
+    return F.flatten(F.transform(F.coalesce(F.col(col), F.array().cast(dtype)), entry))
 
 
 def pruned(all_codes: Column, confident_codes: Column) -> Column:
@@ -158,14 +155,10 @@ def pruned(all_codes: Column, confident_codes: Column) -> Column:
     return F.when(F.size(confident_codes) == 1, confident_codes).otherwise(all_codes)
 
 
-def _prunes(fallbacks: dict[int, Fallback]) -> bool:
-    return any(f.threshold is not None for f in fallbacks.values())
-
-
 def model_code_levels(
     df: DataFrame,
     hierarchy: Hierarchy,
-    outputs: dict[str, Fallback | dict[int, Fallback]],
+    outputs: dict[str, Fallback],
     levels: list[int],
     codes_col: str | None = "initial_code",
     alt_codes_name: str = "code",
@@ -176,33 +169,32 @@ def model_code_levels(
 ) -> DataFrame:
     """``(id, keep, levels)``: several model code sets of each record at every level, in one pass.
 
-    Every output is the first choice in ``codes_col`` or, where that yields no valid code, its fallback,
-    which may differ by level. ``keep`` columns are carried along and, like the id, tell records apart.
+    Every output is the first choice in ``codes_col`` or, where that yields no valid code, its fallback.
+    ``keep`` columns are carried along and, like the id, tell records apart.
     """
     keep = keep or []
     require_columns(df, [id_col, *keep])
     codes_col = codes_col if codes_col in df.columns else None
-    per_level = {out: f if isinstance(f, dict) else dict.fromkeys(levels, f) for out, f in outputs.items()}
-    found = {out: f for out, f in per_level.items() if all(f[level].column in df.columns for level in levels)}
+    found = {out: f for out, f in outputs.items() if f.column in df.columns}
     if codes_col is None and not found:
         raise ValueError("At least one of the code columns must be present.")
-    flags = [*([FIRST] if codes_col else []), *found, *[out + CONFIDENT for out, f in found.items() if _prunes(f)]]
+    flags = [*([FIRST] if codes_col else []), *found, *[out + CONFIDENT for out in found]]
+    sources = list(dict.fromkeys(f.column for f in found.values()))
     items = []
     if codes_col:
         tokens = parse_codes(code_text(F.col(codes_col), df.schema[codes_col].dataType))
         items.append(items_at(levels, tokens, {name: F.lit(name == FIRST) for name in flags}))
-    for level in levels:
-        for source in dict.fromkeys(f[level].column for f in found.values()):
-            mine = {out: f[level] for out, f in found.items() if f[level].column == source}
-            items.append(_fallback_items(df, source, level, mine, flags, alt_codes_name, score_name))
-    content = [] if unique_ids else [*([codes_col] if codes_col else []), *[f[x].column for f in found.values() for x in levels]]
+    for source in sources:
+        mine = {out: f.threshold for out, f in found.items() if f.column == source}
+        items.append(_fallback_items(df, source, levels, mine, flags, alt_codes_name, score_name))
+    content = [] if unique_ids else [*([codes_col] if codes_col else []), *sources]
     row_cols = list(dict.fromkeys([id_col, *keep, *content]))
     cleaned = hierarchy.clean_code_sets(df, row_cols, F.concat(*items), flags, levels, unique_ids)
 
     def outcome(sets: Column, out: str) -> Column:
         if out not in found:
             return sets[FIRST]
-        fallback = pruned(sets[out], sets[out + CONFIDENT]) if _prunes(found[out]) else sets[out]
+        fallback = pruned(sets[out], sets[out + CONFIDENT])
         return fill_empty(sets[FIRST], fallback) if codes_col else fallback
 
     decided = F.transform(

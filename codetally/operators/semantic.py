@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from codetally.fixed_values import DISTANCE_EPSILON, DISTANCE_WEIGHT, RANK_WEIGHT
 from codetally.functions.codes import digits_label
-from codetally.functions.sets import is_single
+from codetally.functions.sets import is_single, once
 from codetally.operators.hierarchy import Hierarchy, level_width
 
 CANDIDATES = T.ArrayType(
@@ -20,11 +20,6 @@ CANDIDATES = T.ArrayType(
 )
 
 
-def _once(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row rather than once per array element using it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _ranked(results: Column, prefix: Column) -> Column:
     """Nearest distance of each code prefix, nearest first, equal distances by code."""
     usable = F.filter(results, lambda c: c["distance"].isNotNull() & ~F.isnan(c["distance"].cast("double")))
@@ -41,7 +36,7 @@ def _ranked(results: Column, prefix: Column) -> Column:
         first = lambda c, i: (i == 0) | (F.get(sorted_codes, i - 1)["code"] != c["code"])
         return F.sort_array(F.transform(F.filter(sorted_codes, first), lambda c: F.struct(c["distance"], c["code"])))
 
-    return _once(by_code, nearest)
+    return once(by_code, nearest)
 
 
 def distance_to_confidence(results: Column, digits: Column) -> Column:
@@ -61,12 +56,12 @@ def distance_to_confidence(results: Column, digits: Column) -> Column:
         def likelihood(d: Column, rank: Column, two: Column) -> Column:
             return F.greatest(F.lit(0.0), 1 - F.try_divide(d, two) - d * DISTANCE_WEIGHT - rank * RANK_WEIGHT)
 
-        return _once(
+        return once(
             nearest_two,
             lambda two: F.transform(ranked, lambda c, rank: candidate(c, likelihood(c["distance"], rank, two))),
         )
 
-    several = _once(_ranked(results, level_width(digits)), scored)
+    several = once(_ranked(results, level_width(digits)), scored)
     single = F.transform(results, lambda c: candidate(c, F.lit(1.0)))
     return F.when(F.size(results) == 1, single.cast(CANDIDATES)).when(F.size(results) > 1, several.cast(CANDIDATES))
 

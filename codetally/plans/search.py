@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetally.functions.codes import digits_label
-from codetally.operators.hierarchy import Hierarchy
+from codetally.operators.hierarchy import Hierarchy, level_array
 from codetally.operators.joins import join_levels, join_on_id
 from codetally.operators.metrics import evaluation_metrics
 from codetally.operators.prepare import (
-    Fallback,
     clerical_code_levels,
-    model_code_levels,
     rows_per_level,
     stack_methods,
 )
@@ -30,17 +28,23 @@ def shortlist_code_levels(
 ) -> DataFrame:
     """Code sets of the first candidates per record and method: ``levels`` with a ``codes<i>`` per length.
 
-    Likelihoods are never negative, so a threshold of 0 would prune nothing and is not looked at.
-    ``unique_ids`` promises that ids are not null and occur once per method.
+    The candidates are the only source of codes, and their likelihoods are never negative, so there is
+    nothing to prune. ``unique_ids`` promises that ids are not null and occur once per method.
     """
-    confidences = [
-        distance_to_confidence(F.col(results_col), F.lit(level)).alias(f"_candidates{level}") for level in levels
-    ]
-    ranked = results.select(id_col, "method", *confidences)
-    outputs = {f"codes{i}": {d: Fallback(f"_candidates{d}", threshold=None, first=n) for d in levels} for i, n in enumerate(lengths)}
-    return model_code_levels(
-        ranked, hierarchy, outputs, levels, codes_col=None, keep=["method"], id_col=id_col, unique_ids=unique_ids
-    )
+
+    def at(level: Column) -> Column:
+        candidates = distance_to_confidence(F.col(results_col), level)
+
+        def entry(candidate: Column, rank: Column) -> Column:
+            listed = [(F.lit(True) if n is None else rank < n).alias(f"codes{i}") for i, n in enumerate(lengths)]
+            return F.struct(level.alias("level"), candidate["code"].alias("code"), *listed)
+
+        return F.coalesce(F.transform(candidates, entry), F.array())
+
+    items = F.flatten(F.transform(level_array(levels), at))
+    row_cols = [id_col, "method", *([] if unique_ids else [results_col])]
+    cleaned = hierarchy.clean_code_sets(results, row_cols, items, [f"codes{i}" for i in range(len(lengths))], levels, unique_ids)
+    return cleaned.select(id_col, "method", "levels")
 
 
 def rows_per_length(df: DataFrame, lengths: tuple[int | None, ...]) -> DataFrame:
