@@ -469,7 +469,7 @@ SWEPT = f"""select s.method, s.unique_id, s.digits, s.m, t.codes as t from ({MET
 def swept(spark, sf_dir):
     return sweep(
         views.models(spark, sf_dir), views.clerical(spark, sf_dir), views.hierarchy(spark, sf_dir), LEVELS,
-        four_plus=views.four_plus(spark, sf_dir), first_round=views.first_round(spark, sf_dir), unique_ids=False,
+        four_plus=views.four_plus(spark, sf_dir), first_round=views.first_round(spark, sf_dir), unique_ids=True,
     )
 
 

@@ -10,6 +10,7 @@ from codetally.fixed_values import DISTANCE_EPSILON, DISTANCE_WEIGHT, RANK_WEIGH
 from codetally.functions.codes import digits_label
 from codetally.functions.sets import is_single, once
 from codetally.operators.hierarchy import Hierarchy, level_width
+from codetally.operators.joins import join_on_id
 
 CANDIDATES = T.ArrayType(
     T.StructType([
@@ -104,37 +105,38 @@ def cumulative_curve(
     finest = steps[-1]
     levels = [f"_step{i}" for i in range(len(steps))]
     fine = F.floor(F.col("distance") * finest)
-    counted = counted.withColumns({
-        name: F.floor(fine / F.lit(finest // step)) for name, step in zip(levels, steps)
-    })
-    located = counted.filter(F.col("distance").isNotNull())
-    running = located
-    offsets = []
+    located = counted.withColumns({name: F.floor(fine / F.lit(finest // step)) for name, step in zip(levels, steps)})
+    # Joins match nulls and the filter comes last, so that all parts read the one counted table as it is.
+    before = None
     for depth, name in enumerate(levels):
         parents, inside = levels[:depth], levels[: depth + 1]
         totals = located.groupBy(*series, *inside).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-        earlier = Window.partitionBy(*series, *parents).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        shift = totals.select(
-            *series, *inside,
-            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(f"_n{depth}"),
-            F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias(f"_m{depth}"),
-        )
-        running = running.join(shift, [*series, *inside])
-        offsets.append(depth)
+        whole = Window.partitionBy(*series, *parents)
+        earlier = whole.orderBy(F.asc_nulls_last(name)).rowsBetween(Window.unboundedPreceding, -1)
+        sums = [F.coalesce(F.sum(part).over(earlier), F.lit(0)).alias(f"_{part}{depth}") for part in ("n", "m")]
+        size = [F.sum("n").over(whole).alias("series_total")] if depth == 0 else []
+        shift = totals.select(*series, *inside, *sums, *size)
+        before = shift if before is None else join_on_id(shift, before, [*series, *parents])
     within = Window.partitionBy(*series, *levels).orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
-    shifted = lambda part: sum((F.col(f"_{part}{d}") for d in offsets), F.sum(part).over(within))
-    sizes = counted.groupBy(*series).agg(F.sum("n").alias("series_total"))
+    inner = located.select(
+        *series, *levels, "distance", F.sum("n").over(within).alias("_n"), F.sum("m").over(within).alias("_m")
+    )
+    running = join_on_id(inner, before, [*series, *levels])
+    upto = lambda part: sum((F.col(f"_{part}{d}") for d in range(len(levels))), F.col(f"_{part}"))
     return (
-        running.select(*series, "distance", shifted("n").alias("subset_total"), shifted("m").alias("match_count"))
-        .join(sizes, series)
-        .select(
+        running.select(
             *series,
             F.col("distance").alias("distance_threshold"),
-            "subset_total",
-            "match_count",
-            F.try_divide(F.col("subset_total").cast("double"), F.col("series_total").cast("double")).alias("codability"),
-            F.try_divide(F.col("match_count").cast("double"), F.col("subset_total").cast("double")).alias("accuracy"),
+            upto("n").alias("subset_total"),
+            upto("m").alias("match_count"),
+            "series_total",
         )
+        .withColumns({
+            "codability": F.try_divide(F.col("subset_total").cast("double"), F.col("series_total").cast("double")),
+            "accuracy": F.try_divide(F.col("match_count").cast("double"), F.col("subset_total").cast("double")),
+        })
+        .filter(F.col("distance_threshold").isNotNull())
+        .drop("series_total")
     )
 
 
