@@ -101,8 +101,10 @@ STEPS = {
     "method_scored_codes": """select method, unique_id, digits, value, max(likelihood) as score from (
         select method, unique_id, likelihood, d, substr(code,1,case when d=0 then 2 else d end) as k
         from method_candidates, (select unnest([0,1,2,3,4,5]) as d)) join lookup on digits=d and prefix=k group by all""",
-    "search_price": f"""select l_orderkey as unique_id, l_extendedprice/100000 as distance, {code('l_partkey')} as code from lineitem""",
-    "search_quantity": f"""select l_orderkey as unique_id, l_quantity/50 + l_tax as distance, {code('l_partkey')} as code from lineitem""",
+    "search_price": f"""select l_orderkey as unique_id, min(l_extendedprice/100000) as distance, {code('l_partkey')} as code
+        from lineitem group by 1,3""",
+    "search_quantity": f"""select l_orderkey as unique_id, min(l_quantity/50 + l_tax) as distance, {code('l_partkey')} as code
+        from lineitem group by 1,3""",
     "search": "select 'price' as method, * from search_price union all select 'quantity', * from search_quantity",
     "messy": f"""select l_orderkey, l_partkey, l_linenumber, l_quantity, case
         when l_quantity>=49 then '-9' when l_quantity<=2 then '4+' when l_quantity=3 then 'nan' when l_quantity=4 then ''

@@ -103,7 +103,14 @@ class Hierarchy:
         return rows.join(self.valid_codes().withColumnRenamed("code", code_col), code_col, "left_semi")
 
     def clean_code_sets(
-        self, rows: DataFrame, row_cols: list[str], items: Column, sets: list[str], levels: list[int], unique_rows: bool = False
+        self,
+        rows: DataFrame,
+        row_cols: list[str],
+        items: Column,
+        sets: list[str],
+        levels: list[int],
+        unique_rows: bool = False,
+        count_col: str | None = None,
     ) -> DataFrame:
         """Turn the codes listed in each row into sets of valid codes, one output row per input row.
 
@@ -113,8 +120,8 @@ class Hierarchy:
 
         ``row_cols`` identify a row, and ``items`` must depend on nothing else. Rows equal in all of them
         are counted and given back as often as they came, each input partition on its own, so that a
-        heavily repeated row is never rebuilt by one task. ``unique_rows`` promises that no two rows agree
-        in ``row_cols``, which drops that counting.
+        heavily repeated row is never rebuilt by one task. With ``count_col`` they stay counted, in that
+        column. ``unique_rows`` promises that no two rows agree in ``row_cols``, which drops the counting.
         """
         split = [] if unique_rows else [F.spark_partition_id().alias("_split")]
         exploded = rows.select(*row_cols, *split, F.posexplode_outer(items).alias("_pos", "_item")).withColumns(
@@ -122,18 +129,21 @@ class Hierarchy:
         )
         found = self.find(exploded, "_code", levels, "_level")
         meant = F.struct("_level", F.col("codes").alias("_valid"), *[F.col(f"_item.{name}").alias(name) for name in sets])
-        aggregates = [F.collect_list(F.when(F.col("codes").isNotNull(), meant)).alias("_meant")]
+        # Copies of a row bring the same entries again, so there only the distinct ones are gathered.
+        gather = F.collect_list if unique_rows else F.collect_set
+        aggregates = [gather(F.when(F.col("codes").isNotNull(), meant)).alias("_meant")]
         if not unique_rows:
             aggregates.append(F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies"))
         grouped = found.groupBy(*row_cols, *([] if unique_rows else ["_split"])).agg(*aggregates)
-        if not unique_rows:
+        if not unique_rows and count_col is None:
             grouped = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
+        counted = [(F.lit(1).cast("bigint") if unique_rows else F.col("_copies")).alias(count_col)] if count_col else []
 
         def at(level: Column) -> Column:
             mine = F.filter("_meant", lambda entry: entry["_level"] == level)
             return once(mine, lambda own: F.struct(level.alias("digits"), *[_union(own, name).alias(name) for name in sets]))
 
-        return grouped.select(*row_cols, F.transform(level_array(levels), at).alias("levels"))
+        return grouped.select(*row_cols, *counted, F.transform(level_array(levels), at).alias("levels"))
 
 
 def _union(entries: Column, name: str) -> Column:

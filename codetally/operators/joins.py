@@ -27,18 +27,20 @@ def join_on_id(
     return left.join(renamed, condition, how).drop(*[f"_r_{name}" for name in on])
 
 
-def override_from_side(main: DataFrame, side: DataFrame, id_col: str, value_col: str) -> DataFrame:
+def override_from_side(
+    main: DataFrame, side: DataFrame, id_col: str, value_col: str, nulls_match: bool = True
+) -> DataFrame:
     """Full outer join in which the side table's value wins where it has one.
 
     Written as a left join plus the side-only rows, so that a small side table can be broadcast and a
     hot id of the main table can be split; a full outer join allows neither.
     """
     other = side.withColumnRenamed(value_col, "_side_value")
-    joined = join_on_id(main, other, id_col, "left")
+    joined = join_on_id(main, other, id_col, "left", nulls_match)
     matched = joined.withColumn(value_col, F.coalesce("_side_value", value_col)).drop("_side_value")
     side_ids = side.select(id_col).distinct()
-    known = join_on_id(main.select(id_col), side_ids, id_col, "left_semi").distinct()
-    unmatched = join_on_id(side, known, id_col, "left_anti")
+    known = join_on_id(main.select(id_col), side_ids, id_col, "left_semi", nulls_match).distinct()
+    unmatched = join_on_id(side, known, id_col, "left_anti", nulls_match)
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 

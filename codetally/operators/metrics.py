@@ -19,17 +19,19 @@ from codetally.operators.validation import require_columns
 logger = logging.getLogger(__name__)
 
 
-def _aggregate(df: DataFrame, by: list[str] | None, counts: dict[str, Column]) -> DataFrame:
-    columns = [c.alias(name) for name, c in counts.items()]
+def _aggregate(df: DataFrame, by: list[str] | None, conditions: dict[str, Column], records: Column | None = None) -> DataFrame:
+    """How many records meet each condition, a row standing for one record or for ``records`` of them."""
+    count = F.count_if if records is None else lambda c: F.coalesce(F.sum(F.when(c, records)), F.lit(0))
+    columns = [count(c).alias(name) for name, c in conditions.items()]
     return df.groupBy(*by).agg(*columns) if by else df.agg(*columns)
 
 
 def _ambiguity_counts(model: Column, truth: Column) -> dict[str, Column]:
     return {
-        "TP": F.count_if(model & truth),
-        "FP": F.count_if(model & ~truth),
-        "FN": F.count_if(~model & truth),
-        "TN": F.count_if(~model & ~truth),
+        "TP": model & truth,
+        "FP": model & ~truth,
+        "FN": ~model & truth,
+        "TN": ~model & ~truth,
     }
 
 
@@ -46,9 +48,9 @@ def _ambiguity_metrics(total: Column, prefix: str = "") -> dict[str, Column]:
 
 
 def _codability_counts(initial: Column, final: Column | None) -> dict[str, Column]:
-    counts = {"initial_codable_count": F.count_if(~initial)}
+    counts = {"initial_codable_count": ~initial}
     if final is not None:
-        counts["final_codable_count"] = F.count_if(~final)
+        counts["final_codable_count"] = ~final
     return counts
 
 
@@ -77,13 +79,13 @@ def _comparison(truth: Column, model: Column, prefix: str = "") -> list[Column]:
 def _accuracy_counts(prefix: str = "") -> dict[str, Column]:
     truth, model, overlap = (F.col(f"{prefix}{name}") for name in ("single_truth", "single_model", "overlap"))
     return {
-        "matches_oo": F.count_if(truth & model & overlap),
-        "matches_om": F.count_if(truth & overlap),
-        "matches_mo": F.count_if(model & overlap),
-        "matches_mm": F.count_if(overlap),
-        "unambiguous_records": F.count_if(truth & model),
-        "single_truth": F.count_if(truth),
-        "single_model": F.count_if(model),
+        "matches_oo": truth & model & overlap,
+        "matches_om": truth & overlap,
+        "matches_mo": model & overlap,
+        "matches_mm": overlap,
+        "unambiguous_records": truth & model,
+        "single_truth": truth,
+        "single_model": model,
     }
 
 
@@ -111,7 +113,7 @@ def ambiguity_metrics(
 ) -> DataFrame:
     """Precision, recall, F1, accuracy and counts, "ambiguous" being the positive class."""
     counts = _ambiguity_counts(F.col(model_ambiguous_col), F.col(truth_ambiguous_col))
-    counted = _aggregate(df, by, {**counts, "_total": F.count(F.lit(1))})
+    counted = _aggregate(df, by, {**counts, "_total": F.lit(True)})
     return counted.select(*(by or []), *_named(_ambiguity_metrics(F.col("_total"))))
 
 
@@ -123,7 +125,7 @@ def codability_metrics(
     has_final = final_ambiguous_col in df.columns
     final = F.col(final_ambiguous_col) if has_final else None
     counts = _codability_counts(F.col(initial_ambiguous_col), final)
-    counted = _aggregate(df, by, {**counts, "_total": F.count(F.lit(1))})
+    counted = _aggregate(df, by, {**counts, "_total": F.lit(True)})
     return counted.select(*(by or []), *_named(_codability_metrics(F.col("_total"), has_final)))
 
 
@@ -133,7 +135,7 @@ def accuracy_metrics(
     """Match counts and shares, one-to-one through many-to-many."""
     sets = df.select(*(by or []), *[code_set(F.col(c), df.schema[c].dataType).alias(n) for n, c in (("t", truth_col), ("m", model_col))])
     compared = sets.select(*(by or []), *_comparison(F.col("t"), F.col("m")))
-    counted = _aggregate(compared, by, {**_accuracy_counts(), "_total": F.count(F.lit(1))})
+    counted = _aggregate(compared, by, {**_accuracy_counts(), "_total": F.lit(True)})
     return counted.select(*(by or []), *_named(_accuracy_metrics(F.col("_total"))))
 
 
@@ -144,11 +146,13 @@ def evaluation_metrics(
     final_model_col: str | None = "final_codes",
     by: list[str] | None = None,
     prepared: bool = False,
+    count_col: str | None = None,
 ) -> DataFrame:
     """All metrics of a joined table in one pass, as one nested row per group.
 
     Code columns may be text, numbers or arrays; ``prepared`` says they already are the code sets made by
-    this library. Without final codes the final metrics are null.
+    this library. A row stands for as many records as ``count_col`` says. Without final codes the final
+    metrics are null.
     """
     by = by or []
     if final_model_col and final_model_col not in df.columns:
@@ -158,18 +162,19 @@ def evaluation_metrics(
     roles = {"truth": truth_col, "initial": initial_model_col, **({"final": final_model_col} if has_final else {})}
     require_columns(df, [*by, *roles.values()])
     as_set = lambda c: F.col(c) if prepared else code_set(F.col(c), df.schema[c].dataType)
-    sets = df.select(*by, *[as_set(c).alias(role) for role, c in roles.items()])
+    records = F.col(count_col) if count_col else F.lit(1).cast("bigint")
+    sets = df.select(*by, records.alias("records"), *[as_set(c).alias(role) for role, c in roles.items()])
     truth, initial = F.col("truth"), F.col("initial")
     compared = sets.select(
-        *by, *_comparison(truth, initial, "ini_"), *(_comparison(truth, F.col("final"), "fin_") if has_final else [])
+        *by, "records", *_comparison(truth, initial, "ini_"), *(_comparison(truth, F.col("final"), "fin_") if has_final else [])
     )
-    counts = {"total": F.count(F.lit(1))}
+    counts = {"total": F.lit(True)}
     counts |= _prefixed("amb_", _ambiguity_counts(~F.col("ini_single_model"), ~F.col("ini_single_truth")))
     counts |= _prefixed("cod_", _codability_counts(~F.col("ini_single_model"), ~F.col("fin_single_model") if has_final else None))
     counts |= _prefixed("n_ini_", _accuracy_counts("ini_"))
     if has_final:
         counts |= _prefixed("n_fin_", _accuracy_counts("fin_"))
-    counted = _aggregate(compared, by, counts)
+    counted = _aggregate(compared, by, counts, F.col("records") if count_col else None)
     total = F.col("total")
     initial_accuracy = F.struct(*_named(_accuracy_metrics(total, "n_ini_")))
     final_accuracy = F.struct(*_named(_accuracy_metrics(total, "n_fin_" if has_final else "n_ini_")))

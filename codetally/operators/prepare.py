@@ -47,20 +47,19 @@ def clerical_text(
     four_plus: DataFrame | None = None,
     clerical_col: str = "sic_ind_occ",
     id_col: str = ID_COL,
-    keep: list[str] | None = None,
+    nulls_match: bool = True,
 ) -> DataFrame:
     """Three code columns as one text, replaced by the side table's text where that has one."""
     parts = [f"{clerical_col}{i}" for i in (1, 2, 3)]
-    keep = keep or []
-    require_columns(df, [id_col, *parts, *keep])
+    require_columns(df, [id_col, *parts])
     joined = join_codes(*[code_text(F.col(p), df.schema[p].dataType) for p in parts])
-    text = df.select(id_col, *keep, joined.alias(clerical_col))
+    text = df.select(id_col, joined.alias(clerical_col))
     if four_plus is None:
         return text
     side = four_plus.select(
         id_col, code_text(F.col(clerical_col), four_plus.schema[clerical_col].dataType).alias(clerical_col)
     )
-    return override_from_side(text, side, id_col, clerical_col)
+    return override_from_side(text, side, id_col, clerical_col, nulls_match)
 
 
 def clerical_code_levels(
@@ -72,12 +71,24 @@ def clerical_code_levels(
     out_col: str = "clerical_codes",
     id_col: str = ID_COL,
     unique_ids: bool = False,
+    count_col: str | None = None,
 ) -> DataFrame:
-    """``(id, levels)``: the valid human codes of each record at every level, one row per record."""
-    text = clerical_text(df, four_plus, clerical_col, id_col)
+    """``(id, levels)``: the valid human codes of each record at every level, one row per record.
+
+    With ``count_col`` records with the same id and codes are one row, counted there.
+    """
+    text = clerical_text(df, four_plus, clerical_col, id_col, nulls_match=not unique_ids)
     items = items_at(levels, parse_codes(F.col(clerical_col)), {out_col: F.lit(True)})
     row_cols = [id_col] if unique_ids else [id_col, clerical_col]
-    return hierarchy.clean_code_sets(text, row_cols, items, [out_col], levels, unique_ids).select(id_col, "levels")
+    cleaned = hierarchy.clean_code_sets(text, row_cols, items, [out_col], levels, unique_ids, count_col)
+    return add_up_copies(cleaned.drop(clerical_col), count_col)
+
+
+def add_up_copies(cleaned: DataFrame, count_col: str | None) -> DataFrame:
+    """Equal rows of cleaned codes as one, adding up their counts."""
+    if count_col is None:
+        return cleaned
+    return cleaned.groupBy(*[c for c in cleaned.columns if c != count_col]).agg(F.sum(count_col).alias(count_col))
 
 
 def prepare_clerical_codes(
@@ -166,11 +177,13 @@ def model_code_levels(
     keep: list[str] | None = None,
     id_col: str = ID_COL,
     unique_ids: bool = False,
+    count_col: str | None = None,
 ) -> DataFrame:
     """``(id, keep, levels)``: several model code sets of each record at every level, in one pass.
 
     Every output is the first choice in ``codes_col`` or, where that yields no valid code, its fallback.
-    ``keep`` columns are carried along and, like the id, tell records apart.
+    ``keep`` columns are carried along and, like the id, tell records apart. With ``count_col`` records with
+    the same id and codes are one row, counted there.
     """
     keep = keep or []
     require_columns(df, [id_col, *keep])
@@ -189,7 +202,7 @@ def model_code_levels(
         items.append(_fallback_items(df, source, levels, mine, flags, alt_codes_name, score_name))
     content = [] if unique_ids else [*([codes_col] if codes_col else []), *sources]
     row_cols = list(dict.fromkeys([id_col, *keep, *content]))
-    cleaned = hierarchy.clean_code_sets(df, row_cols, F.concat(*items), flags, levels, unique_ids)
+    cleaned = hierarchy.clean_code_sets(df, row_cols, F.concat(*items), flags, levels, unique_ids, count_col)
 
     def outcome(sets: Column, out: str) -> Column:
         if out not in found:
@@ -200,7 +213,7 @@ def model_code_levels(
     decided = F.transform(
         "levels", lambda sets: F.struct(sets["digits"].alias("digits"), *[outcome(sets, out).alias(out) for out in outputs])
     )
-    return cleaned.select(id_col, *keep, decided.alias("levels"))
+    return add_up_copies(cleaned.select(id_col, *keep, *([count_col] if count_col else []), decided.alias("levels")), count_col)
 
 
 def prepare_model_codes(

@@ -15,6 +15,7 @@ from codetally.operators.prepare import (
     clerical_code_levels,
     model_code_levels,
     prepare_model_codes,
+    rows_per_level,
     stack_methods,
 )
 from codetally.sources.readers import read_companion, read_model_output, read_text_csv
@@ -48,9 +49,36 @@ def joined_codes(
     return attach_final_codes(joined, final, "final_codes")
 
 
-def evaluate(model: DataFrame, clerical: DataFrame, hierarchy: Hierarchy, **options) -> DataFrame:
+def counted_codes(
+    model: DataFrame,
+    clerical: DataFrame,
+    hierarchy: Hierarchy,
+    four_plus: DataFrame | None = None,
+    digits: int = 5,
+    threshold: float = 0.0,
+) -> DataFrame:
+    """The same rows as ``joined_codes`` for any ids, equal ones as one row with their number in ``records``.
+
+    Records that share an id all pair up. Counting equal ones first keeps the pairs to one per different
+    pair of code sets, however often an id or a whole record is repeated.
+    """
+    truth = clerical_code_levels(clerical, hierarchy, [digits], four_plus, count_col="n_truth")
+    outputs = {"initial_codes": Fallback("alt_sic_candidates", threshold)}
+    codes = model_code_levels(model, hierarchy, outputs, [digits], count_col="n_model")
+    joined = join_levels(codes, truth).withColumn("records", F.col("n_model") * F.col("n_truth"))
+    if "final_sic" not in model.columns:
+        return joined
+    outputs = {"final_codes": Fallback("final_sic")}
+    final = rows_per_level(model_code_levels(model, hierarchy, outputs, [digits], count_col="n_final"), digits)
+    attached = attach_final_codes(joined, final, "final_codes")
+    return attached.withColumn("records", F.col("records") * F.coalesce("n_final", F.lit(1)))
+
+
+def evaluate(model: DataFrame, clerical: DataFrame, hierarchy: Hierarchy, unique_ids: bool = False, **options) -> DataFrame:
     """All metrics of one model at one digit level, as one nested row."""
-    return evaluation_metrics(joined_codes(model, clerical, hierarchy, **options), prepared=True)
+    if unique_ids:
+        return evaluation_metrics(joined_codes(model, clerical, hierarchy, unique_ids=True, **options), prepared=True)
+    return evaluation_metrics(counted_codes(model, clerical, hierarchy, **options), prepared=True, count_col="records")
 
 
 def evaluate_files(
@@ -86,26 +114,34 @@ def sweep_codes(
     first_round_four_plus: DataFrame | None = None,
     threshold: float = 0.7,
     unique_ids: bool = False,
+    count: bool = False,
 ) -> DataFrame:
     """Human and initial codes of every model at every digit level, in one table.
 
-    A first round of human coding can take part as if it were a model, named ``coder_round_1``.
+    With ``count`` equal rows are one, with their number in ``records``. A first round of human coding can take part as if it were a model, named ``coder_round_1``.
     """
-    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids)
+    n_truth, n_model = ("n_truth", "n_model") if count else (None, None)
+    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids, count_col=n_truth)
     outputs = {"initial_codes": Fallback("alt_sic_candidates", threshold)}
-    codes = model_code_levels(stack_methods(models), hierarchy, outputs, levels, keep=["method"], unique_ids=unique_ids)
+    codes = model_code_levels(
+        stack_methods(models), hierarchy, outputs, levels, keep=["method"], unique_ids=unique_ids, count_col=n_model
+    )
     if first_round is not None:
         earlier = clerical_code_levels(
-            first_round, hierarchy, levels, first_round_four_plus, out_col="initial_codes", unique_ids=unique_ids
+            first_round, hierarchy, levels, first_round_four_plus, out_col="initial_codes", unique_ids=unique_ids, count_col=n_model
         )
         codes = codes.unionByName(earlier.withColumn("method", F.lit("coder_round_1")))
-    return join_levels(codes, truth, nulls_match=not unique_ids)
+    joined = join_levels(codes, truth, nulls_match=not unique_ids)
+    return joined.withColumn("records", F.col(n_model) * F.col(n_truth)) if count else joined
 
 
-def sweep(models: dict[str, DataFrame], clerical: DataFrame, hierarchy: Hierarchy, levels: list[int], **options) -> DataFrame:
+def sweep(
+    models: dict[str, DataFrame], clerical: DataFrame, hierarchy: Hierarchy, levels: list[int], unique_ids: bool = False, **options
+) -> DataFrame:
     """All metrics for every model and digit level, from one aggregation."""
-    codes = sweep_codes(models, clerical, hierarchy, levels, **options)
-    return evaluation_metrics(codes, by=["digits", "method"], prepared=True)
+    count = not unique_ids
+    codes = sweep_codes(models, clerical, hierarchy, levels, unique_ids=unique_ids, count=count, **options)
+    return evaluation_metrics(codes, by=["digits", "method"], prepared=True, count_col="records" if count else None)
 
 
 def ambiguity_table(metrics: DataFrame, truth: DataFrame, n_records: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from codetally.operators.hierarchy import Hierarchy, level_array
 from codetally.operators.joins import join_levels, join_on_id
 from codetally.operators.metrics import evaluation_metrics
 from codetally.operators.prepare import (
+    add_up_copies,
     clerical_code_levels,
     rows_per_level,
     stack_methods,
@@ -25,6 +26,7 @@ def shortlist_code_levels(
     results_col: str = "semantic_search_results",
     id_col: str = "unique_id",
     unique_ids: bool = False,
+    count_col: str | None = None,
 ) -> DataFrame:
     """Code sets of the first candidates per record and method: ``levels`` with a ``codes<i>`` per length.
 
@@ -43,8 +45,9 @@ def shortlist_code_levels(
 
     items = F.flatten(F.transform(level_array(levels), at))
     row_cols = [id_col, "method", *([] if unique_ids else [results_col])]
-    cleaned = hierarchy.clean_code_sets(results, row_cols, items, [f"codes{i}" for i in range(len(lengths))], levels, unique_ids)
-    return cleaned.select(id_col, "method", "levels")
+    names = [f"codes{i}" for i in range(len(lengths))]
+    cleaned = hierarchy.clean_code_sets(results, row_cols, items, names, levels, unique_ids, count_col)
+    return add_up_copies(cleaned.drop(*row_cols[2:]), count_col)
 
 
 def rows_per_length(df: DataFrame, lengths: tuple[int | None, ...]) -> DataFrame:
@@ -75,10 +78,17 @@ def shortlist_sweep(
     unique_ids: bool = False,
 ) -> DataFrame:
     """All metrics for every search, digit level and shortlist length, from one aggregation."""
-    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids)
-    codes = shortlist_code_levels(stack_methods(searches), hierarchy, levels, lengths, unique_ids=unique_ids)
+    n_truth, n_model = (None, None) if unique_ids else ("n_truth", "n_model")
+    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids, count_col=n_truth)
+    codes = shortlist_code_levels(
+        stack_methods(searches), hierarchy, levels, lengths, unique_ids=unique_ids, count_col=n_model
+    )
     joined = rows_per_length(join_levels(codes, truth, nulls_match=not unique_ids), lengths)
-    return evaluation_metrics(joined, by=["digits", "method", "shortlist_size"], prepared=True)
+    by = ["digits", "method", "shortlist_size"]
+    if unique_ids:
+        return evaluation_metrics(joined, by=by, prepared=True)
+    joined = joined.withColumn("records", F.col(n_model) * F.col(n_truth))
+    return evaluation_metrics(joined, by=by, prepared=True, count_col="records")
 
 
 def nearest_candidates(

@@ -1,10 +1,14 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from codetally import ColumnConfig, clean_wide_table, prepare_clerical_codes, prepare_model_codes
+from codetally import ColumnConfig, clean_wide_table, evaluation_metrics, prepare_clerical_codes, prepare_model_codes
 from codetally.operators.joins import attach_final_codes, join_on_id
 from codetally.operators.prepare import keep_unambiguous, stack_methods
-from codetally.plans.evaluation import evaluate, joined_codes
+from codetally.plans.evaluation import evaluate, joined_codes, sweep, sweep_codes
+from codetally.plans.search import shortlist_sweep
+from tests.conftest import PAIRS
 
 CLERICAL = "unique_id string, sic_ind_occ1 string, sic_ind_occ2 string, sic_ind_occ3 string"
 MODEL = "unique_id string, initial_code string, alt_sic_candidates array<struct<code:string,likelihood:double>>"
@@ -108,6 +112,49 @@ def test_evaluation_with_and_without_unique_ids(spark, hierarchy, clerical):
     assert without.final_accuracy_metrics is None and without.initial_accuracy_metrics.total_records == 3
 
 
+def test_a_third_of_the_records_sharing_one_id(spark, hierarchy):
+    """Many copies of one record, a null id held by many records, and ordinary records."""
+    rng = random.Random(11)
+    codes = ["86101", "86210", "8610x", "05100", "2xxxx", "99999", "-9", ""]
+    human = [("hot", "86101;86210")] * 60 + [(None, rng.choice(codes)) for _ in range(12)] + [(f"r{i}", rng.choice(codes)) for i in range(50)]
+    model = [("hot", "86101")] * 3 + [(None, rng.choice(codes)) for _ in range(9)] + [(f"r{i}", rng.choice(codes)) for i in range(50)]
+    clerical = spark.createDataFrame([(i, c, None, None) for i, c in human], CLERICAL).repartition(6)
+    output = spark.createDataFrame(model, "unique_id string, initial_code string").repartition(4)
+
+    def valid(text):
+        found = set()
+        for part in filter(None, text.replace("-9", "").split(";")):
+            stem = part.rstrip("x")
+            found |= {c[:3] for _, c in PAIRS if c.startswith(stem[:3])}
+        return found
+
+    pairs = [(valid(t), valid(m)) for i, t in human for j, m in model if i == j]
+    got = evaluate(output, clerical, hierarchy, digits=3).first().initial_accuracy_metrics
+    assert got.total_records == len(pairs) == 60 * 3 + 12 * 9 + 50
+    assert got.matches_mm == sum(bool(t & m) for t, m in pairs)
+    assert got.matches_om == sum(len(t) == 1 and bool(t & m) for t, m in pairs)
+    assert got.matches_mo == sum(len(m) == 1 and bool(t & m) for t, m in pairs)
+    assert got.matches_oo == sum(len(m) == 1 and len(t) == 1 and t == m for t, m in pairs)
+
+
+def test_counted_sweeps_equal_row_by_row_sweeps(spark, hierarchy):
+    clerical = spark.createDataFrame([("a", "86101", None, None)] * 3 + [("b", "2xxxx", None, None), (None, "-9", None, None)], CLERICAL)
+    rows = [("a", "86101", None)] * 4 + [("a", None, [("86210", 0.9), ("05100", 0.2)]), ("b", "20100", None), (None, "86101", None)]
+    models = {"m": spark.createDataFrame(rows, MODEL), "n": spark.createDataFrame(rows[3:], MODEL)}
+    levels, by = [5, 0], ["digits", "method"]
+    counted = sweep(models, clerical, hierarchy, levels, first_round=clerical)
+    plain = evaluation_metrics(sweep_codes(models, clerical, hierarchy, levels, first_round=clerical), by=by)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.collect()))
+    found = spark.createDataFrame(
+        [("a", [("86101", 0.1), ("05100", 0.2)])] * 3 + [("b", [("20100", 0.3)])],
+        "unique_id string, semantic_search_results array<struct<code:string,distance:double>>",
+    )
+    swept = shortlist_sweep({"s": found}, clerical, hierarchy, [5], (1, None))
+    assert {(r.shortlist_size, r.initial_accuracy_metrics.total_records, r.initial_accuracy_metrics.matches_mm) for r in swept.collect()} == {
+        ("1", 10, 10), ("All", 10, 10),
+    }
+
+
 WIDE = ColumnConfig(["model_label_1", "model_label_2"], ["model_score_1", "model_score_2"], ["clerical_label_1", "clerical_label_2"], "unique_id")
 
 
