@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from codetally.llm import decontaminate, packing, token_counts, url_filter
+from codetally.llm import decontaminate, language_id, packing, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_language_id": language_id.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLES = {
