@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codetally.llm import decontaminate, language_id, packing, simhash, token_counts, url_filter
+from codetally.llm import decontaminate, language_id, packing, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_language_id": language_id.op8_language_id,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filters": url_filter.ORACLE_SQL,
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
