@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codetally.llm import decontaminate, language_id, packing, simhash, substring_dedup, token_counts, url_filter
+from codetally.llm import decontaminate, language_id, packing, pii, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_pii": pii.op2_pii,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
