@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from codetally.llm import decontaminate, language_id, packing, pii, simhash, substring_dedup, token_counts, url_filter
+from codetally.llm import decontaminate, language_id, packing, pii, simhash, substring_dedup, token_counts, topk_search, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_pii": pii.op2_pii,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op5_topk_search": topk_search.op5_topk_search,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_language_id": language_id.op8_language_id,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_filters": url_filter.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_topk_search": topk_search.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
