@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from codetally.llm import decontaminate, language_id, packing, pii, simhash, substring_dedup, token_counts, topk_search, url_filter
+import corpus_pipeline
+from codetally.llm import decontaminate, html_extraction, language_id, packing, pii, simhash, substring_dedup, token_counts, topk_search, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_pii": pii.op2_pii,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_language_id": language_id.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
