@@ -162,9 +162,9 @@ def fit(
     languages, drawn = _sampled(labelled.filter(F.col(lang_col).isNotNull()), lang_col, id_col, text_col, sample)
     pieces = public_pieces(vocabulary)
     n = len(languages)
-    chances = _normalised(np.ones((len(pieces) + 2, n)), len(pieces))
     if not languages:
-        return languages, pieces, chances
+        return languages, pieces, np.zeros((len(pieces) + 2, 0))
+    chances = _normalised(np.ones((len(pieces) + 2, n)), len(pieces))
     spark = labelled.sparkSession
     place = {language: i for i, language in enumerate(languages)}
 

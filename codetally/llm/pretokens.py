@@ -19,7 +19,7 @@ CACHED = 1_000_000
 
 
 # Printable ASCII, common white space and Latin letters; not the capital dotted I, which lower-cases to two characters.
-_PLAIN = re.compile("[\t\n\r -~\xa1-\xac\xae-\u012f\u0131-\u024f]*")
+_PLAIN = re.compile("[\t\n\r -~\xa1-\xac\xae-\u012f\u0131-\u017e]*")
 
 
 def _patterns(form: str) -> tuple[re.Pattern, re.Pattern]:
@@ -28,7 +28,7 @@ def _patterns(form: str) -> tuple[re.Pattern, re.Pattern]:
     def members(category: str, end: int) -> str:
         return "".join(chr(c) for c in range(33, end) if unicodedata.category(chr(c))[0] == category)
 
-    plain = form.format(letter=members("L", 0x250), number=members("N", 0x250))
+    plain = form.format(letter=members("L", 0x180), number=members("N", 0x180))
     return re.compile(form.format(letter="A-Za-z", number="0-9")), re.compile(plain)
 
 
