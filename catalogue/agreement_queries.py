@@ -284,7 +284,7 @@ EXPLODED = f"""select unique_id, unnest(case when len(t)=0 then [null] else t en
     f"select unique_id, clerical_codes, unnest(case when len(m)=0 then [null] else m end) as initial_codes from ({EXPLODED})",
 )
 def explode_both_sets(spark, sf_dir):
-    return P.explode_both(P.ambiguity_subset(pair(spark, sf_dir, digits=2), "few")).select("unique_id", "clerical_codes", "initial_codes")
+    return P.explode_both(pair(spark, sf_dir, digits=2), "few").select("unique_id", "clerical_codes", "initial_codes")
 
 
 def pairs_sql(digits: int, where: str = "true", threshold: str = "0.0::double") -> str:
@@ -300,7 +300,7 @@ LETTERS = [chr(65 + i) for i in range(21)]
     + f" from ({pairs_sql(0, SINGLE)}) group by 1",
 )
 def spread_section_matrix(spark, sf_dir):
-    counts = P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir, digits=0), "single"))
+    counts = P.pair_counts(pair(spark, sf_dir, digits=0), "single")
     return spread_matrix(counts, "clerical_codes", "initial_codes", LETTERS)
 
 
@@ -562,13 +562,13 @@ def counted(pairs: str) -> str:
 
 
 register("section_confusion_single", counted(pairs_sql(0, SINGLE)))(
-    lambda spark, sf_dir: P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir, digits=0), "single"))
+    lambda spark, sf_dir: P.pair_counts(pair(spark, sf_dir, digits=0), "single")
 )
 register("section_confusion_few", counted(pairs_sql(0, FEW)))(
-    lambda spark, sf_dir: P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir, digits=0), "few"))
+    lambda spark, sf_dir: P.pair_counts(pair(spark, sf_dir, digits=0), "few")
 )
 register("code_pair_counts", counted(pairs_sql(3, FEW)))(
-    lambda spark, sf_dir: P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir), "few"))
+    lambda spark, sf_dir: P.pair_counts(pair(spark, sf_dir), "few")
 )
 
 
@@ -579,7 +579,7 @@ def frequent_sql(pairs: str) -> str:
 
 @register("frequent_confusions", frequent_sql(pairs_sql(2, SINGLE)))
 def frequent_confusions(spark, sf_dir):
-    return P.frequent_confusions(P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir, digits=2), "single")))
+    return P.frequent_confusions(P.pair_counts(pair(spark, sf_dir, digits=2), "single"))
 
 
 @register(
@@ -588,7 +588,7 @@ def frequent_confusions(spark, sf_dir):
     and initial_codes in (select unnest([clerical_codes,initial_codes]) from ({frequent_sql(pairs_sql(2, FEW))}))""",
 )
 def counts_among_confused(spark, sf_dir):
-    return P.counts_among_confused(P.pair_counts(P.ambiguity_subset(pair(spark, sf_dir, digits=2), "few")))
+    return P.counts_among_confused(P.pair_counts(pair(spark, sf_dir, digits=2), "few"))
 
 
 SECTIONS = f"""select chr(65 + cast(substr(o_orderpriority,1,1) as int)) as sic_section, 'Admin labels' as source from orders

@@ -51,6 +51,48 @@ def skip_rows(spark, sf_dir):
     return selection.take_window(orders, ["o_orderkey"], skip=1000)
 
 
+def keyed_events(spark, sf_dir):
+    """Events by user, some without one; a user has many events."""
+    e = views.table(spark, sf_dir, "events")
+    return e.select(F.when(F.col("event_type") != "error", F.col("user_id")).alias("user"), "event_id")
+
+
+KEYED_EVENTS = "(select case when event_type<>'error' then user_id end as usr, event_id from events)"
+PLACED_EVENTS = f"(select *, row_number() over (order by usr nulls last, event_id) as rn from {KEYED_EVENTS})"
+
+
+@register("skip_repeated_keys", f"select usr as \"user\", event_id from {PLACED_EVENTS} where rn>(select count(*)//3 from events)")
+def skip_repeated_keys(spark, sf_dir):
+    """Skip a third of the table, in an order of keys that repeat and may be null."""
+    events = keyed_events(spark, sf_dir)
+    return selection.take_window(events, ["user"], skip=events.count() // 3)
+
+
+@register(
+    "split_repeated_keys",
+    f"""select usr as "user", event_id, case when usr is not null and rn between 2 and 1+(select count(*)//2 from {KEYED_EVENTS} where usr is not null)
+    then 'distributed' else 'retained' end as part from {PLACED_EVENTS}""",
+)
+def split_repeated_keys(spark, sf_dir):
+    """Distribute half of the rows that have a key; keys repeat."""
+    events = keyed_events(spark, sf_dir)
+    return halves(*selection.split_retained(events, "user", events.filter("user is not null").count() // 2))
+
+
+@register(
+    "split_half_of_orders",
+    """select o_orderkey, case when rn between 2 and 1+(select count(*)//2 from orders) then 'distributed' else 'retained' end as part
+    from (select o_orderkey, row_number() over (order by o_orderkey) as rn from orders)""",
+)
+def split_half_of_orders(spark, sf_dir):
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey")
+    return halves(*selection.split_retained(orders, "o_orderkey", orders.count() // 2))
+
+
+def halves(retained, distributed):
+    return retained.withColumn("part", F.lit("retained")).unionByName(distributed.withColumn("part", F.lit("distributed")))
+
+
 @register("threshold_filter", "select unique_id, max_score from aligned where max_score>=5e-1")
 def threshold_filter(spark, sf_dir):
     return aligned(spark, sf_dir).df.filter(F.col("max_score") >= 0.5).select("unique_id", "max_score")
@@ -90,19 +132,18 @@ def reformat_access_codes(spark, sf_dir):
 )
 def split_retained(spark, sf_dir):
     customers = views.table(spark, sf_dir, "customer").select("c_custkey")
-    retained, distributed = selection.split_retained(customers, "c_custkey", 100)
-    return retained.withColumn("part", F.lit("retained")).unionByName(distributed.withColumn("part", F.lit("distributed")))
+    return halves(*selection.split_retained(customers, "c_custkey", 100))
 
 
 @register(
     "build_requests",
-    """select p_partkey as unique_id, cast(json_object('llm','gemini','type','sic','job_title',p_name,'job_description',p_type,
+    """select p_partkey as unique_id, cast(json_object('llm','model-1','type','sic','job_title',p_name,'job_description',p_type,
     'industry_descr',case when p_size>25 then p_brand end) as varchar) as request_payload from part""",
 )
 def build_requests(spark, sf_dir):
     part = views.table(spark, sf_dir, "part").withColumn("industry", F.when(F.col("p_size") > 25, F.col("p_brand")))
     return selection.build_requests(
-        part, "p_partkey", {"job_title": "p_name", "job_description": "p_type", "industry_descr": "industry"}
+        part, "p_partkey", {"job_title": "p_name", "job_description": "p_type", "industry_descr": "industry"}, views.REQUEST_CONSTANTS
     )
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +25,3 @@ def register(name: str, sql: str | None = None):
 
     return add
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder for written tables, in the shared folder the cluster names.
-
-    Only a local session may fall back on a folder of this machine.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set")
-        shared = tempfile.mkdtemp(prefix="codetally-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return os.path.join(shared, f"codetally-{uuid.uuid4().hex}")

@@ -314,11 +314,12 @@ def confusion_report(spark, sf_dir):
 
 @register(
     "request_batch",
-    """select o_orderkey as unique_id, cast(json_object('llm','gemini','type','sic','job_title',o_orderstatus,'job_description',o_orderpriority) as varchar) as request_payload
+    """select o_orderkey as unique_id, cast(json_object('llm','model-1','type','sic','job_title',o_orderstatus,'job_description',o_orderpriority) as varchar) as request_payload
     from orders order by o_orderkey limit 50 offset 25""",
 )
 def request_batch(spark, sf_dir):
     orders = views.table(spark, sf_dir, "orders")
     return reports.request_batch(
-        orders, "o_orderkey", {"job_title": "o_orderstatus", "job_description": "o_orderpriority"}, ["o_orderkey"], skip=25, take=50
+        orders, "o_orderkey", {"job_title": "o_orderstatus", "job_description": "o_orderpriority"}, ["o_orderkey"], views.REQUEST_CONSTANTS,
+        skip=25, take=50,
     )

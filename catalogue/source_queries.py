@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue import sql, views
-from catalogue.registry import register, scratch
+from catalogue.registry import register
+from codetally.lineage import scratch
 from codetally.operators.metrics import flatten_metrics
 from codetally.operators.prepare import clerical_text
 from codetally.operators.quality import add_quality_flags
@@ -32,6 +33,14 @@ def read_typed_csv(spark, sf_dir):
     return readers.read_typed_csv(spark, path, {"unique_id": "bigint", "s1": "double"}, ["unique_id", "m1", "s1"])
 
 
+@register("read_free_text", "select cast(doc_id as varchar) as doc_id, concat(' ', text, ' ') as text, lang from documents")
+def read_free_text(spark, sf_dir):
+    """Whole texts with line breaks, quotes and blanks at both ends, written and read back."""
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"), "lang")
+    path = writers.write_csv(rows, scratch(spark) + "/texts.csv")
+    return readers.read_text_csv(spark, path, ["doc_id", "text", "lang"], null_tokens=False)
+
+
 @register("read_model_output", "select unique_id, code, likelihood from candidates")
 def read_model_output(spark, sf_dir):
     path = scratch(spark) + "/model.parquet"
@@ -121,9 +130,10 @@ def append_response_stream(spark, sf_dir):
 
 @register(
     "append_latency_results",
-    """select event_id as test_id, event_type as test_description, 1::bigint as step, value as total_latency, value/2 as response_time,
-    case when event_type='error' then '500' else '200' end as status_code,
-    cast(case when event_type='error' then 0 else 1 end as bigint) as classified, '' as followup from events""",
+    """select event_id as test_id, event_type as test_description, ts as test_timestamp, 1::bigint as step, value as total_latency,
+    value/2 as response_time, case when event_type='error' then '500' else '200' end as status_code, 'text' as job_title,
+    'text' as job_description, 'text' as org_description, cast(case when event_type='error' then 0 else 1 end as bigint) as classified,
+    '' as followup, '' as code from events""",
 )
 def append_latency_results(spark, sf_dir):
     """Failed and successful calls are appended one after the other to one table with a declared schema."""
@@ -140,9 +150,7 @@ def append_latency_results(spark, sf_dir):
     path = scratch(spark) + "/latency"
     writers.append_results(rows.filter(failed), path)
     writers.append_results(rows.filter(~failed), path)
-    return spark.read.schema(writers.LATENCY_SCHEMA).parquet(path).select(
-        "test_id", "test_description", "step", "total_latency", "response_time", "status_code", "classified", "followup"
-    )
+    return spark.read.schema(writers.LATENCY_SCHEMA).parquet(path).withColumn("test_timestamp", F.col("test_timestamp").cast("timestamp_ntz"))
 
 
 @register(

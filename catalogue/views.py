@@ -54,6 +54,7 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REQUEST_CONSTANTS = {"llm": "model-1", "type": "sic"}
 CLERICAL = ["unique_id", "sic_ind_occ1", "sic_ind_occ2", "sic_ind_occ3"]
 
 

@@ -48,7 +48,7 @@ def _padded_number(text: Column, as_it_was: Column) -> Column:
 def pad_numeric_label(col: Column) -> Column:
     """Numeric-looking labels become whole numbers padded to five digits; all else stays."""
     return (
-        F.when(col.rlike("^[0-9]{1,5}$"), F.lpad(col, CODE_LENGTH, "0"))
+        F.when(col.rlike(r"\A[0-9]{1,5}\z"), F.lpad(col, CODE_LENGTH, "0"))
         .when(col.rlike(_NUMBER) & (col != NOT_CODABLE), _padded_number(col, col))
         .otherwise(col)
     )
@@ -74,7 +74,7 @@ def parse_codes(text: Column, pattern: str = CODE_PATTERN, width: int = CODE_LEN
     try:
         re.compile(pattern)
     except re.error as error:
-        logger.warning("Error parsing numerical codes with %s: %s", pattern, error)
+        logger.warning("%r is no regular expression (%s), so no codes are read.", pattern, error)
         return empty
     trimmed = F.btrim(text, F.lit(_BLANKS))
     bare = F.replace(F.replace(trimmed, F.lit(NOT_CODABLE)), F.lit(FOUR_OR_MORE))
@@ -167,7 +167,7 @@ def parse_digits(text: str | None) -> int:
     if text is None:
         return CODE_LENGTH
     if text not in ("0", "1", "2", "3", "4", "5", "S"):
-        raise ValueError("illegal value passed for number_of_digits")
+        raise ValueError(f"{text!r} is no digit level; use 0 to 5, or S for sections.")
     return 0 if text == "S" else int(text)
 
 

@@ -43,7 +43,7 @@ def overlaps(left: Column, right: Column) -> Column:
 def codes_match(truth: Column, model: Column, method: str = "MM") -> Column:
     """Do two code sets agree? First letter: one/many human codes, second: one/many model codes."""
     if method not in MATCH_METHODS:
-        raise ValueError(f"Invalid comparison method: {method}")
+        raise ValueError(f"{method!r} is none of the ways to compare code sets: {MATCH_METHODS}.")
     match = overlaps(truth, model)
     if method[0] == "O":
         match = is_single(truth) & match

@@ -94,7 +94,7 @@ class LabelAlignment:
         """Percentage of records at or above a confidence that agree; 0 when there are none."""
         columns = {"full": "is_correct", "2-digit": "is_correct_2_digit"}
         if match_type not in columns:
-            raise ValueError("match_type must be 'full' or '2-digit'")
+            raise ValueError(f"There is no match type {match_type!r}; choose one of {sorted(columns)}.")
         confident = self.df.filter(F.col("max_score") >= threshold)
         counted = confident.agg(
             F.count_if(F.col(columns[match_type])).alias("matches"), F.count(F.lit(1)).alias("total_considered")
@@ -175,7 +175,7 @@ class LabelAlignment:
         """
         id_col, humans = self.config.id_col, self.config.clerical_label_cols
         if candidate_col not in self.df.columns or humans[0] not in self.df.columns:
-            raise ValueError("Candidate or primary clerical column not found.")
+            raise ValueError(f"{candidate_col} and {humans[0]} must both be columns of the table.")
         made = self.df.filter(F.col(candidate_col).isNotNull())
         candidate = F.col(candidate_col)
         any_match = reduce(lambda a, b: a | b, [F.coalesce(candidate == F.col(c), F.lit(False)) for c in humans])
@@ -226,9 +226,8 @@ def confusion_matrix(df: DataFrame, config: ConfusionConfig) -> DataFrame:
     require_columns(df, [human, model])
     kept = exclude_patterns(df.select(human, model), human, config.exclude_patterns)
     pairs = kept.groupBy(human, model).count()
-    # Each list of kept codes has at most top_n rows.
-    top_human = F.broadcast(top_values(pairs, human, config.top_n).select(human))
-    top_model = F.broadcast(top_values(pairs, model, config.top_n).select(model))
+    top_human = top_values(pairs, human, config.top_n).select(human)
+    top_model = top_values(pairs, model, config.top_n).select(model)
     return pairs.join(top_human, human, "left_semi").join(top_model, model, "left_semi").select(human, model, "count")
 
 

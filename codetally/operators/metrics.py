@@ -156,7 +156,7 @@ def evaluation_metrics(
     """
     by = by or []
     if final_model_col and final_model_col not in df.columns:
-        logger.warning("No final classification stats available (final code column not found).")
+        logger.warning("There is no column %s, so metrics after follow-up are left empty.", final_model_col)
         final_model_col = None
     has_final = final_model_col is not None
     roles = {"truth": truth_col, "initial": initial_model_col, **({"final": final_model_col} if has_final else {})}

@@ -11,12 +11,12 @@ from codetally.functions.stats import wald_half_width
 HUMAN, MODEL = "clerical_codes", "initial_codes"
 
 
-def explode_both(df: DataFrame, left: str = HUMAN, right: str = MODEL) -> DataFrame:
+def explode_both(df: DataFrame, subset: str, left: str = HUMAN, right: str = MODEL) -> DataFrame:
     """Every combination of a record's human and model codes; an empty set gives a null.
 
-    Meant for one of the ambiguity subsets, where a record has at most four combinations.
+    Only records of an ambiguity subset take part, so a record has at most four combinations.
     """
-    once = df.withColumn(left, F.explode_outer(left))
+    once = ambiguity_subset(df, subset, left, right).withColumn(left, F.explode_outer(left))
     return once.withColumn(right, F.explode_outer(right))
 
 
@@ -28,9 +28,9 @@ def ambiguity_subset(df: DataFrame, subset: str, left: str = HUMAN, right: str =
     return df.filter(masks[subset](F.col(left), F.col(right)))
 
 
-def pair_counts(df: DataFrame, left: str = HUMAN, right: str = MODEL) -> DataFrame:
+def pair_counts(df: DataFrame, subset: str, left: str = HUMAN, right: str = MODEL) -> DataFrame:
     """How often each pair of codes occurs in an ambiguity subset. Records with an empty side have no pairs."""
-    pairs = df.select(F.explode(left).alias(left), right).select(left, F.explode(right).alias(right))
+    pairs = ambiguity_subset(df, subset, left, right).select(F.explode(left).alias(left), right).select(left, F.explode(right).alias(right))
     return pairs.groupBy(left, right).count()
 
 
@@ -39,18 +39,17 @@ def frequent_confusions(pairs: DataFrame, left: str = HUMAN, right: str = MODEL,
 
     Pairs tied with that one are all left out, so there are never more than ``rank - 1``.
     """
-    off = pairs.filter(F.col(left) != F.col(right))
-    cutoff = off.orderBy(F.desc("count")).limit(rank).agg(F.min("count")).scalar()
-    return off.filter(F.col("count") > cutoff)
+    top = pairs.filter(F.col(left) != F.col(right)).orderBy(F.desc("count")).limit(rank)
+    # A window over at most ``rank`` rows.
+    return top.withColumn("_least", F.min("count").over(Window.partitionBy())).filter(F.col("count") > F.col("_least")).drop("_least")
 
 
 def counts_among_confused(pairs: DataFrame, left: str = HUMAN, right: str = MODEL, rank: int = 11) -> DataFrame:
     """All pair counts, diagonal included, among the codes of the frequent confusions."""
     frequent = frequent_confusions(pairs, left, right, rank)
     labels = frequent.select(F.explode(F.array(left, right)).alias("label")).distinct()
-    # Fewer than rank pairs, so fewer than 2 * rank labels.
-    on_left = F.broadcast(labels.withColumnRenamed("label", left))
-    on_right = F.broadcast(labels.withColumnRenamed("label", right))
+    on_left = labels.withColumnRenamed("label", left)
+    on_right = labels.withColumnRenamed("label", right)
     return pairs.join(on_left, left, "left_semi").join(on_right, right, "left_semi").select(left, right, "count")
 
 

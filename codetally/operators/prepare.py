@@ -21,12 +21,20 @@ FIRST = "_first"
 CONFIDENT = "_confident"
 
 
-def keep_unambiguous(df: DataFrame, flag_col: str = "Unambiguous", required: bool = True) -> DataFrame:
-    """Rows flagged true. Text flags may be in any case; anything but true/false is dropped."""
+def keep_unambiguous(df: DataFrame, flag_col: str = "Unambiguous", required: bool = True, strict: bool = True) -> DataFrame:
+    """Rows flagged true. Text flags may be in any case; a row without a flag is dropped.
+
+    Text that is neither true nor false stops the job; with ``strict=False`` its row is dropped as well.
+    """
     if flag_col not in df.columns and not required:
         return df
     require_columns(df, [flag_col])
-    return df.filter(text_flag(F.col(flag_col), df.schema[flag_col].dataType))
+    given = F.col(flag_col)
+    flag = text_flag(given, df.schema[flag_col].dataType)
+    if strict:
+        failure = F.raise_error(F.concat(F.lit(f"{flag_col} is neither true nor false: "), given.cast("string")))
+        flag = F.when(given.isNotNull() & flag.isNull(), failure.cast("boolean")).otherwise(flag)
+    return df.filter(flag)
 
 
 def clean_labels(df: DataFrame, label_cols: list[str]) -> DataFrame:

@@ -28,7 +28,7 @@ def count_answers(df: DataFrame, cols: list[str]) -> Column:
     """Number of codes given over the columns that exist."""
     for name in cols:
         if name not in df.columns:
-            logger.warning("Column '%s' not found for num_answers calculation. It will be ignored.", name)
+            logger.warning("Answers are counted without %s, which the table does not have.", name)
     return answer_count(*[F.col(c) if c in df.columns else F.lit(None).cast("string") for c in cols])
 
 
@@ -37,7 +37,7 @@ def add_quality_flags(df: DataFrame, code_cols: list[str] | None = None) -> Data
     cols = code_cols or CODE_COLUMNS
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        logger.error("Input is missing columns for quality flags: %s. Skipping flag generation.", missing)
+        logger.error("No quality flags added: the table lacks %s.", missing)
         return df
     first = F.col(cols[0])
     answers = count_answers(df, cols)

@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codetally.lineage import in_order
 from codetally.operators.validation import require_columns, require_more_rows
 
-
-# Constant part of a classification request.
-REQUEST_CONSTANTS = {"llm": "gemini", "type": "sic"}
-
 # What a stored response holds that is used later. ``classified`` may be a boolean or a number.
 RESPONSE_SCHEMA = "results array<struct<classified string, followup string, code string>>, error string"
 
 
 def take_window(df: DataFrame, order_cols: list[str], skip: int = 0, take: int | None = None) -> DataFrame:
-    """Skip ``skip`` rows and take ``take`` rows, or all others, in the order of columns that tell rows apart.
+    """Skip ``skip`` rows and take ``take`` rows, or all others, in the order of ``order_cols``, nulls last.
 
-    Without ``take`` the table is not sorted: rows are kept by comparing them with the last skipped one.
+    Rows equal there follow the order of their other columns. Neither number bounds the work of a task: rows get
+    their places by ranges, see ``in_order``, which writes the table once.
     """
-    if take is not None:
-        return df.orderBy(*order_cols).offset(skip).limit(take)
-    if skip <= 0:
+    if skip <= 0 and take is None:
         return df
-    skipped = df.select(*order_cols).orderBy(*order_cols).limit(skip)
-    last = skipped.agg(F.max(F.struct(*order_cols))).scalar()
-    return df.filter(F.struct(*order_cols) > last)
+    place = F.col("_position")
+    wanted = place >= skip if take is None else (place >= skip) & (place < skip + take)
+    return in_order(df, order_cols).filter(wanted).select(*df.columns)
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFrame:
@@ -39,9 +34,7 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFram
 def lookup_text(sample: DataFrame, stacked: DataFrame, text_col: str, id_col: str = "unique_id", method_col: str = "method") -> DataFrame:
     """The text each model holds for each sampled id."""
     require_columns(stacked, [id_col, method_col, text_col])
-    # The sample has a fixed number of rows.
-    ids = F.broadcast(sample.select(id_col).distinct())
-    return stacked.select(id_col, method_col, text_col).join(ids, id_col, "left_semi")
+    return stacked.select(id_col, method_col, text_col).join(sample.select(id_col).distinct(), id_col, "left_semi")
 
 
 def reformat_access_codes(
@@ -57,28 +50,26 @@ def reformat_access_codes(
 def split_retained(df: DataFrame, order_col: str, n: int) -> tuple[DataFrame, DataFrame]:
     """``(retained, distributed)``: rows 2 to ``n + 1`` in key order are distributed, all others retained.
 
-    ``order_col`` must be unique and not null. Only the keys of the first ``n + 1`` rows are looked at
-    to find where to cut; the table itself is split by comparing keys, without sort or join.
-    Runs a count that stops after ``n + 1`` rows, to fail early when there are too few.
+    Every row is in exactly one half. Rows without a key are retained; rows that share one follow the order of their
+    other columns, so exactly ``n`` rows are distributed. The table is written once, with each row's place, and
+    its rows with a key are counted, to fail early when there are too few.
     """
     if n <= 0:
-        raise ValueError(f"{n} is not a positive integer")
-    require_more_rows(df, n)
-    head = df.select(F.col(order_col).alias("key")).orderBy("key").limit(n + 1)
-    first, last = head.agg(F.min("key")).scalar(), head.agg(F.max("key")).scalar()
-    distributed = (F.col(order_col) > first) & (F.col(order_col) <= last)
-    return df.filter(~distributed), df.filter(distributed)
+        raise ValueError(f"At least one row has to be distributed, not {n}.")
+    placed = in_order(df, [order_col])
+    require_more_rows(placed.filter(F.col(order_col).isNotNull()).count(), n)
+    distributed = F.col(order_col).isNotNull() & F.col("_position").between(1, n)
+    return placed.filter(~distributed).select(*df.columns), placed.filter(distributed).select(*df.columns)
 
 
-def request_payload(columns: dict[str, str | Column], constants: dict[str, str] | None = None) -> Column:
+def request_payload(columns: dict[str, str | Column], constants: dict[str, str]) -> Column:
     """The request body as JSON text: constants, then the given columns under their request names."""
-    constants = REQUEST_CONSTANTS if constants is None else constants
     fields = [F.lit(value).alias(name) for name, value in constants.items()]
     fields += [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def build_requests(df: DataFrame, id_col: str, columns: dict[str, str | Column], constants: dict[str, str] | None = None) -> DataFrame:
+def build_requests(df: DataFrame, id_col: str, columns: dict[str, str | Column], constants: dict[str, str]) -> DataFrame:
     """``(unique_id, request_payload)`` for every record."""
     return df.select(F.col(id_col).alias("unique_id"), request_payload(columns, constants).alias("request_payload"))
 

@@ -15,21 +15,23 @@ logger = logging.getLogger(__name__)
 def require_columns(df: DataFrame, required: list[str]) -> None:
     missing = [name for name in required if name not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"The table lacks {missing}; it has {df.columns}.")
 
 
 def validate_wide_table(df: DataFrame, config: ColumnConfig) -> list[str]:
     """Columns present and paired; returns (and logs) warnings about unexpected types."""
     require_columns(df, config.required_cols)
     if len(config.model_label_cols) != len(config.model_score_cols):
-        raise ValueError("Number of model label columns must match number of score columns")
+        raise ValueError(
+            f"Every model label column needs a score column: {config.model_label_cols} against {config.model_score_cols}."
+        )
     warnings = [
-        f"Column '{name}' is not numeric."
+        f"Scores in {name} are {df.schema[name].dataType.simpleString()} and will be read as numbers."
         for name in config.model_score_cols
         if not isinstance(df.schema[name].dataType, T.NumericType)
     ]
     warnings += [
-        f"Label column '{name}' is not of type string."
+        f"Labels in {name} are {df.schema[name].dataType.simpleString()} and will be read as text."
         for name in config.label_cols
         if not isinstance(df.schema[name].dataType, T.StringType)
     ]
@@ -38,13 +40,10 @@ def validate_wide_table(df: DataFrame, config: ColumnConfig) -> list[str]:
     return warnings
 
 
-def require_more_rows(df: DataFrame, n: int) -> None:
-    """Fail unless the table has more than ``n`` rows. Runs a count that stops after ``n + 1`` rows."""
-    found = df.select().limit(n + 1).count()
-    if found == 0:
-        raise ValueError("No rows found.")
+def require_more_rows(found: int, n: int) -> None:
+    """Fail unless more than ``n`` rows were found."""
     if found <= n:
-        raise ValueError(f"Requested {n} rows, but only {found} are available and one is always retained.")
+        raise ValueError(f"{n} rows are to be distributed and one retained, but only {found} rows have a key.")
 
 
 def schema_problems(df: DataFrame, schema: T.StructType) -> list[str]:

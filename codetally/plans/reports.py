@@ -9,7 +9,6 @@ from codetally.config import ColumnConfig
 from codetally.operators.alignment import LabelAlignment
 from codetally.operators.hierarchy import Hierarchy
 from codetally.operators.pairs import (
-    ambiguity_subset,
     code_labels,
     counts_among_confused,
     pair_counts,
@@ -76,7 +75,7 @@ def confusion_report(joined: DataFrame, digits: int) -> dict[str, DataFrame]:
     """
     tables = {"labels": code_labels(joined, "clerical_codes")}
     for subset in ("single", "few"):
-        pairs = pair_counts(ambiguity_subset(joined, subset))
+        pairs = pair_counts(joined, subset)
         tables[subset] = counts_among_confused(pairs) if digits > 1 else pairs
     return tables
 
@@ -111,7 +110,8 @@ def share_access_codes(
 
 
 def request_batch(
-    df: DataFrame, id_col: str, columns: dict[str, str], order_cols: list[str], skip: int = 0, take: int | None = None
+    df: DataFrame, id_col: str, columns: dict[str, str], order_cols: list[str], constants: dict[str, str], skip: int = 0,
+    take: int | None = None,
 ) -> DataFrame:
     """Requests for a window of the records."""
-    return build_requests(take_window(df, order_cols, skip, take), id_col, columns)
+    return build_requests(take_window(df, order_cols, skip, take), id_col, columns, constants)

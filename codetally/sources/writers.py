@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +40,19 @@ def csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    csv_ready(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """A CSV with a header. Blanks around a cell, quotes and line breaks inside it are kept."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    csv_ready(df).write.mode(mode).options(header=True, escape='"', **blanks).csv(path)
     return path
 
 
+def beside(path: str, extension: str, suffix: str) -> str:
+    """The path with a suffix after its stem: always another path than the one given."""
+    return f"{path.rstrip('/').removesuffix(extension)}{suffix}"
+
+
 def metrics_path(data_path: str, digits: int) -> str:
-    return data_path.replace(".parquet", f"_metrics_{digits}d.json")
+    return beside(data_path, ".parquet", f"_metrics_{digits}d.json")
 
 
 def write_metrics(metrics: DataFrame, data_path: str, digits: int) -> str:
@@ -59,7 +67,7 @@ def write_evaluation_run(
 ) -> str:
     """One folder per run holding its metadata and each result table as JSON; returns the folder."""
     if not metadata:
-        raise ValueError("Metadata dictionary cannot be empty")
+        raise ValueError("An evaluation run needs at least one entry of metadata, such as evaluation_type.")
     stamp = (when or datetime.now()).strftime("%Y%m%d_%H%M%S")
     folder = f"{save_path.rstrip('/')}/outputs/{stamp}_{metadata.get('evaluation_type', 'unnamed')}"
     spark.createDataFrame([(json.dumps(metadata),)], "value string").write.text(f"{folder}/metadata")
@@ -94,16 +102,30 @@ def append_results(df: DataFrame, path: str, schema: T.StructType = LATENCY_SCHE
     return path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_split(retained: DataFrame, distributed: DataFrame, path: str, suffixes=("_retained", "_distributed"), overwrite: bool = False) -> tuple[str, str]:
-    """The two halves of a split table as two CSVs. Unless told to overwrite, existing output is an error
-    and is noticed before anything is written."""
-    paths = tuple(path.replace(".csv", f"{suffix}.csv") for suffix in suffixes)
+    """The two halves of a split table as two CSVs, named after ``path`` with a suffix each.
+
+    Unless told to overwrite, existing output is an error. It is looked for before anything is written, and each
+    write refuses it again.
+    """
+    if len(set(suffixes)) != 2 or not all(suffixes):
+        raise ValueError(f"The halves need two different suffixes, not {suffixes}.")
+    extension = ".csv" if path.endswith(".csv") else ""
+    paths = tuple(beside(path, extension, f"{suffix}{extension}") for suffix in suffixes)
     if not overwrite:
-        spark = retained.sparkSession
         for target in paths:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-            if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-                raise FileExistsError(f"{target} already exists.")
+            if _exists(retained.sparkSession, target):
+                raise FileExistsError(f"{target} is there already; choose another path or overwrite it.")
     mode = "overwrite" if overwrite else "errorifexists"
     for table, target in zip((retained, distributed), paths):
         write_csv(table, target, mode)

@@ -16,7 +16,9 @@ def test_text_csv(spark, tmp_path):
     found = [tuple(r) for r in readers.read_text_csv(spark, str(path)).collect()]
     assert found == [("t1", "01110", None), ("t2", "4+", None), ("t3", "-9", None), ("t4", "663xx", None)]
     assert readers.read_text_csv(spark, str(path), null_tokens=False).first().other == "NA"
-    typed = readers.read_typed_csv(spark, str(path), {"code": "int"}).collect()
+    with pytest.raises(Exception, match="this cell is not: 4\\+"):
+        readers.read_typed_csv(spark, str(path), {"code": "int"}).collect()
+    typed = readers.read_typed_csv(spark, str(path), {"code": "int"}, strict=False).collect()
     assert [r.code for r in typed] == [1110, None, -9, None]
 
 
@@ -90,8 +92,8 @@ def test_access_code_split(spark, tmp_path):
 
 def test_requests_and_responses(spark):
     rows = spark.createDataFrame([("u1", "cook", None)], "id string, job string, industry string")
-    built = selection.build_requests(rows, "id", {"job_title": "job", "industry_descr": "industry"}).first()
-    assert json.loads(built.request_payload) == {"llm": "gemini", "type": "sic", "job_title": "cook", "industry_descr": None}
+    built = selection.build_requests(rows, "id", {"job_title": "job", "industry_descr": "industry"}, {"type": "sic"}).first()
+    assert json.loads(built.request_payload) == {"type": "sic", "job_title": "cook", "industry_descr": None}
     bodies = [
         '{"results":[{"classified":true,"followup":"why","code":"01110"},{"code":"2"}]}', '{"results":[]}', '{"error":"503"}', "not json", None,
         '{"results":[{"classified":1,"code":5}]}',
@@ -101,6 +103,38 @@ def test_requests_and_responses(spark):
     assert found == [(1, "why", "01110", None), (0, "", "", None), (0, "", "", "503"), (0, "", "", None), (0, "", "", None), (1, "", "5", None)]
 
 
+def test_free_text_survives_a_csv(spark, tmp_path):
+    texts = [" lead", "tail ", "two\nlines", 'say "so"', "a,b", "back\\slash", '"', " \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+    path = writers.write_csv(df, str(tmp_path / "out"))
+    back = readers.read_text_csv(spark, path, ["i", "text"], null_tokens=False)
+    assert [r.text for r in back.orderBy(F.col("i").cast("int")).collect()] == texts
+
+
+def test_writers_never_write_where_they_read(spark, tmp_path):
+    data = str(tmp_path / "modeldir")
+    spark.range(5).write.parquet(data)
+    written = writers.write_metrics(spark.range(1), data, 5)
+    assert written == data + "_metrics_5d.json"
+    assert spark.read.parquet(data).count() == 5
+    halves = spark.range(3), spark.range(3, 5)
+    paths = writers.write_split(*halves, str(tmp_path / "codes"), overwrite=True)
+    assert [spark.read.option("header", True).csv(p).count() for p in paths] == [3, 2]
+    with pytest.raises(ValueError):
+        writers.write_split(*halves, str(tmp_path / "codes"), suffixes=("_a", "_a"))
+
+
+def test_no_row_is_lost_in_a_split(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d"), (3, "e"), (None, "f"), (None, "f")], "k int, v string").repartition(3)
+    retained, distributed = selection.split_retained(df, "k", 2)
+    assert sorted(r.v for r in distributed.collect()) == ["b", "c"]
+    assert sorted(r.v for r in retained.collect()) == ["a", "d", "e", "f", "f"]
+    assert sorted(r.v for r in selection.take_window(df, ["k"], skip=1).collect()) == ["b", "c", "d", "e", "f", "f"]
+    assert [r.v for r in selection.take_window(df, ["k"], skip=5, take=1).collect()] == ["f"]
+    with pytest.raises(ValueError):
+        selection.split_retained(df, "k", 5)
+
+
 def test_windows_and_samples(spark):
     df = spark.range(100).repartition(4)
     assert [r.id for r in selection.take_window(df, ["id"], 90, 5).collect()] == [90, 91, 92, 93, 94]

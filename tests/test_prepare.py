@@ -168,7 +168,10 @@ def test_clean_wide_table(spark):
     cleaned = {r.unique_id: (r.clerical_label_1, r.clerical_label_2) for r in clean_wide_table(table, WIDE).collect()}
     assert cleaned == {"A": ("12345", "23456"), "B": ("01234", None), "C": ("-9", "4+"), "D": (None, None), "E": ("5432x", "54321")}
     strict = ColumnConfig(**{**WIDE.__dict__, "filter_unambiguous": True})
-    assert {r.unique_id for r in clean_wide_table(table, strict).collect()} == {"A", "B"}
+    assert {r.unique_id for r in clean_wide_table(table.filter("unique_id <> 'E'"), strict).collect()} == {"A", "B"}
+    with pytest.raises(Exception, match="neither true nor false: maybe"):
+        clean_wide_table(table, strict).collect()
+    assert {r.unique_id for r in keep_unambiguous(table, strict=False).collect()} == {"A", "B"}
     assert keep_unambiguous(table.drop("Unambiguous"), required=False).count() == 5
     with pytest.raises(ValueError):
         clean_wide_table(table.drop("Unambiguous"), strict)

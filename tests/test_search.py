@@ -79,13 +79,14 @@ def test_pairs(spark):
         [(1, ["a"], ["a"]), (2, ["a", "b"], ["b"]), (3, [], ["b"]), (4, ["a"], ["b"]), (5, ["c"], ["d"])],
         "i int, clerical_codes array<string>, initial_codes array<string>",
     )
-    assert P.explode_both(rows).count() == 6
-    counts = {(r.clerical_codes, r.initial_codes): r["count"] for r in P.pair_counts(rows).collect()}
-    assert counts == {("a", "a"): 1, ("a", "b"): 2, ("b", "b"): 1, ("c", "d"): 1}
-    frequent = P.frequent_confusions(P.pair_counts(rows)).collect()
+    assert P.explode_both(rows, "few").count() == 3
+    counts = {(r.clerical_codes, r.initial_codes): r["count"] for s in ("single", "few") for r in P.pair_counts(rows, s).collect()}
+    assert counts == {("a", "a"): 1, ("a", "b"): 1, ("b", "b"): 1, ("c", "d"): 1}
+    pairs = P.pair_counts(rows, "single").unionByName(P.pair_counts(rows, "few")).groupBy("clerical_codes", "initial_codes").agg(F.sum("count").alias("count"))
+    frequent = P.frequent_confusions(pairs).collect()
     assert [(r.clerical_codes, r.initial_codes) for r in frequent] == [("a", "b")]
-    among = {(r.clerical_codes, r.initial_codes) for r in P.counts_among_confused(P.pair_counts(rows)).collect()}
+    among = {(r.clerical_codes, r.initial_codes) for r in P.counts_among_confused(pairs).collect()}
     assert among == {("a", "a"), ("a", "b"), ("b", "b")}
-    assert P.frequent_confusions(P.pair_counts(rows.filter("i = 1"))).count() == 0
+    assert P.frequent_confusions(P.pair_counts(rows.filter("i = 1"), "single")).count() == 0
     assert {r.i for r in P.ambiguity_subset(rows, "few").collect()} == {2, 3}
     assert {r.label for r in P.code_labels(rows, "clerical_codes").collect()} == {"a", "b", "c"}
