@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalogue.sql import query as with_steps
+from catalogue.views import new_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,12 @@ def register(name: str, sql: str | None = None):
     def add(function: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = function
+
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            new_query()
+            return function(spark, sf_dir)
+
+        QUERIES[name] = build
         if sql is not None:
             ORACLES[name] = with_steps(sql)
         return function

@@ -80,12 +80,16 @@ def nearest_sql(levels: str) -> str:
         left join (select distinct prefix, value from lookup where digits=0 and length(prefix)=2) l on l.prefix=substr(top_code,1,2)"""
 
 
-@register("top_in_truth", f"select method, unique_id, cast(digits as bigint) as digits, top_distance, top_in_truth from ({nearest_sql('5,0')})")
+@register(
+    "top_in_truth",
+    f"""select method, cast(digits as bigint) as digits, top_distance, top_in_truth, count(*) as records
+    from ({nearest_sql('5,0')}) group by all""",
+)
 def top_in_truth(spark, sf_dir):
     found = nearest_candidates(
         views.searches(spark, sf_dir), views.clerical(spark, sf_dir), views.hierarchy(spark, sf_dir), [5, 0], unique_ids=True
     )
-    return found.select("method", "unique_id", F.col("digits").cast("bigint").alias("digits"), "top_distance", "top_in_truth")
+    return found.groupBy("method", F.col("digits").cast("bigint").alias("digits"), "top_distance", "top_in_truth").agg(F.sum("records").alias("records"))
 
 
 def curve_sql(source: str, series: str) -> str:
@@ -129,6 +133,21 @@ def cumulative_curve_of_lines(spark, sf_dir):
     return semantic.cumulative_curve(points, ["method"])
 
 
+@register(
+    "cumulative_curve_of_prices",
+    "select * from (" + curve_sql(
+        "select l_returnflag as method, case when l_linenumber<6 then l_extendedprice end as distance, l_discount>5e-2 as hit from lineitem", "method"
+    ) + ") where distance_threshold is not null",
+)
+def cumulative_curve_of_prices(spark, sf_dir):
+    """Distances in the thousands, some missing, some not a number."""
+    distance = F.when(F.col("l_linenumber") < 6, F.col("l_extendedprice").cast("double")).when(F.col("l_linenumber") == 6, F.lit(float("nan")))
+    points = views.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("method"), distance.alias("top_distance"), (F.col("l_discount") > 0.05).alias("top_in_truth")
+    )
+    return semantic.cumulative_curve(points, ["method"])
+
+
 @register(
     "last_point_per_distance",
     "select l_quantity as distance_threshold, cast(sum(count(*)) over (order by l_quantity rows unbounded preceding) as bigint) as subset_total from lineitem group by 1",
@@ -138,7 +157,7 @@ def last_point_per_distance(spark, sf_dir):
     points = views.table(spark, sf_dir, "lineitem").select(
         F.lit("all").alias("series"), F.col("l_quantity").alias("top_distance"), F.lit(True).alias("top_in_truth")
     )
-    return semantic.cumulative_curve(points, ["series"], steps=(1, 10)).select("distance_threshold", "subset_total")
+    return semantic.cumulative_curve(points, ["series"]).select("distance_threshold", "subset_total")
 
 
 SHORTLISTED = f"""select method, unique_id, digits, size, list(distinct value) as codes from (

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetally.functions.codes import join_codes
+from codetally.lineage import written
 from codetally.operators.hierarchy import Hierarchy
 
 
@@ -28,7 +27,27 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> Hierarchy:
     return Hierarchy(hierarchy_table(spark, sf_dir))
 
 
-@functools.lru_cache(maxsize=4)
+#: What the query that is being built has derived so far; each query derives its own.
+_derived: dict[tuple[str, str], DataFrame] = {}
+
+
+def new_query() -> None:
+    _derived.clear()
+
+
+def once_per_query(derive):
+    """Derive a table once for all its uses in a query, written so that the given tables are read once."""
+
+    def table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (derive.__name__, sf_dir)
+        if key not in _derived:
+            _derived[key] = written(derive(spark, sf_dir))
+        return _derived[key]
+
+    return table_of
+
+
+@once_per_query
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order: human codes, first model choice, scored model candidates of several models.
 
@@ -80,6 +99,7 @@ def model_output(spark: SparkSession, sf_dir: str, with_final: bool = False) ->
 
 def models(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Three models over the same records, from different lines of each order."""
+    # Kept apart as users have them, one table per model; all are narrow reads of the one derived table.
     rows = coded(spark, sf_dir)
     lines = {
         "m_a": (["m1", "m2", "m3"], ["s1", "s2", "s3"]),
@@ -99,9 +119,9 @@ def four_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = coded(spark, sf_dir)
     text = join_codes("m1", "m2", "m3", F.lit("99x")).alias("sic_ind_occ")
-    marked = rows.filter(F.col("sic_ind_occ1") == "4+").select("unique_id", text)
-    extra = rows.filter(F.col("sic_ind_occ1") == "-9").select((-F.col("unique_id") - 1).alias("unique_id"), text)
-    return marked.unionByName(extra)
+    uncoded = F.col("sic_ind_occ1") == "-9"
+    named = F.when(uncoded, -F.col("unique_id") - 1).otherwise(F.col("unique_id")).alias("unique_id")
+    return rows.filter(F.col("sic_ind_occ1").isin("4+", "-9")).select(named, text)
 
 
 def first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +131,8 @@ def first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@functools.lru_cache(maxsize=4)
-def searches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+@once_per_query
+def search_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results per order: each code of its lines with its nearest distance, by two methods.
 
     A code occurs once per order, so a list has at most as many entries as there are codes.
@@ -123,11 +143,15 @@ def searches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.min(F.col("l_extendedprice") / 100000).alias("price"), F.min(F.col("l_quantity") / 50 + F.col("l_tax")).alias("quantity")
     )
 
-    def results(distance: str) -> DataFrame:
-        ranked = F.sort_array(F.collect_list(F.struct(F.col(distance).alias("distance"), "code")))
-        return nearest.groupBy("unique_id").agg(ranked.alias("semantic_search_results"))
+    def ranked(distance: str) -> Column:
+        return F.sort_array(F.collect_list(F.struct(F.col(distance).alias("distance"), "code"))).alias(distance)
 
-    return {name: results(name) for name in ("price", "quantity")}
+    return nearest.groupBy("unique_id").agg(ranked("price"), ranked("quantity"))
+
+
+def searches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    lists = search_lists(spark, sf_dir)
+    return {name: lists.select("unique_id", F.col(name).alias("semantic_search_results")) for name in ("price", "quantity")}
 
 
 def repeated_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ class Hierarchy:
         ``row_cols`` identify a row, and ``items`` must depend on nothing else. Rows equal in all of them
         are counted and given back as often as they came, each input partition on its own, so that a
         heavily repeated row is never rebuilt by one task. With ``count_col`` they stay counted, in that
-        column. ``unique_rows`` promises that no two rows agree in ``row_cols``, which drops the counting.
+        column. ``unique_rows`` promises that no two rows agree in ``row_cols``; a broken promise stops the job.
         """
         split = [] if unique_rows else [F.spark_partition_id().alias("_split")]
         exploded = rows.select(*row_cols, *split, F.posexplode_outer(items).alias("_pos", "_item")).withColumns(
@@ -131,9 +131,8 @@ class Hierarchy:
         meant = F.struct("_level", F.col("codes").alias("_valid"), *[F.col(f"_item.{name}").alias(name) for name in sets])
         # Copies of a row bring the same entries again, so there only the distinct ones are gathered.
         gather = F.collect_list if unique_rows else F.collect_set
-        aggregates = [gather(F.when(F.col("codes").isNotNull(), meant)).alias("_meant")]
-        if not unique_rows:
-            aggregates.append(F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies"))
+        copies = F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies")
+        aggregates = [gather(F.when(F.col("codes").isNotNull(), meant)).alias("_meant"), copies]
         grouped = found.groupBy(*row_cols, *([] if unique_rows else ["_split"])).agg(*aggregates)
         if not unique_rows and count_col is None:
             grouped = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
@@ -143,7 +142,12 @@ class Hierarchy:
             mine = F.filter("_meant", lambda entry: entry["_level"] == level)
             return once(mine, lambda own: F.struct(level.alias("digits"), *[_union(own, name).alias(name) for name in sets]))
 
-        return grouped.select(*row_cols, *counted, F.transform(level_array(levels), at).alias("levels"))
+        laid_out = F.transform(level_array(levels), at)
+        if unique_rows:
+            told = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in row_cols[:2]])
+            broken = F.raise_error(F.concat(F.lit("Rows were promised to be unique, but one comes more than once: "), told))
+            grouped = grouped.filter(F.when(F.col("_copies") > 1, broken.cast("boolean")).otherwise(True))
+        return grouped.select(*row_cols, *counted, laid_out.alias("levels"))
 
 
 def _union(entries: Column, name: str) -> Column:

@@ -44,6 +44,25 @@ def override_from_side(
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
+def override_unique(main: DataFrame, side: DataFrame | None, id_col: str, value_col: str) -> DataFrame:
+    """The same where ids are unique in either table, in one grouping of both and without a join.
+
+    An id that is null, or comes twice in a table, stops the job.
+    """
+    both = main.select(id_col, F.col(value_col).alias("_main"), F.lit(None).cast("string").alias("_side"), F.lit(False).alias("_is_side"))
+    if side is not None:
+        both = both.unionByName(side.select(id_col, F.lit(None).cast("string").alias("_main"), F.col(value_col).alias("_side"), F.lit(True).alias("_is_side")))
+    grouped = both.groupBy(id_col).agg(
+        F.max("_main").alias("_main"), F.max("_side").alias("_side"),
+        F.greatest(F.count_if("_is_side"), F.count_if(~F.col("_is_side"))).alias("_copies"),
+    )
+    broken = F.raise_error(F.concat(F.lit(f"Ids were promised to be unique, but this {id_col} is not: "), F.col(id_col).cast("string")))
+    kept = grouped.filter(F.when(F.col("_copies") > 1, broken.cast("boolean")).otherwise(True))
+    # Part of the id itself: a join would drop null ids before any filter sees them.
+    no_null = F.raise_error(F.lit(f"Ids were promised to be unique, but a {id_col} is null.")).cast(main.schema[id_col].dataType)
+    return kept.select(F.coalesce(F.col(id_col), no_null).alias(id_col), F.coalesce("_side", "_main").alias(value_col))
+
+
 def attach_final_codes(df: DataFrame, final: DataFrame, final_col: str, id_col: str = "unique_id") -> DataFrame:
     """Left join of final codes; a record without any gets the empty set."""
     return join_on_id(df, final, id_col, "left").withColumn(final_col, F.coalesce(final_col, empty_set()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,7 +14,7 @@ from codetally.config import ColumnConfig
 from codetally.functions.codes import clean_label, code_text, join_codes, parse_codes, text_flag
 from codetally.functions.sets import fill_empty
 from codetally.operators.hierarchy import Hierarchy, items_at, level_array
-from codetally.operators.joins import override_from_side
+from codetally.operators.joins import override_from_side, override_unique
 from codetally.operators.validation import require_columns, validate_wide_table
 
 ID_COL = "unique_id"
@@ -55,19 +56,19 @@ def clerical_text(
     four_plus: DataFrame | None = None,
     clerical_col: str = "sic_ind_occ",
     id_col: str = ID_COL,
-    nulls_match: bool = True,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Three code columns as one text, replaced by the side table's text where that has one."""
     parts = [f"{clerical_col}{i}" for i in (1, 2, 3)]
     require_columns(df, [id_col, *parts])
     joined = join_codes(*[code_text(F.col(p), df.schema[p].dataType) for p in parts])
     text = df.select(id_col, joined.alias(clerical_col))
-    if four_plus is None:
-        return text
-    side = four_plus.select(
+    side = four_plus and four_plus.select(
         id_col, code_text(F.col(clerical_col), four_plus.schema[clerical_col].dataType).alias(clerical_col)
     )
-    return override_from_side(text, side, id_col, clerical_col, nulls_match)
+    if unique_ids:
+        return override_unique(text, side, id_col, clerical_col)
+    return text if side is None else override_from_side(text, side, id_col, clerical_col)
 
 
 def clerical_code_levels(
@@ -85,7 +86,7 @@ def clerical_code_levels(
 
     With ``count_col`` records with the same id and codes are one row, counted there.
     """
-    text = clerical_text(df, four_plus, clerical_col, id_col, nulls_match=not unique_ids)
+    text = clerical_text(df, four_plus, clerical_col, id_col, unique_ids)
     items = items_at(levels, parse_codes(F.col(clerical_col)), {out_col: F.lit(True)})
     row_cols = [id_col] if unique_ids else [id_col, clerical_col]
     cleaned = hierarchy.clean_code_sets(text, row_cols, items, [out_col], levels, unique_ids, count_col)
@@ -138,6 +139,68 @@ class Fallback:
     threshold: float = 0.0
 
 
+@dataclass(frozen=True)
+class Side:
+    """Which raw columns some code sets are read from, and how.
+
+    ``items`` gives the entries for ``Hierarchy.clean_code_sets``, each with a boolean for every flag it is handed;
+    ``sets`` gives the results from the flagged sets of a level.
+    """
+
+    content: list[str]
+    flags: list[str]
+    items: Callable[[list[str]], Column]
+    sets: Callable[[Column], dict[str, Column]]
+
+
+def text_side(col: str, out: str, levels: list[int], tokens: Callable[[Column], Column] = parse_codes) -> Side:
+    """The codes written in one text column."""
+    return Side(
+        [col], [out], lambda flags: items_at(levels, tokens(F.col(col)), {f: F.lit(f == out) for f in flags}), lambda sets: {out: sets[out]}
+    )
+
+
+def model_side(
+    df: DataFrame, outputs: dict[str, Fallback], levels: list[int], codes_col: str | None = "initial_code", code_name: str = "code",
+    score_name: str = "likelihood", tag: str = "", settled_col: str | None = None,
+) -> Side:
+    """The first choice or, where that yields no valid code, a fallback, for every output.
+
+    ``tag`` tells the flags of several such sides apart. Rows true in ``settled_col`` are known to have a valid
+    first choice, so their fallbacks are not looked at.
+    """
+    codes_col = codes_col if codes_col in df.columns else None
+    found = {out: f for out, f in outputs.items() if f.column in df.columns}
+    if codes_col is None and not found:
+        raise ValueError(f"The table has neither a first choice nor alternatives to it: {df.columns}.")
+    first = FIRST + tag
+    own = [*([first] if codes_col else []), *found, *[out + CONFIDENT for out in found]]
+    sources = list(dict.fromkeys(f.column for f in found.values()))
+
+    def items(flags: list[str]) -> Column:
+        parts = []
+        if codes_col:
+            tokens = parse_codes(code_text(F.col(codes_col), df.schema[codes_col].dataType))
+            parts.append(items_at(levels, tokens, {name: F.lit(name == first) for name in flags}))
+        for source in sources:
+            mine = {out: f.threshold for out, f in found.items() if f.column == source}
+            entries = _fallback_items(df, source, levels, mine, flags, code_name, score_name)
+            none = F.array().cast("array<struct<level:int,code:string," + ",".join(f"`{f}`:boolean" for f in flags) + ">>")
+            parts.append(F.when(F.col(settled_col), none).otherwise(entries) if settled_col else entries)
+        return F.concat(*parts)
+
+    def sets(level: Column) -> dict[str, Column]:
+        def outcome(out: str) -> Column:
+            if out not in found:
+                return level[first]
+            fallback = pruned(level[out], level[out + CONFIDENT])
+            return fill_empty(level[first], fallback) if codes_col else fallback
+
+        return {out: outcome(out) for out in outputs}
+
+    return Side([*([codes_col] if codes_col else []), *sources], own, items, sets)
+
+
 def _fallback_items(
     df: DataFrame, col: str, levels: list[int], mine: dict[str, float], flags: list[str], code_name: str, score_name: str
 ) -> Column:
@@ -195,31 +258,11 @@ def model_code_levels(
     """
     keep = keep or []
     require_columns(df, [id_col, *keep])
-    codes_col = codes_col if codes_col in df.columns else None
-    found = {out: f for out, f in outputs.items() if f.column in df.columns}
-    if codes_col is None and not found:
-        raise ValueError("At least one of the code columns must be present.")
-    flags = [*([FIRST] if codes_col else []), *found, *[out + CONFIDENT for out in found]]
-    sources = list(dict.fromkeys(f.column for f in found.values()))
-    items = []
-    if codes_col:
-        tokens = parse_codes(code_text(F.col(codes_col), df.schema[codes_col].dataType))
-        items.append(items_at(levels, tokens, {name: F.lit(name == FIRST) for name in flags}))
-    for source in sources:
-        mine = {out: f.threshold for out, f in found.items() if f.column == source}
-        items.append(_fallback_items(df, source, levels, mine, flags, alt_codes_name, score_name))
-    content = [] if unique_ids else [*([codes_col] if codes_col else []), *sources]
-    row_cols = list(dict.fromkeys([id_col, *keep, *content]))
-    cleaned = hierarchy.clean_code_sets(df, row_cols, F.concat(*items), flags, levels, unique_ids, count_col)
-
-    def outcome(sets: Column, out: str) -> Column:
-        if out not in found:
-            return sets[FIRST]
-        fallback = pruned(sets[out], sets[out + CONFIDENT])
-        return fill_empty(sets[FIRST], fallback) if codes_col else fallback
-
+    side = model_side(df, outputs, levels, codes_col, alt_codes_name, score_name)
+    row_cols = list(dict.fromkeys([id_col, *keep, *([] if unique_ids else side.content)]))
+    cleaned = hierarchy.clean_code_sets(df, row_cols, side.items(side.flags), side.flags, levels, unique_ids, count_col)
     decided = F.transform(
-        "levels", lambda sets: F.struct(sets["digits"].alias("digits"), *[outcome(sets, out).alias(out) for out in outputs])
+        "levels", lambda sets: F.struct(sets["digits"].alias("digits"), *[c.alias(out) for out, c in side.sets(sets).items()])
     )
     return add_up_copies(cleaned.select(id_col, *keep, *([count_col] if count_col else []), decided.alias("levels")), count_col)
 

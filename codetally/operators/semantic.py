@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from codetally.fixed_values import DISTANCE_EPSILON, DISTANCE_WEIGHT, RANK_WEIGHT
 from codetally.functions.codes import digits_label
 from codetally.functions.sets import is_single, once
+from codetally.lineage import written
 from codetally.operators.hierarchy import Hierarchy, level_width
 from codetally.operators.joins import join_on_id
 
@@ -22,22 +23,26 @@ CANDIDATES = T.ArrayType(
 
 
 def _ranked(results: Column, prefix: Column) -> Column:
-    """Nearest distance of each code prefix, nearest first, equal distances by code."""
+    """Nearest distance of each code prefix, nearest first, equal distances by code.
+
+    Sorted once: in order of distance, the first of equal prefixes is the nearest.
+    """
     usable = F.filter(results, lambda c: c["distance"].isNotNull() & ~F.isnan(c["distance"].cast("double")))
-    by_code = F.sort_array(
+    ordered = F.sort_array(
         F.transform(
             usable,
-            lambda c: F.struct(
-                F.substring(c["code"], F.lit(1), prefix).alias("code"), c["distance"].cast("double").alias("distance")
-            ),
+            lambda c: F.struct(c["distance"].cast("double").alias("distance"), F.substring(c["code"], F.lit(1), prefix).alias("code")),
         )
     )
 
-    def nearest(sorted_codes: Column) -> Column:
-        first = lambda c, i: (i == 0) | (F.get(sorted_codes, i - 1)["code"] != c["code"])
-        return F.sort_array(F.transform(F.filter(sorted_codes, first), lambda c: F.struct(c["distance"], c["code"])))
+    def nearest(candidates: Column) -> Column:
+        def distinct(codes: Column) -> Column:
+            at = lambda code: F.get(candidates, F.array_position(codes, code) - 1)
+            return F.transform(F.array_distinct(codes), at)
 
-    return once(by_code, nearest)
+        return once(F.transform(candidates, lambda c: c["code"]), distinct)
+
+    return once(ordered, nearest)
 
 
 def distance_to_confidence(results: Column, digits: Column) -> Column:
@@ -70,9 +75,13 @@ def distance_to_confidence(results: Column, digits: Column) -> Column:
 def top_candidate(
     df: DataFrame, hierarchy: Hierarchy, results_col: str, digits: int | list[int], level_col: str | None = None
 ) -> DataFrame:
-    """Distance and valid code set of each record's nearest result; both null when there is none."""
+    """Distance and valid code set of each record's nearest result; both null when there is none.
+
+    A distance that is not a number is null.
+    """
     nearest = F.get(F.col(results_col), F.lit(0))
-    tops = df.withColumns({"top_distance": nearest["distance"].cast("double"), "_top_code": nearest["code"]})
+    distance = F.nanvl(nearest["distance"].cast("double"), F.lit(None).cast("double"))
+    tops = df.withColumns({"top_distance": distance, "_top_code": nearest["code"]})
     found = hierarchy.clean_one_code(tops, "_top_code", digits, "top_candidate", level_col)
     return found.withColumn("top_candidate", F.when(F.size(results_col) > 0, F.col("top_candidate"))).drop("_top_code")
 
@@ -82,61 +91,49 @@ def top_in_truth(top_set: Column, truth: Column) -> Column:
     return F.coalesce(F.array_contains(truth, F.array_min(top_set)), F.lit(False))
 
 
-def curve_points(df: DataFrame, series: list[str], truth_col: str = "clerical_codes") -> DataFrame:
+def curve_points(df: DataFrame, series: list[str], truth_col: str = "clerical_codes", count_col: str | None = None) -> DataFrame:
     """Distances and matches per series and match type: all records (MO), and one-human-code records (OO)."""
     kinds = F.when(is_single(F.col(truth_col)), F.array(F.lit("MO"), F.lit("OO"))).otherwise(F.array(F.lit("MO")))
-    return df.select(*series, "top_distance", "top_in_truth", F.explode(kinds).alias("match_type"))
+    counts = [count_col] if count_col else []
+    return df.select(*series, "top_distance", "top_in_truth", *counts, F.explode(kinds).alias("match_type"))
 
 
 def cumulative_curve(
-    points: DataFrame, series: list[str], order_col: str = "top_distance", match_col: str = "top_in_truth",
-    steps: tuple[int, ...] = (1_000, 1_000_000),
+    points: DataFrame, series: list[str], order_col: str = "top_distance", match_col: str = "top_in_truth", count_col: str | None = None
 ) -> DataFrame:
-    """Share of records and running accuracy at each distance, nearest first.
+    """Share of records and running accuracy at each distance, nearest first. A row stands for one record, or for
+    as many as ``count_col`` says.
 
-    Records with the same distance form one point, so points are counted first. A series can still have
-    very many points, so running totals are not taken over a whole series at once: the distance is cut
-    into ever finer steps (thousandths, then millionths), totals run over the steps inside the next
-    coarser one, and the last window only covers the points of one finest step.
-    Records without a distance are in the denominator and give no point.
+    Records with the same distance form one point, so points are counted first. The counted points are dealt out by
+    ranges of the distance, of about equal size whatever the distances are, and written; totals run inside a range and
+    the totals of the ranges before are added, so no task holds a whole series.
+    Records without a distance, or with one that is not a number, are in the denominator and give no point.
     """
-    counts = [F.count(F.lit(1)).alias("n"), F.count_if(match_col).alias("m")]
-    counted = points.groupBy(*series, F.col(order_col).alias("distance")).agg(*counts)
-    finest = steps[-1]
-    levels = [f"_step{i}" for i in range(len(steps))]
-    fine = F.floor(F.col("distance") * finest)
-    located = counted.withColumns({name: F.floor(fine / F.lit(finest // step)) for name, step in zip(levels, steps)})
-    # Joins match nulls and the filter comes last, so that all parts read the one counted table as it is.
-    before = None
-    for depth, name in enumerate(levels):
-        parents, inside = levels[:depth], levels[: depth + 1]
-        totals = located.groupBy(*series, *inside).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-        whole = Window.partitionBy(*series, *parents)
-        earlier = whole.orderBy(F.asc_nulls_last(name)).rowsBetween(Window.unboundedPreceding, -1)
-        sums = [F.coalesce(F.sum(part).over(earlier), F.lit(0)).alias(f"_{part}{depth}") for part in ("n", "m")]
-        size = [F.sum("n").over(whole).alias("series_total")] if depth == 0 else []
-        shift = totals.select(*series, *inside, *sums, *size)
-        before = shift if before is None else join_on_id(shift, before, [*series, *parents])
-    within = Window.partitionBy(*series, *levels).orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
-    inner = located.select(
-        *series, *levels, "distance", F.sum("n").over(within).alias("_n"), F.sum("m").over(within).alias("_m")
-    )
-    running = join_on_id(inner, before, [*series, *levels])
-    upto = lambda part: sum((F.col(f"_{part}{d}") for d in range(len(levels))), F.col(f"_{part}"))
-    return (
-        running.select(
-            *series,
-            F.col("distance").alias("distance_threshold"),
-            upto("n").alias("subset_total"),
-            upto("m").alias("match_count"),
-            "series_total",
-        )
-        .withColumns({
-            "codability": F.try_divide(F.col("subset_total").cast("double"), F.col("series_total").cast("double")),
-            "accuracy": F.try_divide(F.col("match_count").cast("double"), F.col("subset_total").cast("double")),
-        })
-        .filter(F.col("distance_threshold").isNotNull())
-        .drop("series_total")
+    distance = F.nanvl(F.col(order_col).cast("double"), F.lit(None).cast("double"))
+    records = F.col(count_col) if count_col else F.lit(1).cast("bigint")
+    matched = F.sum(F.when(F.col(match_col), records).otherwise(0))
+    counted = points.groupBy(*series, distance.alias("distance")).agg(F.sum(records).alias("n"), matched.alias("m"))
+    dealt = counted.repartitionByRange(*[F.asc(c) for c in series], F.asc_nulls_last("distance"))
+    placed = written(dealt.withColumn("_range", F.spark_partition_id()))
+
+    totals = placed.groupBy("_range", *series).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    whole = Window.partitionBy(*series)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        "_range", *series, F.sum("n").over(whole).alias("_total"),
+        *[F.coalesce(F.sum(part).over(earlier), F.lit(0)).alias(f"_{part}") for part in ("n", "m")],
+    )
+    inside = Window.partitionBy("_range", *series).orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.filter(F.col("distance").isNotNull()).withColumns({part: F.sum(part).over(inside) for part in ("n", "m")})
+    joined = join_on_id(running, before, ["_range", *series])
+    subset, matches = F.col("n") + F.col("_n"), F.col("m") + F.col("_m")
+    return joined.select(
+        *series,
+        F.col("distance").alias("distance_threshold"),
+        subset.alias("subset_total"),
+        matches.alias("match_count"),
+        F.try_divide(subset.cast("double"), F.col("_total").cast("double")).alias("codability"),
+        F.try_divide(matches.cast("double"), subset.cast("double")).alias("accuracy"),
     )
 
 

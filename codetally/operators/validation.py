@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codetally.config import ColumnConfig
@@ -46,6 +47,14 @@ def require_more_rows(found: int, n: int) -> None:
         raise ValueError(f"{n} rows are to be distributed and one retained, but only {found} rows have a key.")
 
 
+def require_unique_ids(df: DataFrame, id_cols: list[str]) -> None:
+    """Fail if the first of the columns is null or all of them together repeat. Runs a job that reads only them."""
+    ids = df.groupBy(*id_cols).count()
+    broken = ids.filter(F.col(id_cols[0]).isNull() | (F.col("count") > 1)).limit(1).collect()
+    if broken:
+        raise ValueError(f"Ids were promised to be unique, but there is {broken[0].asDict()}.")
+
+
 def schema_problems(df: DataFrame, schema: T.StructType) -> list[str]:
     """How a table differs from a declared schema: missing, extra and differently typed columns."""
     have = {f.name: f.dataType for f in df.schema}

@@ -10,14 +10,8 @@ from codetally.operators.hierarchy import Hierarchy
 from codetally.operators.joins import attach_final_codes, join_levels
 from codetally.operators.metrics import evaluation_metrics
 from codetally.operators.pairs import add_wald_interval, melt_metrics
-from codetally.operators.prepare import (
-    Fallback,
-    clerical_code_levels,
-    model_code_levels,
-    prepare_model_codes,
-    rows_per_level,
-    stack_methods,
-)
+from codetally.operators.prepare import Fallback, clerical_code_levels, model_code_levels, prepare_model_codes, stack_methods
+from codetally.plans.pairing import coded_records
 from codetally.sources.readers import read_companion, read_model_output, read_text_csv
 from codetally.sources.writers import write_metrics
 
@@ -49,36 +43,13 @@ def joined_codes(
     return attach_final_codes(joined, final, "final_codes")
 
 
-def counted_codes(
-    model: DataFrame,
-    clerical: DataFrame,
-    hierarchy: Hierarchy,
-    four_plus: DataFrame | None = None,
-    digits: int = 5,
-    threshold: float = 0.0,
+def evaluate(
+    model: DataFrame, clerical: DataFrame, hierarchy: Hierarchy, four_plus: DataFrame | None = None, digits: int = 5,
+    threshold: float = 0.0, unique_ids: bool = False,
 ) -> DataFrame:
-    """The same rows as ``joined_codes`` for any ids, equal ones as one row with their number in ``records``.
-
-    Records that share an id all pair up. Counting equal ones first keeps the pairs to one per different
-    pair of code sets, however often an id or a whole record is repeated.
-    """
-    truth = clerical_code_levels(clerical, hierarchy, [digits], four_plus, count_col="n_truth")
-    outputs = {"initial_codes": Fallback("alt_sic_candidates", threshold)}
-    codes = model_code_levels(model, hierarchy, outputs, [digits], count_col="n_model")
-    joined = join_levels(codes, truth).withColumn("records", F.col("n_model") * F.col("n_truth"))
-    if "final_sic" not in model.columns:
-        return joined
-    outputs = {"final_codes": Fallback("final_sic")}
-    final = rows_per_level(model_code_levels(model, hierarchy, outputs, [digits], count_col="n_final"), digits)
-    attached = attach_final_codes(joined, final, "final_codes")
-    return attached.withColumn("records", F.col("records") * F.coalesce("n_final", F.lit(1)))
-
-
-def evaluate(model: DataFrame, clerical: DataFrame, hierarchy: Hierarchy, unique_ids: bool = False, **options) -> DataFrame:
     """All metrics of one model at one digit level, as one nested row."""
-    if unique_ids:
-        return evaluation_metrics(joined_codes(model, clerical, hierarchy, unique_ids=True, **options), prepared=True)
-    return evaluation_metrics(counted_codes(model, clerical, hierarchy, **options), prepared=True, count_col="records")
+    records = coded_records(model, clerical, hierarchy, [digits], four_plus, threshold, unique_ids)
+    return evaluation_metrics(records, prepared=True, count_col="records")
 
 
 def evaluate_files(
@@ -104,44 +75,35 @@ def evaluate_files(
     return metrics
 
 
-def sweep_codes(
+def sweep(
     models: dict[str, DataFrame],
     clerical: DataFrame,
     hierarchy: Hierarchy,
     levels: list[int],
+    unique_ids: bool = False,
     four_plus: DataFrame | None = None,
     first_round: DataFrame | None = None,
     first_round_four_plus: DataFrame | None = None,
     threshold: float = 0.7,
-    unique_ids: bool = False,
-    count: bool = False,
 ) -> DataFrame:
-    """Human and initial codes of every model at every digit level, in one table.
+    """All metrics for every model and digit level, from one aggregation.
 
-    With ``count`` equal rows are one, with their number in ``records``. A first round of human coding can take part as if it were a model, named ``coder_round_1``.
+    A first round of human coding can take part as if it were a model, named ``coder_round_1``.
     """
-    n_truth, n_model = ("n_truth", "n_model") if count else (None, None)
-    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids, count_col=n_truth)
-    outputs = {"initial_codes": Fallback("alt_sic_candidates", threshold)}
-    codes = model_code_levels(
-        stack_methods(models), hierarchy, outputs, levels, keep=["method"], unique_ids=unique_ids, count_col=n_model
+    records = coded_records(
+        stack_methods(models), clerical, hierarchy, levels, four_plus, threshold, unique_ids, ["method"], first_round, first_round_four_plus
     )
-    if first_round is not None:
-        earlier = clerical_code_levels(
-            first_round, hierarchy, levels, first_round_four_plus, out_col="initial_codes", unique_ids=unique_ids, count_col=n_model
-        )
-        codes = codes.unionByName(earlier.withColumn("method", F.lit("coder_round_1")))
-    joined = join_levels(codes, truth, nulls_match=not unique_ids)
-    return joined.withColumn("records", F.col(n_model) * F.col(n_truth)) if count else joined
+    return evaluation_metrics(records, by=["digits", "method"], prepared=True, count_col="records")
 
 
-def sweep(
-    models: dict[str, DataFrame], clerical: DataFrame, hierarchy: Hierarchy, levels: list[int], unique_ids: bool = False, **options
-) -> DataFrame:
-    """All metrics for every model and digit level, from one aggregation."""
-    count = not unique_ids
-    codes = sweep_codes(models, clerical, hierarchy, levels, unique_ids=unique_ids, count=count, **options)
-    return evaluation_metrics(codes, by=["digits", "method"], prepared=True, count_col="records" if count else None)
+def model_points(metrics: DataFrame) -> DataFrame:
+    """A model's codability with its one-to-one and many-to-one accuracy, per digit level: points beside the curves."""
+    kinds = {"OO": "accuracy_oo_unambiguous", "MO": "accuracy_mo_unambiguous"}
+    points = [
+        F.struct(F.lit(kind).alias("match_type"), F.col(f"initial_accuracy_metrics.{name}").alias("accuracy")) for kind, name in kinds.items()
+    ]
+    codability = F.col("codability_metrics.initial_codable_prop").alias("codability")
+    return metrics.select(digits_label(F.col("digits")).alias("digits"), "method", codability, F.inline(F.array(*points)))
 
 
 def ambiguity_table(metrics: DataFrame, truth: DataFrame, n_records: DataFrame) -> DataFrame:

@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetally.functions.codes import digits_label
-from codetally.operators.hierarchy import Hierarchy, level_array
-from codetally.operators.joins import join_levels, join_on_id
+from codetally.operators.hierarchy import Hierarchy, level_array, level_width
+from codetally.operators.joins import join_on_id
 from codetally.operators.metrics import evaluation_metrics
-from codetally.operators.prepare import (
-    add_up_copies,
-    clerical_code_levels,
-    rows_per_level,
-    stack_methods,
-)
-from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence, top_candidate, top_in_truth
+from codetally.operators.prepare import Side, add_up_copies, rows_per_level, stack_methods, text_side
+from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence, top_in_truth
+from codetally.operators.validation import require_unique_ids
+from codetally.plans.evaluation import model_points
+from codetally.plans.pairing import ID_COL, TRUTH, code_sets, counted_rows, raw_truth
 
 
 def shortlist_code_levels(
@@ -68,6 +66,49 @@ def shortlist_codes(
     return rows_per_length(rows_per_level(cleaned, levels), lengths)
 
 
+def nearest_first(results: Column) -> Column:
+    """The codes of search results, nearest first, equal distances by code. A single result needs no distance."""
+    usable = F.filter(results, lambda c: c["distance"].isNotNull() & ~F.isnan(c["distance"].cast("double")))
+    ordered = F.sort_array(F.transform(usable, lambda c: F.struct(c["distance"].cast("double").alias("distance"), c["code"].cast("string").alias("code"))))
+    codes = F.transform(ordered, lambda c: c["code"])
+    return F.when(F.size(results) == 1, F.transform(results, lambda c: c["code"].cast("string"))).otherwise(codes)
+
+
+def shortlist_side(col: str, lengths: tuple[int | None, ...], levels: list[int]) -> Side:
+    """Sets ``codes<i>`` of the first candidates of a list of codes, nearest first, per length.
+
+    The list is in order at every level: what remains of it when codes are cut and repetitions dropped.
+    """
+    names = [f"codes{i}" for i in range(len(lengths))]
+
+    def items(flags: list[str]) -> Column:
+        def at(level: Column) -> Column:
+            cut = F.array_distinct(F.transform(F.col(col), lambda code: F.substring(code, F.lit(1), level_width(level))))
+
+            def entry(code: Column, rank: Column) -> Column:
+                listed = dict(zip(names, lengths))
+                own = [((F.lit(True) if listed[f] is None else rank < listed[f]) if f in listed else F.lit(False)).alias(f) for f in flags]
+                return F.struct(level.alias("level"), code.alias("code"), *own)
+
+            return F.transform(F.coalesce(cut, F.array().cast("array<string>")), entry)
+
+        return F.flatten(F.transform(level_array(levels), at))
+
+    return Side([col], names, items, lambda sets: {name: sets[name] for name in names})
+
+
+def counted_searches(
+    searches: dict[str, DataFrame], clerical: DataFrame, four_plus: DataFrame | None, content: dict[str, Column], unique_ids: bool
+) -> DataFrame:
+    """Raw content of each record's results beside its raw human codes, equal records counted in ``records``."""
+    stacked = stack_methods(searches).select(ID_COL, "method", *[c.alias(name) for name, c in content.items()])
+    if unique_ids:
+        require_unique_ids(stacked, [ID_COL, "method"])
+    found = counted_rows(stacked, "n_model", unique_ids)
+    joined = join_on_id(found, raw_truth(clerical, four_plus, unique_ids), ID_COL, nulls_match=not unique_ids)
+    return joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
+
+
 def shortlist_sweep(
     searches: dict[str, DataFrame],
     clerical: DataFrame,
@@ -75,20 +116,14 @@ def shortlist_sweep(
     levels: list[int],
     lengths: tuple[int | None, ...] = (5, 10, None),
     four_plus: DataFrame | None = None,
+    results_col: str = "semantic_search_results",
     unique_ids: bool = False,
 ) -> DataFrame:
     """All metrics for every search, digit level and shortlist length, from one aggregation."""
-    n_truth, n_model = (None, None) if unique_ids else ("n_truth", "n_model")
-    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids, count_col=n_truth)
-    codes = shortlist_code_levels(
-        stack_methods(searches), hierarchy, levels, lengths, unique_ids=unique_ids, count_col=n_model
-    )
-    joined = rows_per_length(join_levels(codes, truth, nulls_match=not unique_ids), lengths)
-    by = ["digits", "method", "shortlist_size"]
-    if unique_ids:
-        return evaluation_metrics(joined, by=by, prepared=True)
-    joined = joined.withColumn("records", F.col(n_model) * F.col(n_truth))
-    return evaluation_metrics(joined, by=by, prepared=True, count_col="records")
+    rows = counted_searches(searches, clerical, four_plus, {"_listed": nearest_first(F.col(results_col))}, unique_ids)
+    sides = [text_side(TRUTH, "clerical_codes", levels), shortlist_side("_listed", lengths, levels)]
+    sets = rows_per_length(code_sets(rows, hierarchy, sides, levels, ["method"]), lengths)
+    return evaluation_metrics(sets, by=["digits", "method", "shortlist_size"], prepared=True, count_col="records")
 
 
 def nearest_candidates(
@@ -100,15 +135,14 @@ def nearest_candidates(
     results_col: str = "semantic_search_results",
     unique_ids: bool = False,
 ) -> DataFrame:
-    """Nearest candidate of each record beside its human codes, per method and digit level."""
-    truth = clerical_code_levels(clerical, hierarchy, levels, four_plus, unique_ids=unique_ids)
-    stacked = stack_methods(searches).select(
-        "unique_id", "method", F.slice(results_col, 1, 1).alias(results_col)
-    )
-    joined = join_on_id(stacked, truth, nulls_match=not unique_ids)
-    levelled = joined.select("unique_id", "method", results_col, F.inline("levels"))
-    nearest = top_candidate(levelled, hierarchy, results_col, levels, "digits").drop(results_col)
-    return nearest.withColumn("top_in_truth", top_in_truth(F.col("top_candidate"), F.col("clerical_codes")))
+    """Nearest candidate beside the human codes per method and digit level, equal records counted in ``records``."""
+    nearest = F.get(F.col(results_col), F.lit(0))
+    content = {"_nearest": nearest["code"].cast("string"), "top_distance": F.nanvl(nearest["distance"].cast("double"), F.lit(None).cast("double"))}
+    rows = counted_searches(searches, clerical, four_plus, content, unique_ids)
+    whole = lambda code: F.array_compact(F.array(code))
+    sides = [text_side(TRUTH, "clerical_codes", levels), text_side("_nearest", "top_candidate", levels, whole)]
+    sets = code_sets(rows, hierarchy, sides, levels, ["method", "top_distance"])
+    return sets.withColumn("top_in_truth", top_in_truth(F.col("top_candidate"), F.col("clerical_codes")))
 
 
 def nearest_candidate_curves(
@@ -116,6 +150,11 @@ def nearest_candidate_curves(
 ) -> DataFrame:
     """Codability against accuracy as the allowed distance grows, per method, digit level and match type."""
     nearest = nearest_candidates(searches, clerical, hierarchy, levels, **options)
-    points = curve_points(nearest, ["digits", "method"])
-    curve = cumulative_curve(points, ["digits", "method", "match_type"])
+    points = curve_points(nearest, ["digits", "method"], count_col="records")
+    curve = cumulative_curve(points, ["digits", "method", "match_type"], count_col="records")
     return curve.withColumn("digits", digits_label(F.col("digits")))
+
+
+def curves_beside_model(curves: DataFrame, model_metrics: DataFrame) -> DataFrame:
+    """The curves with one model's points under them; a point has neither distance nor counts."""
+    return curves.unionByName(model_points(model_metrics), allowMissingColumns=True)

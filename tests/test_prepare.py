@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codetally import ColumnConfig, clean_wide_table, evaluation_metrics, prepare_clerical_codes, prepare_model_codes
 from codetally.operators.joins import attach_final_codes, join_on_id
 from codetally.operators.prepare import keep_unambiguous, stack_methods
-from codetally.plans.evaluation import evaluate, joined_codes, sweep, sweep_codes
+from codetally.plans.evaluation import evaluate, joined_codes, sweep
 from codetally.plans.search import shortlist_sweep
 from tests.conftest import PAIRS
 
@@ -143,8 +143,13 @@ def test_counted_sweeps_equal_row_by_row_sweeps(spark, hierarchy):
     models = {"m": spark.createDataFrame(rows, MODEL), "n": spark.createDataFrame(rows[3:], MODEL)}
     levels, by = [5, 0], ["digits", "method"]
     counted = sweep(models, clerical, hierarchy, levels, first_round=clerical)
-    plain = evaluation_metrics(sweep_codes(models, clerical, hierarchy, levels, first_round=clerical), by=by)
-    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.collect()))
+    plain = []
+    for digits in levels:
+        truth = prepare_clerical_codes(clerical, hierarchy, digits=digits)
+        rounds = {name: joined_codes(model, clerical, hierarchy, digits=digits, threshold=0.7) for name, model in models.items()}
+        rounds["coder_round_1"] = join_on_id(truth.withColumnRenamed("clerical_codes", "initial_codes"), truth)
+        plain += [tuple(evaluation_metrics(r.withColumns({"digits": F.lit(digits), "method": F.lit(n)}), by=by).first()) for n, r in rounds.items()]
+    assert sorted(map(tuple, counted.collect())) == sorted(plain)
     found = spark.createDataFrame(
         [("a", [("86101", 0.1), ("05100", 0.2)])] * 3 + [("b", [("20100", 0.3)])],
         "unique_id string, semantic_search_results array<struct<code:string,distance:double>>",
@@ -155,6 +160,22 @@ def test_counted_sweeps_equal_row_by_row_sweeps(spark, hierarchy):
     }
 
 
+def test_a_broken_promise_of_unique_ids_fails(spark, hierarchy):
+    once = spark.createDataFrame([("a", "86101", None, None), ("b", "86210", None, None)], CLERICAL)
+    model = spark.createDataFrame([("a", "86101"), ("b", "86210")], "unique_id string, initial_code string")
+    assert evaluate(model, once, hierarchy, unique_ids=True).first().initial_accuracy_metrics.matches_oo == 2
+    for broken in (once.union(once), once.union(spark.createDataFrame([(None, "1", None, None)], CLERICAL))):
+        with pytest.raises(Exception, match="promised to be unique"):
+            evaluate(model, broken, hierarchy, unique_ids=True).collect()
+        with pytest.raises(Exception, match="promised to be unique"):
+            prepare_clerical_codes(broken, hierarchy, unique_ids=True).collect()
+    with pytest.raises(ValueError, match="promised to be unique"):
+        evaluate(model.union(model), once, hierarchy, unique_ids=True)
+    side = spark.createDataFrame([("a", "86220"), ("a", "86230")], "unique_id string, sic_ind_occ string")
+    with pytest.raises(Exception, match="promised to be unique"):
+        evaluate(model, once, hierarchy, four_plus=side, unique_ids=True).collect()
+
+
 WIDE = ColumnConfig(["model_label_1", "model_label_2"], ["model_score_1", "model_score_2"], ["clerical_label_1", "clerical_label_2"], "unique_id")
 
 
