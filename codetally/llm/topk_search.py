@@ -36,7 +36,7 @@ QUERY_BLOCK = 128
 #: Bits kept of each component, and of each query component.
 SLICES = 6
 WEIGHT_BITS = 5
-MOST_VALUE = 1 << 24
+MOST_VALUE = 1 << 26
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
