@@ -10,6 +10,7 @@ from catalogue.column_queries import REPEATED_CONFIG, aligned
 from catalogue.registry import register
 from codetally.config import ConfusionConfig
 from codetally.fixed_values import MATCH_METHODS
+from codetally.lineage import written
 from codetally.functions import codes as C
 from codetally.functions import sets as S
 from codetally.operators import metrics as M
@@ -523,7 +524,7 @@ TRUE_LONG = f"""select distinct {LEVEL_NAME} as digits, 'truth' as method, 'coda
     from ({AMBIGUITY_LONG} union all {TRUE_LONG})""",
 )
 def sweep_ambiguity_table(spark, sf_dir):
-    metrics = swept(spark, sf_dir)
+    metrics = written(swept(spark, sf_dir))  # a few rows, used twice
     records = views.clerical(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
     return ambiguity_table(metrics, M.true_codability(metrics), records)
 
