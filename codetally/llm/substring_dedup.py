@@ -9,7 +9,8 @@ a class has a single member is its reach compared window by window with the othe
 by a repeated window are removed, which is the union of the maximal repeats of at least ``window`` words.
 
 Occurrences are counted before they are moved and never paired with each other: an anchor that a third of all documents
-share is a count. Joins on anchors and windows are left to the planner, which splits skewed keys.
+share is a count. Joins on anchors and windows are left to the planner, which splits skewed keys. Texts are moved
+compressed, and a second time only for documents with an anchor that had to be compared window by window.
 
 Defined cases: a null text has no words. Repeated rows repeat each other's windows. A document is known by its id and
 its text's hash, so rows that share an id are told apart by their texts. Columns other than id and text take no part.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +117,17 @@ def _covered(n_words: int, intervals: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _reach(at: int, window: int) -> tuple[int, int]:
+    """The words that an anchor's windows cover."""
+    place, before, after = at // window // window, at // window % window, at % window
+    return place - before, place - after + window
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpress = zstandard.ZstdDecompressor()
+    return pa.array([unpress.decompress(b).decode() for b in column.to_pylist()], pa.large_string())
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``hash`` (together what a document is known by) and ``text``."""
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
@@ -140,48 +153,58 @@ def remove_repeats(
             column, done = texts(batch["text"]), 0
             for some in slices(column):
                 found = anchors(Words(some), window, seed_words)
-                rows = pa.array(found.pop("text") + done)
+                rows = pa.array(found["text"] + done)
                 done += len(some)
-                yield pa.RecordBatch.from_pydict({"id": batch["id"].take(rows), "hash": batch["hash"].take(rows)} | {k: pa.array(v) for k, v in found.items()})
+                at = (found["place"] * window + found["before"]) * window + found["after"]
+                columns = {"at": at, "seed": found["seed"], "reach": found["reach"]}
+                yield pa.RecordBatch.from_pydict({"id": batch["id"].take(rows), "hash": batch["hash"].take(rows)} | {k: pa.array(v) for k, v in columns.items()})
 
-    columns = ["place", "before", "after", "seed", "reach"]
-    schema = f"id {id_type}, hash bigint, " + ", ".join(f"{c} bigint" for c in columns)
-    seeds = keyed.mapInArrow(find, schema).withColumns({c: F.col(c).cast("int") for c in ("place", "before", "after")})
+    # Place and reach as one number, of which rows are narrower.
+    seeds = keyed.mapInArrow(find, f"id {id_type}, hash bigint, at bigint, seed bigint, reach bigint")
 
     shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    repeated = cut(seeds.join(shared, "seed"))
-    alike = ["seed", "before", "after", "reach"]
-    classes = repeated.groupBy(alike).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "hash", "place")).alias("example"))
+    repeated = cut(seeds.join(shared, "seed")).withColumn("sides", F.pmod("at", F.lit(window * window)))
+    alike = ["seed", "sides", "reach"]
+    classes = repeated.groupBy(alike).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "hash", "at")).alias("example"))
     # An anchor whose classes all have several members needs no closer look.
     single = classes.filter("n = 1").select("seed").distinct().withColumn("single", F.lit(True))
     classes = classes.join(single, "seed", "left")
     known = repeated.join(classes, alike)
-    example = F.col("example").eqNullSafe(F.struct("id", "hash", "place"))
-    entry = F.struct("place", "before", "after", "seed", "n", (F.col("single").isNotNull() & example).alias("look"))
+    example = F.col("example").eqNullSafe(F.struct("id", "hash", "at"))
+    entry = F.struct("at", "seed", "n", (F.col("single").isNotNull() & example).alias("look"))
     by_document = known.groupBy("id", "hash").agg(F.collect_set(entry).alias("anchors"))
-    found = cut(_on_document(keyed, by_document, "inner"))
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
+        for batch in batches:
+            small = [press.compress((t or "").encode()) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "packed": pa.array(small, pa.binary())})
+
+    compressed = keyed.mapInArrow(compress, f"id {id_type}, hash bigint, packed binary")
+    found = cut(_on_document(compressed, by_document, "inner"))
 
     def enumerate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, listed, done = texts(batch["text"]), batch["anchors"], 0
+            column, listed, done = texts(_unpacked(batch["packed"])), batch["anchors"], 0
             for some in slices(column):
                 words = Words(some)
                 mine = listed.slice(done, len(some))
                 flat = mine.flatten()
                 row = np.repeat(np.arange(len(some)), np.diff(mine.offsets.to_numpy()))
-                field = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("place", "before", "after", "seed", "n", "look")}
+                field = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("at", "seed", "n", "look")}
+                place, before, after = field["at"] // window // window, field["at"] // window % window, field["at"] % window
                 pick = np.flatnonzero(field["look"])
-                count = (field["before"] - field["after"] + 1)[pick]
+                count = (before - after + 1)[pick]
                 each = np.repeat(pick, count)
                 step = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-                start = field["place"][each] - field["before"][each] + step
+                start = place[each] - before[each] + step
                 global_start = start + words.first[row[each]]
                 hashes = RunHashes(words.hashes, _WORD_BASE).of(global_start, global_start + window)
                 rows = pa.array(row[each] + done)
                 done += len(some)
                 yield pa.RecordBatch.from_pydict({
                     "id": batch["id"].take(rows), "hash": batch["hash"].take(rows), "start": pa.array(start.astype(np.int64)),
-                    "seed": pa.array(field["seed"][each]), "offset": pa.array((field["place"][each] - start).astype(np.int64)),
+                    "seed": pa.array(field["seed"][each]), "offset": pa.array((place[each] - start).astype(np.int64)),
                     "reach": pa.array(hashes.view(np.int64)), "n": pa.array(field["n"][each]),
                 })
 
@@ -193,9 +216,10 @@ def remove_repeats(
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept_texts, counts, digests = [], [], []
-            for text, listed, starts in zip(batch["text"].to_pylist(), batch["anchors"].to_pylist(), batch["starts"].to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                spans = [(a["place"] - a["before"], a["place"] - a["after"] + window) for a in listed if a["n"] > 1]
+            texts_here = _unpacked(batch["packed"]).to_pylist()
+            for text, listed, starts in zip(texts_here, batch["anchors"].to_pylist(), batch["starts"].to_pylist(), strict=True):
+                words = text.encode().split()
+                spans = [_reach(a["at"], window) for a in listed if a["n"] > 1]
                 spans += [(start, start + window) for start in starts or ()]
                 gone = _covered(len(words), spans)
                 kept = b" ".join([w for w, out in zip(words, gone.tolist(), strict=True) if not out])
@@ -204,7 +228,9 @@ def remove_repeats(
                 digests.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "n_removed": pa.array(counts, pa.int64()), "kept": pa.array(kept_texts, pa.string()), "removed_sha256": pa.array(digests, pa.string())})
 
-    ready = _on_document(found, extended, "left")
+    compared = F.exists("anchors", lambda a: a["n"] == 1)
+    plain = found.filter(~compared).withColumn("starts", F.lit(None).cast("array<bigint>"))
+    ready = _on_document(found.filter(compared), extended, "left").unionByName(plain)
     changed = ready.mapInArrow(removed, f"id {id_type}, hash bigint, n_removed bigint, kept string, removed_sha256 string").dropDuplicates(["id", "hash"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
