@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codetally.lineage import shared_folder
 from codetally.llm import decontaminate, language_id, packing, pii, simhash
-from codetally.llm.shared import documents, shared_folder
+from codetally.llm.shared import documents
 
 #: A document is rejected if its language can't be told, or is less likely than this.
 LEAST_SCORE = 0.5
