@@ -28,7 +28,7 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> Hierarchy:
 
 
 #: What the query that is being built has derived so far; each query derives its own.
-_derived: dict[tuple[str, str], DataFrame] = {}
+_derived: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def new_query() -> None:
@@ -39,7 +39,7 @@ def once_per_query(derive):
     """Derive a table once for all its uses in a query, written so that the given tables are read once."""
 
     def table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (derive.__name__, sf_dir)
+        key = (spark.sparkContext.applicationId, derive.__name__, sf_dir)
         if key not in _derived:
             _derived[key] = written(derive(spark, sf_dir))
         return _derived[key]

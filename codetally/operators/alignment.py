@@ -14,7 +14,7 @@ from codetally.functions.sets import jaccard, overlaps
 from codetally.functions.stats import percent, round_half_even
 from codetally.operators.joins import join_on_id
 from codetally.operators.prepare import clean_wide_table
-from codetally.operators.validation import require_columns
+from codetally.operators.validation import require_columns, require_unique_ids
 
 
 def melt_labels(df: DataFrame, id_col: str, label_cols: list[str], value_name: str = "label") -> DataFrame:
@@ -83,11 +83,14 @@ class LabelAlignment:
     """A cleaned wide table with match flags, and the tables computed from it.
 
     ``df`` is lazy; persist it when several tables are wanted. Every method returns a DataFrame.
+    ``unique_ids`` promises that ids are neither null nor repeated, which one job over the ids checks first.
     """
 
     def __init__(self, df: DataFrame, config: ColumnConfig, unique_ids: bool = False):
         self.config = config
         cleaned = clean_wide_table(df, config)
+        if unique_ids:
+            require_unique_ids(df, [config.id_col])
         self.df = add_max_score(add_match_flags(cleaned, config, unique_ids), config)
 
     def accuracy(self, threshold: float = 0.0, match_type: str = "full", extended: bool = False) -> DataFrame:

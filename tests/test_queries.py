@@ -13,6 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 NAMES = [
     "evaluate_model_any_ids", "evaluation_sweep", "match_flags_by_id", "cumulative_curve_of_lines", "shortlist_codes", "group_membership",
     "confusion_matrix", "split_retained", "append_latency_results", "clean_code_sets_five_digits",
+    "evaluate_repeated_ids", "curves_repeated_ids", "split_repeated_keys", "skip_repeated_keys", "read_free_text", "cumulative_curve_of_prices",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
