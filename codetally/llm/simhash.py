@@ -193,10 +193,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col, **options)
     best = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash"))
     chosen = found.groupBy("root").agg(F.min(best).alias("best"))
-    keys = chosen.select(F.col("best.id").alias("_kept_id"), F.col("best.hash").alias("_kept_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_col) == F.col("_kept_hash"))
-    kept = docs.join(keys, same)
-    once = W.partitionBy("_kept_id", "_kept_hash").orderBy(F.lit(0))
+    # The same three columns join the texts and find the copies of a row, so that texts are moved once.
+    key = ["_kept_id", "_kept_null", "_kept_hash"]
+
+    def keyed(rows: DataFrame, id_of: Column, hash_of: Column) -> DataFrame:
+        return rows.withColumns(dict(zip(key, (F.coalesce(id_of.cast("string"), F.lit("")), id_of.isNull(), hash_of), strict=True)))
+
+    keys = keyed(chosen, F.col("best.id"), F.col("best.hash")).select(key).distinct()
+    kept = keyed(docs, F.col(id_col), F.xxhash64(text_col)).join(keys, key)
+    once = W.partitionBy(key).orderBy(F.lit(0))
     return kept.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select(docs.columns)
 
 
