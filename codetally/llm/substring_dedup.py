@@ -5,7 +5,7 @@ are runs of ``seed_words`` words; of all seeds in a window, the one with the lea
 window's anchor, so equal windows have equal anchors at equal places and far fewer anchors than words have to be
 compared. Documents are joined on anchors that occur more than once. From there matches are extended both ways, as far
 as the windows that the anchor stands for reach: occurrences whose whole reach is equal form one class, and only where
-a class has a single member is its reach compared window by window with the other classes of the anchor. Words covered
+an anchor has several classes are these compared window by window, by one member each. Words covered
 by a repeated window are removed, which is the union of the maximal repeats of at least ``window`` words.
 
 Occurrences are counted before they are moved and never paired with each other: an anchor that a third of all documents
@@ -13,7 +13,7 @@ share is a count. Joins on anchors and windows are left to the planner, which sp
 compressed, and a second time only for documents with an anchor that had to be compared window by window.
 
 Defined cases: a null text has no words. Repeated rows repeat each other's windows. A document is known by its id and
-its text's hash, so rows that share an id are told apart by their texts. Columns other than id and text take no part.
+a hash of its text, so rows that share an id are told apart by their texts. Columns other than id and text take no part.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def _unpacked(column: pa.Array) -> pa.Array:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``hash`` (together what a document is known by) and ``text``."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("hash"), F.col(text_col).alias("text"))
 
 
 def _on_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -160,18 +160,18 @@ def remove_repeats(
                 yield pa.RecordBatch.from_pydict({"id": batch["id"].take(rows), "hash": batch["hash"].take(rows)} | {k: pa.array(v) for k, v in columns.items()})
 
     # Place and reach as one number, of which rows are narrower.
-    seeds = keyed.mapInArrow(find, f"id {id_type}, hash bigint, at bigint, seed bigint, reach bigint")
+    seeds = keyed.mapInArrow(find, f"id {id_type}, hash int, at bigint, seed bigint, reach bigint")
 
-    shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
+    shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("of_seed")).filter("of_seed > 1")
     repeated = cut(seeds.join(shared, "seed")).withColumn("sides", F.pmod("at", F.lit(window * window)))
     alike = ["seed", "sides", "reach"]
-    classes = repeated.groupBy(alike).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "hash", "at")).alias("example"))
-    # An anchor whose classes all have several members needs no closer look.
-    single = classes.filter("n = 1").select("seed").distinct().withColumn("single", F.lit(True))
-    classes = classes.join(single, "seed", "left")
+    # The member with the least number stands for its class; a second one of that number would do no harm.
+    number = F.xxhash64("id", "hash", "at")
+    classes = repeated.groupBy(alike).agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("example"))
     known = repeated.join(classes, alike)
-    example = F.col("example").eqNullSafe(F.struct("id", "hash", "at"))
-    entry = F.struct("at", "seed", "n", (F.col("single").isNotNull() & example).alias("look"))
+    # A class that holds all of its anchor's occurrences needs no closer look.
+    look = (F.col("n") < F.col("of_seed")) & (F.col("example") == number)
+    entry = F.struct("at", "seed", "n", look.alias("look"))
     by_document = known.groupBy("id", "hash").agg(F.collect_set(entry).alias("anchors"))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def remove_repeats(
             small = [press.compress((t or "").encode()) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "packed": pa.array(small, pa.binary())})
 
-    compressed = keyed.mapInArrow(compress, f"id {id_type}, hash bigint, packed binary")
+    compressed = keyed.mapInArrow(compress, f"id {id_type}, hash int, packed binary")
     found = cut(_on_document(compressed, by_document, "inner"))
 
     def enumerate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +203,13 @@ def remove_repeats(
                 rows = pa.array(row[each] + done)
                 done += len(some)
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch["id"].take(rows), "hash": batch["hash"].take(rows), "start": pa.array(start.astype(np.int64)),
-                    "seed": pa.array(field["seed"][each]), "offset": pa.array((place[each] - start).astype(np.int64)),
+                    "id": batch["id"].take(rows), "hash": batch["hash"].take(rows), "start": pa.array(start.astype(np.int32)),
+                    # With the whole window's hash beside it, half of the anchor's is enough.
+                    "seed": pa.array(field["seed"][each].astype(np.int32)), "offset": pa.array((place[each] - start).astype(np.int32)),
                     "reach": pa.array(hashes.view(np.int64)), "n": pa.array(field["n"][each]),
                 })
 
-    windows = found.mapInArrow(enumerate_windows, f"id {id_type}, hash bigint, start bigint, seed bigint, offset bigint, reach bigint, n bigint")
+    windows = found.mapInArrow(enumerate_windows, f"id {id_type}, hash int, start int, seed int, offset int, reach bigint, n bigint")
     same = ["seed", "offset", "reach"]
     twice = windows.groupBy(same).agg(F.sum("n").alias("total")).filter("total > 1").select(same)
     extended = windows.filter("n = 1").join(twice, same).groupBy("id", "hash").agg(F.collect_set("start").alias("starts"))
@@ -229,9 +230,9 @@ def remove_repeats(
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "n_removed": pa.array(counts, pa.int64()), "kept": pa.array(kept_texts, pa.string()), "removed_sha256": pa.array(digests, pa.string())})
 
     compared = F.exists("anchors", lambda a: a["n"] == 1)
-    plain = found.filter(~compared).withColumn("starts", F.lit(None).cast("array<bigint>"))
+    plain = found.filter(~compared).withColumn("starts", F.lit(None).cast("array<int>"))
     ready = _on_document(found.filter(compared), extended, "left").unionByName(plain)
-    changed = ready.mapInArrow(removed, f"id {id_type}, hash bigint, n_removed bigint, kept string, removed_sha256 string").dropDuplicates(["id", "hash"])
+    changed = ready.mapInArrow(removed, f"id {id_type}, hash int, n_removed bigint, kept string, removed_sha256 string").dropDuplicates(["id", "hash"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +240,7 @@ def remove_repeats(
             digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "n_words": pa.array([len(w) for w in words], pa.int64()), "whole_sha256": pa.array(digests, pa.string())})
 
-    every = keyed.mapInArrow(whole, f"id {id_type}, hash bigint, n_words bigint, whole_sha256 string")
+    every = keyed.mapInArrow(whole, f"id {id_type}, hash int, n_words bigint, whole_sha256 string")
     return _on_document(every, changed, "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
         F.coalesce("removed_sha256", "whole_sha256").alias("kept_sha256"), "kept",
