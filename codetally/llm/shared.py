@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from codetally.lineage import shared_folder
+from codetally.lineage import scratch, shared_folder
 
 #: Text handled at once inside a task, in bytes. Bounds the arrays built beside the text.
 SLICE_BYTES = 4_000_000
@@ -29,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a compressed table in the shared folder, smaller there than a checkpoint."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def texts(column: pa.Array) -> pa.Array:
     """The column as texts, null as the empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

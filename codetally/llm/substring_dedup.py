@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetally.llm.shared import cut, documents, packed, slices, texts, word_spans
+from codetally.llm.shared import documents, stored, packed, slices, texts, word_spans
 
 WINDOW = 35
 SEED_WORDS = 6
@@ -160,10 +160,10 @@ def remove_repeats(
                 yield pa.RecordBatch.from_pydict({"id": batch["id"].take(rows), "hash": batch["hash"].take(rows)} | {k: pa.array(v) for k, v in columns.items()})
 
     # Place and reach as one number, of which rows are narrower.
-    seeds = keyed.mapInArrow(find, f"id {id_type}, hash int, at bigint, seed bigint, reach bigint")
+    seeds = keyed.mapInArrow(find, f"id {id_type}, hash int not null, at bigint not null, seed bigint not null, reach bigint not null")
 
     shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("of_seed")).filter("of_seed > 1")
-    repeated = cut(seeds.join(shared, "seed")).withColumn("sides", F.pmod("at", F.lit(window * window)))
+    repeated = seeds.join(shared, "seed").withColumn("sides", F.pmod("at", F.lit(window * window)))
     alike = ["seed", "sides", "reach"]
     # The member with the least number stands for its class; a second one of that number would do no harm.
     number = F.xxhash64("id", "hash", "at")
@@ -171,7 +171,7 @@ def remove_repeats(
     known = repeated.join(classes, alike)
     # A class that holds all of its anchor's occurrences needs no closer look.
     look = (F.col("n") < F.col("of_seed")) & (F.col("example") == number)
-    entry = F.struct("at", "seed", "n", look.alias("look"))
+    entry = F.struct("at", F.when(look, F.col("seed")).alias("seed"), "n", look.alias("look"))
     by_document = known.groupBy("id", "hash").agg(F.collect_set(entry).alias("anchors"))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def remove_repeats(
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "packed": pa.array(small, pa.binary())})
 
     compressed = keyed.mapInArrow(compress, f"id {id_type}, hash int, packed binary")
-    found = cut(_on_document(compressed, by_document, "inner"))
+    found = stored(_on_document(compressed, by_document, "inner"))
 
     def enumerate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +191,9 @@ def remove_repeats(
                 mine = listed.slice(done, len(some))
                 flat = mine.flatten()
                 row = np.repeat(np.arange(len(some)), np.diff(mine.offsets.to_numpy()))
-                field = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in ("at", "seed", "n", "look")}
+                field = {name: flat.field(name).fill_null(0).to_numpy(zero_copy_only=False) for name in ("at", "seed", "n")}
                 place, before, after = field["at"] // window // window, field["at"] // window % window, field["at"] % window
-                pick = np.flatnonzero(field["look"])
+                pick = np.flatnonzero(flat.field("look").to_numpy(zero_copy_only=False))
                 count = (before - after + 1)[pick]
                 each = np.repeat(pick, count)
                 step = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
