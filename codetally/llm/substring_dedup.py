@@ -12,8 +12,8 @@ Occurrences are counted before they are moved and never paired with each other:
 share is a count. Joins on anchors and windows are left to the planner, which splits skewed keys. Texts are moved
 compressed, and a second time only for documents with an anchor that had to be compared window by window.
 
-Defined cases: a null text has no words. Repeated rows repeat each other's windows. A document is known by its id and
-a hash of its text, so rows that share an id are told apart by their texts. Columns other than id and text take no part.
+Defined cases: a null text has no words. Repeated rows repeat each other's windows. A document is known by its row's number in
+a table written first, so rows that share an id, a text or a hash are told apart. Columns other than id and text take no part.
 """
 
 from __future__ import annotations
@@ -128,14 +128,9 @@ def _unpacked(column: pa.Array) -> pa.Array:
     return pa.array([unpress.decompress(b).decode() for b in column.to_pylist()], pa.large_string())
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``hash`` (together what a document is known by) and ``text``."""
-    return docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("hash"), F.col(text_col).alias("text"))
-
-
-def _on_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    right = right.withColumnsRenamed({"id": "_id", "hash": "_hash"})
-    return left.join(right, left["id"].eqNullSafe(right["_id"]) & (left["hash"] == right["_hash"]), how).drop("_id", "_hash")
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``number`` (what a document is known by, fixed by writing it), ``id`` and ``text``."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("number"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
 
 def remove_repeats(
@@ -145,8 +140,9 @@ def remove_repeats(
 
     Where nothing is removed ``kept`` is null, and ``kept_sha256`` tells the kept words of every row.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    id_type = keyed.schema["id"].dataType.simpleString()
+    numbered = _numbered(docs, id_col, text_col)
+    id_type = numbered.schema["id"].dataType.simpleString()
+    by_number = numbered.select("number", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,31 +153,31 @@ def remove_repeats(
                 done += len(some)
                 at = (found["place"] * window + found["before"]) * window + found["after"]
                 columns = {"at": at, "seed": found["seed"], "reach": found["reach"]}
-                yield pa.RecordBatch.from_pydict({"id": batch["id"].take(rows), "hash": batch["hash"].take(rows)} | {k: pa.array(v) for k, v in columns.items()})
+                yield pa.RecordBatch.from_pydict({"number": batch["number"].take(rows)} | {k: pa.array(v) for k, v in columns.items()})
 
     # Place and reach as one number, of which rows are narrower.
-    seeds = keyed.mapInArrow(find, f"id {id_type}, hash int not null, at bigint not null, seed bigint not null, reach bigint not null")
+    seeds = by_number.mapInArrow(find, "number bigint not null, at bigint not null, seed bigint not null, reach bigint not null")
 
     shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("of_seed")).filter("of_seed > 1")
     repeated = seeds.join(shared, "seed").withColumn("sides", F.pmod("at", F.lit(window * window)))
     alike = ["seed", "sides", "reach"]
     # The member with the least number stands for its class; a second one of that number would do no harm.
-    number = F.xxhash64("id", "hash", "at")
-    classes = repeated.groupBy(alike).agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("example"))
+    member = F.xxhash64("number", "at")
+    classes = repeated.groupBy(alike).agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("example"))
     known = repeated.join(classes, alike)
     # A class that holds all of its anchor's occurrences needs no closer look.
-    look = (F.col("n") < F.col("of_seed")) & (F.col("example") == number)
+    look = (F.col("n") < F.col("of_seed")) & (F.col("example") == member)
     entry = F.struct("at", F.when(look, F.col("seed")).alias("seed"), "n", look.alias("look"))
-    by_document = known.groupBy("id", "hash").agg(F.collect_set(entry).alias("anchors"))
+    by_document = known.groupBy("number").agg(F.collect_set(entry).alias("anchors"))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor()
         for batch in batches:
             small = [press.compress((t or "").encode()) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "packed": pa.array(small, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"number": batch["number"], "packed": pa.array(small, pa.binary())})
 
-    compressed = keyed.mapInArrow(compress, f"id {id_type}, hash int, packed binary")
-    found = stored(_on_document(compressed, by_document, "inner"))
+    compressed = by_number.mapInArrow(compress, "number bigint, packed binary")
+    found = stored(compressed.join(by_document, "number"))
 
     def enumerate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,16 +199,16 @@ def remove_repeats(
                 rows = pa.array(row[each] + done)
                 done += len(some)
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch["id"].take(rows), "hash": batch["hash"].take(rows), "start": pa.array(start.astype(np.int32)),
+                    "number": batch["number"].take(rows), "start": pa.array(start.astype(np.int32)),
                     # With the whole window's hash beside it, half of the anchor's is enough.
                     "seed": pa.array(field["seed"][each].astype(np.int32)), "offset": pa.array((place[each] - start).astype(np.int32)),
                     "reach": pa.array(hashes.view(np.int64)), "n": pa.array(field["n"][each]),
                 })
 
-    windows = found.mapInArrow(enumerate_windows, f"id {id_type}, hash int, start int, seed int, offset int, reach bigint, n bigint")
+    windows = found.mapInArrow(enumerate_windows, "number bigint, start int, seed int, offset int, reach bigint, n bigint")
     same = ["seed", "offset", "reach"]
     twice = windows.groupBy(same).agg(F.sum("n").alias("total")).filter("total > 1").select(same)
-    extended = windows.filter("n = 1").join(twice, same).groupBy("id", "hash").agg(F.collect_set("start").alias("starts"))
+    extended = windows.filter("n = 1").join(twice, same).groupBy("number").agg(F.collect_set("start").alias("starts"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,21 +223,21 @@ def remove_repeats(
                 kept_texts.append(kept.decode())
                 counts.append(int(gone.sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "n_removed": pa.array(counts, pa.int64()), "kept": pa.array(kept_texts, pa.string()), "removed_sha256": pa.array(digests, pa.string())})
+            yield pa.RecordBatch.from_pydict({"number": batch["number"], "n_removed": pa.array(counts, pa.int64()), "kept": pa.array(kept_texts, pa.string()), "removed_sha256": pa.array(digests, pa.string())})
 
     compared = F.exists("anchors", lambda a: a["n"] == 1)
     plain = found.filter(~compared).withColumn("starts", F.lit(None).cast("array<int>"))
-    ready = _on_document(found.filter(compared), extended, "left").unionByName(plain)
-    changed = ready.mapInArrow(removed, f"id {id_type}, hash int, n_removed bigint, kept string, removed_sha256 string").dropDuplicates(["id", "hash"])
+    ready = found.filter(compared).join(extended, "number", "left").unionByName(plain)
+    changed = ready.mapInArrow(removed, "number bigint, n_removed bigint, kept string, removed_sha256 string")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [(t or "").encode().split() for t in batch["text"].to_pylist()]
             digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "hash": batch["hash"], "n_words": pa.array([len(w) for w in words], pa.int64()), "whole_sha256": pa.array(digests, pa.string())})
+            yield pa.RecordBatch.from_pydict({"number": batch["number"], "id": batch["id"], "n_words": pa.array([len(w) for w in words], pa.int64()), "whole_sha256": pa.array(digests, pa.string())})
 
-    every = keyed.mapInArrow(whole, f"id {id_type}, hash int, n_words bigint, whole_sha256 string")
-    return _on_document(every, changed, "left").select(
+    every = numbered.mapInArrow(whole, f"number bigint, id {id_type}, n_words bigint, whole_sha256 string")
+    return every.join(changed, "number", "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
         F.coalesce("removed_sha256", "whole_sha256").alias("kept_sha256"), "kept",
     )

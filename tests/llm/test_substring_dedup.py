@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from codetally.llm import substring_dedup as s
 from codetally.llm.queries import QUERIES
@@ -46,5 +47,14 @@ def test_ids_with_two_texts(spark):
     assert sorted((r.doc_id, r.n_removed) for r in s.remove_repeats(docs).collect()) == [(1, 0), (1, 50), (2, 50)]
 
 
+def test_texts_of_one_id_with_equal_short_hashes(spark):
+    """The shorter text shares nothing; both have the same 32-bit hash."""
+    texts = [f"{prose(60, 1)} 27854", f"{prose(40, 2)} 38259", prose(60, 1)]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (2, texts[2])], "doc_id long, text string")
+    assert docs.filter("doc_id is null").select(F.hash("text")).distinct().count() == 1
+    rows = [(r.n_words, r.n_removed, r.kept_sha256) for r in s.remove_repeats(docs).collect()]
+    assert sorted(rows) == sorted(brute(texts))
+
+
 def test_no_documents(no_documents):
     assert s.remove_repeats(no_documents).count() == 0
