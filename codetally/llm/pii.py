@@ -7,8 +7,8 @@ relative to the entity's own information content,
     log(N * n(term, entity) / (n(term) * n(entity))) / log(N / n(entity))
 
 with n(term) and n(entity) counted over all documents and n(term, entity) over different contexts, so that copies of a
-document are no evidence. A term seen in at least ``support`` different contexts of an entity is generalised there from
-``generalise`` on and removed there from ``remove`` on.
+document are no evidence. A term seen in at least ``support`` different contexts of an entity is generalised from ``generalise`` on and removed from
+``remove`` on, wherever it stands in a document that holds the entity.
 
 Everything is DataFrame functions. Work per document is linear in its text; contexts are aggregated by entity and term,
 words by word, both combined before they are moved.
@@ -30,7 +30,7 @@ GENERALISE = 0.6
 REMOVE = 0.9
 CONTEXT_CHARS = 80
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
-#: At most so many term spans are sent to all tasks; more are joined by shuffling.
+#: Tables of at most so many rows are sent to all tasks; larger ones are joined by shuffling.
 MOST_BROADCAST = 100_000
 
 # Possessive and anchored where a run of characters begins, which finds the same matches in linear time.
@@ -40,7 +40,8 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Words of three letters or more between white space, with little punctuation around.
-TERM = r"(?<=\s[^\p{L}\s]{0,4})\p{L}{3,}(?=[^\p{L}\s]{0,4}\s)"
+TERM_BEFORE, TERM_AFTER = r"(?<=\s[^\p{L}\s]{0,4})", r"(?=[^\p{L}\s]{0,4}\s)"
+TERM = TERM_BEFORE + r"\p{L}{3,}" + TERM_AFTER
 
 SPAN_TYPE = "array<struct<start:int, rank:int, kind:string, end:int, value:string>>"
 
@@ -74,7 +75,7 @@ def _phone_fits(match: Column) -> Column:
     return F.length(_digits(match)).between(9, 15)
 
 
-def _matches(text: Column, pattern: str) -> Column:
+def _matches(text: Column, pattern: str | Column) -> Column:
     """Start, end and text of every match: the texts between the matches tell where they are."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
@@ -117,8 +118,51 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _entity(span: Column) -> Column:
+    return F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"]))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text between two blanks, every span replaced by blanks: the words outside of spans."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def add(state: Column, span: Column) -> Column:
+        begin, end = F.greatest(span["start"], state["at"]), F.greatest(span["end"], state["at"])
+        part = F.concat(text.substr(state["at"] + 1, begin - state["at"]), F.repeat(F.lit(" "), end - begin))
+        return F.struct(end.alias("at"), F.concat(state["parts"], F.array(part)).alias("parts"))
+
+    blanked = F.aggregate(spans, start, add, lambda s: F.concat(F.array_join(s["parts"], ""), text.substr(s["at"] + 1, F.length(text))))
+    return F.concat(F.lit(" "), F.when(F.size(spans) > 0, blanked).otherwise(text), F.lit(" "))
+
+
+def _words(text: Column, spans: Column) -> Column:
+    """The different terms of a text."""
+    found = F.regexp_extract_all(_blanked(text, spans), F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(found, F.lower))
+
+
+def _marked(text: Column, spans: Column, telling: Column) -> Column:
+    """The places of all telling terms in the whole text; a word that tells of two entities, by different degrees, is removed."""
+    blanked = _blanked(text, spans)
+    terms = F.transform(telling, lambda t: t["term"])
+    forms = F.array_distinct(F.filter(F.regexp_extract_all(blanked, F.lit(TERM), F.lit(0)), lambda w: F.array_contains(terms, F.lower(w))))
+    # Of letters only, so there is nothing to escape.
+    pattern = F.concat(F.lit(TERM_BEFORE + "(?:"), F.array_join(forms, "|"), F.lit(")" + TERM_AFTER))
+    removed = F.transform(F.filter(telling, lambda t: t["action"] == "removed"), lambda t: t["term"])
+
+    def span(m: Column) -> Column:
+        term = F.lower(m["value"])
+        out = F.array_contains(removed, term)
+        rank = F.when(out, KINDS.index("removed")).otherwise(KINDS.index("general"))
+        kind = F.when(out, "removed").otherwise("general")
+        return F.struct((m["start"] - 1).alias("start"), rank.alias("rank"), kind.alias("kind"), (m["end"] - 1).alias("end"), term.alias("value"))
+
+    found = F.when(F.size(forms) > 0, F.transform(_matches(blanked, pattern), span).cast(SPAN_TYPE))
+    return F.coalesce(found, F.array().cast(SPAN_TYPE))
+
+
 def _terms_near(docs: DataFrame) -> DataFrame:
-    """Every word near a base span: document, entity, term, its place and a hash of the context."""
+    """Every word near a base span: document, entity, term and a hash of the context; one row without term if there is none."""
     entity = docs.filter(F.size("base") > 0).select("id", "hash", "body", F.explode("base").alias("span"))
     start, end = F.col("span.start"), F.col("span.end")
     early, late = start <= CONTEXT_CHARS, F.length("body") - end <= CONTEXT_CHARS
@@ -128,63 +172,58 @@ def _terms_near(docs: DataFrame) -> DataFrame:
     sides = entity.select(
         "id", "hash",
         F.col("span.kind").alias("kind"),
-        F.when(F.col("span.kind").isin("card", "phone"), _digits(F.col("span.value"))).otherwise(F.lower("span.value")).alias("entity"),
+        _entity(F.col("span")).alias("entity"),
         F.lower(F.concat(F.when(early, " ").otherwise(""), before, F.lit(" "))).alias("before"),
-        (F.greatest(start - CONTEXT_CHARS, F.lit(0)) - F.when(early, 1).otherwise(0)).alias("before_at"),
         F.lower(F.concat(F.lit(" "), after, F.when(late, " ").otherwise(""))).alias("after"),
-        (end - 1).alias("after_at"),
     )
 
-    def placed(side: str) -> Column:
-        return F.transform(_matches(F.col(side), TERM), lambda m: F.struct(
-            m["value"].alias("term"), (m["start"] + F.col(f"{side}_at")).alias("start"), (m["end"] + F.col(f"{side}_at")).alias("end")
-        ))
+    terms = F.concat(*(F.regexp_extract_all(F.col(side), F.lit(TERM), F.lit(0)) for side in ("before", "after")))
+    return sides.select("id", "hash", "kind", "entity", F.xxhash64("before", "after").alias("context"), F.explode_outer(F.array_distinct(terms)).alias("term"))
+
 
-    terms = F.explode(F.concat(placed("before"), placed("after"))).alias("t")
-    return sides.select("id", "hash", "kind", "entity", F.xxhash64("before", "after").alias("context"), terms).select(
-        "id", "hash", "kind", "entity", "context", "t.term", "t.start", "t.end"
-    )
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, sent to all tasks if it is small."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
 
-def term_spans(
+def telling_terms(
     docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
-    """``id, hash, spans`` of the documents in which terms disclose an entity.
+    """``id, hash, telling`` (terms and actions) of the documents with terms that disclose an entity of theirs.
 
     ``docs`` has ``id``, ``hash``, ``body`` (never null) and ``base`` (spans).
     """
     near = cut(_terms_near(docs))
-    together = near.groupBy("kind", "entity", "term").agg(F.countDistinct("context").alias("n_both")).filter(F.col("n_both") >= support)
+    together = near.filter("term is not null").groupBy("kind", "entity", "term").agg(F.countDistinct("context").alias("n_both")).filter(F.col("n_both") >= support)
     entities = near.groupBy("kind", "entity").agg(F.countDistinct(F.struct("id", "hash")).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat(F.lit(" "), "body", F.lit(" "))), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(_words(F.col("body"), F.col("base"))).alias("term"))
     frequencies = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).first()[0]
 
     counted = together.join(entities, ["kind", "entity"]).join(frequencies, "term")
     shared = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     disclosure = F.round(shared / F.log(total / F.col("n_entity")), 6)
-    telling = (
+    telling = _sent(cut(
         counted.filter(F.col("n_entity") < total).withColumn("disclosure", disclosure).filter(F.col("disclosure") >= generalise)
         .select("kind", "entity", "term", F.when(F.col("disclosure") >= remove, "removed").otherwise("general").alias("action"))
-    )
-    rank = F.when(F.col("action") == "removed", KINDS.index("removed")).otherwise(KINDS.index("general"))
-    span = F.struct("start", rank.alias("rank"), F.col("action").alias("kind"), "end", F.col("term").alias("value"))
-    found = near.join(telling, ["kind", "entity", "term"]).groupBy("id", "hash").agg(F.collect_set(span.cast(SPAN_TYPE[6:-1])).alias("spans"))
-    # A word that tells of two entities, by different degrees, is removed.
-    return found.withColumn("spans", F.filter("spans", lambda s: (s["kind"] == "removed") | ~F.exists("spans", lambda o: (o["start"] == s["start"]) & (o["kind"] == "removed"))))
+    ))
+    # By entity and word of a document: an entity's whole list of terms would grow with the documents that hold it.
+    known = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), _entity(s).alias("entity"))))
+    holding = docs.filter(F.size("base") > 0).select("id", "hash", _words(F.col("body"), F.col("base")).alias("words"), F.explode(known).alias("e"))
+    holding = holding.select("id", "hash", "words", "e.kind", "e.entity").join(telling.select("kind", "entity"), ["kind", "entity"], "left_semi")
+    found = holding.select("id", "hash", "kind", "entity", F.explode("words").alias("term")).join(telling, ["kind", "entity", "term"])
+    return found.groupBy("id", "hash").agg(F.collect_set(F.struct("term", "action")).alias("telling"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_col: str = "base", spans_col: str = "spans", **thresholds) -> DataFrame:
     """Add ``base_col`` and ``spans_col``, arrays of ``struct(start, rank, kind, end, value)`` by start and kind."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     known = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), body.alias("body"), base_spans(body).alias("base"))
-    terms = cut(term_spans(known, **thresholds))
-    small = terms.count() <= MOST_BROADCAST
+    terms = _sent(cut(telling_terms(known, **thresholds).select(F.col("id").alias("_id"), F.col("hash").alias("_of"), F.col("telling").alias("_terms"))))
     found = docs.withColumn("_hash", F.xxhash64(text_col)).withColumn(base_col, base_spans(body))
-    terms = terms.select(F.col("id").alias("_id"), F.col("hash").alias("_of"), F.col("spans").alias("_terms"))
-    joined = found.join(F.broadcast(terms) if small else terms, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
-    every = F.array_sort(F.concat(F.col(base_col), F.coalesce(F.col("_terms"), F.array().cast(SPAN_TYPE))))
-    return joined.withColumn(spans_col, every).drop("_id", "_of", "_terms", "_hash")
+    joined = found.join(terms, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
+    marked = F.when(F.col("_terms").isNotNull(), _marked(body, F.col(base_col), F.col("_terms"))).otherwise(F.array().cast(SPAN_TYPE))
+    return joined.withColumn(spans_col, F.array_sort(F.concat(F.col(base_col), marked))).drop("_id", "_of", "_terms", "_hash")
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -120,6 +120,24 @@ def test_telling_words_like_brute_force(spark, telling):
             assert row.clean == row.text
 
 
+def spans_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.find_personal_data(rows).select("doc_id", "spans").collect()}
+
+
+def test_telling_words_far_from_the_entity(spark):
+    """Everywhere in a document that holds the entity, in any case and beside any span, and in no other document."""
+    far = prose(40, 7)
+    texts = [f"{prose(20, i)} Zorblax lives near bob@example.org with {prose(5, 50 + i)} {far} ZORBLAX, {far}" for i in range(6)]
+    texts += [f"Zorblax! {far} {prose(30, 90)} bob@example.org {far} Zorblax:amy@example.com"]
+    texts += [prose(30, 300 + i) for i in range(60)]
+    found = spans_of(spark, texts)
+    for i, text in enumerate(texts):
+        names = [(m.start(), m.end()) for m in re.finditer("zorblax", text, re.I)]
+        assert [(s, e) for s, e, kind in found[i] if kind in ("removed", "general") and text[s:e].lower() == "zorblax"] == names
+        assert len(names) == (2 if i < 7 else 0)
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     rows = spark.createDataFrame([(1, "call +4111 1111 1111 111 now")], "doc_id long, text string")
     [row] = pii.find_personal_data(rows).select(pii.sanitised(F.col("text"), F.col("spans")).alias("clean"), F.size("spans").alias("n")).collect()
