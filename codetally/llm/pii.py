@@ -6,8 +6,8 @@ relative to the entity's own information content,
 
     log(N * n(term, entity) / (n(term) * n(entity))) / log(N / n(entity))
 
-with n(term) and n(entity) counted over all documents and n(term, entity) over different contexts, so that copies of a
-document are no evidence. A term seen in at least ``support`` different contexts of an entity is generalised from ``generalise`` on and removed from
+with all four counted over different texts, so that copies of a document are evidence neither for a link nor against it.
+A term seen in at least ``support`` different contexts of an entity is generalised from ``generalise`` on and removed from
 ``remove`` on, wherever it stands in a document that holds the entity.
 
 Everything is DataFrame functions. Work per document is linear in its text; contexts are aggregated by entity and term,
@@ -194,11 +194,18 @@ def telling_terms(
     ``docs`` has ``id``, ``hash``, ``body`` (never null) and ``base`` (spans).
     """
     near = cut(_terms_near(docs))
-    together = near.filter("term is not null").groupBy("kind", "entity", "term").agg(F.countDistinct("context").alias("n_both")).filter(F.col("n_both") >= support)
-    entities = near.groupBy("kind", "entity").agg(F.countDistinct(F.struct("id", "hash")).alias("n_entity"))
-    words = docs.select(F.explode(_words(F.col("body"), F.col("base"))).alias("term"))
-    frequencies = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).first()[0]
+    together = (
+        near.filter("term is not null").groupBy("kind", "entity", "term")
+        .agg(F.countDistinct("context").alias("contexts"), F.countDistinct("hash").alias("n_both")).filter(F.col("contexts") >= support)
+    )
+    entities = near.groupBy("kind", "entity").agg(F.countDistinct("hash").alias("n_entity"))
+    different = cut(docs.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")))
+    total = float(different.count())
+    repeated = _sent(cut(different.filter("copies > 1")))
+    words = docs.select("hash", _words(F.col("body"), F.col("base")).alias("words")).join(repeated, "hash", "left")
+    words = words.select(F.explode("words").alias("term"), F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))
+    # All copies of a text hold the same terms, so their rows divide evenly; no text is moved to tell copies apart.
+    frequencies = words.groupBy("term", "copies").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum((F.col("n") / F.col("copies")).cast("bigint")).alias("n_term"))
 
     counted = together.join(entities, ["kind", "entity"]).join(frequencies, "term")
     shared = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))

@@ -138,6 +138,17 @@ def test_telling_words_far_from_the_entity(spark):
         assert len(names) == (2 if i < 7 else 0)
 
 
+@pytest.mark.parametrize("copied", [0, 30])
+def test_copies_change_nothing_for_others(spark, copied):
+    texts = [f"{prose(20, i)} Zorblax lives near bob@example.org with {prose(5, 50 + i)}" for i in range(3)]
+    texts += [f"{prose(20, 100 + i)} tavern near 10.1.2.3 often {prose(30, 150 + i)}" for i in range(5)]
+    texts += [prose(30, 300 + i) for i in range(40)]
+    more = spans_of(spark, texts + [texts[copied]] * 200)
+    assert {i: more[i] for i in range(len(texts))} == spans_of(spark, texts)
+    name = texts[copied].find("Zorblax")
+    assert name < 0 or all((name, name + 7, "removed") in more[i] for i in (copied, len(texts), len(texts) + 199))
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     rows = spark.createDataFrame([(1, "call +4111 1111 1111 111 now")], "doc_id long, text string")
     [row] = pii.find_personal_data(rows).select(pii.sanitised(F.col("text"), F.col("spans")).alias("clean"), F.size("spans").alias("n")).collect()
