@@ -1,7 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text, each with the path of block elements from the root to it. What is plainly not the
-article by its element or its name (menus, adverts, forms, scripts, comments ...) is left out while reading. For each
+article by its element or its name (menus, adverts, scripts, comments, the controls of forms and forms without running
+text ...) is left out while reading. For each
 path, the text length and the punctuation marks per block are taken over the page, without link texts. Both series are
 smoothed along the page, fused by their product, and blocks whose fused value reaches a share of the page's mean are
 content; so are blocks between content blocks of the same container, and a heading right before one.
@@ -34,6 +35,8 @@ FAIR_SHARE = 0.3
 #: Weights of a block and its neighbours when a series is smoothed.
 SMOOTHING = (0.25, 0.5, 0.25)
 MOST_LINKS = 0.6
+#: Words outside of links that a block of a form needs for the form to hold running text.
+RUNNING_WORDS = 20
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]++|<""", re.S
@@ -43,10 +46,14 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、…]")
 _NAME_PART = re.compile(r"[a-z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math xmp noframes object".split())
-_LEFT_OUT = frozenset("head nav footer aside form button select option dialog menu fieldset label figcaption".split())
-_INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split()
+_RAW = frozenset("script style noscript template textarea title iframe svg xmp noframes".split())
+_LEFT_OUT = frozenset("head nav footer aside annotation annotation-xml button select option dialog menu fieldset label figcaption".split())
+_MATH = frozenset(
+    "math mi mo mn ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle "
+    "merror mpadded mphantom mfenced menclose semantics annotation annotation-xml".split()
+)
+_INLINE = _MATH | frozenset(
+    "object a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {
@@ -63,9 +70,10 @@ _LAYOUT = frozenset(("has", "with", "no", "without", "page", "layout", "is", "bo
 
 
 class Block:
-    __slots__ = ("heading", "links", "marked", "path", "text", "where")
+    __slots__ = ("form", "heading", "links", "marked", "path", "text", "where")
 
-    def __init__(self, path: int, where: int, marked: int, heading: bool):
+    def __init__(self, path: int, where: int, marked: int, heading: bool, form: int = 0):
+        self.form = form
         self.path, self.where, self.marked, self.heading = path, where, marked, heading
         self.text: list[str] = []
         self.links = 0
@@ -98,7 +106,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
     blocks: list[Block] = []
     marks: dict[int, str] = {}
     current: Block | None = None
-    elements = 0
+    elements = form = 0
 
     def close(tag: str) -> None:
         nonlocal current
@@ -124,7 +132,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             if current is None:
                 if token.isspace():
                     continue
-                current = Block(path, container, marked, tag in _HEADINGS)
+                current = Block(path, container, marked, tag in _HEADINGS, form if open_tags["form"] else 0)
                 blocks.append(current)
             text = html.unescape(token)
             current.text.append(text)
@@ -138,6 +146,8 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             elif tag == "p":
                 current = None
             continue
+        if tag == "svg" and m[3].endswith("/"):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, position)
             position = end.start() if end else len(page)
@@ -170,12 +180,16 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
         out = out or _left_out(tag, m[3], bool(marked))
         if not inline:
             elements += 1
+            if tag == "form" and not open_tags["form"]:
+                form = elements
             container = stack[-1][2] if tag in _HEADINGS or tag in ("p", "li", "blockquote", "pre", "ul", "ol") else elements
             path = paths.setdefault((path, tag), len(paths) + 1)
-        if not m[3].endswith("/") or tag not in ("p", "div", "span", "a"):
+        if not m[3].endswith("/") or tag not in _MATH and tag not in ("p", "div", "span", "a"):
             stack.append((tag, path, container, marked, out, link or tag == "a"))
             open_tags[tag] += 1
-    return blocks, marks
+    read = [(b.form, "".join(b.text)) for b in blocks]
+    running = {f for b, (f, text) in zip(blocks, read, strict=True) if f and len(text.split()) * (1 - b.links / max(1, len(text))) >= RUNNING_WORDS}
+    return [b for b in blocks if not b.form or b.form in running], marks
 
 
 def _smooth(series: np.ndarray) -> np.ndarray:

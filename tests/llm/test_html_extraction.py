@@ -27,6 +27,21 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>x <svg width=1/> y</p><p>{LONG}</p></article>", f"x y\n{LONG}"),
+        (f"<article><p>x <math/> y</p><p>{LONG}</p></article>", f"x y\n{LONG}"),
+        (f"<article><p>x</p><object data=a><p>{LONG}</p></article>", f"x\n{LONG}"),
+        ("<article><p>so <math><msup><mi>a</mi><mn>2</mn></msup><mspace/></math> is</p></article>", "so a2 is"),
+        (f"<body><form action=a><input><select><option>one</select><article><h1>T</h1><p>{LONG}</p></article><button>go</button></form>", f"T\n{LONG}"),
+        (f"<article><p>{LONG}</p><form>Your name, please <input></form></article>", LONG),
+    ],
+)
+def test_nothing_is_cut_after_an_element(page, text):
+    assert main_text(page) == text
+
+
 def test_without_a_marked_article():
     page = (
         "<body class='has-sidebar'><header><h1>Site</h1></header><div id='menu'><a href=x>One</a> <a href=y>Two</a></div>"
