@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from codetally.llm import decontaminate, html_extraction, language_id, packing, pii, simhash, substring_dedup, token_counts, topk_search, url_filter
+from codetally.llm import (
+    decontaminate,
+    html_extraction,
+    language_id,
+    packing,
+    piece_coding,
+    pii,
+    simhash,
+    substring_dedup,
+    token_counts,
+    topk_search,
+    url_filter,
+)
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -16,6 +28,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_piece_coding": piece_coding.op11_piece_coding,
     "pipeline": corpus_pipeline.run,
 }
 
