@@ -7,6 +7,7 @@ from codetally.llm import (
     decontaminate,
     html_extraction,
     language_id,
+    merkle,
     packing,
     piece_coding,
     pii,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_piece_coding": piece_coding.op11_piece_coding,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -37,4 +39,5 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_topk_search": topk_search.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
