@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from codetally.llm import (
     decontaminate,
+    hard_negatives,
     html_extraction,
     language_id,
     merkle,
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_piece_coding": piece_coding.op11_piece_coding,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
@@ -39,5 +41,6 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op5_topk_search": topk_search.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
