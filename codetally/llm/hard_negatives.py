@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetally.llm.shared import stored
+from codetally.llm.shared import descending, from_descending, nearest_long, stored, whole_numbers
 
 SCALE = 256
 ANCHOR_EVERY = 50
@@ -45,17 +45,6 @@ BLOCK_ROWS = 16_384
 PART_ANCHORS = 2_048
 _LONG = 1 << 63
 
-_COMPLEMENT = bytes(range(255, -1, -1))
-
-
-def descending(score: int) -> bytes:
-    """Bytes that sort from the highest whole number to the lowest, of any size: a length, then the number."""
-    size = (score.bit_length() + 7) // 8
-    body = abs(score).to_bytes(size, "big")
-    ascending = (0x8000 + size).to_bytes(2, "big") + body if score >= 0 else (0x8000 - size).to_bytes(2, "big") + body.translate(_COMPLEMENT)
-    return ascending.translate(_COMPLEMENT)
-
-
 def pair_key(anchor: bytes, score: int, other_label: bool, row_id: int) -> bytes:
     """Anchor, descending score, id; of equal scores those of the anchor's label come first, so that a window is open
     before the first row it may take."""
@@ -63,11 +52,7 @@ def pair_key(anchor: bytes, score: int, other_label: bool, row_id: int) -> bytes
 
 
 def unpacked(key: bytes) -> tuple[bytes, int, bool, int]:
-    anchor, rest = key[:16], key[16:].translate(_COMPLEMENT)
-    size = int.from_bytes(rest[:2], "big") - 0x8000
-    body = rest[2 : 2 + abs(size)]
-    score = int.from_bytes(body, "big") if size >= 0 else -int.from_bytes(body.translate(_COMPLEMENT), "big")
-    return anchor, score, key[-9] == 1, int.from_bytes(key[-8:], "big") - _LONG
+    return key[:16], from_descending(key[16:-9]), key[-9] == 1, int.from_bytes(key[-8:], "big") - _LONG
 
 
 def window(score: int, least: int = LEAST, most: int = MOST) -> tuple[int, int]:
@@ -83,11 +68,7 @@ class Scorer:
         with np.errstate(over="ignore"):
             self.values = np.floor(vectors * scale)
         self.most = np.abs(self.values).max(1, initial=0)
-        self.vectors, self.wide = vectors, None
-
-    def _whole(self, vector: np.ndarray) -> list[int]:
-        # Beyond 2^53 a double is a whole number, and so is its multiple, which a double may not hold.
-        return [math.floor(x * self.scale) if abs(x) < 1 << 53 else int(x) * self.scale for x in vector.tolist()]
+        self.vectors = vectors
 
     def scores(self, vector: np.ndarray) -> np.ndarray:
         """Doubles where all sums are exact, else Python's integers."""
@@ -99,9 +80,9 @@ class Scorer:
             return self.values @ value
         scores = np.empty(len(self.values), object)
         scores[exact] = [int(s) for s in self.values[exact] @ value] if exact.any() else []
-        whole = self._whole(vector)
+        whole = whole_numbers(vector, self.scale)
         for row in np.flatnonzero(~exact):
-            scores[row] = sum(a * b for a, b in zip(self._whole(self.vectors[row]), whole, strict=True))
+            scores[row] = sum(a * b for a, b in zip(whole_numbers(self.vectors[row], self.scale), whole, strict=True))
         return scores
 
 
@@ -221,7 +202,7 @@ def hard_negatives(
                 for at in windows:
                     if at[0] <= score <= at[1] and at[2] < negatives:
                         at[2] += 1
-                        found.append((int.from_bytes(anchor[:8], "big") - _LONG, at[3], at[2], row_id, _long(at[4]), _long(score)))
+                        found.append((int.from_bytes(anchor[:8], "big") - _LONG, at[3], at[2], row_id, nearest_long(at[4]), nearest_long(score)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * 6, names)
 
     alike = stored(_by_anchor(scored(anchors, best_alike)).mapInArrow(first_keys, "key binary"))
@@ -234,10 +215,6 @@ def hard_negatives(
     return result.withColumn("rank", F.col("rank").cast("int"))
 
 
-def _long(score: int) -> int:
-    return max(-_LONG, min(_LONG - 1, score))
-
-
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth vector, after the labels of every seventh were changed."""
     label = F.col("label").cast("bigint")

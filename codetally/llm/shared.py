@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,3 +104,33 @@ class BoundedCache(dict):
     def room_for(self, more: int) -> None:
         if len(self) + more > self.most:
             self.clear()
+
+
+_COMPLEMENT = bytes(range(255, -1, -1))
+_LONG = 1 << 63
+
+
+def whole_numbers(vector: np.ndarray, scale: int) -> list[int]:
+    """``floor(scale * x)`` of finite components, exact at any size."""
+    # Beyond 2^53 a double is a whole number, and so is its multiple, which a double may not hold.
+    return [math.floor(x * scale) if abs(x) < 1 << 53 else int(x) * scale for x in vector.tolist()]
+
+
+def descending(number: int) -> bytes:
+    """Bytes that sort from the highest whole number to the lowest, of any size: a length, then the number."""
+    size = (number.bit_length() + 7) // 8
+    body = abs(number).to_bytes(size, "big")
+    ascending = (0x8000 + size).to_bytes(2, "big") + body if number >= 0 else (0x8000 - size).to_bytes(2, "big") + body.translate(_COMPLEMENT)
+    return ascending.translate(_COMPLEMENT)
+
+
+def from_descending(key: bytes) -> int:
+    """The number at the start of such bytes."""
+    ascending = key.translate(_COMPLEMENT)
+    size = int.from_bytes(ascending[:2], "big") - 0x8000
+    body = ascending[2 : 2 + abs(size)]
+    return int.from_bytes(body, "big") if size >= 0 else -int.from_bytes(body.translate(_COMPLEMENT), "big")
+
+
+def nearest_long(number: int) -> int:
+    return max(-_LONG, min(_LONG - 1, number))

@@ -10,8 +10,11 @@ resolved exactly. Each block gives its best k, the best of all blocks are the an
 A block's index goes to one task at a time, with a bounded block of queries. Queries are the smaller side and are
 repeated for every block; vectors are moved once.
 
-Defined cases: a vector that is null, has a null or non-finite component, or a component beyond ``MOST_VALUE`` after
-scaling takes no part, nor does a row without id. Vectors are compared with vectors of their own length only. Rows of
+The few vectors with a component so large that a score could pass a long are kept beside the slices and resolved with
+integers of any size, as are queries that have one.
+
+Defined cases: a vector that is null or has a null or non-finite component takes no part, nor does a row without id. A
+score beyond a long ranks as it is and is returned as the nearest long. Vectors are compared with vectors of their own length only. Rows of
 one id are never each other's answer; a query that comes twice with the same vector is asked once. Equal scores rank by
 id. Columns other than id and vector take no part.
 """
@@ -24,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codetally.llm.shared import descending, nearest_long, stored, whole_numbers
+
 SCALE = 1024
 K = 10
 QUERY_EVERY = 100
@@ -36,16 +41,13 @@ QUERY_BLOCK = 128
 #: Bits kept of each component, and of each query component.
 SLICES = 6
 WEIGHT_BITS = 5
+#: Largest component of the slices, less for very long vectors.
 MOST_VALUE = 1 << 26
 
 
-def quantised(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-
-
-def _takes_part(vector: Column, scale: int) -> Column:
-    fits = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double") * scale) <= MOST_VALUE, F.lit(False)) & ~F.isnan(x))
-    return vector.isNotNull() & fits
+def narrow_limit(dims: int) -> int:
+    """The largest component with which no sum of products of so many can pass a long."""
+    return min(MOST_VALUE, math.isqrt((1 << 62) // max(1, dims)))
 
 
 class BitSlicedIndex:
@@ -144,6 +146,33 @@ class BitSlicedIndex:
         return self.ids[rows[order]], scores[order]
 
 
+class Block:
+    """The index of a block's vectors, and the few with components too large for it as they are."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, scale: int):
+        with np.errstate(over="ignore"):
+            values = np.floor(vectors * scale)
+        self.scale, self.limit = scale, narrow_limit(vectors.shape[1])
+        wide = np.abs(values).max(1, initial=0) > self.limit
+        self.index = BitSlicedIndex(ids[~wide], values[~wide].astype(np.int64)) if not wide.all() else None
+        self.wide_ids, self.wide = ids[wide], vectors[wide]
+
+    def _exact(self, query_id: int, query: list[int], ids: np.ndarray, rows: list[list[int]]) -> list[tuple[int, int]]:
+        return [(-sum(a * b for a, b in zip(query, row, strict=True)), i) for i, row in zip(ids.tolist(), rows, strict=True) if i != query_id]
+
+    def best(self, query_id: int, vector: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The best ``k`` rows other than the query's own, as negated score and id."""
+        query, found = whole_numbers(vector, self.scale), []
+        if len(self.wide):
+            found += self._exact(query_id, query, self.wide_ids, [whole_numbers(row, self.scale) for row in self.wide])
+        if self.index and max(map(abs, query), default=0) <= self.limit:
+            ids, scores = self.index.best(query_id, np.array(query, np.int64), k)
+            found += zip((-scores).tolist(), ids.tolist(), strict=True)
+        elif self.index:
+            found += self._exact(query_id, query, self.index.ids, self.index.values.tolist())
+        return sorted(found)[:k]
+
+
 def top_k(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -154,39 +183,54 @@ def top_k(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query_id, rank, <id_col>, score``: the best rows for every row whose id is divisible by ``query_every``."""
-    valid = vectors.filter(F.col(id_col).isNotNull() & _takes_part(F.col(vector_col), scale)).select(
-        F.col(id_col).cast("bigint").alias("id"), quantised(F.col(vector_col), scale).alias("vector")
+    finite = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    valid = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.size(vector_col).alias("dims")
     )
-    valid = valid.withColumn("dims", F.size("vector"))
+    # Numbered in written tables: a task that is run again deals its rows as before, and rows of one id are dealt apart.
+    valid = stored(valid.withColumn("row", F.monotonically_increasing_id()))
+    asked = stored(valid.filter(F.pmod("id", F.lit(query_every)) == 0).drop("row").distinct().withColumn("row", F.monotonically_increasing_id()))
     blocks = max(1, math.ceil(valid.count() / block_rows))
-    dealt = valid.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+    some = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    dealt = valid.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         dims = table["dims"][0].as_py()
-        flat = table["vector"].combine_chunks().flatten().to_numpy() if dims else np.empty(0, np.int64)
-        index = BitSlicedIndex(table["id"].to_numpy(), flat.reshape(table.num_rows, dims))
-        return pa.table({"dims": pa.array([dims], pa.int32()), "block": table["block"].slice(0, 1), "index": pa.array([pickle.dumps(index.__dict__)], pa.binary())})
+        flat = table["vector"].combine_chunks().flatten().to_numpy() if dims else np.empty(0)
+        block = Block(table["id"].to_numpy(), flat.reshape(table.num_rows, dims), scale)
+        parts = {name: value.__dict__ if name == "index" and value else value for name, value in block.__dict__.items()}
+        return pa.table({"dims": pa.array([dims], pa.int32()), "block": table["block"].slice(0, 1), "index": pa.array([pickle.dumps(parts)], pa.binary())})
 
     index = dealt.groupBy("dims", "block").applyInArrow(build, "dims int, block int, index binary")
-    asked = valid.filter(F.pmod("id", F.lit(query_every)) == 0).distinct()
-    some = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     queries = (
-        asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(some))).groupBy("dims", "part").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
+        asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(some))).groupBy("dims", "part").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
         .select("dims", "queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def loaded(kind: type, state: dict):
+            made = kind.__new__(kind)
+            made.__dict__.update(state)
+            return made
+
         for batch in batches:
             for blob, listed in zip(batch["index"], batch["queries"], strict=True):
-                block = BitSlicedIndex.__new__(BitSlicedIndex)
-                block.__dict__.update(pickle.loads(blob.as_py()))
+                state = pickle.loads(blob.as_py())
+                block = loaded(Block, state | {"index": state["index"] and loaded(BitSlicedIndex, state["index"])})
                 for query in listed.as_py():
-                    ids, scores = block.best(query["id"], np.array(query["vector"], np.int64), k)
-                    name = np.full(len(ids), query["id"], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids), pa.array(scores)], ["query_id", "id", "score"])
-
-    found = index.join(queries, ["dims", "block"]).select("index", "queries").mapInArrow(search, "query_id bigint, id bigint, score bigint")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+                    found = block.best(query["id"], np.array(query["vector"], np.float64), k)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([query["id"]] * len(found), pa.int64()),
+                            pa.array([i for _, i in found], pa.int64()),
+                            pa.array([nearest_long(-minus) for minus, _ in found], pa.int64()),
+                            pa.array([descending(-minus) for minus, _ in found], pa.binary()),
+                        ],
+                        ["query_id", "id", "score", "order"],
+                    )
+
+    found = index.join(queries, ["dims", "block"]).select("index", "queries").mapInArrow(search, "query_id bigint, id bigint, score bigint, order binary")
+    order = W.partitionBy("query_id").orderBy("order", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

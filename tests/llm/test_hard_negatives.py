@@ -74,7 +74,7 @@ def test_large_components_stay_exact(spark):
             scored = sorted((-sum(a * b for a, b in zip(vector, v)), i, other == label) for i, v, other in scale if i != anchor)
             for minus, positive, _ in [s for s in scored if s[2]][:5]:
                 fits = [(-n, i) for n, i, alike in scored if not alike and 50 * -minus <= 100 * -n <= 95 * -minus][:3]
-                result += [(anchor, positive, rank + 1, i, h._long(-minus), h._long(s)) for rank, (s, i) in enumerate(fits)]
+                result += [(anchor, positive, rank + 1, i, h.nearest_long(-minus), h.nearest_long(s)) for rank, (s, i) in enumerate(fits)]
     assert found(frame) == sorted(result)
 
 

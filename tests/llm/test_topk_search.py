@@ -6,11 +6,12 @@ from codetally.llm.queries import QUERIES
 
 
 def brute(rows, k=10):
-    whole = [(i, np.floor(1024 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, [t.math.floor(x * 1024) if abs(x) < 2**53 else int(x) * 1024 for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     result = []
     for q, a in {(i, tuple(v)): (i, v) for i, v in whole if i % 100 == 0}.values():
-        scored = sorted(((-int(a @ b), i) for i, b in whole if i != q and len(a) == len(b)))[:k]
-        result += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
+        dot = lambda b: sum(x * y for x, y in zip(a, b))
+        scored = sorted(((-dot(b), i) for i, b in whole if i != q and len(a) == len(b)))[:k]
+        result += [(q, rank + 1, i, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, i) in enumerate(scored)]
     return sorted(result)
 
 
@@ -49,3 +50,19 @@ def test_index_alone():
 
 def test_no_vectors(spark):
     assert t.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_large_components_take_part(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 12)).tolist()) for i in range(250)]
+    rows += [(500, [1.0, 70000.0, 0.0]), (300, [1e300, -1e300, 2.0]), (301, [1e300, 0.1, 2.0]), (302, [0.5e300, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, t.top_k(frame, block_rows=60).collect())) == brute(rows)
+
+
+def test_a_hot_id_is_dealt_apart(spark):
+    rows = [(100, [float(i), 1.0]) for i in range(400)] + [(i, [float(i % 7), 2.0]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = t.top_k(frame, block_rows=100).collect()
+    of_hot = [r for r in got if r.query_id == 100]
+    assert len(of_hot) == 10 and all(r.vec_id != 100 for r in of_hot)
