@@ -202,7 +202,7 @@ def attach_final(spark, sf_dir):
     """Final codes only for the records that have any; the others get the empty set."""
     h = views.hierarchy(spark, sf_dir)
     outputs = views.model_output(spark, sf_dir, with_final=True)
-    final = prepare.prepare_model_codes(outputs, h, codes_col=None, alt_codes_col="final_sic", out_col="final_codes", digits=3, unique_ids=True)
+    final = prepare.prepare_model_codes(outputs, h, codes_col=None, alt_codes_col="final_sic", out_col="final_codes", digits=3)
     return shown(attach_final_codes(pair(spark, sf_dir), final.filter(F.size("final_codes") > 0), "final_codes"), "clerical_codes", "final_codes")
 
 
@@ -607,8 +607,8 @@ def section_distribution(spark, sf_dir):
     h = views.hierarchy(spark, sf_dir)
     letter = F.chr(65 + F.substring("o_orderpriority", 1, 1).cast("int"))
     admin = views.table(spark, sf_dir, "orders").select(letter.alias("sic_section"), F.lit("Admin labels").alias("source"))
-    human = prepare.prepare_clerical_codes(views.clerical(spark, sf_dir), h, digits=0, unique_ids=True)
-    model = prepare.prepare_model_codes(views.model_output(spark, sf_dir), h, digits=0, unique_ids=True)
+    human = prepare.prepare_clerical_codes(views.clerical(spark, sf_dir), h, digits=0)
+    model = prepare.prepare_model_codes(views.model_output(spark, sf_dir), h, digits=0)
     stacked = admin.unionByName(P.single_section(human, "clerical_codes", "Clerical codes")).unionByName(
         P.single_section(model, "model_codes", "Model codes")
     )

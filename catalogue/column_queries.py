@@ -13,7 +13,7 @@ from codetally.functions import sets as S
 from codetally.functions import stats
 from codetally.operators import selection
 from codetally.operators.alignment import LabelAlignment, exclude_patterns, top_values
-from codetally.operators.hierarchy import items_at
+from codetally.operators.hierarchy import text_side
 from codetally.operators.prepare import clean_wide_table, keep_unambiguous, rows_per_level
 from codetally.operators.quality import add_quality_flags
 
@@ -256,9 +256,8 @@ def code_sets_sql(digits: int) -> str:
 
 def code_sets(digits: int):
     def run(spark, sf_dir):
-        items = items_at([digits], C.parse_codes(F.col("text")), {"codes": F.lit(True)})
         rows = ["l_orderkey", "l_partkey", "l_linenumber", "text"]
-        cleaned = views.hierarchy(spark, sf_dir).clean_code_sets(messy(spark, sf_dir), rows, items, ["codes"], [digits])
+        cleaned = views.hierarchy(spark, sf_dir).clean_code_sets(messy(spark, sf_dir), rows, [text_side("text", "codes")], [digits])
         found = rows_per_level(cleaned, digits)
         return keyed(found, codes=S.set_text(F.col("codes")))
 

@@ -176,7 +176,7 @@ SHORTLIST_JOINED = f"""select s.method, s.digits, s.size as shortlist_size, s.m,
     f"select method, unique_id, cast(digits as bigint) as digits, size as shortlist_size, array_to_string(list_sort(m),';') as initial_codes from ({SHORTLIST_SETS}) where digits=3",
 )
 def shortlisted_codes(spark, sf_dir):
-    codes = shortlist_codes(stacked(spark, sf_dir), views.hierarchy(spark, sf_dir), [3], unique_ids=True)
+    codes = shortlist_codes(stacked(spark, sf_dir), views.hierarchy(spark, sf_dir), [3])
     return codes.select("method", "unique_id", F.col("digits").cast("bigint").alias("digits"), "shortlist_size", S.set_text(F.col("initial_codes")).alias("initial_codes"))
 
 

@@ -1,18 +1,25 @@
 """The code hierarchy: which codes exist, which section they belong to, what an incomplete code may mean.
 
-Cleaning a code to ``n`` digits is an equi-join on its known leading digits. A code with at least
-``n`` known digits is cut and must exist; a shorter one stands for every existing code below it.
-Both are one lookup in the table ``prefix -> n-digit codes``.
+A code with at least ``n`` known digits is cut to ``n`` and must exist; a shorter one stands for every existing code
+below it. Single codes are looked up by an equi-join of their known leading digits with the table
+``prefix -> n-digit codes``. Code sets of up to five digits are read as intervals of numbered codes
+(``functions.intervals``): what each run of up to five leading digits means is gathered once, at most 111,110 numbers,
+and travels with the expressions, so that no row is joined, exploded or grouped to clean its codes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetally.fixed_values import CODE_LENGTH
-from codetally.functions.codes import code_stem
-from codetally.functions.sets import empty_set, once
+from codetally.functions.codes import code_stem, parse_codes
+from codetally.functions.intervals import CHUNK, NOTHING, SECTION_DIGITS, SPAN, codes_meant, meant, once, single_text, stems
+from codetally.functions.sets import empty_set
 
 # A level of at most this many digits has at most 10 + 100 + ... + 100,000 prefixes, whatever the
 # input, so its lookup table is safe to broadcast. Deeper levels are left to the planner.
@@ -34,6 +41,70 @@ class Hierarchy:
             F.col("code").cast("string").alias("code"),
             position.alias("position"),
         )
+        self._gathered: tuple[dict[int, list[int]], dict[str, str]] | None = None
+
+    def _gather(self) -> tuple[dict[int, list[int]], dict[str, str]]:
+        """The numbers of the codes of each level, and the section of each division: at most 111,110 and 100."""
+        if self._gathered is None:
+            numeric = self.table.filter(F.col("code").rlike("^[0-9]+$"))
+            at = lambda n: F.collect_set(F.when(F.length("code") >= n, F.substring("code", 1, n).cast("int"))).alias(f"level_{n}")
+            found = numeric.agg(*[at(n) for n in range(1, BROADCAST_DIGITS + 1)]).first()
+            sections = self.section_lookup().filter(F.col("division").rlike("^[0-9]{2}$") & F.col("section").isNotNull())
+            self._gathered = (
+                {n: sorted(found[f"level_{n}"]) for n in range(1, BROADCAST_DIGITS + 1)},
+                {row.division: row.section for row in sections.collect()},
+            )
+        return self._gathered
+
+    def index(self, levels: list[int], spelled: bool = False) -> Column:
+        """What ``functions.intervals`` reads codes of these levels with, ``spelled`` if codes are asked for as text.
+
+        ``places`` numbers the stems, found as the number that a 1 before their digits makes; ``level_<n>`` has the
+        interval of each, ``codes_<n>`` all codes in lists of ``CHUNK``.
+        """
+        if max(levels) > BROADCAST_DIGITS:
+            raise ValueError(f"Code sets can be read at up to {BROADCAST_DIGITS} digits, not {max(levels)}.")
+        numbers, section_of = self._gather()
+        codes_at = {n: [str(number).zfill(n) for number in numbers[n]] for n in numbers}
+        intervals: dict[int, dict[str, tuple[int, int]]] = {n: {} for n in levels}
+        for n in filter(None, levels):
+            for at, code in enumerate(codes_at[n]):
+                for k in range(1, n + 1):
+                    first, _ = intervals[n].get(code[:k], (at, at))
+                    intervals[n][code[:k]] = first, at
+        names = sorted(set(section_of.values()))
+        sections: dict[str, set[int]] = {}
+        for division, name in section_of.items():
+            for stem in (division[:1], division):
+                sections.setdefault(stem, set()).add(names.index(name))
+        known = sorted({stem for at in intervals.values() for stem in at} | (set(sections) if 0 in levels else set()), key=lambda stem: (len(stem), stem))
+        places = [-1] * (2 * 10**CODE_LENGTH)
+        for place, stem in enumerate(known):
+            places[int("1" + stem)] = place
+
+        def listed(values, kind: str) -> Column:
+            # One literal that is split when the plan is made, since a literal for each would take long.
+            texts = [str(v) for v in values]
+            return (F.split(F.lit("\x00".join(texts)), "\x00") if texts else F.array()).cast(f"array<{kind}>")
+
+        def chunks(codes: list[str]) -> Column:
+            parts = [listed(part, "string") for part in batched(codes, CHUNK)]
+            return F.array(*parts) if parts else F.array().cast("array<array<string>>")
+
+        fields = [listed(places, "int").alias("places"), listed([], "bigint").alias("none")]
+        for n in levels:
+            if n == 0:
+                # The few stems of a division or less come often; others share the empty list.
+                at = [F.array(*[F.lit(s * SPAN + s) for s in sorted(sections[stem])]) if stem in sections else listed([], "bigint") for stem in known if len(stem) <= SECTION_DIGITS]
+                fields.append(F.array(*at).alias("level_0") if at else F.array().cast("array<array<bigint>>").alias("level_0"))
+                if spelled:
+                    fields.append(chunks(names).alias("codes_0"))
+                continue
+            ends = [intervals[n].get(stem) for stem in known]
+            fields.append(listed([NOTHING if e is None else e[0] * SPAN + e[1] for e in ends], "bigint").alias(f"level_{n}"))
+            if spelled:
+                fields.append(chunks(codes_at[n]).alias(f"codes_{n}"))
+        return F.struct(*fields)
 
     def valid_codes(self) -> DataFrame:
         """Section letters and every leading part of every code."""
@@ -102,69 +173,47 @@ class Hierarchy:
         """Rows whose code exists at any level."""
         return rows.join(self.valid_codes().withColumnRenamed("code", code_col), code_col, "left_semi")
 
-    def clean_code_sets(
-        self,
-        rows: DataFrame,
-        row_cols: list[str],
-        items: Column,
-        sets: list[str],
-        levels: list[int],
-        unique_rows: bool = False,
-        count_col: str | None = None,
-    ) -> DataFrame:
-        """Turn the codes listed in each row into sets of valid codes, one output row per input row.
-
-        ``items`` is an array of ``struct(level, code, <set>, <set>...)``: a code to be read at one digit
-        level, and one boolean per wanted set telling whether it belongs there. The result has ``row_cols``
-        and ``levels``, an array of ``struct(digits, <set>, <set>...)`` in the order of ``levels``.
+    def sets_of(self, rows: DataFrame, row_cols: list[str], sides: list[Side], levels: list[int], spelled: bool = False) -> DataFrame:
+        """``row_cols`` and ``levels``: the sets of all sides at each level, an array of ``struct(digits, <set>, <set>...)``.
 
-        ``row_cols`` identify a row, and ``items`` must depend on nothing else. Rows equal in all of them
-        are counted and given back as often as they came, each input partition on its own, so that a
-        heavily repeated row is never rebuilt by one task. With ``count_col`` they stay counted, in that
-        column. ``unique_rows`` promises that no two rows agree in ``row_cols``; a broken promise stops the job.
+        Every row is read where it is: nothing is joined, exploded or grouped.
         """
-        split = [] if unique_rows else [F.spark_partition_id().alias("_split")]
-        exploded = rows.select(*row_cols, *split, F.posexplode_outer(items).alias("_pos", "_item")).withColumns(
-            {"_level": F.col("_item.level"), "_code": F.col("_item.code")}
-        )
-        found = self.find(exploded, "_code", levels, "_level")
-        meant = F.struct("_level", F.col("codes").alias("_valid"), *[F.col(f"_item.{name}").alias(name) for name in sets])
-        # Copies of a row bring the same entries again, so there only the distinct ones are gathered.
-        gather = F.collect_list if unique_rows else F.collect_set
-        copies = F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_copies")
-        aggregates = [gather(F.when(F.col("codes").isNotNull(), meant)).alias("_meant"), copies]
-        grouped = found.groupBy(*row_cols, *([] if unique_rows else ["_split"])).agg(*aggregates)
-        if not unique_rows and count_col is None:
-            grouped = grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
-        counted = [(F.lit(1).cast("bigint") if unique_rows else F.col("_copies")).alias(count_col)] if count_col else []
-
-        def at(level: Column) -> Column:
-            mine = F.filter("_meant", lambda entry: entry["_level"] == level)
-            return once(mine, lambda own: F.struct(level.alias("digits"), *[_union(own, name).alias(name) for name in sets]))
+        # Named apart, since sides may call their lists alike.
+        read = [F.struct(*[c.alias(name) for name, c in side.read.items()]).alias(f"side{i}") for i, side in enumerate(sides)]
+        spell, single = (codes_meant, lambda codes: f"(size({codes}) = 1)") if spelled else (meant, single_text)
 
-        laid_out = F.transform(level_array(levels), at)
-        if unique_rows:
-            told = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in row_cols[:2]])
-            broken = F.raise_error(F.concat(F.lit("Rows were promised to be unique, but one comes more than once: "), told))
-            grouped = grouped.filter(F.when(F.col("_copies") > 1, broken.cast("boolean")).otherwise(True))
-        return grouped.select(*row_cols, *counted, laid_out.alias("levels"))
+        def at(level: int) -> str:
+            found = {}
+            for i, side in enumerate(sides):
+                lists = side.lists(f"given.side{i}", level)
+                found |= side.decide({name: spell("given.index", stems, level) for name, stems in lists.items()}, single)
+            return f"named_struct('digits', {level}, {', '.join(f"'{out}', {text}" for out, text in found.items())})"
 
+        taken = [F.col(c).alias(f"c{i}") for i, c in enumerate(row_cols)]
+        given = rows.select(*taken, F.struct(self.index(levels, spelled).alias("index"), *read).alias("given"))
+        # As text: an expression made piece by piece takes longer to build than to plan.
+        levels_of = F.expr(once("given", "given", f"array({', '.join(map(at, levels))})"))
+        return given.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(row_cols)], levels_of.alias("levels"))
 
-def _union(entries: Column, name: str) -> Column:
-    """All codes of the entries belonging to one set."""
-    mine = F.filter(entries, lambda entry: entry[name])
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(mine, lambda entry: entry["_valid"]))))
+    def clean_code_sets(self, rows: DataFrame, row_cols: list[str], sides: list[Side], levels: list[int]) -> DataFrame:
+        """Turn the codes listed in each row into sets of valid codes: ``row_cols`` and ``levels``, see ``sets_of``."""
+        return self.sets_of(rows, row_cols, sides, levels, spelled=True)
 
 
-def level_array(levels: list[int]) -> Column:
-    return F.array(*[F.lit(level) for level in levels])
+@dataclass(frozen=True)
+class Side:
+    """Which raw columns some code sets are read from, and how.
 
+    ``read`` are columns worked out once per row. ``lists`` takes the name of the struct that has them and a level and
+    gives lists of stems, ``decide`` takes the sets these mean, and a test for sets of one code, and gives the resulting
+    sets; all as SQL text.
+    """
 
-def items_at(levels: list[int], tokens: Column, belongs: dict[str, Column]) -> Column:
-    """Every token at every level, with the given set memberships."""
-    flags = [flag.alias(name) for name, flag in belongs.items()]
+    read: dict[str, Column]
+    lists: Callable[[str, int], dict[str, str]]
+    decide: Callable[[dict[str, str], Callable[[str], str]], dict[str, str]]
 
-    def at_all(token: Column) -> Column:
-        return F.transform(level_array(levels), lambda level: F.struct(level.alias("level"), token.alias("code"), *flags))
 
-    return F.flatten(F.transform(tokens, at_all))
+def text_side(col: str, out: str, tokens: Callable[[Column], Column] = parse_codes) -> Side:
+    """The codes written in one text column."""
+    return Side({"codes": stems(tokens(F.col(col)), CODE_LENGTH)}, lambda read, level: {out: f"{read}.codes"}, lambda found, single: found)

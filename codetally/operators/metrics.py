@@ -6,13 +6,16 @@ With no ``by`` the result is exactly one row, also for an empty table.
 from __future__ import annotations
 
 import logging
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetally.fixed_values import MATCH_METHODS
 from codetally.functions.codes import digits_label
-from codetally.functions.sets import code_set, is_single, overlaps
+from codetally.functions import sets as spelled_sets
+from codetally.functions.intervals import functions_for
+from codetally.functions.sets import code_set
 from codetally.functions.stats import f_score, ratio
 from codetally.operators.validation import require_columns
 
@@ -67,12 +70,12 @@ def _codability_metrics(total: Column, has_final: bool, prefix: str = "") -> dic
     }
 
 
-def _comparison(truth: Column, model: Column, prefix: str = "") -> list[Column]:
+def _comparison(truth: Column, model: Column, prefix: str = "", sets: ModuleType = spelled_sets) -> list[Column]:
     """What the accuracy counts need to know about a pair of sets, worked out once per row."""
     return [
-        is_single(truth).alias(f"{prefix}single_truth"),
-        is_single(model).alias(f"{prefix}single_model"),
-        overlaps(truth, model).alias(f"{prefix}overlap"),
+        sets.is_single(truth).alias(f"{prefix}single_truth"),
+        sets.is_single(model).alias(f"{prefix}single_model"),
+        sets.overlaps(truth, model).alias(f"{prefix}overlap"),
     ]
 
 
@@ -151,7 +154,7 @@ def evaluation_metrics(
     """All metrics of a joined table in one pass, as one nested row per group.
 
     Code columns may be text, numbers or arrays; ``prepared`` says they already are the code sets made by
-    this library. A row stands for as many records as ``count_col`` says. Without final codes the final
+    this library, spelled out or as intervals. A row stands for as many records as ``count_col`` says. Without final codes the final
     metrics are null.
     """
     by = by or []
@@ -165,8 +168,9 @@ def evaluation_metrics(
     records = F.col(count_col) if count_col else F.lit(1).cast("bigint")
     sets = df.select(*by, records.alias("records"), *[as_set(c).alias(role) for role, c in roles.items()])
     truth, initial = F.col("truth"), F.col("initial")
+    kind = functions_for(df.schema[truth_col].dataType) if prepared else spelled_sets
     compared = sets.select(
-        *by, "records", *_comparison(truth, initial, "ini_"), *(_comparison(truth, F.col("final"), "fin_") if has_final else [])
+        *by, "records", *_comparison(truth, initial, "ini_", kind), *(_comparison(truth, F.col("final"), "fin_", kind) if has_final else [])
     )
     counts = {"total": F.lit(True)}
     counts |= _prefixed("amb_", _ambiguity_counts(~F.col("ini_single_model"), ~F.col("ini_single_truth")))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codetally.config import ColumnConfig
+from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import clean_label, code_text, join_codes, parse_codes, text_flag
-from codetally.functions.sets import fill_empty
-from codetally.operators.hierarchy import Hierarchy, items_at, level_array
+from codetally.functions.intervals import once, stems
+from codetally.operators.hierarchy import Hierarchy, Side, text_side
 from codetally.operators.joins import override_from_side, override_unique
 from codetally.operators.validation import require_columns, validate_wide_table
 
@@ -87,17 +88,12 @@ def clerical_code_levels(
     With ``count_col`` records with the same id and codes are one row, counted there.
     """
     text = clerical_text(df, four_plus, clerical_col, id_col, unique_ids)
-    items = items_at(levels, parse_codes(F.col(clerical_col)), {out_col: F.lit(True)})
-    row_cols = [id_col] if unique_ids else [id_col, clerical_col]
-    cleaned = hierarchy.clean_code_sets(text, row_cols, items, [out_col], levels, unique_ids, count_col)
-    return add_up_copies(cleaned.drop(clerical_col), count_col)
+    return add_up_copies(hierarchy.clean_code_sets(text, [id_col], [text_side(clerical_col, out_col)], levels), count_col)
 
 
 def add_up_copies(cleaned: DataFrame, count_col: str | None) -> DataFrame:
-    """Equal rows of cleaned codes as one, adding up their counts."""
-    if count_col is None:
-        return cleaned
-    return cleaned.groupBy(*[c for c in cleaned.columns if c != count_col]).agg(F.sum(count_col).alias(count_col))
+    """Equal rows of cleaned codes as one, with their number."""
+    return cleaned if count_col is None else cleaned.groupBy(*cleaned.columns).agg(F.count(F.lit(1)).alias(count_col))
 
 
 def prepare_clerical_codes(
@@ -113,7 +109,7 @@ def prepare_clerical_codes(
     """``(id, out_col)``: the valid codes the human coders gave, one row per record.
 
     A list of digit levels gives one row per record and level, with a ``digits`` column.
-    ``unique_ids`` promises that ids are neither repeated nor null, which saves carrying the raw text along.
+    ``unique_ids`` promises that ids are neither repeated nor null; a broken promise fails.
     """
     levels = digits if isinstance(digits, list) else [digits]
     cleaned = clerical_code_levels(df, hierarchy, levels, four_plus, clerical_col, out_col, id_col, unique_ids)
@@ -139,102 +135,57 @@ class Fallback:
     threshold: float = 0.0
 
 
-@dataclass(frozen=True)
-class Side:
-    """Which raw columns some code sets are read from, and how.
-
-    ``items`` gives the entries for ``Hierarchy.clean_code_sets``, each with a boolean for every flag it is handed;
-    ``sets`` gives the results from the flagged sets of a level.
-    """
-
-    content: list[str]
-    flags: list[str]
-    items: Callable[[list[str]], Column]
-    sets: Callable[[Column], dict[str, Column]]
-
-
-def text_side(col: str, out: str, levels: list[int], tokens: Callable[[Column], Column] = parse_codes) -> Side:
-    """The codes written in one text column."""
-    return Side(
-        [col], [out], lambda flags: items_at(levels, tokens(F.col(col)), {f: F.lit(f == out) for f in flags}), lambda sets: {out: sets[out]}
-    )
-
-
 def model_side(
-    df: DataFrame, outputs: dict[str, Fallback], levels: list[int], codes_col: str | None = "initial_code", code_name: str = "code",
-    score_name: str = "likelihood", tag: str = "", settled_col: str | None = None,
+    df: DataFrame, outputs: dict[str, Fallback], codes_col: str | None = "initial_code", code_name: str = "code", score_name: str = "likelihood"
 ) -> Side:
-    """The first choice or, where that yields no valid code, a fallback, for every output.
-
-    ``tag`` tells the flags of several such sides apart. Rows true in ``settled_col`` are known to have a valid
-    first choice, so their fallbacks are not looked at.
-    """
+    """The first choice or, where that yields no valid code, a fallback, for every output."""
     codes_col = codes_col if codes_col in df.columns else None
     found = {out: f for out, f in outputs.items() if f.column in df.columns}
     if codes_col is None and not found:
         raise ValueError(f"The table has neither a first choice nor alternatives to it: {df.columns}.")
-    first = FIRST + tag
-    own = [*([first] if codes_col else []), *found, *[out + CONFIDENT for out in found]]
-    sources = list(dict.fromkeys(f.column for f in found.values()))
-
-    def items(flags: list[str]) -> Column:
-        parts = []
-        if codes_col:
-            tokens = parse_codes(code_text(F.col(codes_col), df.schema[codes_col].dataType))
-            parts.append(items_at(levels, tokens, {name: F.lit(name == first) for name in flags}))
-        for source in sources:
-            mine = {out: f.threshold for out, f in found.items() if f.column == source}
-            entries = _fallback_items(df, source, levels, mine, flags, code_name, score_name)
-            none = F.array().cast("array<struct<level:int,code:string," + ",".join(f"`{f}`:boolean" for f in flags) + ">>")
-            parts.append(F.when(F.col(settled_col), none).otherwise(entries) if settled_col else entries)
-        return F.concat(*parts)
-
-    def sets(level: Column) -> dict[str, Column]:
-        def outcome(out: str) -> Column:
+    read = {}
+    if codes_col:
+        read[FIRST] = stems(parse_codes(code_text(F.col(codes_col), df.schema[codes_col].dataType)), CODE_LENGTH)
+    for out, fallback in found.items():
+        codes, confident = _fallback_codes(df, fallback, code_name, score_name)
+        read |= {out: stems(codes, CODE_LENGTH), out + CONFIDENT: stems(confident, CODE_LENGTH)}
+
+    def decide(meant: dict[str, str], single: Callable[[str], str]) -> dict[str, str]:
+        def outcome(out: str) -> str:
             if out not in found:
-                return level[first]
-            fallback = pruned(level[out], level[out + CONFIDENT])
-            return fill_empty(level[first], fallback) if codes_col else fallback
+                return meant[FIRST]
+            # Exactly one confident code stands alone; otherwise every candidate stays.
+            fallback = once(meant[out + CONFIDENT], "sure", f"if({single('sure')}, sure, {meant[out]})")
+            # Looked at only where the first choice names no valid code.
+            return once(meant[FIRST], "first", f"if(size(first) > 0, first, {fallback})") if codes_col else fallback
 
         return {out: outcome(out) for out in outputs}
 
-    return Side([*([codes_col] if codes_col else []), *sources], own, items, sets)
+    return Side(read, lambda given, level: {name: f"{given}.{name}" for name in read}, decide)
 
 
-def _fallback_items(
-    df: DataFrame, col: str, levels: list[int], mine: dict[str, float], flags: list[str], code_name: str, score_name: str
-) -> Column:
-    """The entries of one column of alternatives, each flagged with the sets it belongs to.
+def _fallback_codes(df: DataFrame, fallback: Fallback, code_name: str, score_name: str) -> tuple[Column, Column]:
+    """All codes of a column of alternatives, and the confident ones.
 
-    ``mine`` are the outputs falling back on this column, with their thresholds. Text has no scores, so
-    pruning never applies to it. A missing score counts as 0 and a NaN score never reaches the threshold.
+    Text has no scores, so none of its codes is confident and nothing is pruned. A missing score counts as 0 and a NaN
+    score never reaches the threshold.
     """
-    dtype = df.schema[col].dataType
+    dtype = df.schema[fallback.column].dataType
     if not isinstance(dtype, T.ArrayType):
-        return items_at(levels, parse_codes(code_text(F.col(col), dtype)), {name: F.lit(name in mine) for name in flags})
+        return parse_codes(code_text(F.col(fallback.column), dtype)), F.array().cast("array<string>")
     fields = dtype.elementType.fieldNames() if isinstance(dtype.elementType, T.StructType) else []
     if code_name not in fields:
-        raise ValueError(f"'{col}' must hold structs with a field '{code_name}'")
+        raise ValueError(f"'{fallback.column}' must hold structs with a field '{code_name}'")
+    listed = F.coalesce(F.col(fallback.column), F.array().cast(dtype))
 
-    def entry(item: Column) -> Column:
+    def sure(item: Column) -> Column:
         score = F.coalesce(item[score_name].cast("double"), F.lit(0.0)) if score_name in fields else F.lit(0.0)
+        return ~F.isnan(score) & (score >= fallback.threshold)
 
-        def belongs(name: str) -> Column:
-            out = name.removesuffix(CONFIDENT)
-            if out in mine and name.endswith(CONFIDENT):
-                return ~F.isnan(score) & (score >= mine[out])
-            return F.lit(out in mine)
-
-        code = item[code_name].cast("string").alias("code")
-        own = [belongs(name).alias(name) for name in flags]
-        return F.transform(level_array(levels), lambda level: F.struct(level.alias("level"), code, *own))
-
-    return F.flatten(F.transform(F.coalesce(F.col(col), F.array().cast(dtype)), entry))
+    def code(item: Column) -> Column:
+        return item[code_name].cast("string")
 
-
-def pruned(all_codes: Column, confident_codes: Column) -> Column:
-    """Exactly one confident code stands alone; otherwise every candidate stays."""
-    return F.when(F.size(confident_codes) == 1, confident_codes).otherwise(all_codes)
+    return F.transform(listed, code), F.transform(F.filter(listed, sure), code)
 
 
 def model_code_levels(
@@ -247,7 +198,6 @@ def model_code_levels(
     score_name: str = "likelihood",
     keep: list[str] | None = None,
     id_col: str = ID_COL,
-    unique_ids: bool = False,
     count_col: str | None = None,
 ) -> DataFrame:
     """``(id, keep, levels)``: several model code sets of each record at every level, in one pass.
@@ -258,13 +208,8 @@ def model_code_levels(
     """
     keep = keep or []
     require_columns(df, [id_col, *keep])
-    side = model_side(df, outputs, levels, codes_col, alt_codes_name, score_name)
-    row_cols = list(dict.fromkeys([id_col, *keep, *([] if unique_ids else side.content)]))
-    cleaned = hierarchy.clean_code_sets(df, row_cols, side.items(side.flags), side.flags, levels, unique_ids, count_col)
-    decided = F.transform(
-        "levels", lambda sets: F.struct(sets["digits"].alias("digits"), *[c.alias(out) for out, c in side.sets(sets).items()])
-    )
-    return add_up_copies(cleaned.select(id_col, *keep, *([count_col] if count_col else []), decided.alias("levels")), count_col)
+    side = model_side(df, outputs, codes_col, alt_codes_name, score_name)
+    return add_up_copies(hierarchy.clean_code_sets(df, [id_col, *keep], [side], levels), count_col)
 
 
 def prepare_model_codes(
@@ -278,13 +223,12 @@ def prepare_model_codes(
     digits: int | list[int] = 5,
     keep: list[str] | None = None,
     id_col: str = ID_COL,
-    unique_ids: bool = False,
 ) -> DataFrame:
     """``(id, out_col)``: the model's first choice, or its pruned alternatives where that is no valid code."""
     levels = digits if isinstance(digits, list) else [digits]
     outputs = {out_col: Fallback(alt_codes_col, threshold)}
     cleaned = model_code_levels(
-        df, hierarchy, outputs, levels, codes_col, alt_codes_name, keep=keep, id_col=id_col, unique_ids=unique_ids
+        df, hierarchy, outputs, levels, codes_col, alt_codes_name, keep=keep, id_col=id_col
     )
     return rows_per_level(cleaned, digits)
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from codetally.fixed_values import DISTANCE_EPSILON, DISTANCE_WEIGHT, RANK_WEIGHT
 from codetally.functions.codes import digits_label
+from codetally.functions.intervals import functions_for
 from codetally.functions.sets import is_single, once
 from codetally.lineage import written
 from codetally.operators.hierarchy import Hierarchy, level_width
@@ -93,7 +94,8 @@ def top_in_truth(top_set: Column, truth: Column) -> Column:
 
 def curve_points(df: DataFrame, series: list[str], truth_col: str = "clerical_codes", count_col: str | None = None) -> DataFrame:
     """Distances and matches per series and match type: all records (MO), and one-human-code records (OO)."""
-    kinds = F.when(is_single(F.col(truth_col)), F.array(F.lit("MO"), F.lit("OO"))).otherwise(F.array(F.lit("MO")))
+    single = functions_for(df.schema[truth_col].dataType).is_single(F.col(truth_col))
+    kinds = F.when(single, F.array(F.lit("MO"), F.lit("OO"))).otherwise(F.array(F.lit("MO")))
     counts = [count_col] if count_col else []
     return df.select(*series, "top_distance", "top_in_truth", *counts, F.explode(kinds).alias("match_type"))
 

@@ -27,15 +27,15 @@ def joined_codes(
 ) -> DataFrame:
     """Human, initial and (where the model table has ``final_sic``) final code sets side by side.
 
-    ``unique_ids`` promises that ids are neither repeated nor null. Each table is then shuffled by id exactly
-    once: cleaning groups by the id the join needs.
+    ``unique_ids`` promises that ids are neither repeated nor null. Codes are cleaned where they are read, and each table
+    is shuffled by id once, by the join.
     """
     truth = clerical_code_levels(clerical, hierarchy, [digits], four_plus, unique_ids=unique_ids)
     outputs = {"initial_codes": Fallback("alt_sic_candidates", threshold)}
     has_final = "final_sic" in model.columns
     if has_final and unique_ids:
         outputs["final_codes"] = Fallback("final_sic")
-    codes = model_code_levels(model, hierarchy, outputs, [digits], unique_ids=unique_ids)
+    codes = model_code_levels(model, hierarchy, outputs, [digits])
     joined = join_levels(codes, truth, nulls_match=not unique_ids).drop("digits")
     if not has_final or unique_ids:
         return joined

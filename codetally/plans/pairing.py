@@ -1,8 +1,8 @@
-"""Human and model codes side by side: joined as raw text, counted, and only then turned into code sets.
+"""Human and model codes side by side: joined as raw text and only then turned into code sets.
 
-Codes repeat. What is moved between tasks are the short raw texts and candidate lists; records that agree in them are
-one row with their number in ``records`` before any code is looked up, and the sets, which a short code can make long,
-never leave the task that made them.
+What is moved between tasks are the short raw texts and candidate lists. Sets are intervals of numbered codes, a few
+numbers however many codes a short text means, made and compared in the task that has the joined row. Where ids may
+repeat, equal records are counted before the join, so that an id on many rows costs a row per different pair.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codetally.functions.codes import code_text, parse_codes
-from codetally.operators.hierarchy import Hierarchy
+from codetally.functions.codes import code_text
+from codetally.operators.hierarchy import Hierarchy, Side, text_side
 from codetally.operators.joins import join_on_id
-from codetally.operators.prepare import Fallback, Side, clerical_text, model_side, text_side
+from codetally.operators.prepare import Fallback, clerical_text, model_side
 from codetally.operators.validation import require_columns, require_unique_ids
 
 ID_COL = "unique_id"
-TRUTH, FIRST, ALTERNATIVES, FINAL, ROUND, SETTLED = "_truth", "_first", "_alternatives", "_final", "_round", "_settled"
+TRUTH, FIRST, ALTERNATIVES, FINAL, ROUND = "_truth", "_first", "_alternatives", "_final", "_round"
 FIRST_ROUND = "coder_round_1"
 
 
@@ -52,27 +52,10 @@ def raw_model(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFram
     return df.select(ID_COL, *by, *[raw(source).alias(name) for name, source in columns.items() if source in df.columns])
 
 
-def settled(df: DataFrame, hierarchy: Hierarchy, levels: list[int]) -> DataFrame:
-    """Mark rows whose first choice names a valid code at the deepest level, and with that at every level."""
-    token = df.withColumns({"_token": F.get(parse_codes(F.col(FIRST)), F.lit(0)), "_deepest": F.lit(max(levels))})
-    found = hierarchy.find(token, "_token", [max(levels)], "_deepest")
-    return found.withColumn(SETTLED, F.coalesce(F.size("codes") > 0, F.lit(False))).drop("codes", "_token", "_deepest")
-
-
-def code_sets(rows: DataFrame, hierarchy: Hierarchy, sides: list[Side], levels: list[int], by: list[str], settle: bool = False) -> DataFrame:
-    """``by``, ``records``, ``digits`` and the sets of all sides, for rows that hold raw columns and ``records``."""
-    content = list(dict.fromkeys(c for side in sides for c in side.content))
-    counted = rows.groupBy(*by, *content).agg(F.sum("records").alias("records"))
-    key = [*by, *content, "records"]
-    if settle:
-        counted = settled(counted, hierarchy, levels)
-    flags = [flag for side in sides for flag in side.flags]
-    cleaned = hierarchy.clean_code_sets(counted, key, F.concat(*[side.items(flags) for side in sides]), flags, levels, unique_rows=True)
-    decided = F.transform(
-        "levels",
-        lambda sets: F.struct(sets["digits"].alias("digits"), *[c.alias(out) for side in sides for out, c in side.sets(sets).items()]),
-    )
-    return cleaned.select(*by, "records", decided.alias("_decided")).select(*by, "records", F.inline("_decided"))
+def code_sets(rows: DataFrame, hierarchy: Hierarchy, sides: list[Side], levels: list[int], by: list[str]) -> DataFrame:
+    """``by``, ``records``, ``digits`` and the sets of all sides as intervals, for rows that hold raw columns and ``records``."""
+    found = hierarchy.sets_of(rows, [*by, "records"], sides, levels)
+    return found.select(*by, "records", F.inline("levels"))
 
 
 def coded_records(
@@ -108,19 +91,16 @@ def coded_records(
     outputs = {"initial_codes": Fallback(ALTERNATIVES, threshold)}
     if FINAL in made.columns:
         outputs["final_codes"] = Fallback(FINAL)
-    has_first = FIRST in made.columns
-    marked = joined.withColumn(SETTLED, F.lit(False)) if has_first else joined
-    sides = [text_side(TRUTH, "clerical_codes", levels)]
-    sides.append(model_side(marked, outputs, levels, FIRST, settled_col=SETTLED if has_first else None))
+    sides = [text_side(TRUTH, "clerical_codes"), model_side(joined, outputs, FIRST)]
     if "final_sic" in model.columns and not unique_ids:
         # Final codes of all records with the id, as a join of the two tables gives them.
         renamed = {"_final_first": "initial_code", "_final_text": "final_sic"}
         final = counted_rows(raw_model(model, [], renamed), "n_final", False)
         joined = join_on_id(joined, final, ID_COL).withColumn("records", F.col("records") * F.col("n_final"))
-        sides.append(model_side(final, {"final_codes": Fallback("_final_text")}, levels, "_final_first", tag="_final"))
+        sides.append(model_side(final, {"final_codes": Fallback("_final_text")}, "_final_first"))
     if first_round is not None:
-        sides.append(text_side(ROUND, "_round_codes", levels))
-    sets = code_sets(joined, hierarchy, sides, levels, by, settle=has_first)
+        sides.append(text_side(ROUND, "_round_codes"))
+    sets = code_sets(joined, hierarchy, sides, levels, by)
     if first_round is None:
         return sets
     chosen = F.when(F.col(by[0]) == FIRST_ROUND, F.col("_round_codes")).otherwise(F.col("initial_codes"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import digits_label
-from codetally.operators.hierarchy import Hierarchy, level_array, level_width
+from codetally.functions.intervals import least_is_in, stems
+from codetally.operators.hierarchy import Hierarchy, Side, level_width, text_side
 from codetally.operators.joins import join_on_id
 from codetally.operators.metrics import evaluation_metrics
-from codetally.operators.prepare import Side, add_up_copies, rows_per_level, stack_methods, text_side
-from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence, top_in_truth
+from codetally.operators.prepare import add_up_copies, rows_per_level, stack_methods
+from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence
 from codetally.operators.validation import require_unique_ids
 from codetally.plans.evaluation import model_points
 from codetally.plans.pairing import ID_COL, TRUTH, code_sets, counted_rows, raw_truth
@@ -23,29 +25,28 @@ def shortlist_code_levels(
     lengths: tuple[int | None, ...] = (5, 10, None),
     results_col: str = "semantic_search_results",
     id_col: str = "unique_id",
-    unique_ids: bool = False,
     count_col: str | None = None,
 ) -> DataFrame:
     """Code sets of the first candidates per record and method: ``levels`` with a ``codes<i>`` per length.
 
     The candidates are the only source of codes, and their likelihoods are never negative, so there is
-    nothing to prune. ``unique_ids`` promises that ids are not null and occur once per method.
+    nothing to prune.
     """
 
-    def at(level: Column) -> Column:
-        candidates = distance_to_confidence(F.col(results_col), level)
+    def lists(read: str, level: int) -> dict[str, str]:
+        return {f"codes{i}": first_of(f"{read}.at_{level}", n) for i, n in enumerate(lengths)}
+
+    def ranked(level: int) -> Column:
+        candidates = F.coalesce(distance_to_confidence(F.col(results_col), F.lit(level)), F.array())
+        return stems(F.transform(candidates, lambda candidate: candidate["code"]), CODE_LENGTH)
 
-        def entry(candidate: Column, rank: Column) -> Column:
-            listed = [(F.lit(True) if n is None else rank < n).alias(f"codes{i}") for i, n in enumerate(lengths)]
-            return F.struct(level.alias("level"), candidate["code"].alias("code"), *listed)
+    side = Side({f"at_{level}": ranked(level) for level in levels}, lists, lambda found, single: found)
+    return add_up_copies(hierarchy.clean_code_sets(results, [id_col, "method"], [side], levels), count_col)
 
-        return F.coalesce(F.transform(candidates, entry), F.array())
 
-    items = F.flatten(F.transform(level_array(levels), at))
-    row_cols = [id_col, "method", *([] if unique_ids else [results_col])]
-    names = [f"codes{i}" for i in range(len(lengths))]
-    cleaned = hierarchy.clean_code_sets(results, row_cols, items, names, levels, unique_ids, count_col)
-    return add_up_copies(cleaned.drop(*row_cols[2:]), count_col)
+def first_of(listed: str, length: int | None) -> str:
+    """The first entries of a list in SQL text, all of them where no length is given."""
+    return listed if length is None else f"slice({listed}, 1, {length})"
 
 
 def rows_per_length(df: DataFrame, lengths: tuple[int | None, ...]) -> DataFrame:
@@ -79,22 +80,12 @@ def shortlist_side(col: str, lengths: tuple[int | None, ...], levels: list[int])
 
     The list is in order at every level: what remains of it when codes are cut and repetitions dropped.
     """
-    names = [f"codes{i}" for i in range(len(lengths))]
-
-    def items(flags: list[str]) -> Column:
-        def at(level: Column) -> Column:
-            cut = F.array_distinct(F.transform(F.col(col), lambda code: F.substring(code, F.lit(1), level_width(level))))
-
-            def entry(code: Column, rank: Column) -> Column:
-                listed = dict(zip(names, lengths))
-                own = [((F.lit(True) if listed[f] is None else rank < listed[f]) if f in listed else F.lit(False)).alias(f) for f in flags]
-                return F.struct(level.alias("level"), code.alias("code"), *own)
-
-            return F.transform(F.coalesce(cut, F.array().cast("array<string>")), entry)
-
-        return F.flatten(F.transform(level_array(levels), at))
+    def lists(read: str, level: int) -> dict[str, str]:
+        return {f"codes{i}": first_of(f"{read}.at_{level}", n) for i, n in enumerate(lengths)}
 
-    return Side([col], names, items, lambda sets: {name: sets[name] for name in names})
+    codes = F.coalesce(F.col(col), F.array().cast("array<string>"))
+    cut = {n: F.array_distinct(F.transform(codes, lambda code: F.substring(code, F.lit(1), level_width(F.lit(n))))) for n in levels}
+    return Side({f"at_{n}": stems(listed, CODE_LENGTH) for n, listed in cut.items()}, lists, lambda found, single: found)
 
 
 def counted_searches(
@@ -121,7 +112,7 @@ def shortlist_sweep(
 ) -> DataFrame:
     """All metrics for every search, digit level and shortlist length, from one aggregation."""
     rows = counted_searches(searches, clerical, four_plus, {"_listed": nearest_first(F.col(results_col))}, unique_ids)
-    sides = [text_side(TRUTH, "clerical_codes", levels), shortlist_side("_listed", lengths, levels)]
+    sides = [text_side(TRUTH, "clerical_codes"), shortlist_side("_listed", lengths, levels)]
     sets = rows_per_length(code_sets(rows, hierarchy, sides, levels, ["method"]), lengths)
     return evaluation_metrics(sets, by=["digits", "method", "shortlist_size"], prepared=True, count_col="records")
 
@@ -135,14 +126,14 @@ def nearest_candidates(
     results_col: str = "semantic_search_results",
     unique_ids: bool = False,
 ) -> DataFrame:
-    """Nearest candidate beside the human codes per method and digit level, equal records counted in ``records``."""
+    """Nearest candidate beside the human codes, both as intervals, per method and digit level; a row stands for ``records``."""
     nearest = F.get(F.col(results_col), F.lit(0))
     content = {"_nearest": nearest["code"].cast("string"), "top_distance": F.nanvl(nearest["distance"].cast("double"), F.lit(None).cast("double"))}
     rows = counted_searches(searches, clerical, four_plus, content, unique_ids)
     whole = lambda code: F.array_compact(F.array(code))
-    sides = [text_side(TRUTH, "clerical_codes", levels), text_side("_nearest", "top_candidate", levels, whole)]
+    sides = [text_side(TRUTH, "clerical_codes"), text_side("_nearest", "top_candidate", whole)]
     sets = code_sets(rows, hierarchy, sides, levels, ["method", "top_distance"])
-    return sets.withColumn("top_in_truth", top_in_truth(F.col("top_candidate"), F.col("clerical_codes")))
+    return sets.withColumn("top_in_truth", least_is_in(F.col("top_candidate"), F.col("clerical_codes")))
 
 
 def nearest_candidate_curves(

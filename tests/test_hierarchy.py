@@ -1,8 +1,5 @@
-from pyspark.sql import functions as F
-
 from codetally import Hierarchy
-from codetally.functions.codes import parse_codes
-from codetally.operators.hierarchy import items_at
+from codetally.operators.hierarchy import text_side
 from codetally.operators.prepare import rows_per_level
 from tests.conftest import HEALTH, PAIRS
 
@@ -43,8 +40,7 @@ def test_code_sets_give_every_row_back(spark, hierarchy):
     texts = ["86101;86210;85xxx"] * 3 + ["", None, None, "2xxxx", "86101;86101", "99999"]
     rows = spark.createDataFrame([(1, t) for t in texts], "id int, t string")
     for shaped in (rows, rows.repartition(5), rows.coalesce(1)):
-        items = items_at([5, 0], parse_codes(F.col("t")), {"codes": F.lit(True)})
-        found = rows_per_level(hierarchy.clean_code_sets(shaped, ["id", "t"], items, ["codes"], [5, 0]), [5, 0])
+        found = rows_per_level(hierarchy.clean_code_sets(shaped, ["id", "t"], [text_side("t", "codes")], [5, 0]), [5, 0])
         got = sorted((r.t or "", r.digits, tuple(r.codes)) for r in found.collect())
         want = sorted(
             (t or "", d, tuple(sorted({x for part in (t or "").split(";") if part for x in brute(part, d)}))) for t in texts for d in (5, 0)
