@@ -7,15 +7,19 @@ word, so equal words share their result. The probabilities are fitted by expecta
 The fit reads about ``sample`` texts of each language at most, drawn by hash; predictions read whole texts. Words are
 runs of letters of the lower-cased text.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if there is nothing
+Words are short enough to multiply probabilities, or worked out with rescaling; words of any length teach.
+
+Defined cases: a letter is what Unicode calls one, so number signs are none. A text that is null or has no letter is ``und`` with score 0, and so is every text if there is nothing
 to learn from. Texts whose language is null teach nothing. Of equally likely languages the first by name wins. Rows are
-judged one by one and all their columns are kept.
+judged one by one; a column that already has the name of the result is replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,14 +35,17 @@ ROUNDS = 3
 MOST_LANGUAGES = 200
 UNDETERMINED = "und"
 LONGEST_PIECE = 16
-#: Longer words are scored on their own with rescaling, and not kept.
-LONGEST_KEPT = 40
+#: Words this long are worked out on their own, with rescaling, and not kept: the chance of a shorter one, be all its
+#: letters outside the vocabulary, is a number that a double holds.
+LONGEST_KEPT = 30
 KEPT_WORDS = 500_000
 #: Probability, in any language, of a letter that is no piece of the vocabulary.
 OTHER = 1e-8
 #: Weight of the average over all languages in each language's probabilities.
 SHARED = 1e-3
-_WORD = re.compile(r"[^\W\d_]+")
+# What Python counts among letters and digits but is neither, such as fractions and circled numbers.
+_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("No", "Nl"))
+_WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,6 +69,7 @@ class Lattice:
         self.index = {piece: i for i, piece in enumerate(pieces)}
         self.chances = chances
         self.other, self.none = len(pieces), len(pieces) + 1
+        self._logs: np.ndarray | None = None
 
     def ids(self, words: list[str], start: int, end: int) -> np.ndarray:
         missing = self.other if end - start == 1 else self.none
@@ -118,6 +126,8 @@ class Lattice:
         for i, word in enumerate(words):
             if len(word) < LONGEST_KEPT:
                 by_length.setdefault(len(word), []).append(i)
+            else:
+                self._long_expected(word, counts[i], used)
         for rows in by_length.values():
             marked = ["▁" + words[i] for i in rows]
             forward, ids = self._forward(marked)
@@ -130,6 +140,37 @@ class Lattice:
                 np.add.at(used, at, forward[start] * through * weight)
         return used
 
+    def logs(self) -> np.ndarray:
+        if self._logs is None:
+            with np.errstate(divide="ignore"):
+                self._logs = np.log(self.chances)
+        return self._logs
+
+    def _long_expected(self, word: str, counts: np.ndarray, used: np.ndarray) -> None:
+        """Add the expected uses in one word of any length, worked out in logarithms."""
+        marked = "▁" + word
+        n = len(marked)
+        known: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # by start: end and row of each piece
+        for start in range(n):
+            for end in range(start + 1, min(n, start + LONGEST_PIECE) + 1):
+                at = self.index.get(marked[start:end], self.other if end == start + 1 else self.none)
+                if at != self.none:
+                    known[start].append((end, at))
+        ahead = np.full((n + 1, len(counts)), -np.inf)
+        ahead[0] = 0.0
+        behind = np.full((n + 1, len(counts)), -np.inf)
+        behind[n] = 0.0
+        logs = self.logs()
+        for start in range(n):
+            for end, at in known[start]:
+                ahead[end] = np.logaddexp(ahead[end], ahead[start] + logs[at])
+        for start in reversed(range(n)):
+            for end, at in known[start]:
+                behind[start] = np.logaddexp(behind[start], behind[end] + logs[at])
+        for start in range(n):
+            for end, at in known[start]:
+                used[at] += counts * np.exp(ahead[start] + logs[at] + behind[end] - ahead[n])
+
 
 def _normalised(used: np.ndarray, n_pieces: int) -> np.ndarray:
     """Probabilities from expected uses, each language mixed with a little of the average."""
@@ -173,7 +214,7 @@ def fit(
             found: Counter = Counter()
             for language, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 at = place[language]
-                found.update((at, word) for word in words_of(text) if len(word) < LONGEST_KEPT)
+                found.update((at, word) for word in words_of(text))
             yield pa.RecordBatch.from_pydict({"language": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())})
 
     counted = drawn.select(lang_col, text_col).mapInArrow(count, "language bigint, word string, n bigint")

@@ -97,3 +97,30 @@ def test_the_sample_is_bounded(labelled):
     languages, drawn = li._sampled(labelled.filter("lang is not null"), "lang", "doc_id", "text", 20)
     assert languages == ["de", "en", "es"]
     assert all(r["count"] < 45 for r in drawn.groupBy("lang").count().collect())
+
+
+def test_number_signs_are_no_letters(spark):
+    assert [li.words_of(t) for t in ["½ ² ① Ⅻ ४ 12", "a½b", "日本 éß"]] == [[], ["a", "b"], ["日本", "éß"]]
+
+
+def test_long_words_are_worked_out_alike():
+    chances = {"▁": 0.2, "a": 0.1, "b": 0.05, "▁a": 0.1, "ab": 0.2, "aba": 0.3}
+    pieces = sorted(chances)
+    lattice = li.Lattice(pieces, np.array([[chances[p], 1 / 9] for p in pieces] + [[li.OTHER, li.OTHER], [0.0, 0.0]]))
+    word, counts = "abzab" * 5, np.array([2.0, 3.0])
+    used = np.zeros_like(lattice.chances)
+    lattice._long_expected(word, counts, used)
+    assert np.allclose(used, lattice.expected([word], counts[None, :]))
+    whole = lattice.expected(["az" * 300], np.array([[1.0, 1.0]]))
+    letters = sum(used * len(p) for p, used in zip([*pieces, "z"], whole[:-1, 0], strict=True))
+    assert math.isclose(letters, 601, rel_tol=1e-6)
+
+
+def test_words_outside_the_vocabulary_break_nothing(spark, labelled):
+    """Letters no piece has, 29 to 400 in a row, in the texts learnt from."""
+    odd = [(2000 + i, "ሀ" * n, language, "s") for i, (n, language) in enumerate(itertools.product([29, 30, 38, 39, 40, 400], ["en", "de"]))]
+    docs = labelled.unionByName(spark.createDataFrame(odd, labelled.schema))
+    rows = li.identify(docs, li.fit(docs)).collect()
+    assert all(0 <= r.language.score <= 1 for r in rows)
+    known = [r for r in rows if r.doc_id < 180]
+    assert sum(r.language.lang == r.lang for r in known) >= 0.95 * len(known)
