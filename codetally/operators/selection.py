@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codetally.lineage import in_order
+from codetally.lineage import order_of, split_by_rank
 from codetally.operators.validation import require_columns, require_more_rows
 
 # What a stored response holds that is used later. ``classified`` may be a boolean or a number.
 RESPONSE_SCHEMA = "results array<struct<classified string, followup string, code string>>, error string"
 
 
+#: Up to so many rows from the start, each task keeps its first rows and one task merges them.
+FEW_ROWS = 10_000
+
+
 def take_window(df: DataFrame, order_cols: list[str], skip: int = 0, take: int | None = None) -> DataFrame:
     """Skip ``skip`` rows and take ``take`` rows, or all others, in the order of ``order_cols``, nulls last.
 
-    Rows equal there follow the order of their other columns. Neither number bounds the work of a task: rows get
-    their places by ranges, see ``in_order``, which writes the table once.
+    Rows equal there follow the order of their other columns. A window that ends within the first ``FEW_ROWS`` rows is
+    an ordered limit and writes nothing; for any other, rows are dealt by ranges and written, see ``split_by_rank``.
     """
-    if skip <= 0 and take is None:
+    skip = max(0, skip)
+    if not skip and take is None:
         return df
-    place = F.col("_position")
-    wanted = place >= skip if take is None else (place >= skip) & (place < skip + take)
-    return in_order(df, order_cols).filter(wanted).select(*df.columns)
+    if take is not None and skip + take <= FEW_ROWS:
+        return df.orderBy(order_of(df, order_cols)).offset(skip).limit(max(0, take))
+    return split_by_rank(df, order_cols, skip, None if take is None else skip + take)[0]
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFrame:
@@ -51,15 +56,15 @@ def split_retained(df: DataFrame, order_col: str, n: int) -> tuple[DataFrame, Da
     """``(retained, distributed)``: rows 2 to ``n + 1`` in key order are distributed, all others retained.
 
     Every row is in exactly one half. Rows without a key are retained; rows that share one follow the order of their
-    other columns, so exactly ``n`` rows are distributed. The table is written once, with each row's place, and
-    its rows with a key are counted, to fail early when there are too few.
+    other columns, so exactly ``n`` rows are distributed. The table is written, dealt by ranges, and its rows with a key
+    are counted, to fail early when there are too few.
     """
     if n <= 0:
         raise ValueError(f"At least one row has to be distributed, not {n}.")
-    placed = in_order(df, [order_col])
-    require_more_rows(placed.filter(F.col(order_col).isNotNull()).count(), n)
-    distributed = F.col(order_col).isNotNull() & F.col("_position").between(1, n)
-    return placed.filter(~distributed).select(*df.columns), placed.filter(distributed).select(*df.columns)
+    require_more_rows(df.filter(F.col(order_col).isNotNull()).count(), n)
+    # Nulls come last, so the first rows all have a key.
+    distributed, retained = split_by_rank(df, [order_col], 1, n + 1)
+    return retained, distributed
 
 
 def request_payload(columns: dict[str, str | Column], constants: dict[str, str]) -> Column:

@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from codetally import lineage
 from codetally.operators import selection
 from codetally.operators.validation import schema_problems
 from codetally.plans.reports import share_access_codes
@@ -143,3 +144,33 @@ def test_windows_and_samples(spark):
     once, again = (selection.seeded_sample(df.repartition(n), "id", 20, 1) for n in (2, 7))
     assert {r.id for r in once.collect()} == {r.id for r in again.collect()}
     assert once.count() == 20 and selection.seeded_sample(df, "id", 500).count() == 100
+
+
+def test_totals_before_many_ranges(spark):
+    ranges = spark.range(100_000).selectExpr("id as _range", "id % 7 as _size")
+    wrong = lineage.totals_before(ranges).filter("_before != int(_range / 7) * 21 + (_range % 7) * (_range % 7 - 1) / 2")
+    assert wrong.count() == 0
+
+
+@pytest.mark.parametrize(("skip", "take"), [(0, 1), (5, 40), (0, 500), (499, 1), (250, None), (700, 5), (0, 0)])
+def test_windows_by_rank_and_by_limit_agree(spark, skip, take):
+    rows = [(i % 40 if i % 9 else None, f"v{i % 13}") for i in range(500)]  # many equal keys, and equal rows
+    df = spark.createDataFrame(rows, "k int, v string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = sorted(map(str, order[skip:] if take is None else order[skip : skip + take]))
+    inside, outside = lineage.split_by_rank(df, ["k"], skip, None if take is None else skip + take)
+    assert sorted(str(tuple(r)) for r in inside.collect()) == want
+    assert inside.count() + outside.count() == 500
+    assert sorted(str(tuple(r)) for r in selection.take_window(df, ["k"], skip, take).collect()) == want
+
+
+def test_a_small_window_writes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "written", lambda df: pytest.fail("a table was written"))
+    assert [r.id for r in selection.take_window(spark.range(50_000).repartition(7), ["id"], 20, 3).collect()] == [20, 21, 22]
+
+
+def test_equal_rows_are_dealt_over_ranges(spark):
+    same = spark.range(20_000).selectExpr("1 as k", "'x' as v")
+    placed = lineage.in_order(same, ["k"])
+    assert placed.agg({"_position": "max"}).first()[0] == 19_999
+    assert placed.select("_position").distinct().count() == 20_000
