@@ -17,14 +17,12 @@ judged one by one; a column that already has the name of the result is replaced,
 from __future__ import annotations
 
 import itertools
-import re
-import sys
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +41,7 @@ KEPT_WORDS = 500_000
 OTHER = 1e-8
 #: Weight of the average over all languages in each language's probabilities.
 SHARED = 1e-3
-# What Python counts among letters and digits but is neither, such as fractions and circled numbers.
-_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("No", "Nl"))
-_WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
