@@ -13,9 +13,11 @@ from codetally.functions import sets as S
 from codetally.functions import stats
 from codetally.operators import selection
 from codetally.operators.alignment import LabelAlignment, exclude_patterns, top_values
+from codetally.lineage import written
 from codetally.operators.hierarchy import text_side
 from codetally.operators.prepare import clean_wide_table, keep_unambiguous, rows_per_level
 from codetally.operators.quality import add_quality_flags
+from codetally.operators.validation import observe_cells, validation_report
 
 WIDE_CONFIG = ColumnConfig(
     model_label_cols=["m1", "m2", "m3"], model_score_cols=["s1", "s2", "s3"],
@@ -422,3 +424,60 @@ def clean_wide(spark, sf_dir):
     config = ColumnConfig(**{**WIDE_CONFIG.__dict__, "filter_unambiguous": True})
     cleaned = clean_wide_table(views.wide(spark, sf_dir), config)
     return cleaned.select("unique_id", *config.clerical_label_cols, *config.model_label_cols)
+
+
+def outcomes(case: str, checks: dict[tuple[str, str], str | None]) -> str:
+    """One row per outcome: the number of the rows named, null for an outcome about columns."""
+    rows = [
+        f"select '{case}' as case, '{check}' as check, '{subject}' as subject, "
+        + (f"(select cast(count(*) as bigint) from {found}) as rows" if found else "cast(null as bigint) as rows")
+        for (check, subject), found in checks.items()
+    ]
+    return " union all ".join(rows)
+
+
+VALIDATIONS = {
+    # As it should be, but for texts where scores belong.
+    "texts": (REPEATED_CONFIG, {
+        ("score read as number", "SA_score_1"): None, ("score read as number", "SA_score_2"): None,
+        ("rows", "table"): "repeated", ("null id", "unique_id"): "repeated where unique_id is null",
+        ("unreadable score", "SA_score_1"): "events where isnan(value)", ("unreadable score", "SA_score_2"): "events where event_type = 'error'",
+        **{("missing label", c): f'repeated where "{c}" is null' for c in ("SA_1", "SA_2", "CC_1", "CC_2")},
+    }),
+    # Columns that stop an analysis, numbers where labels belong, and a flag that is no flag.
+    "columns": (ColumnConfig(["user_id", "kind"], ["value"], ["event_id"], id_col="event_id", filter_unambiguous=True), {
+        ("missing column", "kind"): None, ("unpaired columns", "2 labels, 1 scores"): None,
+        ("label read as text", "user_id"): None, ("label read as text", "event_id"): None,
+        ("rows", "table"): "events", ("null id", "event_id"): "events where event_id is null", ("unreadable score", "value"): "events where isnan(value)",
+        ("missing label", "user_id"): "events where user_id is null", ("missing label", "event_id"): "events where event_id is null",
+        ("unreadable flag", "Unambiguous"): "events where event_type not in ('true', 'false')",
+    }),
+}
+
+
+def validated(spark, sf_dir):
+    events = views.table(spark, sf_dir, "events")
+    return {"texts": views.repeated_wide(spark, sf_dir), "columns": events.withColumn("Unambiguous", F.col("event_type"))}
+
+
+@register("validation_report", " union all ".join(outcomes(case, checks) for case, (_, checks) in VALIDATIONS.items()))
+def validation_outcomes(spark, sf_dir):
+    reports = [
+        validation_report(df, VALIDATIONS[case][0]).select(F.lit(case).alias("case"), "check", "subject", "rows")
+        for case, df in validated(spark, sf_dir).items()
+    ]
+    return reports[0].unionByName(reports[1])
+
+
+@register(
+    "observed_cells",
+    " union all ".join(
+        f"select '{check if subject == 'table' else check + ': ' + subject}' as cells, (select cast(count(*) as bigint) from {found}) as rows"
+        for (check, subject), found in VALIDATIONS["texts"][1].items() if found
+    ),
+)
+def observed_cells(spark, sf_dir):
+    """Counts of unusable cells, gathered while the table is cleaned and written."""
+    watched, cells = observe_cells(views.repeated_wide(spark, sf_dir), REPEATED_CONFIG)
+    written(clean_wide_table(watched, REPEATED_CONFIG))
+    return spark.createDataFrame(sorted(cells.get.items()), "cells string, rows bigint")

@@ -80,16 +80,24 @@ def nearest_sql(levels: str) -> str:
         left join (select distinct prefix, value from lookup where digits=0 and length(prefix)=2) l on l.prefix=substr(top_code,1,2)"""
 
 
+def nearest(spark, sf_dir):
+    return nearest_candidates(
+        views.searches(spark, sf_dir), views.clerical(spark, sf_dir), views.hierarchy(spark, sf_dir), [5, 0], unique_ids=True
+    ).withColumn("digits", F.col("digits").cast("bigint"))
+
+
+@register("top_in_truth", f"select method, unique_id, cast(digits as bigint) as digits, top_distance, top_in_truth from ({nearest_sql('5,0')})")
+def top_in_truth(spark, sf_dir):
+    return nearest(spark, sf_dir).select("method", "unique_id", "digits", "top_distance", "top_in_truth")
+
+
 @register(
-    "top_in_truth",
+    "top_in_truth_counts",
     f"""select method, cast(digits as bigint) as digits, top_distance, top_in_truth, count(*) as records
     from ({nearest_sql('5,0')}) group by all""",
 )
-def top_in_truth(spark, sf_dir):
-    found = nearest_candidates(
-        views.searches(spark, sf_dir), views.clerical(spark, sf_dir), views.hierarchy(spark, sf_dir), [5, 0], unique_ids=True
-    )
-    return found.groupBy("method", F.col("digits").cast("bigint").alias("digits"), "top_distance", "top_in_truth").agg(F.sum("records").alias("records"))
+def top_in_truth_counts(spark, sf_dir):
+    return nearest(spark, sf_dir).groupBy("method", "digits", "top_distance", "top_in_truth").agg(F.sum("records").alias("records"))
 
 
 def curve_sql(source: str, series: str) -> str:

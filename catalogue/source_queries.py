@@ -13,6 +13,7 @@ from codetally.operators.quality import add_quality_flags
 from codetally.operators.alignment import LabelAlignment
 from codetally.operators.selection import reformat_access_codes, response_records, split_retained
 from codetally.plans.evaluation import evaluate, evaluate_files
+from codetally.plans.reports import flag_file
 from codetally.sources import readers, writers
 from codetally.streaming.responses import append_responses
 from catalogue.column_queries import WIDE_CONFIG
@@ -77,6 +78,38 @@ def write_flagged_csv(spark, sf_dir):
     return readers.read_text_csv(spark, path).select("unique_id", "num_answers", "Unambiguous", "All_Clerical_codes")
 
 
+FLAGGED_FILE = """select cast(unique_id as varchar) as unique_id, sic_ind_occ1, sic_ind_occ2, sic_ind_occ3, cast(not_codeable as varchar) as "Not_Codeable",
+    cast(four_or_more as varchar) as "Four_Or_More", division as "SIC_Division", cast(num_answers as varchar) as num_answers,
+    cast(to_json([sic_ind_occ1,sic_ind_occ2,sic_ind_occ3]) as varchar) as "All_Clerical_codes", cast(match5 as varchar) as "Match_5_digits",
+    cast(match3 as varchar) as "Match_3_digits", cast(match2 as varchar) as "Match_2_digits", cast(num_answers=1 and match5 as varchar) as "Unambiguous"
+    from flagged"""
+
+
+def flagged_files(spark, sf_dir):
+    """A clerical CSV written, then flagged from file to file."""
+    folder = scratch(spark)
+    path = writers.write_csv(views.clerical(spark, sf_dir), folder + "/clerical.csv")
+    return folder + "/flagged.csv", flag_file(spark, path, folder + "/flagged.csv")
+
+
+@register("flag_file", FLAGGED_FILE)
+def flag_file_rows(spark, sf_dir):
+    """Every row and column of the file that was written."""
+    path, _ = flagged_files(spark, sf_dir)
+    return readers.read_text_csv(spark, path).withColumn("SIC_Division", F.coalesce("SIC_Division", F.lit("")))
+
+
+FLAGS = {"Match_5_digits": "match5", "Match_3_digits": "match3", "Match_2_digits": "match2", "Unambiguous": "num_answers=1 and match5"}
+
+
+@register(
+    "flag_file_counts",
+    " union all ".join(f"select '{name}' as flag, {expr} as value, cast(count(*) as bigint) as count from flagged group by 1,2" for name, expr in FLAGS.items()),
+)
+def flag_file_counts(spark, sf_dir):
+    return flagged_files(spark, sf_dir)[1]["flag_counts"]
+
+
 @register("write_metrics_json", sql.metrics_over(sql.joined("3", final=True), final=True))
 def write_metrics_json(spark, sf_dir):
     metrics = evaluate(

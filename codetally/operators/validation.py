@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codetally.config import ColumnConfig
+from codetally.functions.codes import null_missing_label, text_flag, to_number
 
 logger = logging.getLogger(__name__)
 
@@ -41,6 +42,57 @@ def validate_wide_table(df: DataFrame, config: ColumnConfig) -> list[str]:
     return warnings
 
 
+def cell_counts(df: DataFrame, config: ColumnConfig) -> dict[str, Column]:
+    """Aggregates that tell how many rows there are and how many cells of each kind can't be used.
+
+    Columns the table lacks are left out. A score is unreadable if it is there but no number, a flag if it is there but
+    neither true nor false; a label is missing if it is null or spells a missing value.
+    """
+    counts = {"rows": F.count(F.lit(1))}
+    have = {name: df.schema[name].dataType for name in config.required_cols if name in df.columns}
+    if config.id_col in have:
+        counts[f"null id: {config.id_col}"] = F.count_if(F.col(config.id_col).isNull())
+    for name in config.model_score_cols:
+        if name in have:
+            score = F.col(name)
+            counts[f"unreadable score: {name}"] = F.count_if(score.isNotNull() & to_number(score, have[name]).isNull())
+    for name in config.label_cols:
+        if name in have:
+            counts[f"missing label: {name}"] = F.count_if(null_missing_label(F.col(name).cast("string")).isNull())
+    if config.filter_unambiguous and "Unambiguous" in have:
+        flag = F.col("Unambiguous")
+        counts["unreadable flag: Unambiguous"] = F.count_if(flag.isNotNull() & text_flag(flag, have["Unambiguous"]).isNull())
+    return counts
+
+
+def observe_cells(df: DataFrame, config: ColumnConfig, name: str = "cells") -> tuple[DataFrame, Observation]:
+    """The table, and the counts of its unusable cells, gathered while the table is used: no job of their own.
+
+    ``Observation.get`` has them once the table was written or collected.
+    """
+    observation = Observation(name)
+    return df.observe(observation, *[c.alias(told) for told, c in cell_counts(df, config).items()]), observation
+
+
+def validation_report(df: DataFrame, config: ColumnConfig) -> DataFrame:
+    """Every outcome of a validation as a row ``check, subject, rows``; ``rows`` is null for what concerns columns.
+
+    What stops an analysis (``missing column``, ``unpaired columns``), what it warns of (``score read as number``,
+    ``label read as text``), and how many cells can't be used. One aggregation over the table.
+    """
+    found = [("missing column", name) for name in config.required_cols if name not in df.columns]
+    if len(config.model_label_cols) != len(config.model_score_cols):
+        found.append(("unpaired columns", f"{len(config.model_label_cols)} labels, {len(config.model_score_cols)} scores"))
+    kinds = {f.name: f.dataType for f in df.schema}
+    found += [("score read as number", n) for n in config.model_score_cols if n in kinds and not isinstance(kinds[n], T.NumericType)]
+    found += [("label read as text", n) for n in config.label_cols if n in kinds and not isinstance(kinds[n], T.StringType)]
+    rows = [F.struct(F.lit(check).alias("check"), F.lit(subject).alias("subject"), F.lit(None).cast("bigint").alias("rows")) for check, subject in found]
+    counts = cell_counts(df, config)
+    named = {told: (told.split(": ") + ["table"])[:2] for told in counts}
+    rows += [F.struct(F.lit(named[t][0]).alias("check"), F.lit(named[t][1]).alias("subject"), F.col(f"`{t}`").alias("rows")) for t in counts]
+    return df.agg(*[c.alias(told) for told, c in counts.items()]).select(F.inline(F.array(*rows)))
+
+
 def require_more_rows(found: int, n: int) -> None:
     """Fail unless more than ``n`` rows were found."""
     if found <= n:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from codetally.functions.codes import code_text
 from codetally.operators.hierarchy import Hierarchy, Side, text_side
-from codetally.operators.joins import join_on_id
+from codetally.operators.joins import join_on_id, join_salted
 from codetally.operators.prepare import Fallback, clerical_text, model_side
 from codetally.operators.validation import require_columns, require_unique_ids
 
@@ -72,7 +72,8 @@ def coded_records(
 ) -> DataFrame:
     """Human, initial and (where the model table has ``final_sic``) final code sets per digit level, equal records counted.
 
-    Records that share an id all pair up; counting them first keeps that to one row per different pair. ``unique_ids``
+    Records that share an id all pair up; counting them first keeps that to one row per different pair, and hot ids are
+    dealt over several tasks. ``unique_ids``
     promises ids that are neither null nor repeated, per ``by``; a broken promise fails. ``first_round``, an earlier
     round of human coding, takes part as if it were a model.
     """
@@ -85,7 +86,8 @@ def coded_records(
     if first_round is not None:
         earlier = clerical_text(first_round, first_round_four_plus, unique_ids=unique_ids).withColumnRenamed("sic_ind_occ", ROUND)
         made = made.unionByName(earlier.withColumn(by[0], F.lit(FIRST_ROUND)), allowMissingColumns=True)
-    joined = join_on_id(counted_rows(made, "n_model", unique_ids), truth, ID_COL, nulls_match=not unique_ids)
+    counted = counted_rows(made, "n_model", unique_ids)
+    joined = join_on_id(counted, truth, ID_COL, nulls_match=False) if unique_ids else join_salted(counted, truth, ID_COL)
     joined = joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
 
     outputs = {"initial_codes": Fallback(ALTERNATIVES, threshold)}
@@ -96,7 +98,7 @@ def coded_records(
         # Final codes of all records with the id, as a join of the two tables gives them.
         renamed = {"_final_first": "initial_code", "_final_text": "final_sic"}
         final = counted_rows(raw_model(model, [], renamed), "n_final", False)
-        joined = join_on_id(joined, final, ID_COL).withColumn("records", F.col("records") * F.col("n_final"))
+        joined = join_salted(joined, final, ID_COL).withColumn("records", F.col("records") * F.col("n_final"))
         sides.append(model_side(final, {"final_codes": Fallback("_final_text")}, "_final_first"))
     if first_round is not None:
         sides.append(text_side(ROUND, "_round_codes"))

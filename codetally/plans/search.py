@@ -9,7 +9,7 @@ from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import digits_label
 from codetally.functions.intervals import least_is_in, stems
 from codetally.operators.hierarchy import Hierarchy, Side, level_width, text_side
-from codetally.operators.joins import join_on_id
+from codetally.operators.joins import join_on_id, join_salted
 from codetally.operators.metrics import evaluation_metrics
 from codetally.operators.prepare import add_up_copies, rows_per_level, stack_methods
 from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence
@@ -96,7 +96,8 @@ def counted_searches(
     if unique_ids:
         require_unique_ids(stacked, [ID_COL, "method"])
     found = counted_rows(stacked, "n_model", unique_ids)
-    joined = join_on_id(found, raw_truth(clerical, four_plus, unique_ids), ID_COL, nulls_match=not unique_ids)
+    truth = raw_truth(clerical, four_plus, unique_ids)
+    joined = join_on_id(found, truth, ID_COL, nulls_match=False) if unique_ids else join_salted(found, truth, ID_COL)
     return joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
 
 
@@ -126,13 +127,14 @@ def nearest_candidates(
     results_col: str = "semantic_search_results",
     unique_ids: bool = False,
 ) -> DataFrame:
-    """Nearest candidate beside the human codes, both as intervals, per method and digit level; a row stands for ``records``."""
+    """Nearest candidate beside the human codes, both as intervals, per record, method and digit
+    level; a row stands for ``records``."""
     nearest = F.get(F.col(results_col), F.lit(0))
     content = {"_nearest": nearest["code"].cast("string"), "top_distance": F.nanvl(nearest["distance"].cast("double"), F.lit(None).cast("double"))}
     rows = counted_searches(searches, clerical, four_plus, content, unique_ids)
     whole = lambda code: F.array_compact(F.array(code))
     sides = [text_side(TRUTH, "clerical_codes"), text_side("_nearest", "top_candidate", whole)]
-    sets = code_sets(rows, hierarchy, sides, levels, ["method", "top_distance"])
+    sets = code_sets(rows, hierarchy, sides, levels, [ID_COL, "method", "top_distance"])
     return sets.withColumn("top_in_truth", least_is_in(F.col("top_candidate"), F.col("clerical_codes")))
 
 

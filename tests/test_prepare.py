@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codetally import ColumnConfig, clean_wide_table, evaluation_metrics, prepare_clerical_codes, prepare_model_codes
-from codetally.operators.joins import attach_final_codes, join_on_id
+from codetally.operators.joins import attach_final_codes, join_on_id, join_salted
 from codetally.operators.prepare import keep_unambiguous, stack_methods
 from codetally.plans.evaluation import evaluate, joined_codes, sweep
 from codetally.plans.search import shortlist_sweep
@@ -203,3 +203,24 @@ def test_clean_wide_table(spark):
 def test_stack_methods(spark):
     a, b = spark.range(2), spark.range(3).withColumn("extra", F.lit(1))
     assert stack_methods({"a": a, "b": b}).groupBy("method").count().collect().__len__() == 2
+
+
+def test_a_hot_id_is_dealt_over_tasks(spark):
+    left = spark.range(60_000).selectExpr("if(id % 3 = 0, 7, id) as unique_id", "id as v")
+    right = spark.range(60_000).selectExpr("id as unique_id", "id * 2 as w")
+    nulls = spark.createDataFrame([(None, -1), (None, -2)], "unique_id long, v long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(before, ("false", "-1", "16")):
+            spark.conf.set(key, value)
+        joined = join_salted(left.unionByName(nulls), right.unionByName(spark.createDataFrame([(None, 5)], "unique_id long, w long")))
+        rows = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(rows) == 60_002
+    assert max(rows) <= 3 * sorted(rows)[len(rows) // 2]
+    # The same rows as a plain join that matches nulls.
+    pairs = joined.select("unique_id", "v", "w")
+    plain = join_on_id(left.unionByName(nulls), right.unionByName(spark.createDataFrame([(None, 5)], "unique_id long, w long")), "unique_id")
+    assert pairs.exceptAll(plain.select("unique_id", "v", "w")).count() == 0
