@@ -28,9 +28,11 @@ from sentencepiece import SentencePieceProcessor
 from codetally.llm.shared import BoundedCache, documents, slices, texts
 
 MARKER = "▁"
-#: Distinct chunks a task remembers, and the longest it remembers: at most some 100 MB.
-CACHED = 400_000
+#: Distinct chunks a task remembers, and the longest it remembers: at most some 40 MB.
+CACHED = 150_000
 LONGEST_CACHED = 64
+#: Bytes of text that are cut into chunks at once.
+SLICE = 1_000_000
 _CHUNK = re.compile(" +[^ ]*")
 
 
@@ -121,7 +123,7 @@ def encode(rows: DataFrame, text_col: str = "text", model: str = "piece_bpe_32k.
         table = ChunkTable(content)
         for column in batches:
             packed = []
-            for some in slices(texts(column)):
+            for some in slices(texts(column), SLICE):
                 if independent:
                     packed += table.ids([chunks_of(text) for text in some.to_pylist()])
                 else:
