@@ -129,9 +129,12 @@ def find_benchmark_text(
     out_col: str = "found",
     shard_chars: int = SHARD_CHARS,
 ) -> DataFrame:
-    """Add ``out_col``: number of words, hit spans (in words and in code points) and the items found."""
+    """Add ``out_col``: number of words, hit spans (in words and in code points) and the items found.
+
+    Repeated items count once. A column that already has the name of the result is replaced, all others are kept.
+    """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("body"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("body")).distinct()
     size = items.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(1, math.ceil(size / shard_chars))
     result = docs

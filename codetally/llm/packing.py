@@ -122,18 +122,19 @@ def pack(
     pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, group_size: int = GROUP_SIZE, slack: float = SLACK
 ) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that are no longer than ``capacity``."""
-    pieces = cut(pieces)
     columns = pieces.columns
+    # Dealt by a number fixed in the checkpoint, so that pieces equal in everything go to several groups.
+    pieces = cut(pieces.withColumn("row", F.monotonically_increasing_id()))
 
     def packed(rows: DataFrame, seed: int, first_number: int) -> DataFrame:
         groups = max(1, math.ceil(rows.count() / group_size))
-        dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "piece", "ids_crc32"), F.lit(groups)))
+        dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups)))
         schema = dealt.withColumns({c: F.lit(0).cast("bigint") for c in ("sequence_id", "offset", "filled")}).schema
         return dealt.groupBy("group").applyInArrow(lambda table: pack_group(table, id_col, capacity, first_number), schema)
 
     first = cut(packed(pieces, 1, 0))
     final = F.col("filled") >= capacity * (1 - slack)
-    second = packed(first.filter(~final).select(columns), 2, 1 << 61)
+    second = packed(first.filter(~final).select(*columns, "row"), 2, 1 << 61)
     return first.filter(final).unionByName(second).select(*columns, "sequence_id", "offset")
 
 

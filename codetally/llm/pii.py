@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetally.llm.shared import cut, documents
+from codetally.llm.shared import as_row, cut, documents
 
 SUPPORT = 3
 GENERALISE = 0.6
@@ -223,14 +223,19 @@ def telling_terms(
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_col: str = "base", spans_col: str = "spans", **thresholds) -> DataFrame:
-    """Add ``base_col`` and ``spans_col``, arrays of ``struct(start, rank, kind, end, value)`` by start and kind."""
+    """Add ``base_col`` and ``spans_col``, arrays of ``struct(start, rank, kind, end, value)`` by start and kind.
+
+    Columns that already have these names are replaced, all others are kept.
+    """
     body = F.coalesce(F.col(text_col), F.lit(""))
     known = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), body.alias("body"), base_spans(body).alias("base"))
-    terms = _sent(cut(telling_terms(known, **thresholds).select(F.col("id").alias("_id"), F.col("hash").alias("_of"), F.col("telling").alias("_terms"))))
-    found = docs.withColumn("_hash", F.xxhash64(text_col)).withColumn(base_col, base_spans(body))
-    joined = found.join(terms, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
-    marked = F.when(F.col("_terms").isNotNull(), _marked(body, F.col(base_col), F.col("_terms"))).otherwise(F.array().cast(SPAN_TYPE))
-    return joined.withColumn(spans_col, F.array_sort(F.concat(F.col(base_col), marked))).drop("_id", "_of", "_terms", "_hash")
+    terms = _sent(cut(telling_terms(known, **thresholds).select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "telling")))
+    rows = docs.select(as_row(docs.drop(base_col, spans_col)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), base_spans(body).alias("base"))
+    joined = rows.join(terms, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left")
+    whole = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    marked = F.when(F.col("telling").isNotNull(), _marked(whole, F.col("base"), F.col("telling"))).otherwise(F.array().cast(SPAN_TYPE))
+    found = joined.select("row", "base", F.array_sort(F.concat(F.col("base"), marked)))
+    return found.toDF("row", base_col, spans_col).select("row.*", base_col, spans_col)
 
 
 def sanitised(text: Column, spans: Column) -> Column:

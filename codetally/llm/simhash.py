@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from codetally.llm.components import components
-from codetally.llm.shared import LOWER_ASCII, cut, documents
+from codetally.llm.shared import LOWER_ASCII, as_row, cut, documents
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -194,15 +194,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash"))
     chosen = found.groupBy("root").agg(F.min(best).alias("best"))
     # The same three columns join the texts and find the copies of a row, so that texts are moved once.
-    key = ["_kept_id", "_kept_null", "_kept_hash"]
+    key = ["kept_id", "kept_null", "kept_hash"]
 
-    def keyed(rows: DataFrame, id_of: Column, hash_of: Column) -> DataFrame:
-        return rows.withColumns(dict(zip(key, (F.coalesce(id_of.cast("string"), F.lit("")), id_of.isNull(), hash_of), strict=True)))
+    def keyed(id_of: Column, hash_of: Column) -> list[Column]:
+        return [F.coalesce(id_of.cast("string"), F.lit("")).alias(key[0]), id_of.isNull().alias(key[1]), hash_of.alias(key[2])]
 
-    keys = keyed(chosen, F.col("best.id"), F.col("best.hash")).select(key).distinct()
-    kept = keyed(docs, F.col(id_col), F.xxhash64(text_col)).join(keys, key)
+    keys = chosen.select(*keyed(F.col("best.id"), F.col("best.hash"))).distinct()
+    kept = docs.select(as_row(docs).alias("row"), *keyed(F.col(id_col), F.xxhash64(text_col))).join(keys, key)
     once = W.partitionBy(key).orderBy(F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select(docs.columns)
+    return kept.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("row.*")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,11 @@ def test_empty_benchmark(spark, documents):
     found = d.find_benchmark_text(documents, spark.createDataFrame([], ITEMS))
     assert found.filter("size(found.spans) > 0").count() == 0
     assert found.count() == documents.count()
+
+
+def test_repeated_items_come_once(spark):
+    text = " ".join(f"word{i}" for i in range(12))
+    benchmark = spark.createDataFrame([("a", text)] * 400 + [("b", text + " more")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x " + text + " y", "old")], "doc_id long, text string, found string")
+    [row] = d.find_benchmark_text(docs, benchmark, shard_chars=100).collect()
+    assert row.found["items"] == ["a", "b"] and row.doc_id == 1

@@ -174,3 +174,13 @@ def test_no_documents(no_documents):
 def test_the_plan_is_native(documents):
     plan = pii.find_personal_data(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_clashing_columns(spark):
+    names = ["_id", "_hash", "_of", "_terms", "id", "hash", "row", "telling", "of_id", "body"]
+    docs = spark.createDataFrame([(1, "mail me@example.org", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = pii.find_personal_data(docs)
+    assert found.columns == [*docs.columns, "base", "spans"]
+    assert [[r[n] for n in names] for r in found.collect()] == [names, names]
+    again = pii.find_personal_data(found.drop("spans")).collect()
+    assert sorted(len(r.spans) for r in again) == [0, 1]

@@ -115,3 +115,10 @@ def test_one_row_of_each_component_stays(spark, documents):
 def test_no_documents(tables, no_documents):
     assert QUERIES["op10_simhash_near_dedup"](no_documents.sparkSession, tables(documents=no_documents)).count() == 0
     assert simhash.drop_near_duplicates(no_documents).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["_kept_id", "_kept_null", "_kept_hash", "_copy", "copy", "row", "kept_id", "root", "fp"]
+    docs = spark.createDataFrame([(i, "same text here and more", *names) for i in (5, 4, 4)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    [kept] = simhash.drop_near_duplicates(docs).collect()
+    assert kept.doc_id == 4 and [kept[n] for n in names] == names

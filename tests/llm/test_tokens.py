@@ -141,3 +141,15 @@ def test_packing_is_nearly_full(spark, group_size):
     rows = packing.pack(pieces, group_size=group_size).collect()
     assert sorted(r.doc_id for r in rows) == list(range(1500))
     assert len({r.sequence_id for r in rows}) <= 1.03 * sum(lengths) / 2048 + 1
+
+
+def test_equal_rows_go_to_several_groups(spark, monkeypatch):
+    """A third of the rows are equal in everything; no group is far beyond its size."""
+    rows = [(None, None)] * 3000 + [(i, f"text {i}") for i in range(6000)]
+    pieces = packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string"))
+    packed = packing.pack(pieces, group_size=500).collect()
+    assert len(packed) == 9000
+    groups = {}
+    for r in packed:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert max(groups.values()) <= 1000
