@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codetally.lineage import shared_folder
 from codetally.llm import decontaminate, language_id, packing, pii, simhash
-from codetally.llm.shared import documents
+from codetally.llm.shared import documents, unused
 
 #: A document is rejected if its language can't be told, or is less likely than this.
 LEAST_SCORE = 0.5
@@ -23,8 +23,9 @@ LEAST_SCORE = 0.5
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     model = language_id.fit(docs.filter(~language_id.held_out()))
-    found = language_id.identify(docs, model, out_col="_language")
-    told = (F.col("_language.lang") != language_id.UNDETERMINED) & (F.col("_language.score") >= LEAST_SCORE)
+    name = unused(docs, "language")
+    found = language_id.identify(docs, model, out_col=name)
+    told = (F.col(name)["lang"] != language_id.UNDETERMINED) & (F.col(name)["score"] >= LEAST_SCORE)
     return found.filter(told).select(docs.columns)
 
 
@@ -36,18 +37,20 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_benchmark_text(docs, benchmark, out_col="_found")
-    return found.filter(F.size("_found.spans") == 0).select(docs.columns)
+    name = unused(docs, "found")
+    found = decontaminate.find_benchmark_text(docs, benchmark, out_col=name)
+    return found.filter(F.size(F.col(name)["spans"]) == 0).select(docs.columns)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and the words that give it away, replaced."""
-    found = pii.find_personal_data(docs, base_col="_base", spans_col="_spans")
-    found = found.withColumn("_clean", pii.sanitised(F.col("text"), F.col("_spans")))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("_clean")}
+    base, spans, clean = (unused(docs, name) for name in ("base", "spans", "clean"))
+    found = pii.find_personal_data(docs, base_col=base, spans_col=spans)
+    found = found.withColumn(clean, pii.sanitised(F.col("text"), F.col(spans)))
+    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col(clean)}
     if "n_chars" in columns:
-        size = F.length("_clean").cast(docs.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when(F.size("_spans") > 0, size).otherwise(F.col("n_chars"))
+        size = F.length(clean).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.size(spans) > 0, size).otherwise(F.col("n_chars"))
     return found.select(*(column.alias(name) for name, column in columns.items()))
 
 
