@@ -481,3 +481,15 @@ def observed_cells(spark, sf_dir):
     watched, cells = observe_cells(views.repeated_wide(spark, sf_dir), REPEATED_CONFIG)
     written(clean_wide_table(watched, REPEATED_CONFIG))
     return spark.createDataFrame(sorted(cells.get.items()), "cells string, rows bigint")
+
+
+@register(
+    "response_shapes",
+    """with bodies as (select event_id, case when event_type='purchase' then '{"results":[{"classified":true}]}' when event_type='view'
+    then '{"results":[{"classified":0},{}]}' when event_type='signup' then '{"results":[]}' when event_type='click' then '{"error":"not found"}' else '{"results":[' end as body from events)
+    select event_id, case json_type(b, '$.results[0].classified') when 'BOOLEAN' then 'boolean' when 'UBIGINT' then 'number' end as classified_type,
+    cast(coalesce(json_array_length(b, '$.results'), 0) as bigint) as n_results, b is null as malformed
+    from (select event_id, case when json_valid(body) then body end as b from bodies)""",
+)
+def response_shapes(spark, sf_dir):
+    return selection.response_shapes(views.stored_responses(spark, sf_dir), "body", ["event_id"])

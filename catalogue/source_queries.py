@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogue import sql, views
 from catalogue.registry import register
@@ -161,18 +162,10 @@ def append_response_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/records")
 
 
-@register(
-    "append_latency_results",
-    """select event_id as test_id, event_type as test_description, ts as test_timestamp, 1::bigint as step, value as total_latency,
-    value/2 as response_time, case when event_type='error' then '500' else '200' end as status_code, 'text' as job_title,
-    'text' as job_description, 'text' as org_description, cast(case when event_type='error' then 0 else 1 end as bigint) as classified,
-    '' as followup, '' as code from events""",
-)
-def append_latency_results(spark, sf_dir):
-    """Failed and successful calls are appended one after the other to one table with a declared schema."""
+def latency_rows(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
     failed = F.col("event_type") == "error"
-    rows = e.select(
+    return e.select(
         F.col("event_id").alias("test_id"), F.col("event_type").alias("test_description"),
         F.col("ts").cast("timestamp").alias("test_timestamp"),
         F.lit(1).cast("bigint").alias("step"), F.col("value").alias("total_latency"), (F.col("value") / 2).alias("response_time"),
@@ -180,10 +173,37 @@ def append_latency_results(spark, sf_dir):
         *[F.lit("text").alias(c) for c in ("job_title", "job_description", "org_description")],
         F.when(failed, 0).otherwise(1).cast("bigint").alias("classified"), F.lit("").alias("followup"), F.lit("").alias("code"),
     )
+
+
+def latency_table(spark, path, schema=writers.LATENCY_SCHEMA):
+    return spark.read.schema(schema).parquet(path).withColumn("test_timestamp", F.col("test_timestamp").cast("timestamp_ntz"))
+
+
+LATENCY_SQL = """select event_id as test_id, event_type as test_description, ts as test_timestamp, 1::bigint as step, value as total_latency,
+    value/2 as response_time, case when event_type='error' then '500' else '200' end as status_code, 'text' as job_title,
+    'text' as job_description, 'text' as org_description, cast(case when event_type='error' then 0 else 1 end as bigint) as classified,
+    '' as followup, '' as code from events"""
+
+
+@register("append_latency_results", LATENCY_SQL)
+def append_latency_results(spark, sf_dir):
+    """Failed and successful calls are appended one after the other to one table with a declared schema."""
+    rows, failed = latency_rows(spark, sf_dir), F.col("status_code") == "500"
     path = scratch(spark) + "/latency"
     writers.append_results(rows.filter(failed), path)
     writers.append_results(rows.filter(~failed), path)
-    return spark.read.schema(writers.LATENCY_SCHEMA).parquet(path).withColumn("test_timestamp", F.col("test_timestamp").cast("timestamp_ntz"))
+    return latency_table(spark, path)
+
+
+@register("append_latency_batches", f"select 'run 1' as run_id, cast(test_id % 4 as varchar) as batch_id, * from ({LATENCY_SQL})")
+def append_latency_batches(spark, sf_dir):
+    """Batches appended in two overlapping goes: each is there once."""
+    rows = latency_rows(spark, sf_dir).select(F.lit("run 1").alias("run_id"), (F.col("test_id") % 4).cast("string").alias("batch_id"), "*")
+    path = scratch(spark) + "/latency"
+    writers.append_batches(rows.filter("batch_id < '3'"), path)
+    writers.append_batches(rows, path)
+    writers.append_batches(rows.filter("batch_id = '1'"), path)
+    return latency_table(spark, path, T.StructType([*writers.BATCH_SCHEMA, *writers.LATENCY_SCHEMA]))
 
 
 @register(

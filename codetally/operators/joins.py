@@ -49,8 +49,8 @@ def hot_ids(df: DataFrame, on: list[str]) -> DataFrame:
 
 
 def id_text(on: list[str]) -> Column:
-    """An id of several columns as one text; null is unlike any text."""
-    return F.to_json(F.struct(*on), {"ignoreNullFields": "false"})
+    """An id as one text, by which hot ids are told; ids that look alike in it are hot together, on both sides."""
+    return F.concat_ws(" ", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in on])
 
 
 def join_salted(left: DataFrame, right: DataFrame, on: str | list[str] = "unique_id") -> DataFrame:
@@ -63,13 +63,13 @@ def join_salted(left: DataFrame, right: DataFrame, on: str | list[str] = "unique
     pieces = F.broadcast(hot_ids(left, on))
 
     def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("_id", id_text(on)).join(pieces, F.col("_id") == F.col("_hot_id"), "left").drop("_hot_id")
+        return df.withColumn("_id", id_text(on)).join(pieces, F.col("_id") == F.col("_hot_id"), "left").drop("_hot_id", "_id")
 
     piece = F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("_pieces"))).otherwise(0).cast("int")
     copies = F.explode(F.when(F.col("_pieces").isNotNull(), F.sequence(F.lit(0), F.col("_pieces") - 1)).otherwise(F.array(F.lit(0))))
     dealt = marked(left).withColumn("_piece", piece).drop("_pieces")
-    copied = marked(right).withColumn("_piece", copies).drop("_pieces", *on)
-    return dealt.join(copied, ["_id", "_piece"]).drop("_id", "_piece")
+    copied = marked(right).withColumn("_piece", copies).drop("_pieces")
+    return join_on_id(dealt, copied, [*on, "_piece"]).drop("_piece")
 
 
 def override_from_side(

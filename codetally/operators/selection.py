@@ -97,6 +97,29 @@ def flatten_responses(df: DataFrame, body_col: str, keep: list[str]) -> DataFram
     )
 
 
+def response_shapes(df: DataFrame, body_col: str, keep: list[str]) -> DataFrame:
+    """What each stored response holds, whatever its shape: the type of ``classified`` in its first result, in the words of
+    JSON, how many results there are, and whether the text is no JSON at all.
+
+    The type is null where there is no such entry, ``null`` where it is null. Nothing is declared beforehand, so
+    responses whose shape changed are read as they are.
+    """
+    body = F.try_parse_json(F.col(body_col))
+    entry = F.try_variant_get(body, "$.results[0].classified", "variant")
+    kind = F.schema_of_variant(entry)
+    told = (
+        F.when(kind == "VOID", "null").when(kind == "STRING", "text").when(kind == "BOOLEAN", "boolean")
+        .when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind.isNotNull(), "number")
+    )
+    listed = F.try_variant_get(body, "$.results", "array<variant>")
+    return df.select(
+        *keep,
+        told.alias("classified_type"),
+        F.coalesce(F.size(listed), F.lit(0)).cast("bigint").alias("n_results"),
+        (F.col(body_col).isNotNull() & body.isNull()).alias("malformed"),
+    )
+
+
 def response_records(df: DataFrame, body_col: str, id_col: str, payload_col: str) -> DataFrame:
     """Stored responses with the record id and the request that led to them."""
     flat = flatten_responses(df, body_col, [id_col, payload_col])

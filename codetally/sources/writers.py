@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codetally.operators.validation import schema_problems
+from codetally.operators.validation import require_columns, schema_problems
 
 # Result table of the latency test: the only table with a declared schema.
 LATENCY_SCHEMA = T.StructType([
@@ -82,6 +82,25 @@ def write_response_records(records: DataFrame, path: str, mode: str = "errorifex
     return path
 
 
+#: What tells a batch of results apart from all others; stored with its rows.
+BATCH_SCHEMA = T.StructType([T.StructField("run_id", T.StringType(), False), T.StructField("batch_id", T.StringType(), False)])
+
+
+def append_batches(df: DataFrame, path: str, schema: T.StructType = LATENCY_SCHEMA) -> str:
+    """Append rows of one or more batches, none of which is there yet.
+
+    Rows have ``run_id`` and ``batch_id`` beside the declared columns. A batch the table already holds is left out whole, so
+    an append that is run again adds nothing. Only these two columns of the table are read.
+    """
+    whole = T.StructType([*BATCH_SCHEMA, *schema])
+    require_columns(df, BATCH_SCHEMA.fieldNames())
+    if _exists(df.sparkSession, path):
+        names = BATCH_SCHEMA.fieldNames()
+        there = df.sparkSession.read.schema(whole).parquet(path).select(names).distinct()
+        df = df.join(there, names, "left_anti").select(df.columns)
+    return append_results(df, path, whole)
+
+
 def append_results(df: DataFrame, path: str, schema: T.StructType = LATENCY_SCHEMA) -> str:
     """Append rows to a result table after checking them against its declared schema.
 

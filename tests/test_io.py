@@ -3,10 +3,11 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codetally import lineage
+from codetally import ColumnConfig, lineage
 from codetally.operators import selection
-from codetally.operators.validation import schema_problems
+from codetally.operators.validation import observe_cells, schema_problems, validation_report
 from codetally.plans.reports import share_access_codes
 from codetally.sources import readers, writers
 
@@ -174,3 +175,44 @@ def test_equal_rows_are_dealt_over_ranges(spark):
     placed = lineage.in_order(same, ["k"])
     assert placed.agg({"_position": "max"}).first()[0] == 19_999
     assert placed.select("_position").distinct().count() == 20_000
+
+
+def test_a_batch_appended_twice_is_there_once(spark, tmp_path):
+    schema = T.StructType([T.StructField("v", T.LongType(), False)])
+    path = str(tmp_path / "ledger")
+    
+    def batch(name, values):
+        return spark.createDataFrame([("r", name, v) for v in values], "run_id string, batch_id string, v long")
+
+    writers.append_batches(batch("a", [1, 2, 2]), path, schema)
+    writers.append_batches(batch("a", [1, 2, 2]).union(batch("b", [3])), path, schema)
+    writers.append_batches(batch("b", [3]), path, schema)
+    assert sorted((r.batch_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("a", 2), ("a", 2), ("b", 3)]
+    with pytest.raises(ValueError):
+        writers.append_batches(spark.range(3), path, schema)
+
+
+def test_responses_of_any_shape(spark):
+    cases = {
+        None: (None, 0, False), "": (None, 0, True), "{": (None, 0, True), "[1, 2]": (None, 0, False), '{"results": 5}': (None, 0, False),
+        '{"results": [{"classified": true}, 1]}': ("boolean", 2, False), '{"results": [{"classified": "true"}]}': ("text", 1, False),
+        '{"results": [{"classified": 1.5}]}': ("number", 1, False), '{"results": [{"classified": null}]}': ("null", 1, False),
+        '{"results": [{"classified": {"a": 1}}]}': ("object", 1, False), '{"results": [{"classified": [1]}]}': ("array", 1, False),
+        '{"results": [7]}': (None, 1, False),
+    }
+    rows = selection.response_shapes(spark.createDataFrame([(k,) for k in cases], "body string"), "body", ["body"]).collect()
+    assert {r.body: (r.classified_type, r.n_results, r.malformed) for r in rows} == cases
+
+
+def test_validation_outcomes(spark):
+    config = ColumnConfig(["m", "gone"], ["s"], ["c"], id_col="id", filter_unambiguous=True)
+    df = spark.createDataFrame([(1, "01", "x", 5, "TRUE"), (None, None, "0.5", 6, "maybe"), (2, "nan", None, None, None)], "id int, m string, s string, c int, Unambiguous string")
+    assert sorted((r.check, r.subject, r.rows) for r in validation_report(df, config).collect()) == [
+        ("label read as text", "c", None), ("missing column", "gone", None), ("missing label", "c", 1), ("missing label", "m", 2), ("null id", "id", 1),
+        ("rows", "table", 3), ("score read as number", "s", None), ("unpaired columns", "2 labels, 1 scores", None),
+        ("unreadable flag", "Unambiguous", 1), ("unreadable score", "s", 1),
+    ]
+    watched, cells = observe_cells(df, config)
+    assert watched.count() == 3
+    assert cells.get["unreadable score: s"] == 1 and cells.get["rows"] == 3
+    assert all(r.rows in (0, None) for r in validation_report(df.limit(0), config).collect())
