@@ -43,7 +43,6 @@ TAMPER_EVERY = 5
 UPPER_TREE = -1
 _HEX = 64
 _PROOF = "array<struct<before:string, after:string>>"
-_NODE = "tree bigint, n bigint, level int, idx bigint, position bigint, digest string"
 
 
 def width(n: int, level: int) -> int:
