@@ -178,6 +178,12 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table read in fewer parts than there are cores, dealt out over all of them; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One messy code text per order line, covering the ways a code can be written."""
     kind = F.col("l_linenumber")
@@ -197,9 +203,8 @@ def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, F.concat(F.lit("-"), F.substring(code, 4, 2)))
         .otherwise(code)
     )
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", text.alias("text")
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    return spread(lines, "l_orderkey", "l_linenumber").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", text.alias("text"))
 
 
 def access_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
