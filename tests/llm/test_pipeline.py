@@ -64,7 +64,7 @@ def test_run_on_nothing(spark, tables, no_documents):
 
 
 def test_columns_keep_their_kinds_and_clashing_names(spark, tables, case):
-    docs = case[0].withColumns({c: F.lit("x") for c in ("fp", "spans", "base", "found", "hash", "root", "score", "lang_pred", "id")})
+    docs = case[0].withColumns({c: F.lit("x") for c in ("fp", "spans", "base", "found", "hash", "root", "score", "lang_pred", "id", "_id", "_hash", "_copy", "_kept_id", "_found", "_language", "_spans", "_clean", "found_", "row")})
     folder = tables(documents=docs, benchmark=case[1])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         found = stage(spark, docs, folder)
@@ -73,5 +73,5 @@ def test_columns_keep_their_kinds_and_clashing_names(spark, tables, case):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(ORACLES) <= set(QUERIES)
