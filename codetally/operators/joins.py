@@ -72,6 +72,14 @@ def join_salted(left: DataFrame, right: DataFrame, on: str | list[str] = "unique
     return join_on_id(dealt, copied, [*on, "_piece"]).drop("_piece")
 
 
+def join_repeated_ids(left: DataFrame, right: DataFrame, on: str | list[str] = "unique_id") -> DataFrame:
+    """Inner equi-join of ids that may repeat or be null. Adaptive execution, the default, splits skewed partitions of such a
+    join when it sees them; where it is off, hot ids are looked for beforehand and dealt over several tasks."""
+    conf = left.sparkSession.conf
+    splits = all(conf.get(key) == "true" for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"))
+    return join_on_id(left, right, on) if splits else join_salted(left, right, on)
+
+
 def override_from_side(
     main: DataFrame, side: DataFrame, id_col: str, value_col: str, nulls_match: bool = True
 ) -> DataFrame:

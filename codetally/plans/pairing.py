@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from codetally.functions.codes import code_text
 from codetally.operators.hierarchy import Hierarchy, Side, text_side
-from codetally.operators.joins import join_on_id, join_salted
+from codetally.operators.joins import join_on_id, join_repeated_ids
 from codetally.operators.prepare import Fallback, clerical_text, model_side
 from codetally.operators.validation import require_columns, require_unique_ids
 
@@ -87,7 +87,7 @@ def coded_records(
         earlier = clerical_text(first_round, first_round_four_plus, unique_ids=unique_ids).withColumnRenamed("sic_ind_occ", ROUND)
         made = made.unionByName(earlier.withColumn(by[0], F.lit(FIRST_ROUND)), allowMissingColumns=True)
     counted = counted_rows(made, "n_model", unique_ids)
-    joined = join_on_id(counted, truth, ID_COL, nulls_match=False) if unique_ids else join_salted(counted, truth, ID_COL)
+    joined = join_on_id(counted, truth, ID_COL, nulls_match=False) if unique_ids else join_repeated_ids(counted, truth, ID_COL)
     joined = joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
 
     outputs = {"initial_codes": Fallback(ALTERNATIVES, threshold)}
@@ -98,7 +98,7 @@ def coded_records(
         # Final codes of all records with the id, as a join of the two tables gives them.
         renamed = {"_final_first": "initial_code", "_final_text": "final_sic"}
         final = counted_rows(raw_model(model, [], renamed), "n_final", False)
-        joined = join_salted(joined, final, ID_COL).withColumn("records", F.col("records") * F.col("n_final"))
+        joined = join_repeated_ids(joined, final, ID_COL).withColumn("records", F.col("records") * F.col("n_final"))
         sides.append(model_side(final, {"final_codes": Fallback("_final_text")}, "_final_first"))
     if first_round is not None:
         sides.append(text_side(ROUND, "_round_codes"))

@@ -9,7 +9,7 @@ from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import digits_label
 from codetally.functions.intervals import least_is_in, stems
 from codetally.operators.hierarchy import Hierarchy, Side, level_width, text_side
-from codetally.operators.joins import join_on_id, join_salted
+from codetally.operators.joins import join_on_id, join_repeated_ids
 from codetally.operators.metrics import evaluation_metrics
 from codetally.operators.prepare import add_up_copies, rows_per_level, stack_methods
 from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence
@@ -97,7 +97,7 @@ def counted_searches(
         require_unique_ids(stacked, [ID_COL, "method"])
     found = counted_rows(stacked, "n_model", unique_ids)
     truth = raw_truth(clerical, four_plus, unique_ids)
-    joined = join_on_id(found, truth, ID_COL, nulls_match=False) if unique_ids else join_salted(found, truth, ID_COL)
+    joined = join_on_id(found, truth, ID_COL, nulls_match=False) if unique_ids else join_repeated_ids(found, truth, ID_COL)
     return joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
 
 
