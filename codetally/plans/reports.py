@@ -87,7 +87,7 @@ def section_report(
     """Sections of clearly coded records by source: as registered, by the coders, by the model."""
     admin = clerical.select(F.col(section_col).alias("sic_section"), F.lit("Admin labels").alias("source"))
     human = prepare_clerical_codes(clerical, hierarchy, four_plus, digits=0, unique_ids=unique_ids)
-    codes = prepare_model_codes(model, hierarchy, out_col="initial_codes", digits=0, unique_ids=unique_ids)
+    codes = prepare_model_codes(model, hierarchy, out_col="initial_codes", digits=0)
     sections = admin.unionByName(single_section(human, "clerical_codes", "Clerical codes")).unionByName(
         single_section(codes, "initial_codes", "Model codes")
     )
