@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from codetally.functions.codes import digits_label
 from codetally.operators.hierarchy import Hierarchy
 from codetally.operators.joins import attach_final_codes, join_levels
-from codetally.operators.metrics import evaluation_metrics
+from codetally.operators.metrics import evaluation_metrics, metrics_of_pairs
 from codetally.operators.pairs import add_wald_interval, melt_metrics
 from codetally.operators.prepare import Fallback, clerical_code_levels, model_code_levels, prepare_model_codes, stack_methods
-from codetally.plans.pairing import coded_records
+from codetally.plans.pairing import coded_records, compared_records
 from codetally.sources.readers import read_companion, read_model_output, read_text_csv
 from codetally.sources.writers import write_metrics
 
@@ -48,6 +48,8 @@ def evaluate(
     threshold: float = 0.0, unique_ids: bool = False,
 ) -> DataFrame:
     """All metrics of one model at one digit level, as one nested row."""
+    if not unique_ids and "final_sic" not in model.columns:
+        return metrics_of_pairs(compared_records(model, clerical, hierarchy, [digits], four_plus, threshold))
     records = coded_records(model, clerical, hierarchy, [digits], four_plus, threshold, unique_ids)
     return evaluation_metrics(records, prepared=True, count_col="records")
 
@@ -90,9 +92,10 @@ def sweep(
 
     A first round of human coding can take part as if it were a model, named ``coder_round_1``.
     """
-    records = coded_records(
-        stack_methods(models), clerical, hierarchy, levels, four_plus, threshold, unique_ids, ["method"], first_round, first_round_four_plus
-    )
+    model, rounds = stack_methods(models), (["method"], first_round, first_round_four_plus)
+    if not unique_ids and "final_sic" not in model.columns:
+        return metrics_of_pairs(compared_records(model, clerical, hierarchy, levels, four_plus, threshold, *rounds), ["digits", "method"])
+    records = coded_records(model, clerical, hierarchy, levels, four_plus, threshold, unique_ids, *rounds)
     return evaluation_metrics(records, by=["digits", "method"], prepared=True, count_col="records")
 
 

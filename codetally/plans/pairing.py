@@ -2,7 +2,8 @@
 
 What is moved between tasks are the short raw texts and candidate lists. Sets are intervals of numbered codes, a few
 numbers however many codes a short text means, made and compared in the task that has the joined row. Where ids may
-repeat, equal records are counted before the join, so that an id on many rows costs a row per different pair.
+repeat, sets are made and counted per table, and pairs are counted without being formed (``operators.repeated``); with
+final codes, which take part by a join of their own, equal records are counted before the join.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from codetally.functions.codes import code_text
 from codetally.operators.hierarchy import Hierarchy, Side, text_side
 from codetally.operators.joins import join_on_id, join_repeated_ids
 from codetally.operators.prepare import Fallback, clerical_text, model_side
+from codetally.operators.repeated import compared_pairs, counted_sets
 from codetally.operators.validation import require_columns, require_unique_ids
 
 ID_COL = "unique_id"
@@ -79,31 +81,73 @@ def coded_records(
     """
     by = by or []
     truth = raw_truth(clerical, four_plus, unique_ids)
-    names = {FIRST: "initial_code", ALTERNATIVES: "alt_sic_candidates", **({FINAL: "final_sic"} if unique_ids else {})}
-    made = raw_model(model, by, names)
     if unique_ids:
         require_unique_ids(model, [ID_COL, *by])
-    if first_round is not None:
-        earlier = clerical_text(first_round, first_round_four_plus, unique_ids=unique_ids).withColumnRenamed("sic_ind_occ", ROUND)
-        made = made.unionByName(earlier.withColumn(by[0], F.lit(FIRST_ROUND)), allowMissingColumns=True)
+    made = raw_outputs(model, by, unique_ids, first_round, first_round_four_plus)
     counted = counted_rows(made, "n_model", unique_ids)
     joined = join_on_id(counted, truth, ID_COL, nulls_match=False) if unique_ids else join_repeated_ids(counted, truth, ID_COL)
     joined = joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
 
-    outputs = {"initial_codes": Fallback(ALTERNATIVES, threshold)}
-    if FINAL in made.columns:
-        outputs["final_codes"] = Fallback(FINAL)
-    sides = [text_side(TRUTH, "clerical_codes"), model_side(joined, outputs, FIRST)]
+    sides = [text_side(TRUTH, "clerical_codes"), *output_sides(joined, threshold)]
     if "final_sic" in model.columns and not unique_ids:
         # Final codes of all records with the id, as a join of the two tables gives them.
         renamed = {"_final_first": "initial_code", "_final_text": "final_sic"}
         final = counted_rows(raw_model(model, [], renamed), "n_final", False)
         joined = join_repeated_ids(joined, final, ID_COL).withColumn("records", F.col("records") * F.col("n_final"))
         sides.append(model_side(final, {"final_codes": Fallback("_final_text")}, "_final_first"))
-    if first_round is not None:
-        sides.append(text_side(ROUND, "_round_codes"))
-    sets = code_sets(joined, hierarchy, sides, levels, by)
+    return with_first_round(code_sets(joined, hierarchy, sides, levels, by), by)
+
+
+def raw_outputs(
+    model: DataFrame, by: list[str], with_final: bool, first_round: DataFrame | None, first_round_four_plus: DataFrame | None
+) -> DataFrame:
+    """The raw columns of the models, and of an earlier round of human coding under them."""
+    names = {FIRST: "initial_code", ALTERNATIVES: "alt_sic_candidates", **({FINAL: "final_sic"} if with_final else {})}
+    made = raw_model(model, by, names)
     if first_round is None:
+        return made
+    earlier = clerical_text(first_round, first_round_four_plus, unique_ids=with_final).withColumnRenamed("sic_ind_occ", ROUND)
+    return made.unionByName(earlier.withColumn(by[0], F.lit(FIRST_ROUND)), allowMissingColumns=True)
+
+
+def output_sides(rows: DataFrame, threshold: float) -> list[Side]:
+    """How the code sets of the models, and of an earlier round, are read."""
+    outputs = {"initial_codes": Fallback(ALTERNATIVES, threshold)}
+    if FINAL in rows.columns:
+        outputs["final_codes"] = Fallback(FINAL)
+    return [model_side(rows, outputs, FIRST), *([text_side(ROUND, "_round_codes")] if ROUND in rows.columns else [])]
+
+
+def with_first_round(sets: DataFrame, by: list[str]) -> DataFrame:
+    """An earlier round's codes in the place of a model's."""
+    if "_round_codes" not in sets.columns:
         return sets
     chosen = F.when(F.col(by[0]) == FIRST_ROUND, F.col("_round_codes")).otherwise(F.col("initial_codes"))
     return sets.withColumn("initial_codes", chosen).drop("_round_codes")
+
+
+def truth_sets(clerical: DataFrame, four_plus: DataFrame | None, hierarchy: Hierarchy, levels: list[int]) -> DataFrame:
+    """Human code sets per id and digit level where ids may repeat, equal ones counted."""
+    rows = raw_truth(clerical, four_plus, False).withColumnRenamed("n_truth", "records")
+    sets = code_sets(rows, hierarchy, [text_side(TRUTH, "clerical_codes")], levels, [ID_COL])
+    return counted_sets(sets, [ID_COL, "digits"], "clerical_codes")
+
+
+def compared_records(
+    model: DataFrame,
+    clerical: DataFrame,
+    hierarchy: Hierarchy,
+    levels: list[int],
+    four_plus: DataFrame | None = None,
+    threshold: float = 0.0,
+    by: list[str] | None = None,
+    first_round: DataFrame | None = None,
+    first_round_four_plus: DataFrame | None = None,
+) -> DataFrame:
+    """What ``coded_records`` gives where ids may repeat and there are no final codes, as counted comparisons: no pair is formed."""
+    by = by or []
+    made = raw_outputs(model, by, False, first_round, first_round_four_plus)
+    rows = counted_rows(made, "records", False)
+    sets = with_first_round(code_sets(rows, hierarchy, output_sides(rows, threshold), levels, [ID_COL, *by]), by)
+    coded = counted_sets(sets, [ID_COL, *by, "digits"], "initial_codes")
+    return compared_pairs(truth_sets(clerical, four_plus, hierarchy, levels), coded, ID_COL, by)

@@ -10,12 +10,13 @@ from codetally.functions.codes import digits_label
 from codetally.functions.intervals import least_is_in, stems
 from codetally.operators.hierarchy import Hierarchy, Side, level_width, text_side
 from codetally.operators.joins import join_on_id, join_repeated_ids
-from codetally.operators.metrics import evaluation_metrics
+from codetally.operators.metrics import evaluation_metrics, metrics_of_pairs
 from codetally.operators.prepare import add_up_copies, rows_per_level, stack_methods
+from codetally.operators.repeated import compared_pairs, counted_sets, first_code, nearest_pairs
 from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence
 from codetally.operators.validation import require_unique_ids
 from codetally.plans.evaluation import model_points
-from codetally.plans.pairing import ID_COL, TRUTH, code_sets, counted_rows, raw_truth
+from codetally.plans.pairing import ID_COL, TRUTH, code_sets, counted_rows, raw_truth, truth_sets
 
 
 def shortlist_code_levels(
@@ -88,14 +89,19 @@ def shortlist_side(col: str, lengths: tuple[int | None, ...], levels: list[int])
     return Side({f"at_{n}": stems(listed, CODE_LENGTH) for n, listed in cut.items()}, lists, lambda found, single: found)
 
 
+def raw_searches(searches: dict[str, DataFrame], content: dict[str, Column], unique_ids: bool, count_col: str) -> DataFrame:
+    """Raw content of each record's results, equal records counted."""
+    stacked = stack_methods(searches).select(ID_COL, "method", *[c.alias(name) for name, c in content.items()])
+    if unique_ids:
+        require_unique_ids(stacked, [ID_COL, "method"])
+    return counted_rows(stacked, count_col, unique_ids)
+
+
 def counted_searches(
     searches: dict[str, DataFrame], clerical: DataFrame, four_plus: DataFrame | None, content: dict[str, Column], unique_ids: bool
 ) -> DataFrame:
     """Raw content of each record's results beside its raw human codes, equal records counted in ``records``."""
-    stacked = stack_methods(searches).select(ID_COL, "method", *[c.alias(name) for name, c in content.items()])
-    if unique_ids:
-        require_unique_ids(stacked, [ID_COL, "method"])
-    found = counted_rows(stacked, "n_model", unique_ids)
+    found = raw_searches(searches, content, unique_ids, "n_model")
     truth = raw_truth(clerical, four_plus, unique_ids)
     joined = join_on_id(found, truth, ID_COL, nulls_match=False) if unique_ids else join_repeated_ids(found, truth, ID_COL)
     return joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
@@ -112,10 +118,28 @@ def shortlist_sweep(
     unique_ids: bool = False,
 ) -> DataFrame:
     """All metrics for every search, digit level and shortlist length, from one aggregation."""
-    rows = counted_searches(searches, clerical, four_plus, {"_listed": nearest_first(F.col(results_col))}, unique_ids)
+    content = {"_listed": nearest_first(F.col(results_col))}
+    by = ["digits", "method", "shortlist_size"]
+    if not unique_ids:
+        found = raw_searches(searches, content, False, "records")
+        listed = code_sets(found, hierarchy, [shortlist_side("_listed", lengths, levels)], levels, [ID_COL, "method"])
+        coded = counted_sets(rows_per_length(listed, lengths), [ID_COL, *by], "initial_codes")
+        truth = truth_sets(clerical, four_plus, hierarchy, levels)
+        return metrics_of_pairs(compared_pairs(truth, coded, ID_COL, ["method", "shortlist_size"]), by)
+    rows = counted_searches(searches, clerical, four_plus, content, unique_ids)
     sides = [text_side(TRUTH, "clerical_codes"), shortlist_side("_listed", lengths, levels)]
     sets = rows_per_length(code_sets(rows, hierarchy, sides, levels, ["method"]), lengths)
-    return evaluation_metrics(sets, by=["digits", "method", "shortlist_size"], prepared=True, count_col="records")
+    return evaluation_metrics(sets, by=by, prepared=True, count_col="records")
+
+
+def nearest_content(results_col: str) -> dict[str, Column]:
+    """Code and distance of the nearest candidate."""
+    nearest = F.get(F.col(results_col), F.lit(0))
+    return {"_nearest": nearest["code"].cast("string"), "top_distance": F.nanvl(nearest["distance"].cast("double"), F.lit(None).cast("double"))}
+
+
+def nearest_side() -> Side:
+    return text_side("_nearest", "top_candidate", lambda code: F.array_compact(F.array(code)))
 
 
 def nearest_candidates(
@@ -129,21 +153,40 @@ def nearest_candidates(
 ) -> DataFrame:
     """Nearest candidate beside the human codes, both as intervals, per record, method and digit
     level; a row stands for ``records``."""
-    nearest = F.get(F.col(results_col), F.lit(0))
-    content = {"_nearest": nearest["code"].cast("string"), "top_distance": F.nanvl(nearest["distance"].cast("double"), F.lit(None).cast("double"))}
-    rows = counted_searches(searches, clerical, four_plus, content, unique_ids)
-    whole = lambda code: F.array_compact(F.array(code))
-    sides = [text_side(TRUTH, "clerical_codes"), text_side("_nearest", "top_candidate", whole)]
+    rows = counted_searches(searches, clerical, four_plus, nearest_content(results_col), unique_ids)
+    sides = [text_side(TRUTH, "clerical_codes"), nearest_side()]
     sets = code_sets(rows, hierarchy, sides, levels, [ID_COL, "method", "top_distance"])
     return sets.withColumn("top_in_truth", least_is_in(F.col("top_candidate"), F.col("clerical_codes")))
 
 
+def nearest_points(
+    searches: dict[str, DataFrame],
+    clerical: DataFrame,
+    hierarchy: Hierarchy,
+    levels: list[int],
+    four_plus: DataFrame | None = None,
+    results_col: str = "semantic_search_results",
+) -> DataFrame:
+    """The points that ``curve_points`` makes of ``nearest_candidates`` where ids may repeat, counted without forming pairs."""
+    found = raw_searches(searches, nearest_content(results_col), False, "records")
+    sets = code_sets(found, hierarchy, [nearest_side()], levels, [ID_COL, "method", "top_distance"])
+    by = ["method", "top_distance"]
+    least = first_code(F.array_min("top_candidate")).alias("_least")
+    nearest = sets.groupBy(ID_COL, "digits", *by, least).agg(F.sum("records").alias("records"))
+    pairs = nearest_pairs(truth_sets(clerical, four_plus, hierarchy, levels), nearest, ID_COL, by, "_least")
+    kinds = F.when(F.col("single_truth"), F.array(F.lit("MO"), F.lit("OO"))).otherwise(F.array(F.lit("MO")))
+    return pairs.select("digits", *by, "top_in_truth", "records", F.explode(kinds).alias("match_type"))
+
+
 def nearest_candidate_curves(
-    searches: dict[str, DataFrame], clerical: DataFrame, hierarchy: Hierarchy, levels: list[int], **options
+    searches: dict[str, DataFrame], clerical: DataFrame, hierarchy: Hierarchy, levels: list[int], unique_ids: bool = False, **options
 ) -> DataFrame:
     """Codability against accuracy as the allowed distance grows, per method, digit level and match type."""
-    nearest = nearest_candidates(searches, clerical, hierarchy, levels, **options)
-    points = curve_points(nearest, ["digits", "method"], count_col="records")
+    if unique_ids:
+        nearest = nearest_candidates(searches, clerical, hierarchy, levels, unique_ids=True, **options)
+        points = curve_points(nearest, ["digits", "method"], count_col="records")
+    else:
+        points = nearest_points(searches, clerical, hierarchy, levels, **options)
     curve = cumulative_curve(points, ["digits", "method", "match_type"], count_col="records")
     return curve.withColumn("digits", digits_label(F.col("digits")))
 
