@@ -8,12 +8,14 @@ code's. Intervals of one level are either disjoint or one holds the other, becau
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from types import ModuleType
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import code_stem
 from codetally.functions import sets
 
@@ -27,6 +29,10 @@ CHUNK = 1 << CHUNK_BITS
 NOTHING = -1
 #: Digits that decide a section.
 SECTION_DIGITS = 2
+#: Stems have places: first those of one digit, then those of two, and so on. Where those of k digits begin.
+FIRST_PLACE = [0, *(sum(10**k for k in range(1, digits)) for digits in range(1, CODE_LENGTH + 1))]
+#: The place of what is no code, after those of all stems.
+NOWHERE = sum(10**k for k in range(1, CODE_LENGTH + 1))
 
 
 def first_code(interval: str) -> str:
@@ -38,8 +44,10 @@ def last_code(interval: str) -> str:
 
 
 def stems(codes: Column, most: int) -> Column:
-    """The known leading digits of each code, null for what is no code."""
-    return F.transform(codes, lambda code: F.substring(code_stem(code), 1, most))
+    """The place of the known leading digits of each code, at most so many, ``NOWHERE`` for what is no code."""
+    cut = F.transform(codes, lambda code: F.substring(code_stem(code), 1, most))
+    first = F.array(*[F.lit(place) for place in FIRST_PLACE])
+    return F.transform(cut, lambda stem: F.coalesce(stem.cast("int") + F.get(first, F.length(stem)), F.lit(NOWHERE)))
 
 
 def once(value: str, name: str, body: str) -> str:
@@ -47,9 +55,14 @@ def once(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _place(index: str, stem: str, digits: int) -> str:
-    """Where the tables of the index have a stem, cut to so many digits."""
-    return f"get({index}.places, cast(concat('1', substring({stem}, 1, {digits})) as int))"
+def by_place(of_stem: Callable, digits: int, nowhere) -> list:
+    """What belongs to each place, for what so many leading digits decide: ``of_stem`` is asked for stems up to these."""
+    listed = []
+    for k in range(1, CODE_LENGTH + 1):
+        cut = min(k, digits)
+        each = [of_stem(str(number).zfill(cut)) for number in range(10**cut)]
+        listed += each if cut == k else [value for value in each for _ in range(10 ** (k - cut))]
+    return [*listed, nowhere]
 
 
 def meant(index: str, found: str, level: int) -> str:
@@ -58,23 +71,29 @@ def meant(index: str, found: str, level: int) -> str:
     This and what follows takes and gives SQL text, in which ``index`` and ``found`` are names.
     """
     if level == 0:
-        return f"array_distinct(flatten(transform({found}, stem -> coalesce(get({index}.level_0, {_place(index, 'stem', SECTION_DIGITS)}), {index}.none))))"
-    one = f"coalesce(get({index}.level_{level}, {_place(index, 'stem', level)}), {NOTHING}L)"
-    return f"array_remove(array_distinct(transform({found}, stem -> {one})), {NOTHING}L)"
+        one = f"get({index}.level_0, get({index}.cut_0, {{stem}}))"
+        return f"if(size({found}) = 1, {one.format(stem=f'{found}[0]')}, array_distinct(flatten(transform({found}, stem -> {one.format(stem='stem')}))))"
+    each = f"transform({found}, stem -> get({index}.level_{level}, stem))"
+    return f"array_remove(if(size({found}) < 2, {each}, array_distinct({each})), {NOTHING}L)"
 
 
 def codes_meant(index: str, found: str, level: int) -> str:
     """The same set spelled out, as sorted texts."""
     first, last = (f"cast({end('i')} as int)" for end in (first_code, last_code))
+    listed = f"get({index}.codes_{level}, chunk)"
     skipped = f"greatest({first} - chunk * {CHUNK}, 0)"
-    part = f"slice(get({index}.codes_{level}, chunk), {skipped} + 1, least({last} - chunk * {CHUNK} + 1, {CHUNK}) - {skipped})"
+    some = f"slice({listed}, {skipped} + 1, least({last} - chunk * {CHUNK} + 1, {CHUNK}) - {skipped})"
+    # A slice reads the list from its beginning, so whole lists and single codes are taken as they are.
+    part = f"if({first} <= chunk * {CHUNK} and (chunk + 1) * {CHUNK} <= {last} + 1, {listed}, {some})"
     from_chunk, to_chunk = f"shiftright({first}, {CHUNK_BITS})", f"shiftright({last}, {CHUNK_BITS})"
     several = f"flatten(transform(sequence({from_chunk}, {to_chunk}), chunk -> {part}))"
-    spelled = f"if({from_chunk} = {to_chunk}, {once(from_chunk, 'chunk', part)}, {several})"
+    only = f"array(get(get({index}.codes_{level}, {from_chunk}), {first} & {CHUNK - 1}))"
+    spelled = f"case when {first} = {last} then {only} when {from_chunk} = {to_chunk} then {once(from_chunk, 'chunk', part)} else {several} end"
     holds = f"wide != narrow and {first_code('wide')} <= {first_code('narrow')} and {last_code('narrow')} <= {last_code('wide')}"
     apart = f"if(size(them) < 2, them, filter(them, narrow -> not exists(them, wide -> {holds})))"
     # Intervals that don't hold each other are in order, and so are their codes one after the other.
-    return f"flatten(transform({once(f'sort_array({meant(index, found, level)})', 'them', apart)}, i -> {spelled}))"
+    lists = f"transform({once(f'sort_array({meant(index, found, level)})', 'them', apart)}, i -> {spelled})"
+    return once(lists, "lists", "if(size(lists) = 1, lists[0], flatten(lists))")
 
 
 def is_single(codes: Column) -> Column:

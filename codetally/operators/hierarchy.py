@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import code_stem, parse_codes
-from codetally.functions.intervals import CHUNK, NOTHING, SECTION_DIGITS, SPAN, codes_meant, meant, once, single_text, stems
+from codetally.functions.intervals import CHUNK, NOTHING, SECTION_DIGITS, SPAN, by_place, codes_meant, meant, once, single_text, stems
 from codetally.functions.sets import empty_set
 
 # A level of at most this many digits has at most 10 + 100 + ... + 100,000 prefixes, whatever the
@@ -59,8 +59,8 @@ class Hierarchy:
     def index(self, levels: list[int], spelled: bool = False) -> Column:
         """What ``functions.intervals`` reads codes of these levels with, ``spelled`` if codes are asked for as text.
 
-        ``places`` numbers the stems, found as the number that a 1 before their digits makes; ``level_<n>`` has the
-        interval of each, ``codes_<n>`` all codes in lists of ``CHUNK``.
+        ``level_<n>`` has the interval of each stem, by its place; ``codes_<n>`` all codes in lists of ``CHUNK``. For sections
+        ``cut_0`` has the place of each stem's division, and ``level_0`` the intervals of each division.
         """
         if max(levels) > BROADCAST_DIGITS:
             raise ValueError(f"Code sets can be read at up to {BROADCAST_DIGITS} digits, not {max(levels)}.")
@@ -77,10 +77,6 @@ class Hierarchy:
         for division, name in section_of.items():
             for stem in (division[:1], division):
                 sections.setdefault(stem, set()).add(names.index(name))
-        known = sorted({stem for at in intervals.values() for stem in at} | (set(sections) if 0 in levels else set()), key=lambda stem: (len(stem), stem))
-        places = [-1] * (2 * 10**CODE_LENGTH)
-        for place, stem in enumerate(known):
-            places[int("1" + stem)] = place
 
         def listed(values, kind: str) -> Column:
             # One literal that is split when the plan is made, since a literal for each would take long.
@@ -91,17 +87,19 @@ class Hierarchy:
             parts = [listed(part, "string") for part in batched(codes, CHUNK)]
             return F.array(*parts) if parts else F.array().cast("array<array<string>>")
 
-        fields = [listed(places, "int").alias("places"), listed([], "bigint").alias("none")]
+        fields = []
         for n in levels:
             if n == 0:
-                # The few stems of a division or less come often; others share the empty list.
-                at = [F.array(*[F.lit(s * SPAN + s) for s in sorted(sections[stem])]) if stem in sections else listed([], "bigint") for stem in known if len(stem) <= SECTION_DIGITS]
-                fields.append(F.array(*at).alias("level_0") if at else F.array().cast("array<array<bigint>>").alias("level_0"))
+                divisions = [str(number).zfill(k) for k in range(1, SECTION_DIGITS + 1) for number in range(10**k)]
+                place_of = {stem: place for place, stem in enumerate(divisions)}
+                at = [F.array(*[F.lit(s * SPAN + s) for s in sorted(sections[stem])]) if stem in sections else listed([], "bigint") for stem in divisions]
+                fields.append(listed(by_place(place_of.get, SECTION_DIGITS, len(divisions)), "int").alias("cut_0"))
+                fields.append(F.array(*at, listed([], "bigint")).alias("level_0"))
                 if spelled:
                     fields.append(chunks(names).alias("codes_0"))
                 continue
-            ends = [intervals[n].get(stem) for stem in known]
-            fields.append(listed([NOTHING if e is None else e[0] * SPAN + e[1] for e in ends], "bigint").alias(f"level_{n}"))
+            ends = {stem: first * SPAN + last for stem, (first, last) in intervals[n].items()}
+            fields.append(listed(by_place(lambda stem: ends.get(stem, NOTHING), n, NOTHING), "bigint").alias(f"level_{n}"))
             if spelled:
                 fields.append(chunks(codes_at[n]).alias(f"codes_{n}"))
         return F.struct(*fields)
@@ -200,6 +198,15 @@ class Hierarchy:
         return self.sets_of(rows, row_cols, sides, levels, spelled=True)
 
 
+def levels_laid_out() -> Column:
+    """The sets inside ``levels`` as columns, a row for each level.
+
+    ``levels`` always holds every level. An inner ``inline`` would have the optimizer drop empty lists first, by a filter
+    that is pushed below the projection and so makes all sets a second time.
+    """
+    return F.inline_outer("levels")
+
+
 @dataclass(frozen=True)
 class Side:
     """Which raw columns some code sets are read from, and how.

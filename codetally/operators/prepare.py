@@ -14,7 +14,7 @@ from codetally.config import ColumnConfig
 from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import clean_label, code_text, join_codes, parse_codes, text_flag
 from codetally.functions.intervals import once, stems
-from codetally.operators.hierarchy import Hierarchy, Side, text_side
+from codetally.operators.hierarchy import Hierarchy, Side, levels_laid_out, text_side
 from codetally.operators.joins import override_from_side, override_unique
 from codetally.operators.validation import require_columns, validate_wide_table
 
@@ -119,7 +119,7 @@ def prepare_clerical_codes(
 def rows_per_level(cleaned: DataFrame, digits: int | list[int]) -> DataFrame:
     """The sets inside ``levels`` as columns; a list of levels gives a row for each."""
     others = [c for c in cleaned.columns if c != "levels"]
-    rows = cleaned.select(*others, F.inline("levels"))
+    rows = cleaned.select(*others, levels_laid_out())
     return rows if isinstance(digits, list) else rows.drop("digits")
 
 

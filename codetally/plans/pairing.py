@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codetally.functions.codes import code_text
-from codetally.operators.hierarchy import Hierarchy, Side, text_side
+from codetally.operators.hierarchy import Hierarchy, Side, levels_laid_out, text_side
 from codetally.operators.joins import join_on_id, join_repeated_ids
 from codetally.operators.prepare import Fallback, clerical_text, model_side
 from codetally.operators.repeated import compared_pairs, counted_sets
@@ -57,7 +57,7 @@ def raw_model(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFram
 def code_sets(rows: DataFrame, hierarchy: Hierarchy, sides: list[Side], levels: list[int], by: list[str]) -> DataFrame:
     """``by``, ``records``, ``digits`` and the sets of all sides as intervals, for rows that hold raw columns and ``records``."""
     found = hierarchy.sets_of(rows, [*by, "records"], sides, levels)
-    return found.select(*by, "records", F.inline("levels"))
+    return found.select(*by, "records", levels_laid_out())
 
 
 def coded_records(

@@ -47,7 +47,7 @@ def shortlist_code_levels(
 
 def first_of(listed: str, length: int | None) -> str:
     """The first entries of a list in SQL text, all of them where no length is given."""
-    return listed if length is None else f"slice({listed}, 1, {length})"
+    return listed if length is None else f"if(size({listed}) <= {length}, {listed}, slice({listed}, 1, {length}))"
 
 
 def rows_per_length(df: DataFrame, lengths: tuple[int | None, ...]) -> DataFrame:

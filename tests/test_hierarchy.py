@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from codetally import Hierarchy
 from codetally.operators.hierarchy import text_side
 from codetally.operators.prepare import rows_per_level
@@ -48,6 +50,30 @@ def test_code_sets_give_every_row_back(spark, hierarchy):
         assert got == want
 
 
+def test_sets_are_made_once_a_row(spark, hierarchy):
+    """Levels laid out by an inner inline had the optimizer filter rows by their sets, so that all sets were made twice."""
+    rows = spark.createDataFrame([(1, "86101;2xxxx")], "id int, t string")
+    for digits in (5, [5, 0]):
+        found = rows_per_level(hierarchy.clean_code_sets(rows, ["id"], [text_side("t", "codes")], digits if isinstance(digits, list) else [digits]), digits)
+        assert "Filter" not in [node.nodeName() for node in nodes(found._jdf.queryExecution().optimizedPlan())]
+
+
+def nodes(plan):
+    children = plan.children()
+    return [plan, *[node for i in range(children.length()) for node in nodes(children.apply(i))]]
+
+
+def test_wide_codes_are_spelled_over_several_lists(spark):
+    codes = [str(number) for number in range(10000, 11000)]
+    wide = Hierarchy(spark.createDataFrame([("A", code) for code in codes], "section string, code string"))
+    texts = ["1xxxx", "100xx", "102xx", "10255", "10256", "1025x", "10999", "109xx", "102xx;10250;1051x", "2xxxx", "1x1xx", "102"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows_per_level(wide.clean_code_sets(rows, ["t"], [text_side("t", "codes", lambda text: F.split(text, ";"))], [5]), 5)
+    stems = {t: [part.rstrip("x") for part in t.split(";")] for t in texts}
+    want = {t: [c for c in codes if any(stem.isdigit() and c.startswith(stem) for stem in stems[t])] for t in texts}
+    assert {r.t: list(r.codes) for r in found.collect()} == want
+
+
 def test_valid_codes_and_sections(spark, hierarchy):
     valid = {r.code for r in hierarchy.valid_codes().collect()}
     assert valid == {s for s, _ in PAIRS} | {c[:k] for _, c in PAIRS for k in range(1, 6)}
