@@ -51,8 +51,11 @@ def stems(codes: Column, most: int) -> Column:
 
 
 def once(value: str, name: str, body: str) -> str:
-    """``body``, in which ``name`` stands for ``value``, worked out once per row."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+    """``body``, in which ``name`` stands for ``value``, worked out once per row.
+
+    A fold over nothing, since ``transform`` copies all that its function gives, lists of thousands of codes with it.
+    """
+    return f"aggregate(array(), {value}, (kept, item) -> kept, {name} -> {body})"
 
 
 def by_place(of_stem: Callable, digits: int, nowhere) -> list:
@@ -86,14 +89,15 @@ def codes_meant(index: str, found: str, level: int) -> str:
     # A slice reads the list from its beginning, so whole lists and single codes are taken as they are.
     part = f"if({first} <= chunk * {CHUNK} and (chunk + 1) * {CHUNK} <= {last} + 1, {listed}, {some})"
     from_chunk, to_chunk = f"shiftright({first}, {CHUNK_BITS})", f"shiftright({last}, {CHUNK_BITS})"
-    several = f"flatten(transform(sequence({from_chunk}, {to_chunk}), chunk -> {part}))"
+    between = f"slice({index}.codes_{level}, {from_chunk} + 2, {to_chunk} - {from_chunk} - 1)"
+    several = f"flatten(concat(array({once(from_chunk, 'chunk', part)}), {between}, array({once(to_chunk, 'chunk', part)})))"
     only = f"array(get(get({index}.codes_{level}, {from_chunk}), {first} & {CHUNK - 1}))"
     spelled = f"case when {first} = {last} then {only} when {from_chunk} = {to_chunk} then {once(from_chunk, 'chunk', part)} else {several} end"
     holds = f"wide != narrow and {first_code('wide')} <= {first_code('narrow')} and {last_code('narrow')} <= {last_code('wide')}"
     apart = f"if(size(them) < 2, them, filter(them, narrow -> not exists(them, wide -> {holds})))"
     # Intervals that don't hold each other are in order, and so are their codes one after the other.
-    lists = f"transform({once(f'sort_array({meant(index, found, level)})', 'them', apart)}, i -> {spelled})"
-    return once(lists, "lists", "if(size(lists) = 1, lists[0], flatten(lists))")
+    body = f"if(size(them) = 1, {once('them[0]', 'i', spelled)}, flatten(transform(them, i -> {spelled})))"
+    return once(once(f"sort_array({meant(index, found, level)})", "them", apart), "them", body)
 
 
 def is_single(codes: Column) -> Column:

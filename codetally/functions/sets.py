@@ -11,7 +11,7 @@ from codetally.fixed_values import INVALID_TOKENS, MATCH_METHODS
 
 def once(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row rather than at each place ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array(), value, lambda kept, _: kept, body)
 
 
 def empty_set() -> Column:
