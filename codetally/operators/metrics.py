@@ -172,7 +172,7 @@ def evaluation_metrics(
     compared = sets.select(
         *by, "records", *_comparison(truth, initial, "ini_", kind), *(_comparison(truth, F.col("final"), "fin_", kind) if has_final else [])
     )
-    return _evaluation(compared, by, has_final, count_col is not None)
+    return _evaluation(compared, by, has_final)
 
 
 def metrics_of_pairs(compared: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -180,17 +180,19 @@ def metrics_of_pairs(compared: DataFrame, by: list[str] | None = None) -> DataFr
     logger.warning("There is no column final_codes, so metrics after follow-up are left empty.")
     by = by or []
     named = [F.col(name).alias(f"ini_{name}") for name in ("single_truth", "single_model", "overlap")]
-    return _evaluation(compared.select(*by, "records", *named), by, False, True)
+    return _evaluation(compared.select(*by, "records", *named), by, False)
 
 
-def _evaluation(compared: DataFrame, by: list[str], has_final: bool, has_count: bool) -> DataFrame:
+def _evaluation(compared: DataFrame, by: list[str], has_final: bool) -> DataFrame:
     counts = {"total": F.lit(True)}
     counts |= _prefixed("amb_", _ambiguity_counts(~F.col("ini_single_model"), ~F.col("ini_single_truth")))
     counts |= _prefixed("cod_", _codability_counts(~F.col("ini_single_model"), ~F.col("fin_single_model") if has_final else None))
     counts |= _prefixed("n_ini_", _accuracy_counts("ini_"))
     if has_final:
         counts |= _prefixed("n_fin_", _accuracy_counts("fin_"))
-    counted = _aggregate(compared, by, counts, F.col("records") if has_count else None)
+    # Counted by what sets them apart, a few rows per group, which are then added up for each metric.
+    known = compared.groupBy(*[c for c in compared.columns if c != "records"]).agg(F.sum("records").alias("records"))
+    counted = _aggregate(known, by, counts, F.col("records"))
     total = F.col("total")
     initial_accuracy = F.struct(*_named(_accuracy_metrics(total, "n_ini_")))
     final_accuracy = F.struct(*_named(_accuracy_metrics(total, "n_fin_" if has_final else "n_ini_")))

@@ -60,6 +60,25 @@ def code_sets(rows: DataFrame, hierarchy: Hierarchy, sides: list[Side], levels:
     return found.select(*by, "records", levels_laid_out())
 
 
+def beside_truth(
+    rows: DataFrame, clerical: DataFrame, four_plus: DataFrame | None, hierarchy: Hierarchy, levels: list[int]
+) -> DataFrame:
+    """Rows beside the human code sets of their record where ids are unique: ``TRUTH`` has them at all levels.
+
+    They are made once per record, however many rows it has, and after its text was moved.
+    """
+    texts = raw_truth(clerical, four_plus, True).repartition(ID_COL)
+    sets = hierarchy.sets_of(texts, [ID_COL, "n_truth"], [text_side(TRUTH, "clerical_codes")], levels)
+    return join_on_id(rows, sets.withColumnRenamed("levels", TRUTH), ID_COL, nulls_match=False)
+
+
+def laid_out_beside_truth(found: DataFrame, by: list[str]) -> DataFrame:
+    """What ``code_sets`` gives, of sets in ``levels`` and the human code sets of the same levels."""
+    laid_out = found.select(*by, "records", TRUTH, F.posexplode_outer("levels").alias("_at", "_level"))
+    truth = F.get(TRUTH, F.col("_at"))["clerical_codes"].alias("clerical_codes")
+    return laid_out.select(*by, "records", truth, "_level.*")
+
+
 def coded_records(
     model: DataFrame,
     clerical: DataFrame,
@@ -80,16 +99,19 @@ def coded_records(
     round of human coding, takes part as if it were a model.
     """
     by = by or []
-    truth = raw_truth(clerical, four_plus, unique_ids)
     if unique_ids:
         require_unique_ids(model, [ID_COL, *by])
     made = raw_outputs(model, by, unique_ids, first_round, first_round_four_plus)
     counted = counted_rows(made, "n_model", unique_ids)
-    joined = join_on_id(counted, truth, ID_COL, nulls_match=False) if unique_ids else join_repeated_ids(counted, truth, ID_COL)
-    joined = joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
+    if unique_ids:
+        rows = beside_truth(counted, clerical, four_plus, hierarchy, levels).withColumn("records", F.col("n_model") * F.col("n_truth"))
+        found = hierarchy.sets_of(rows, [*by, "records", TRUTH], output_sides(rows, threshold), levels)
+        return with_first_round(laid_out_beside_truth(found, by), by)
 
+    joined = join_repeated_ids(counted, raw_truth(clerical, four_plus, False), ID_COL)
+    joined = joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
     sides = [text_side(TRUTH, "clerical_codes"), *output_sides(joined, threshold)]
-    if "final_sic" in model.columns and not unique_ids:
+    if "final_sic" in model.columns:
         # Final codes of all records with the id, as a join of the two tables gives them.
         renamed = {"_final_first": "initial_code", "_final_text": "final_sic"}
         final = counted_rows(raw_model(model, [], renamed), "n_final", False)
@@ -106,7 +128,9 @@ def raw_outputs(
     made = raw_model(model, by, names)
     if first_round is None:
         return made
-    earlier = clerical_text(first_round, first_round_four_plus, unique_ids=with_final).withColumnRenamed("sic_ind_occ", ROUND)
+    # Read like a first choice that has no alternatives, unless final codes are read beside it.
+    role = FIRST if FIRST in made.columns and FINAL not in made.columns else ROUND
+    earlier = clerical_text(first_round, first_round_four_plus, unique_ids=with_final).withColumnRenamed("sic_ind_occ", role)
     return made.unionByName(earlier.withColumn(by[0], F.lit(FIRST_ROUND)), allowMissingColumns=True)
 
 
@@ -119,7 +143,7 @@ def output_sides(rows: DataFrame, threshold: float) -> list[Side]:
 
 
 def with_first_round(sets: DataFrame, by: list[str]) -> DataFrame:
-    """An earlier round's codes in the place of a model's."""
+    """An earlier round's codes in the place of a model's, where they have a column of their own."""
     if "_round_codes" not in sets.columns:
         return sets
     chosen = F.when(F.col(by[0]) == FIRST_ROUND, F.col("_round_codes")).otherwise(F.col("initial_codes"))
