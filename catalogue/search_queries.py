@@ -82,7 +82,7 @@ def nearest_sql(levels: str) -> str:
 
 def nearest(spark, sf_dir):
     return nearest_candidates(
-        views.searches(spark, sf_dir), views.clerical(spark, sf_dir), views.hierarchy(spark, sf_dir), [5, 0], unique_ids=True
+        views.searches(spark, sf_dir), views.clerical(spark, sf_dir, alone=True), views.hierarchy(spark, sf_dir), [5, 0], unique_ids=True
     ).withColumn("digits", F.col("digits").cast("bigint"))
 
 
@@ -119,7 +119,7 @@ SHOWN = "case when digits=0 then 'S' else cast(digits as varchar) end as digits,
 @register("cumulative_curves", f"select {SHOWN} from ({CURVES})")
 def cumulative_curves(spark, sf_dir):
     return nearest_candidate_curves(
-        views.searches(spark, sf_dir), views.clerical(spark, sf_dir), views.hierarchy(spark, sf_dir), [5, 0], unique_ids=True
+        views.searches(spark, sf_dir), views.clerical(spark, sf_dir, alone=True), views.hierarchy(spark, sf_dir), [5, 0], unique_ids=True
     )
 
 
@@ -190,7 +190,7 @@ def shortlisted_codes(spark, sf_dir):
 
 def search_sweep(spark, sf_dir):
     return shortlist_sweep(
-        views.searches(spark, sf_dir), views.clerical(spark, sf_dir), views.hierarchy(spark, sf_dir), LEVELS, unique_ids=True
+        views.searches(spark, sf_dir), views.clerical(spark, sf_dir, alone=True), views.hierarchy(spark, sf_dir), LEVELS, unique_ids=True
     )
 
 

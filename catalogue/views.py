@@ -47,8 +47,7 @@ def once_per_query(derive):
     return table_of
 
 
-@once_per_query
-def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order: human codes, first model choice, scored model candidates of several models.
 
     All lines of an order are reduced in one aggregation, before the shuffle as far as possible.
@@ -73,12 +72,19 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once_per_query
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir)
+
+
 REQUEST_CONSTANTS = {"llm": "model-1", "type": "sic"}
 CLERICAL = ["unique_id", "sic_ind_occ1", "sic_ind_occ2", "sic_ind_occ3"]
 
 
-def clerical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coded(spark, sf_dir).select(*CLERICAL)
+def clerical(spark: SparkSession, sf_dir: str, alone: bool = False) -> DataFrame:
+    """The human codes; ``alone`` where a query uses nothing else of the records and reads them once, so that only what
+    they need is derived and nothing is written."""
+    return (records if alone else coded)(spark, sf_dir).select(*CLERICAL)
 
 
 def candidate_array(codes: list[str], scores: list[str]) -> Column:
@@ -135,18 +141,22 @@ def first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results per order: each code of its lines with its nearest distance, by two methods.
 
-    A code occurs once per order, so a list has at most as many entries as there are codes.
+    A code occurs once per order, so a list has at most as many entries as there are codes. Lines are dealt out by order
+    once for both groupings, and collected once for both lists.
     """
-    code = code_of(F.col("l_partkey")).alias("code")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("unique_id"), code)
-    nearest = lines.agg(
-        F.min(F.col("l_extendedprice") / 100000).alias("price"), F.min(F.col("l_quantity") / 50 + F.col("l_tax")).alias("quantity")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("unique_id"), "l_partkey",
+        (F.col("l_extendedprice") / 100000).alias("price"), (F.col("l_quantity") / 50 + F.col("l_tax")).alias("quantity"),
     )
+    by_code = lines.repartition("unique_id").groupBy("unique_id", code_of(F.col("l_partkey")).alias("code"))
+    nearest = by_code.agg(F.min("price").alias("price"), F.min("quantity").alias("quantity"))
+    found = nearest.groupBy("unique_id").agg(F.collect_list(F.struct("price", "quantity", "code")).alias("found"))
 
     def ranked(distance: str) -> Column:
-        return F.sort_array(F.collect_list(F.struct(F.col(distance).alias("distance"), "code"))).alias(distance)
+        listed = F.transform("found", lambda c: F.struct(c[distance].alias("distance"), c["code"].alias("code")))
+        return F.sort_array(listed).alias(distance)
 
-    return nearest.groupBy("unique_id").agg(ranked("price"), ranked("quantity"))
+    return found.select("unique_id", ranked("price"), ranked("quantity"))
 
 
 def searches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

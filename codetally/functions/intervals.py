@@ -43,11 +43,21 @@ def last_code(interval: str) -> str:
     return f"({interval} & {SPAN - 1})"
 
 
+def place_of(stem: Column) -> Column:
+    first = F.array(*[F.lit(place) for place in FIRST_PLACE])
+    return F.coalesce(stem.cast("int") + F.get(first, F.length(stem)), F.lit(NOWHERE))
+
+
 def stems(codes: Column, most: int) -> Column:
     """The place of the known leading digits of each code, at most so many, ``NOWHERE`` for what is no code."""
-    cut = F.transform(codes, lambda code: F.substring(code_stem(code), 1, most))
-    first = F.array(*[F.lit(place) for place in FIRST_PLACE])
-    return F.transform(cut, lambda stem: F.coalesce(stem.cast("int") + F.get(first, F.length(stem)), F.lit(NOWHERE)))
+    return F.transform(F.transform(codes, lambda code: F.substring(code_stem(code), 1, most)), place_of)
+
+
+def meant_by_one(index: Column, place: Column, level: int) -> Column:
+    """The set of all codes of a level that the stem at a place means, a column without functions of functions."""
+    if level == 0:
+        return F.get(index["level_0"], F.get(index["cut_0"], place))
+    return F.array_remove(F.array(F.get(index[f"level_{level}"], place)), F.lit(NOTHING).cast("bigint"))
 
 
 def once(value: str, name: str, body: str) -> str:

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import code_stem, parse_codes
-from codetally.functions.intervals import CHUNK, NOTHING, SECTION_DIGITS, SPAN, by_place, codes_meant, meant, once, single_text, stems
+from codetally.functions.intervals import (
+    CHUNK, NOTHING, SECTION_DIGITS, SPAN, by_place, codes_meant, meant, meant_by_one, once, place_of, single_text, stems,
+)
 from codetally.functions.sets import empty_set
 
 # A level of at most this many digits has at most 10 + 100 + ... + 100,000 prefixes, whatever the
@@ -193,6 +195,14 @@ class Hierarchy:
         levels_of = F.expr(once("given", "given", f"array({', '.join(map(at, levels))})"))
         return given.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(row_cols)], levels_of.alias("levels"))
 
+    def sets_of_one(self, rows: DataFrame, row_cols: list[str], code_col: str, out: str, levels: list[int]) -> DataFrame:
+        """What ``sets_of`` gives, for rows that have a single code at most in ``code_col``, as it is written."""
+        stem = F.substring(code_stem(F.col(code_col)), 1, CODE_LENGTH)
+        placed = rows.select(*row_cols, place_of(stem).alias("_place"))
+        index = self.index(levels)
+        at = [F.struct(F.lit(n).alias("digits"), meant_by_one(index, F.col("_place"), n).alias(out)) for n in levels]
+        return placed.select(*row_cols, F.array(*at).alias("levels"))
+
     def clean_code_sets(self, rows: DataFrame, row_cols: list[str], sides: list[Side], levels: list[int]) -> DataFrame:
         """Turn the codes listed in each row into sets of valid codes: ``row_cols`` and ``levels``, see ``sets_of``."""
         return self.sets_of(rows, row_cols, sides, levels, spelled=True)

@@ -9,14 +9,16 @@ from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import digits_label
 from codetally.functions.intervals import least_is_in, stems
 from codetally.operators.hierarchy import Hierarchy, Side, level_width, text_side
-from codetally.operators.joins import join_on_id, join_repeated_ids
+from codetally.operators.joins import join_repeated_ids
 from codetally.operators.metrics import evaluation_metrics, metrics_of_pairs
 from codetally.operators.prepare import add_up_copies, rows_per_level, stack_methods
 from codetally.operators.repeated import compared_pairs, counted_sets, first_code, nearest_pairs
 from codetally.operators.semantic import cumulative_curve, curve_points, distance_to_confidence
 from codetally.operators.validation import require_unique_ids
 from codetally.plans.evaluation import model_points
-from codetally.plans.pairing import ID_COL, TRUTH, code_sets, counted_rows, raw_truth, truth_sets
+from codetally.plans.pairing import (
+    ID_COL, TRUTH, beside_truth, code_sets, counted_rows, laid_out_beside_truth, raw_truth, truth_sets,
+)
 
 
 def shortlist_code_levels(
@@ -97,14 +99,17 @@ def raw_searches(searches: dict[str, DataFrame], content: dict[str, Column], uni
     return counted_rows(stacked, count_col, unique_ids)
 
 
-def counted_searches(
-    searches: dict[str, DataFrame], clerical: DataFrame, four_plus: DataFrame | None, content: dict[str, Column], unique_ids: bool
+def searches_beside_truth(
+    searches: dict[str, DataFrame],
+    clerical: DataFrame,
+    four_plus: DataFrame | None,
+    hierarchy: Hierarchy,
+    levels: list[int],
+    content: dict[str, Column],
 ) -> DataFrame:
-    """Raw content of each record's results beside its raw human codes, equal records counted in ``records``."""
-    found = raw_searches(searches, content, unique_ids, "n_model")
-    truth = raw_truth(clerical, four_plus, unique_ids)
-    joined = join_on_id(found, truth, ID_COL, nulls_match=False) if unique_ids else join_repeated_ids(found, truth, ID_COL)
-    return joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
+    """Raw content of each record's results beside its human code sets, where ids are unique."""
+    found = raw_searches(searches, content, True, "n_model")
+    return beside_truth(found, clerical, four_plus, hierarchy, levels).withColumn("records", F.col("n_model") * F.col("n_truth"))
 
 
 def shortlist_sweep(
@@ -126,10 +131,10 @@ def shortlist_sweep(
         coded = counted_sets(rows_per_length(listed, lengths), [ID_COL, *by], "initial_codes")
         truth = truth_sets(clerical, four_plus, hierarchy, levels)
         return metrics_of_pairs(compared_pairs(truth, coded, ID_COL, ["method", "shortlist_size"]), by)
-    rows = counted_searches(searches, clerical, four_plus, content, unique_ids)
-    sides = [text_side(TRUTH, "clerical_codes"), shortlist_side("_listed", lengths, levels)]
-    sets = rows_per_length(code_sets(rows, hierarchy, sides, levels, ["method"]), lengths)
-    return evaluation_metrics(sets, by=by, prepared=True, count_col="records")
+    rows = searches_beside_truth(searches, clerical, four_plus, hierarchy, levels, content)
+    found = hierarchy.sets_of(rows, ["method", "records", TRUTH], [shortlist_side("_listed", lengths, levels)], levels)
+    sets = laid_out_beside_truth(found, ["method"])
+    return evaluation_metrics(rows_per_length(sets, lengths), by=by, prepared=True, count_col="records")
 
 
 def nearest_content(results_col: str) -> dict[str, Column]:
@@ -153,9 +158,14 @@ def nearest_candidates(
 ) -> DataFrame:
     """Nearest candidate beside the human codes, both as intervals, per record, method and digit
     level; a row stands for ``records``."""
-    rows = counted_searches(searches, clerical, four_plus, nearest_content(results_col), unique_ids)
-    sides = [text_side(TRUTH, "clerical_codes"), nearest_side()]
-    sets = code_sets(rows, hierarchy, sides, levels, [ID_COL, "method", "top_distance"])
+    content, by = nearest_content(results_col), [ID_COL, "method", "top_distance"]
+    if unique_ids:
+        rows = searches_beside_truth(searches, clerical, four_plus, hierarchy, levels, content)
+        sets = laid_out_beside_truth(hierarchy.sets_of_one(rows, [*by, "records", TRUTH], "_nearest", "top_candidate", levels), by)
+    else:
+        found = raw_searches(searches, content, False, "n_model")
+        rows = join_repeated_ids(found, raw_truth(clerical, four_plus, False), ID_COL).withColumn("records", F.col("n_model") * F.col("n_truth"))
+        sets = code_sets(rows, hierarchy, [text_side(TRUTH, "clerical_codes"), nearest_side()], levels, by)
     return sets.withColumn("top_in_truth", least_is_in(F.col("top_candidate"), F.col("clerical_codes")))
 
 

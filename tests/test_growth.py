@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from catalogue import views
 from codetally.operators.metrics import evaluation_metrics
 from codetally.plans.pairing import coded_records
+from codetally.plans.search import nearest_candidates
 
+LINES = "l_orderkey bigint, l_partkey bigint, l_extendedprice double, l_quantity double, l_tax double"
 CLERICAL = "unique_id int, sic_ind_occ1 string, sic_ind_occ2 string, sic_ind_occ3 string"
 
 
@@ -12,6 +15,22 @@ def plan_of(df, stage="optimizedPlan"):
     return getattr(df._jdf.queryExecution(), stage)().toString()
 
 
+def test_search_lists_deal_lines_out_once(spark, tmp_path, monkeypatch):
+    rows = [(1, 1, 300.0, 5.0, 0.0), (1, 1, 100.0, 10.0, 0.0), (1, 2, 200.0, 1.0, 0.5), (1, None, None, 1.0, 0.0), (2, 3, 50.0, 50.0, 0.25)]
+    spark.createDataFrame(rows, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(views, "written", lambda df: df)
+    views.new_query()
+    lists = views.search_lists(spark, str(tmp_path))
+    views.new_query()
+    assert plan_of(lists, "executedPlan").count("Exchange ") == 1
+    found = {r.unique_id: ([tuple(c) for c in r.price], [tuple(c) for c in r.quantity]) for r in lists.collect()}
+    assert found == {
+        1: ([(None, None), (0.001, "00037"), (0.002, "00074")], [(0.02, None), (0.1, "00037"), (0.52, "00074")]),
+        2: ([(0.0005, "00111")], [(1.25, "00111")]),
+    }
+    assert lists.schema["price"].dataType.elementType.fieldNames() == ["distance", "code"]
+
+
 def test_human_codes_are_read_once_per_record(spark, hierarchy):
     model = spark.createDataFrame([(1, "a", "86101"), (1, "b", "8610x"), (2, "a", None)], "unique_id int, method string, initial_code string")
     clerical = spark.createDataFrame([(1, "86101", "05100", None), (2, "-9", None, None)], CLERICAL)
@@ -25,6 +44,16 @@ def test_human_codes_are_read_once_per_record(spark, hierarchy):
     assert counts == sorted((method, digits, t, m) for method, t, m in each for digits in (0, 5))
 
 
+def test_nearest_candidate_is_looked_up_as_one_code(spark, hierarchy):
+    kind = "unique_id int, semantic_search_results array<struct<code:string,distance:double>>"
+    rows = [(1, [("8610x", 0.1)]), (2, [("99999", 0.2)]), (3, []), (4, [("abc", 0.3)]), (5, [("86101", 0.4)])]
+    clerical = spark.createDataFrame([(i, "8610x", None, None) for i in range(1, 6)], CLERICAL)
+    both = [nearest_candidates({"s": spark.createDataFrame(rows, kind)}, clerical, hierarchy, [5, 2, 0], unique_ids=unique) for unique in (True, False)]
+    told = [sorted(tuple(map(str, (r.unique_id, r.digits, r.top_distance, r.top_candidate, r.clerical_codes, r.top_in_truth))) for r in df.collect()) for df in both]
+    assert told[0] == told[1] and len(told[0]) == 15
+    assert plan_of(both[0]).split("Join Inner")[0].count("aggregate(") == 0
+
+
 def test_metrics_are_added_up_from_counted_comparisons(spark):
     rows = spark.createDataFrame([(["a"], ["a"]), (["a"], ["a"]), (["a", "b"], ["b"]), ([], ["c"])], "clerical_codes array<string>, initial_codes array<string>")
     metrics = evaluation_metrics(rows)
