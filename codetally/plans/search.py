@@ -9,7 +9,7 @@ from codetally.fixed_values import CODE_LENGTH
 from codetally.functions.codes import digits_label
 from codetally.functions.intervals import least_is_in, stems
 from codetally.operators.hierarchy import Hierarchy, Side, level_width, text_side
-from codetally.operators.joins import join_repeated_ids
+from codetally.operators.joins import join_on_id, join_repeated_ids
 from codetally.operators.metrics import evaluation_metrics, metrics_of_pairs
 from codetally.operators.prepare import add_up_copies, rows_per_level, stack_methods
 from codetally.operators.repeated import compared_pairs, counted_sets, first_code, nearest_pairs
@@ -99,6 +99,16 @@ def raw_searches(searches: dict[str, DataFrame], content: dict[str, Column], uni
     return counted_rows(stacked, count_col, unique_ids)
 
 
+def counted_searches(
+    searches: dict[str, DataFrame], clerical: DataFrame, four_plus: DataFrame | None, content: dict[str, Column], unique_ids: bool
+) -> DataFrame:
+    """Raw content of each record's results beside its raw human codes, equal records counted in ``records``."""
+    found = raw_searches(searches, content, unique_ids, "n_model")
+    truth = raw_truth(clerical, four_plus, unique_ids)
+    joined = join_on_id(found, truth, ID_COL, nulls_match=False) if unique_ids else join_repeated_ids(found, truth, ID_COL)
+    return joined.withColumn("records", F.col("n_model") * F.col("n_truth"))
+
+
 def searches_beside_truth(
     searches: dict[str, DataFrame],
     clerical: DataFrame,
@@ -163,8 +173,7 @@ def nearest_candidates(
         rows = searches_beside_truth(searches, clerical, four_plus, hierarchy, levels, content)
         sets = laid_out_beside_truth(hierarchy.sets_of_one(rows, [*by, "records", TRUTH], "_nearest", "top_candidate", levels), by)
     else:
-        found = raw_searches(searches, content, False, "n_model")
-        rows = join_repeated_ids(found, raw_truth(clerical, four_plus, False), ID_COL).withColumn("records", F.col("n_model") * F.col("n_truth"))
+        rows = counted_searches(searches, clerical, four_plus, content, False)
         sets = code_sets(rows, hierarchy, [text_side(TRUTH, "clerical_codes"), nearest_side()], levels, by)
     return sets.withColumn("top_in_truth", least_is_in(F.col("top_candidate"), F.col("clerical_codes")))
 
