@@ -4,7 +4,8 @@ An id on many rows of two tables has as many pairs as its rows multiplied. Of th
 there are, and in how many the two code sets share a code. The first is a product of two counts. The second follows from
 how many sets of either table hold each combination of codes (inclusion and exclusion): every short set is laid out into
 its combinations, these are counted on either side, and the counts are multiplied where id and combination are equal.
-Sets with too many combinations are paired one by one.
+A set is dealt out by id and first code of its combinations, once for each, and laid out in the task it is dealt to: the
+combinations, several times as many, are neither moved nor joined. Sets with too many combinations are paired one by one.
 
 Sets are intervals of numbered codes (``functions.intervals``). Two intervals share a code when one holds the other, so
 both give a key by which they meet: the holding interval, marked with the table it comes from.
@@ -14,13 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codetally.functions.intervals import NOTHING, SPAN, SPAN_BITS, is_single, overlaps
 from codetally.functions.sets import once
 from codetally.lineage import carried, written
-from codetally.operators.joins import join_on_id, join_repeated_ids
+from codetally.operators.joins import hot_ids, id_text, join_on_id, join_repeated_ids
 
 #: Sets of more intervals on the human side, or with more combinations on either, are paired one by one.
 LONGEST = 8
@@ -121,10 +122,45 @@ def number_of_combinations(keys: Column, most: int) -> Column:
     return total
 
 
-def held_combinations(keyed: DataFrame, by: list[str], most: int) -> DataFrame:
-    """How many sets of each id hold each combination; an even one is counted as negative by the join."""
-    each = keyed.select(*by, "single", "records", F.explode(combinations(F.col("_keys"), most)).alias("_held"))
-    return each.groupBy(*by, "single", "_held").agg(F.sum("records").alias("records"))
+def is_few(keys: Column, most: int) -> Column:
+    """Whether a set's combinations are laid out."""
+    return number_of_combinations(keys, most) <= MOST_COMBINATIONS
+
+
+def choices(keys: Column, most: int) -> Column:
+    """Every choice of up to ``most`` keys, with none as well."""
+    none = F.array(F.array().cast("array<bigint>"))
+    return none if most < 1 else F.concat(none, combinations(keys, most))
+
+
+def after(listed: Column, at: Column) -> Column:
+    """What follows a place of a list."""
+    return F.slice(listed, at + 2, F.size(listed))
+
+
+def first_keys(keys: Column) -> Column:
+    """Each key with those that follow it."""
+    return F.transform(keys, lambda key, at: F.struct(key.alias("first"), after(keys, at).alias("rest")))
+
+
+def dealt_combinations(rows: DataFrame, at: list[str], most: int) -> DataFrame:
+    """A row for each combination of ``_first`` with up to ``most`` - 1 of the keys in ``_rest``: ``_first``, ``_second`` and
+    ``_rest``. They are dealt by ``at`` and ``_first``; where these hold many rows, and only there, by the second key as well.
+    """
+    others = [c for c in rows.columns if c != "_rest"]
+    none = F.lit(None).cast("bigint")
+    laid = rows.withColumn("_second", none)
+    if most > 1:
+        alone = F.struct(none.alias("second"), F.array().cast("array<bigint>").alias("rest"))
+        seconds = F.transform("_rest", lambda key, i: F.struct(key.alias("second"), after(F.col("_rest"), i).alias("rest")))
+        whole = F.array(F.struct(none.alias("second"), F.col("_rest").alias("rest")))
+        parts = F.when(F.col("_hot_id").isNotNull(), F.concat(F.array(alone), seconds)).otherwise(whole)
+        hot = F.broadcast(hot_ids(rows, [*at, "_first"]).select("_hot_id"))
+        marked = rows.withColumn("_id", id_text([*at, "_first"])).join(hot, F.col("_id") == F.col("_hot_id"), "left")
+        laid = marked.select(*others, F.explode_outer(parts).alias("_part")).select(*others, F.col("_part.second").alias("_second"), F.col("_part.rest").alias("_rest"))
+    dealt = laid.repartition(*at, "_first", "_second")
+    held = F.when(F.col("_second").isNull(), choices(F.col("_rest"), most - 1)).otherwise(choices(F.col("_rest"), most - 2))
+    return dealt.select(*others, "_second", F.explode_outer(held).alias("_rest"))
 
 
 def sharing_pairs(truth: DataFrame, model: DataFrame, id_col: str, by: list[str]) -> DataFrame:
@@ -138,29 +174,49 @@ def sharing_pairs(truth: DataFrame, model: DataFrame, id_col: str, by: list[str]
     longest = [df.agg(F.max(F.size("codes"))).first()[0] or 0 for df in (truth, model)]
     most = min(LONGEST, *longest)
     of_truth, of_model = Holders(truth), Holders(model)
-    few = F.col("_many") <= MOST_COMBINATIONS
-    keyed = [
-        other.looked_up(df, "_keys", lambda lists: keys_of(F.col("codes"), digits, other, lists)).withColumn("_many", number_of_combinations(F.col("_keys"), most))
-        for df, other, keys_of in ((truth, of_model, keys_of_truth), (model, of_truth, keys_of_model))
-    ]
-    short = [few & (F.size("codes") <= LONGEST), few]
-    held = [held_combinations(df.filter(s), keys, most) for df, s, keys in zip(keyed, short, (at, [*at, *by]))]
+    shown = [*by, "digits", "single_truth", "single_model"]
 
-    def beside(left: DataFrame, right: DataFrame, on: list[str], join) -> DataFrame:
+    def laid_out(df: DataFrame, other: Holders, keys_of, human: bool) -> DataFrame:
+        def parts(lists: Column) -> Column:
+            short = F.size("codes") <= LONGEST if human else F.lit(True)
+            return once(keys_of(F.col("codes"), digits, other, lists), lambda keys: F.when(short & is_few(keys, most), first_keys(keys)))
+
+        kinds = {name: F.lit(None).cast(model.schema[name].dataType) if human else F.col(name) for name in by}
+        # Outer here and above, since else the optimizer looks for empty lists beforehand and so makes them a second time.
+        each = other.looked_up(df, "_parts", parts).select(
+            *at, *[c.alias(name) for name, c in kinds.items()], F.lit(human).alias("_is_truth"), "single", "records", F.explode_outer("_parts").alias("_part")
+        )
+        return each.select(*[c for c in each.columns if c != "_part"], F.col("_part.first").alias("_first"), F.col("_part.rest").alias("_rest")).filter("_first is not null")
+
+    both = laid_out(truth, of_model, keys_of_truth, True).unionByName(laid_out(model, of_truth, keys_of_model, False))
+    combination = [*at, "_first", "_second", "_rest"]
+    held = dealt_combinations(both, at, most).groupBy(*combination, *by, "_is_truth", "single").agg(F.sum("records").alias("records"))
+    # As a window, for which the rows stay where they are; a join would deal them again.
+    here = Window.partitionBy(*combination)
+    met = held.withColumns({
+        name: F.sum(F.when(F.col("_is_truth") & (F.col("single") == single), F.col("records"))).over(here) for name, single in (("_single", True), ("_several", False))
+    }).filter(~F.col("_is_truth"))
+    size = F.size("_rest") + F.when(F.col("_second").isNull(), 1).otherwise(2)
+    signed = F.col("records") * F.when(size % 2 == 1, 1).otherwise(-1)
+    kinds = [F.struct(F.lit(single).alias("single_truth"), (signed * F.col(name)).alias("records")) for name, single in (("_single", True), ("_several", False))]
+    found = met.select(*by, "digits", F.col("single").alias("single_model"), F.inline(F.array(*kinds))).filter("records is not null").select(*shown, "records")
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
         renamed = left.withColumnsRenamed({"single": "single_truth", "records": "n_truth", "codes": "truth"})
-        return join(right.withColumnsRenamed({"single": "single_model", "records": "n_model", "codes": "model"}), renamed, on)
+        pairs = join_repeated_ids(right.withColumnsRenamed({"single": "single_model", "records": "n_model", "codes": "model"}), renamed, at)
+        return pairs.filter(overlaps(F.col("truth"), F.col("model"))).select(*shown, (F.col("n_truth") * F.col("n_model")).alias("records"))
 
-    shown = [*by, "digits", "single_truth", "single_model"]
-    pairs = F.col("n_truth") * F.col("n_model")
-    sign = F.when(F.size("_held") % 2 == 1, 1).otherwise(-1)
-    found = beside(*held, [*at, "_held"], join_on_id).select(*shown, (pairs * sign).alias("records"))
+    def marked(df: DataFrame, other: Holders, keys_of, human: bool) -> DataFrame:
+        def is_short(lists: Column) -> Column:
+            few = once(keys_of(F.col("codes"), digits, other, lists), lambda keys: is_few(keys, most))
+            return (F.size("codes") <= LONGEST) & few if human else few
+
+        return other.looked_up(df, "_short", is_short)
 
-    plain = [df.select(*keys, "codes", "single", "records", s.alias("_short")) for df, s, keys in zip(keyed, short, (at, [*at, *by]))]
+    plain = [marked(truth, of_model, keys_of_truth, True), marked(model, of_truth, keys_of_model, False)]
     long = [df.filter(~F.col("_short")).drop("_short") for df in plain]
-    rest = [(long[0], plain[1].drop("_short")), (plain[0].filter("_short").drop("_short"), long[1])]
-    for left, right in rest:
-        one_by_one = beside(left, right, at, join_repeated_ids).filter(overlaps(F.col("truth"), F.col("model")))
-        found = found.unionByName(one_by_one.select(*shown, pairs.alias("records")))
+    for left, right in ((long[0], model), (plain[0].filter("_short").drop("_short"), long[1])):
+        found = found.unionByName(beside(left, right))
     return found
 
 

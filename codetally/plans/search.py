@@ -62,6 +62,21 @@ def rows_per_length(df: DataFrame, lengths: tuple[int | None, ...]) -> DataFrame
     return df.select(*others, F.inline(named))
 
 
+def rows_per_set(df: DataFrame, lengths: tuple[int | None, ...]) -> DataFrame:
+    """The same with equal sets of a record as one row: ``shortlist_size`` lists all lengths that give the set."""
+    sized = F.array(*[
+        F.struct(F.lit("All" if n is None else str(n)).alias("size"), F.col(f"codes{i}").alias("codes")) for i, n in enumerate(lengths)
+    ])
+    different = F.array_distinct(F.array(*[F.col(f"codes{i}") for i in range(len(lengths))]))
+
+    def with_sizes(codes: Column) -> Column:
+        sizes = F.transform(F.filter(sized, lambda s: s["codes"] == codes), lambda s: s["size"])
+        return F.struct(sizes.alias("shortlist_size"), codes.alias("initial_codes"))
+
+    others = [c for c in df.columns if c not in {f"codes{i}" for i in range(len(lengths))}]
+    return df.select(*others, F.inline_outer(F.transform(different, with_sizes)))
+
+
 def shortlist_codes(
     results: DataFrame, hierarchy: Hierarchy, levels: list[int], lengths: tuple[int | None, ...] = (5, 10, None), **options
 ) -> DataFrame:
@@ -138,9 +153,12 @@ def shortlist_sweep(
     if not unique_ids:
         found = raw_searches(searches, content, False, "records")
         listed = code_sets(found, hierarchy, [shortlist_side("_listed", lengths, levels)], levels, [ID_COL, "method"])
-        coded = counted_sets(rows_per_length(listed, lengths), [ID_COL, *by], "initial_codes")
+        coded = counted_sets(rows_per_set(listed, lengths), [ID_COL, *by], "initial_codes")
         truth = truth_sets(clerical, four_plus, hierarchy, levels)
-        return metrics_of_pairs(compared_pairs(truth, coded, ID_COL, ["method", "shortlist_size"]), by)
+        # Short lists are the same at every length, and so are their pairs, which are added up before they count for each.
+        compared = compared_pairs(truth, coded, ID_COL, ["method", "shortlist_size"])
+        added = compared.groupBy(*[c for c in compared.columns if c != "records"]).agg(F.sum("records").alias("records"))
+        return metrics_of_pairs(added.withColumn("shortlist_size", F.explode("shortlist_size")), by)
     rows = searches_beside_truth(searches, clerical, four_plus, hierarchy, levels, content)
     found = hierarchy.sets_of(rows, ["method", "records", TRUTH], [shortlist_side("_listed", lengths, levels)], levels)
     sets = laid_out_beside_truth(found, ["method"])

@@ -1,10 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from codetally import Hierarchy
-from codetally.operators import repeated
+from codetally.operators import joins, repeated
 from codetally.operators.metrics import evaluation_metrics, flatten_metrics
 from codetally.operators.semantic import cumulative_curve, curve_points
 from codetally.plans import search as S
@@ -85,3 +86,23 @@ def test_plans_do_not_print_the_holders(spark):
     assert len(swept._jdf.queryExecution().toString()) < 300_000
     total = swept.first().initial_accuracy_metrics.total_records
     assert total == sum(len(range(i, len(some), 7)) ** 2 for i in range(7))
+
+
+def test_combinations_are_not_moved(spark, hierarchy, tables):
+    clerical, _, found = tables
+    swept = shortlist_sweep({"s": found}, clerical, hierarchy, [5], (2, None))
+    dealt_by = re.findall(r"hashpartitioning\(([^)]*)\)", swept._jdf.queryExecution().executedPlan().toString())
+    assert any("_first" in by and "_second" in by for by in dealt_by)
+    assert not any("_held" in by or "_rest" in by for by in dealt_by)
+
+
+def test_equal_shortlists_are_one_row(spark):
+    rows = spark.createDataFrame([(1, [5], [5], [5]), (2, [5], [5, 6], [5, 6]), (3, [], [], [])], "i int, codes0 array<bigint>, codes1 array<bigint>, codes2 array<bigint>")
+    got = sorted((r.i, r.initial_codes, r.shortlist_size) for r in S.rows_per_set(rows, (1, 2, None)).collect())
+    assert got == [(1, [5], ["1", "2", "All"]), (2, [5], ["1"]), (2, [5, 6], ["2", "All"]), (3, [], ["1", "2", "All"])]
+
+
+@pytest.mark.parametrize("share", [1.0, 1 / 20])
+def test_counted_pairs_without_or_with_few_hot_codes(spark, hierarchy, tables, monkeypatch, share):
+    monkeypatch.setattr(joins, "HOT_PIECE", share)
+    test_counted_pairs_equal_formed_pairs(spark, hierarchy, tables, monkeypatch, 8, 2000)
