@@ -7,8 +7,10 @@ tree of full adders leaves one bitmap per bit of the sum, which is a lower bound
 error. The k-th largest bound is found from the most significant slice downward; the rows that can still reach it are
 resolved exactly. Each block gives its best k, the best of all blocks are the answer.
 
-A block's index goes to one task at a time, with a bounded block of queries. Queries are the smaller side and are
-repeated for every block; vectors are moved once.
+Vectors and queries meet in tiles: some blocks of vectors beside a bounded number of queries, each grouped by tile, so
+that nothing of either passes through the driver. A tile indexes one block after the other. Queries are the smaller side
+and are repeated for every tile of vectors; vectors are moved once for every tile of queries, mostly one. With many
+blocks a tile has several, since what is moved grows with the number of tiles.
 
 The few vectors with a component so large that a score could pass a long are kept beside the slices and resolved with
 integers of any size, as are queries that have one.
@@ -22,8 +24,6 @@ id. Columns other than id and vector take no part.
 from __future__ import annotations
 
 import math
-import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,10 @@ SCALE = 1024
 K = 10
 QUERY_EVERY = 100
 BLOCK_ROWS = 8192
-QUERY_BLOCK = 128
+#: Queries of a tile, and most of its blocks; it has fewer where there would be less than ``LEAST_TILES``.
+QUERIES_AT_ONCE = 8192
+BLOCKS_AT_ONCE = 8
+LEAST_TILES = 64
 #: Bits kept of each component, and of each query component.
 SLICES = 6
 WEIGHT_BITS = 5
@@ -173,6 +176,12 @@ class Block:
         return sorted(found)[:k]
 
 
+def _matrix(table: pa.Table, dims: int) -> np.ndarray:
+    """The vectors of a table, one per row."""
+    flat = table["vector"].combine_chunks().flatten().to_numpy() if dims else np.empty(0)
+    return flat.reshape(table.num_rows, dims)
+
+
 def top_k(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -184,52 +193,45 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, <id_col>, score``: the best rows for every row whose id is divisible by ``query_every``."""
     finite = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    # Floats stay so, which halves what is moved; they are the same numbers when read as doubles.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "array<double>"
     valid = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.size(vector_col).alias("dims")
+        F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(kind).alias("vector"), F.size(vector_col).alias("dims")
     )
     # Numbered in written tables: a task that is run again deals its rows as before, and rows of one id are dealt apart.
     valid = stored(valid.withColumn("row", F.monotonically_increasing_id()))
     asked = stored(valid.filter(F.pmod("id", F.lit(query_every)) == 0).drop("row").distinct().withColumn("row", F.monotonically_increasing_id()))
     blocks = max(1, math.ceil(valid.count() / block_rows))
-    some = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    dealt = valid.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-
-    def build(table: pa.Table) -> pa.Table:
-        dims = table["dims"][0].as_py()
-        flat = table["vector"].combine_chunks().flatten().to_numpy() if dims else np.empty(0)
-        block = Block(table["id"].to_numpy(), flat.reshape(table.num_rows, dims), scale)
-        parts = {name: value.__dict__ if name == "index" and value else value for name, value in block.__dict__.items()}
-        return pa.table({"dims": pa.array([dims], pa.int32()), "block": table["block"].slice(0, 1), "index": pa.array([pickle.dumps(parts)], pa.binary())})
-
-    index = dealt.groupBy("dims", "block").applyInArrow(build, "dims int, block int, index binary")
-    queries = (
-        asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(some))).groupBy("dims", "part").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-        .select("dims", "queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    together = max(1, min(BLOCKS_AT_ONCE, blocks // LEAST_TILES))
+    tiles, parts = math.ceil(blocks / together), max(1, math.ceil(asked.count() / QUERIES_AT_ONCE))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = valid.select("dims", dealt(blocks).alias("block"), "id", "vector").select(
+        "dims", F.floor(F.col("block") / together).cast("int").alias("tile"), each(parts).alias("part"), "block", "id", "vector"
     )
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def loaded(kind: type, state: dict):
-            made = kind.__new__(kind)
-            made.__dict__.update(state)
-            return made
-
-        for batch in batches:
-            for blob, listed in zip(batch["index"], batch["queries"], strict=True):
-                state = pickle.loads(blob.as_py())
-                block = loaded(Block, state | {"index": state["index"] and loaded(BitSlicedIndex, state["index"])})
-                for query in listed.as_py():
-                    found = block.best(query["id"], np.array(query["vector"], np.float64), k)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([query["id"]] * len(found), pa.int64()),
-                            pa.array([i for _, i in found], pa.int64()),
-                            pa.array([nearest_long(-minus) for minus, _ in found], pa.int64()),
-                            pa.array([descending(-minus) for minus, _ in found], pa.binary()),
-                        ],
-                        ["query_id", "id", "score", "order"],
-                    )
-
-    found = index.join(queries, ["dims", "block"]).select("index", "queries").mapInArrow(search, "query_id bigint, id bigint, score bigint, order binary")
+    queries = asked.select("dims", each(tiles).alias("tile"), dealt(parts).alias("part"), "id", "vector")
+
+    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[list[tuple[int, int]]] = [[] for _ in range(queries.num_rows)]
+        if vectors.num_rows and queries.num_rows:
+            dims = vectors["dims"][0].as_py()
+            rows, asked = (_matrix(table, dims) for table in (vectors, queries))
+            ids, block_of, asked_ids = vectors["id"].to_numpy(), vectors["block"].to_numpy(), queries["id"].to_numpy().tolist()
+            for number in np.unique(block_of):
+                mine = block_of == number
+                block = Block(ids[mine], rows[mine].astype(np.float64), scale)
+                for i, query_id in enumerate(asked_ids):
+                    found[i] = sorted(found[i] + block.best(query_id, asked[i].astype(np.float64), k))[:k]
+        flat = [(query_id, i, -minus) for query_id, best in zip(queries["id"].to_pylist(), found, strict=True) for minus, i in best]
+        return pa.table({
+            "query_id": pa.array([query_id for query_id, _, _ in flat], pa.int64()),
+            "id": pa.array([i for _, i, _ in flat], pa.int64()),
+            "score": pa.array([nearest_long(score) for _, _, score in flat], pa.int64()),
+            "order": pa.array([descending(score) for _, _, score in flat], pa.binary()),
+        })
+
+    at = ["dims", "tile", "part"]
+    found = candidates.groupBy(*at).cogroup(queries.groupBy(*at)).applyInArrow(search, "query_id bigint, id bigint, score bigint, order binary")
     order = W.partitionBy("query_id").orderBy("order", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 

@@ -66,3 +66,18 @@ def test_a_hot_id_is_dealt_apart(spark):
     got = t.top_k(frame, block_rows=100).collect()
     of_hot = [r for r in got if r.query_id == 100]
     assert len(of_hot) == 10 and all(r.vec_id != 100 for r in of_hot)
+
+
+def test_tiles_of_several_blocks_and_parts_of_queries(spark, vectors, monkeypatch):
+    monkeypatch.setattr(t, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(t, "LEAST_TILES", 4)
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, t.top_k(frame, block_rows=20).collect())) == brute(vectors)
+
+
+def test_queries_are_not_broadcast(spark, vectors):
+    """However few they are: once for each block they are many, and the driver would hold them."""
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    plan = t.top_k(frame, block_rows=2)._jdf.queryExecution()
+    plan.toRdd().count()
+    assert "Broadcast" not in plan.executedPlan().toString()
