@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 from catalogue import sql, views
 from catalogue.registry import register
 from codetally.config import ColumnConfig
+from codetally.fixed_values import CODE_LENGTH
 from codetally.functions import codes as C
 from codetally.functions import sets as S
 from codetally.functions import stats
 from codetally.operators import selection
 from codetally.operators.alignment import LabelAlignment, exclude_patterns, top_values
-from codetally.lineage import written
+from codetally.lineage import alike_together, written
 from codetally.operators.hierarchy import text_side
 from codetally.operators.prepare import clean_wide_table, keep_unambiguous, rows_per_level
 from codetally.operators.quality import add_quality_flags
@@ -259,7 +260,9 @@ def code_sets_sql(digits: int) -> str:
 def code_sets(digits: int):
     def run(spark, sf_dir):
         rows = ["l_orderkey", "l_partkey", "l_linenumber", "text"]
-        cleaned = views.hierarchy(spark, sf_dir).clean_code_sets(messy(spark, sf_dir), rows, [text_side("text", "codes")], [digits])
+        # One-digit codes mean up to ten thousand five-digit ones, which are long to write for every line.
+        lines = alike_together(messy(spark, sf_dir), rows, "text") if digits == CODE_LENGTH else messy(spark, sf_dir)
+        cleaned = views.hierarchy(spark, sf_dir).clean_code_sets(lines, rows, [text_side("text", "codes")], [digits])
         found = rows_per_level(cleaned, digits)
         return keyed(found, codes=S.set_text(F.col("codes")))
 

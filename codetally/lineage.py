@@ -35,6 +35,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ranges in which rows are dealt out at least, so that each has few different values.
+LEAST_RANGES = 64
+
+
+def alike_together(df: DataFrame, ties: list[str], *order_cols: str) -> DataFrame:
+    """The rows dealt out by ranges of ``order_cols``, a value that comes often by ranges of ``ties`` as well.
+
+    Long values worked out from these columns are then few and different ones in a task, so that a columnar file holds each
+    once, in its dictionary, rather than once for every row. Rows are moved before the long values are made.
+    """
+    ranges = max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(ranges, *[F.col(c) for c in (*order_cols, *[c for c in ties if c not in order_cols])])
+
+
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from catalogue import views
 from codetally import Hierarchy
 from codetally.operators.metrics import evaluation_metrics
@@ -74,3 +75,16 @@ def test_plans_do_not_print_the_codes(spark):
     assert len(table._jdf.queryExecution().toString()) < 100_000
     found = {(r.digits, r.metrics): r.value for r in table.collect()}
     assert found["5", "MM Accuracy"] == 2 / 3 and found["2", "OO Accuracy"] == 1.0
+
+
+def test_long_code_sets_are_not_written_for_every_line(spark, tmp_path):
+    """Ten long texts, on a third of the lines, among many shorter ones: too much for the dictionary of a file that has all."""
+    spark.range(100_000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    kind = F.col("id") % 3
+    line, quantity = F.when(kind == 0, 5).when(kind == 1, 1).otherwise(7), F.when(kind == 2, 6.0).otherwise(20.0)
+    lines = spark.range(12_000).select(F.col("id").alias("l_orderkey"), (F.col("id") * 23).alias("l_partkey"), line.alias("l_linenumber"), quantity.alias("l_quantity"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries()["clean_code_sets_five_digits"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/found")
+    assert sum(path.stat().st_size for path in (tmp_path / "found").glob("*.parquet")) < 10_000_000
+    sizes = spark.read.parquet(f"{tmp_path}/found").filter("l_linenumber != 7").groupBy("l_linenumber", F.length("codes").alias("size")).count().collect()
+    assert sorted(map(tuple, sizes)) == [(1, 599, 4000), (5, 59_999, 4000)]
