@@ -13,6 +13,7 @@ both give a key by which they meet: the holding interval, marked with the table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,8 @@ from codetally.operators.joins import hot_ids, id_text, join_on_id, join_repeate
 #: Sets of more intervals on the human side, or with more combinations on either, are paired one by one.
 LONGEST = 8
 MOST_COMBINATIONS = 2000
+#: Sets' codes for which a task lays out combinations, about ten times as many rows.
+CODES_AT_ONCE = 100_000
 
 
 def first_code(interval: Column) -> Column:
@@ -143,7 +146,7 @@ def first_keys(keys: Column) -> Column:
     return F.transform(keys, lambda key, at: F.struct(key.alias("first"), after(keys, at).alias("rest")))
 
 
-def dealt_combinations(rows: DataFrame, at: list[str], most: int) -> DataFrame:
+def dealt_combinations(rows: DataFrame, at: list[str], most: int, tasks: int) -> DataFrame:
     """A row for each combination of ``_first`` with up to ``most`` - 1 of the keys in ``_rest``: ``_first``, ``_second`` and
     ``_rest``. They are dealt by ``at`` and ``_first``; where these hold many rows, and only there, by the second key as well.
     """
@@ -158,7 +161,7 @@ def dealt_combinations(rows: DataFrame, at: list[str], most: int) -> DataFrame:
         hot = F.broadcast(hot_ids(rows, [*at, "_first"]).select("_hot_id"))
         marked = rows.withColumn("_id", id_text([*at, "_first"])).join(hot, F.col("_id") == F.col("_hot_id"), "left")
         laid = marked.select(*others, F.explode_outer(parts).alias("_part")).select(*others, F.col("_part.second").alias("_second"), F.col("_part.rest").alias("_rest"))
-    dealt = laid.repartition(*at, "_first", "_second")
+    dealt = laid.repartition(tasks, *at, "_first", "_second")
     held = F.when(F.col("_second").isNull(), choices(F.col("_rest"), most - 1)).otherwise(choices(F.col("_rest"), most - 2))
     return dealt.select(*others, "_second", F.explode_outer(held).alias("_rest"))
 
@@ -171,8 +174,10 @@ def sharing_pairs(truth: DataFrame, model: DataFrame, id_col: str, by: list[str]
     """
     at = [id_col, "digits"]
     digits = F.col("digits")
-    longest = [df.agg(F.max(F.size("codes"))).first()[0] or 0 for df in (truth, model)]
+    size = F.size("codes")
+    longest, codes = zip(*[df.agg(F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first() for df in (truth, model)])
     most = min(LONGEST, *longest)
+    tasks = max(truth.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(codes) / CODES_AT_ONCE))
     of_truth, of_model = Holders(truth), Holders(model)
     shown = [*by, "digits", "single_truth", "single_model"]
 
@@ -190,14 +195,14 @@ def sharing_pairs(truth: DataFrame, model: DataFrame, id_col: str, by: list[str]
 
     both = laid_out(truth, of_model, keys_of_truth, True).unionByName(laid_out(model, of_truth, keys_of_model, False))
     combination = [*at, "_first", "_second", "_rest"]
-    held = dealt_combinations(both, at, most).groupBy(*combination, *by, "_is_truth", "single").agg(F.sum("records").alias("records"))
+    held = dealt_combinations(both, at, most, tasks).groupBy(*combination, *by, "_is_truth", "single").agg(F.sum("records").alias("records"))
     # As a window, for which the rows stay where they are; a join would deal them again.
     here = Window.partitionBy(*combination)
     met = held.withColumns({
         name: F.sum(F.when(F.col("_is_truth") & (F.col("single") == single), F.col("records"))).over(here) for name, single in (("_single", True), ("_several", False))
     }).filter(~F.col("_is_truth"))
-    size = F.size("_rest") + F.when(F.col("_second").isNull(), 1).otherwise(2)
-    signed = F.col("records") * F.when(size % 2 == 1, 1).otherwise(-1)
+    taken = F.size("_rest") + F.when(F.col("_second").isNull(), 1).otherwise(2)
+    signed = F.col("records") * F.when(taken % 2 == 1, 1).otherwise(-1)
     kinds = [F.struct(F.lit(single).alias("single_truth"), (signed * F.col(name)).alias("records")) for name, single in (("_single", True), ("_several", False))]
     found = met.select(*by, "digits", F.col("single").alias("single_model"), F.inline(F.array(*kinds))).filter("records is not null").select(*shown, "records")
 
